@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, langid, recordio
+from lodestone.llm import bpe, decontam, langid, lzprint, ngram_join, recordio, toxicity
 from lodestone.llm.shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,25 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_bpe_round_trip)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs.where(fold(5) != 0), documents(spark, sf_dir, "labels").where(fold(5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.digests(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
 
 SQL: dict[str, str] = {}
