@@ -4,8 +4,8 @@ A data file is a sequence of records, all numbers little-endian:
 
     uint64 length of the payload in bytes | uint32 masked crc32 of these 8 bytes | payload | uint32 masked crc32 of the payload
 
-The payload is the sequence's ids as uint32. The index of a data file is a file of its own: MAGIC, the number
-of records as uint64, for each record four int64 (byte offset, number of ids, doc_id, 1 if doc_id is null), and the
+The payload is the sequence's ids, of 2 bytes each if the vocabulary has at most 65,536 and of 4 otherwise. The index of a
+data file is a file of its own: MAGIC, the number of records and the bytes of an id as uint64, for each record four int64 (byte offset, number of ids, doc_id, 1 if doc_id is null), and the
 masked crc32 of all that. A masked crc is the crc rotated right by 15 bits plus MASK_DELTA, so that checksums of
 data that themselves hold checksums stay sound.
 
@@ -61,16 +61,16 @@ def read_frame(read: Callable[[int], bytes]) -> bytes | None:
     return rest[:size]
 
 
-def index_bytes(entries: np.ndarray) -> bytes:
-    body = MAGIC + struct.pack("<Q", len(entries)) + entries.astype("<i8").tobytes()
+def index_bytes(entries: np.ndarray, width: int) -> bytes:
+    body = MAGIC + struct.pack("<QQ", len(entries), width) + entries.astype("<i8").tobytes()
     return body + struct.pack("<I", masked_crc(body))
 
 
-def read_index(raw: bytes) -> np.ndarray:
-    """An array of (offset, ids, doc_id, doc_id is null) for each record."""
+def read_index(raw: bytes) -> tuple[np.ndarray, int]:
+    """(an array of (offset, ids, doc_id, doc_id is null) for each record, bytes of an id)."""
     if raw[:8] != MAGIC or struct.unpack("<I", raw[-4:])[0] != masked_crc(raw[:-4]):
         raise DamagedRecord("the index does not fit its checksum")
-    return np.frombuffer(raw[16:-4], "<i8").reshape(-1, 4)
+    return np.frombuffer(raw[24:-4], "<i8").reshape(-1, 4), struct.unpack("<Q", raw[16:24])[0]
 
 
 class LibraryWords:
@@ -89,6 +89,7 @@ class LibraryWords:
             raise ValueError("only a plain byte-level file with one added token is supported")
         self.special, self.split = special[0], self.library.pre_tokenizer.pre_tokenize_str
         self.words = pretokens.WordIds(self.encode)
+        self.id_bytes = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         texts = [p.decode("utf-8") for p in pieces]
@@ -140,7 +141,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs, inner = shared.filesystem(folder)
-        end = np.array([end_id], np.uint32).tobytes()
+        width = words.id_bytes
+        end = np.array([end_id], f"<u{width}").tobytes()
         entries, at, tokens, out = [], 0, 0, None
         for batch, data, offs in vec.slices(batches):
             if out is None:
@@ -148,18 +150,18 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
                 out = fs.open_output_stream(f"{inner}/{name}.rec")
             starts, first = pretokens.token_starts(data, offs, words.special, words.split)
             ids, sizes = words.words(data, starts)
-            first = np.concatenate([[0], np.cumsum(sizes)])[first] * 4
-            flat, framed = ids.astype("<u4").tobytes(), []
+            first = np.concatenate([[0], np.cumsum(sizes)])[first] * width
+            flat, framed = ids.astype(f"<u{width}").tobytes(), []
             for doc, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 framed.append(frame(flat[a:b] + end))
-                entries.append((at, (b - a) // 4 + 1, doc or 0, doc is None))
+                entries.append((at, (b - a) // width + 1, doc or 0, doc is None))
                 at += len(framed[-1])
                 tokens += entries[-1][1]
             out.write(b"".join(framed))
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{inner}/{name}.idx") as f:
-                f.write(index_bytes(np.array(entries, np.int64).reshape(-1, 4)))
+                f.write(index_bytes(np.array(entries, np.int64).reshape(-1, 4), width))
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(entries)], "tokens": [tokens]})
 
     files, start = [], 0
@@ -178,21 +180,21 @@ def read_records(folder: str, name: str, order: np.ndarray | None = None) -> Ite
     """(index entry, ids) of a file's records, in file order or in the given order of record numbers."""
     fs, inner = shared.filesystem(folder)
     with fs.open_input_stream(f"{inner}/{name}.idx") as f:
-        index = read_index(f.read())
+        index, width = read_index(f.read())
     if order is None:
         with fs.open_input_stream(f"{inner}/{name}.rec", buffer_size=1 << 20) as f:
             for entry in index:
                 payload = read_frame(f.read)
-                if payload is None or len(payload) != 4 * entry[1]:
+                if payload is None or len(payload) != width * entry[1]:
                     raise DamagedRecord(f"{name}: the index does not fit the records")
-                yield entry, np.frombuffer(payload, "<u4")
+                yield entry, np.frombuffer(payload, f"<u{width}").astype("<u4")
             if read_frame(f.read) is not None:
                 raise DamagedRecord(f"{name}: records without an index entry")
     else:
         with fs.open_input_file(f"{inner}/{name}.rec") as f:
             for entry in index[order]:
                 f.seek(int(entry[0]))
-                yield entry, np.frombuffer(read_frame(f.read), "<u4")
+                yield entry, np.frombuffer(read_frame(f.read), f"<u{width}").astype("<u4")
 
 
 def digests(spark: SparkSession, manifest: dict) -> DataFrame:
