@@ -68,20 +68,20 @@ class Model:
         return self.__dict__ | {"_table": None}
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """Different (row << SLOT_BITS | slot) of the texts."""
-    out, at = [], 0
+def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, slots) of the different n-grams of the texts, a few texts at a time."""
+    at = 0
     while at < len(texts):
         part, size = [], 0
-        while at < len(texts) and (not part or size < 4 << 20):
+        while at < len(texts) and (not part or size < vec.SLICE_BYTES):
             part.append(texts[at])
             size += len(texts[at])
             at += 1
         data = np.frombuffer(b"".join(part), np.uint8)
         offs = np.concatenate([[0], np.cumsum([len(t) for t in part])])
         for slot, first in grams(data, offs):
-            out.append(np.unique((np.repeat(np.arange(len(part)), np.diff(first)) + at - len(part)) << SLOT_BITS | slot))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            pairs = np.unique(np.repeat(np.arange(len(part)), np.diff(first)) << SLOT_BITS | slot)
+            yield (pairs >> SLOT_BITS) + at - len(part), pairs & ((1 << SLOT_BITS) - 1)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
@@ -89,16 +89,17 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if len(toxic) and toxic.all() else -30.0)
-    pairs = features(texts)
-    row, slot = pairs >> SLOT_BITS, pairs & ((1 << SLOT_BITS) - 1)
-    with_toxic = np.bincount(slot[toxic[row]], minlength=1 << SLOT_BITS)
-    with_clean = np.bincount(slot[~toxic[row]], minlength=1 << SLOT_BITS)
+    with_toxic, with_clean = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+    for row, slot in features(texts):
+        np.add.at(with_toxic, slot[toxic[row]], 1)
+        np.add.at(with_clean, slot[~toxic[row]], 1)
     ratio = np.log((with_toxic + 1) / (toxic.sum() + 2)) - np.log((with_clean + 1) / ((~toxic).sum() + 2))
     used = np.flatnonzero((with_toxic + with_clean >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
-    number = np.full(1 << SLOT_BITS, -1, np.int64)
+    del with_toxic, with_clean
+    number = np.full(1 << SLOT_BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    keep = number[slot] >= 0
-    row, column = row[keep], number[slot[keep]]
+    kept = [(row[keep], number[slot[keep]]) for row, slot in features(texts) if (keep := number[slot] >= 0).any()]
+    row, column = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2
     value = ratio[used][column]
     weight, bias = np.full(len(used), 0.0), 0.0
     steps = [np.zeros(len(used) + 1), np.zeros(len(used) + 1)]  # Adam's moments
