@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, lzprint, ngram_join, recordio, toxicity
+from lodestone.llm import bpe, decontam, langid, linededup, lzprint, ngram_join, recordio, toxicity
 from lodestone.llm.shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, removed (the numbers of the lines that go, ascending; empty if none) and the sha256 of the text that is left."""
+    found = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), removed="removed")
+    return found.select("doc_id", F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -57,6 +63,6 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
 
 SQL: dict[str, str] = {}
