@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, linededup, lzprint, ngram_join, recordio, toxicity
+from lodestone.llm import bpe, decontam, langid, linededup, lzprint, ngram_join, recordio, toxicity, warc
 from lodestone.llm.shared import documents
+from lodestone.runtime import query
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,6 +52,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(spark, documents(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -63,6 +69,18 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
+
+#: Base32 of a SHA-1 from its 40 hex digits: each 5 of them are 4 letters.
+_BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(5 * i + 1 AS INT), 5))::INT >> s) & 31) + 1, 1)))), '')"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_warc_index_merge": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, url, sha1(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM p JOIN m USING (h)
+    """,
+}
