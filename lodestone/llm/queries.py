@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, linededup, lzprint, ngram_join, recordio, toxicity, warc
+from lodestone.llm import bpe, decontam, langid, linededup, lzprint, mixing, ngram_join, recordio, toxicity, warc
 from lodestone.llm.shared import documents
 from lodestone.runtime import query
 
@@ -52,6 +52,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.score(documents(spark, sf_dir), fold(10) != 0)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(spark, documents(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -69,7 +74,7 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op6_context_mixing, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
 
 #: Base32 of a SHA-1 from its 40 hex digits: each 5 of them are 4 letters.
 _BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(5 * i + 1 AS INT), 5))::INT >> s) & 31) + 1, 1)))), '')"
