@@ -1,9 +1,9 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
 A text is coded byte by byte, and a final 0 byte ends it. Each of a byte's 8 bits is predicted in the contexts of the last 0
-to ORDER bytes together with the bits of this byte so far: a context's slot in a table of hashed counters holds how often the
-bit was 0 and 1 in training. The predictors' logits are combined by weights chosen by a gate (the bit's place and the longest context
-seen in training), which are learned online, example by example, by the gradient of the code length. An adaptive map by the bits so
+to ORDER bytes, and of those of them that belong to the current word, together with the bits of this byte so far: a context's slot in a
+table of hashed counters holds how often the bit was 0 and 1 in training. The predictors' logits are combined by weights chosen by a gate (the
+bit's place, the longest context seen in training and the bytes since the word began), which are learned online, example by example, by the gradient of the code length. An adaptive map by the bits so
 far refines the mixed probability. A text's score is the log10 probability of all its bits.
 
 Training gathers, from all training texts, the counts of all different (context, byte) grams; counters, weights and the map are
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import shared, vec
 
-ORDER = 5
+ORDER = 6
 SLOT_BITS = 22
 CHUNK_BITS = 16
-GATES = 8 * (ORDER + 1)
-INPUTS = ORDER + 2
+#: Predictors: orders 0 to ORDER and the current word.
+MODELS = ORDER + 2
+GATES = 8 * (ORDER + 1) * (ORDER + 1)
+INPUTS = MODELS + 1
 BUCKETS = 33
 PRIOR = 0.35
 RATE = 0.15
@@ -61,11 +63,24 @@ def sum_equal(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return keys[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
 
 
+def word_length(gram: np.ndarray) -> np.ndarray:
+    """How many of the ORDER bytes before a gram's last one come after the last white space or start of the text."""
+    out = np.full(len(gram), ORDER)
+    for k in range(ORDER, 0, -1):
+        byte = (gram >> np.uint64(8 * k)) & np.uint64(255)
+        out[(byte == 32) | (byte == 0) | ((byte >= 9) & (byte <= 13))] = k - 1
+    return out
+
+
 def slots(gram: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    """Slots of a context of `order` bytes with the bits so far (node: 1 and those bits)."""
+    """Slots of a context of `order` bytes, or of the current word's, with the bits so far (node: 1 and those bits)."""
     if order == 0:
         return node.astype(np.int64)
-    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
+    if order > ORDER:
+        size = word_length(gram).astype(np.uint64)
+        context = (gram >> np.uint64(8)) & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)) | size << np.uint64(8 * ORDER)
+    else:
+        context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
     return (vec.mix((context << np.uint64(12)) ^ (node.astype(np.uint64) << np.uint64(3)) ^ np.uint64(order)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
@@ -81,7 +96,7 @@ class Counters:
     """Counts of bits by order and slot, read from a shared table."""
 
     def __init__(self, path: str | None):
-        self.n = [np.zeros((1 << (8 if k == 0 else SLOT_BITS), 2), np.float16) for k in range(ORDER + 1)]
+        self.n = [np.zeros((1 << (8 if k == 0 else SLOT_BITS), 2), np.float16) for k in range(MODELS)]
         if path is None:
             return
         import pyarrow.parquet as pq
@@ -102,13 +117,14 @@ class Counters:
         x = np.empty((len(gram), INPUTS), np.float32)
         x[:, -1] = 0.3
         longest = np.zeros(len(gram), np.int64)
-        for k in range(ORDER + 1):
+        for k in range(MODELS):
             n = self.n[k][slots(gram, node, k)].astype(np.float32)
             if own is not None:
                 n[np.arange(len(own)), own] = np.maximum(n[np.arange(len(own)), own] - 1, 0)
             x[:, k] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-            longest[n.sum(1) > 0] = k
-        return x, place * (ORDER + 1) + longest
+            if k <= ORDER:
+                longest[n.sum(1) > 0] = k
+        return x, (place * (ORDER + 1) + longest) * (ORDER + 1) + word_length(gram)
 
 
 def capped(n: np.ndarray) -> np.ndarray:
@@ -218,7 +234,7 @@ def count_bits(found: DataFrame) -> str:
             node = np.ones(len(gram), np.int64)
             for place in range(8):
                 bit = symbol >> (7 - place) & 1
-                for k in range(ORDER + 1):
+                for k in range(MODELS):
                     a, b = sum_equal(((k << SLOT_BITS | slots(gram, node, k)) << 1 | bit).astype(np.int64), n)
                     keys.append(a)
                     counts.append(b)
