@@ -1,11 +1,414 @@
-"""The library's queries by name, with the SQL that gives the same rows."""
+"""The library's queries over the synthetic tables, with the DuckDB SQL that gives the same rows.
+
+Searches take as queries every row whose id is divisible by 50, against all rows. Distances are rounded to 6 digits
+before they are ranked.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import identity as I
+from lodestone.functions import text as T
+from lodestone.operators import chunking as C
+from lodestone.operators import evaluation as V
+from lodestone.operators import retrieval as R
+from lodestone.runtime import query
+from lodestone.sources.cache import latest
+from lodestone.sources.config import DEFAULT_HEADER
+from lodestone.sources.index import problems_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP: Callable[[SparkSession, str], DataFrame]
+
+#: DuckDB's form of functions.text.WHITE.
+_WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+FINGERPRINT = I.fingerprint({"catalogue": 1})
+RAW, FINAL, NEAR = 10, 5, 0.02
+SPACE_CUTOFF = 0.75
+LABELS = {"src0": "Main source", "src1": "Second source"}
+SECTION = "(?m)^(?=[A-E])"
+TOPIC_WORDS = ["the", "that", "en", "der", "que"]
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = query(f)
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{_WS}+', ' ', 'g'))"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _content_key(x: str) -> str:
+    return f"CASE WHEN {_squeezed(f'nfc_normalize({x})')} <> '' THEN sha256({_squeezed(f'nfc_normalize({x})')}) END"
+
+
+def _sha_vector(x: str) -> str:
+    return "[" + ", ".join(f"(('0x' || substr(sha256({x}), {2 * i + 1}, 2))::INT + 1) / 256.0::DOUBLE" for i in range(8)) + "]"
+
+
+def _distance(a: str, b: str) -> str:
+    return f"round(1 - list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
+
+
+# -- vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("id_num"), "embedding")
+
+
+_HITS = f"""
+    WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS id_num, q.label AS query_label, c.label AS label, {_distance("q.embedding", "c.embedding")} AS distance
+               FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id_num) AS INT) AS rank FROM d),
+    h AS (SELECT * FROM r WHERE rank <= {RAW})
+"""
+
+
+@register(_HITS + "SELECT query_id, rank, id_num, distance FROM h")
+def vector_topk(spark, sf_dir):
+    return R.top_k(*_vectors(spark, sf_dir), RAW, exclude_self=True)
+
+
+@register(_HITS + "SELECT query_id, id_num, distance FROM d")
+def vector_distances(spark, sf_dir):
+    queries, chunks = _vectors(spark, sf_dir)
+    out = R.distances(chunks, [(r["query_id"], r["embedding"]) for r in queries.collect()], None)
+    return out.where("query_id <> id_num")
+
+
+@register(_HITS + f"SELECT query_id, id_num, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS number FROM h WHERE distance <= {SPACE_CUTOFF} QUALIFY number <= {FINAL}")
+def vector_selection(spark, sf_dir):
+    """The flagship: raw top-k, then the cutoff, distinct contents and the clamp."""
+    hits = R.top_k(*_vectors(spark, sf_dir), RAW, exclude_self=True).withColumn("text", F.col("id_num").cast("string"))
+    return R.select_context(hits, SPACE_CUTOFF, FINAL).select("query_id", "id_num", "distance", "number")
+
+
+def _labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    hits = vector_topk(spark, sf_dir).join(labels.withColumnRenamed("vec_id", "id_num"), "id_num")
+    return hits.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+
+
+@register(
+    _HITS
+    + """, g AS (SELECT CASE WHEN label = query_label THEN 'relevant' WHEN abs(label - query_label) = 1 THEN 'doubtful' ELSE 'irrelevant' END AS label, distance FROM h),
+    a AS (SELECT label, count(*) AS n, min(distance) AS low, max(distance) AS high FROM g GROUP BY label)
+    SELECT l.label, coalesce(n, 0) AS n, coalesce(printf('%.6f..%.6f', low, high), 'n/a') AS distances FROM (VALUES ('relevant'), ('doubtful'), ('irrelevant')) l(label) LEFT JOIN a USING (label)"""
+)
+def distance_range_by_label(spark, sf_dir):
+    same, close = F.col("label") == F.col("query_label"), F.abs(F.col("label") - F.col("query_label")) == 1
+    return V.distance_ranges(_labelled_hits(spark, sf_dir).withColumn("label", F.when(same, "relevant").when(close, "doubtful").otherwise("irrelevant")))
+
+
+@register(_HITS + "SELECT query_id, avg(CAST(label = query_label AS INT)) AS precision FROM h GROUP BY query_id")
+def precision_at_k(spark, sf_dir):
+    return _labelled_hits(spark, sf_dir).groupBy("query_id").agg(F.avg((F.col("label") == F.col("query_label")).cast("int")).alias("precision"))
+
+
+# -- documents as chunks, questions from conversations ---------------------------------------------------------------
+
+_CONTEXT = f"""
+    WITH c AS (SELECT doc_id AS id_num, text, source, lang, {_sha_vector("text")} AS v FROM documents),
+    q AS (SELECT conv_id * 1000 + turn AS query_id, text AS query, {_sha_vector("text")} AS v FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
+    d AS (SELECT query_id, query, id_num, text, source, lang, {_distance("q.v", "c.v")} AS distance FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id_num) AS rank FROM d QUALIFY rank <= {RAW}),
+    k AS (SELECT *, {_content_key("text")} AS content_key FROM r WHERE distance <= {NEAR}),
+    u AS (SELECT * FROM k WHERE content_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, content_key ORDER BY rank) = 1),
+    s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS number FROM u QUALIFY number <= {FINAL})
+"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 50 = 0")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id_num"), "text", F.col("source"), F.col("lang"))
+    chunks = docs.select("id_num", T.sha_embedding(F.col("text")).alias("embedding"))
+    hits = R.top_k(_questions(spark, sf_dir).select("query_id", T.sha_embedding(F.col("query")).alias("embedding")), chunks, RAW)
+    described = docs.select("id_num", "text", "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("source_kind"), F.lit("overview").alias("doc_type"), T.section_heading(F.col("text")).alias("section_heading"), F.lit(0).alias("header_len"))
+    return R.select_context(hits.join(described, "id_num"), NEAR, FINAL)
+
+
+@register(_CONTEXT + "SELECT query_id, CAST(number AS INT) AS number, CAST(rank AS INT) AS rank, id_num, distance, content_key FROM s")
+def select_context(spark, sf_dir):
+    return _selected(spark, sf_dir).select("query_id", "number", "rank", "id_num", "distance", "content_key")
+
+
+@register(
+    _CONTEXT
+    + f"""SELECT q.query_id, count(s.id_num) AS n_context, count(s.id_num) = 0 AS insufficient_basis,
+    CASE WHEN count(s.id_num) = 0 THEN CASE WHEN regexp_matches(q.query, '[А-Яа-яЁё]') THEN '{T.NO_BASIS["ru"]}' ELSE '{T.NO_BASIS["en"]}' END END AS answer
+    FROM q LEFT JOIN s USING (query_id) GROUP BY q.query_id, q.query"""
+)
+def grounding_gate(spark, sf_dir):
+    counts = _selected(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return _questions(spark, sf_dir).join(counts, "query_id", "left").select("query_id", n.alias("n_context"), (n == 0).alias("insufficient_basis"), F.when(n == 0, T.no_basis_answer(F.col("query"))).alias("answer"))
+
+
+def _heading_sql(x: str) -> str:
+    line = _stripped(f"split_part({_stripped(x)}, chr(10), 1)")
+    return f"CASE WHEN length({line}) > {T.HEADING_CHARS} THEN left({line}, {T.HEADING_CHARS}) || '…' ELSE {line} END"
+
+
+def _attribute_sql(x: str) -> str:
+    out = _squeezed(x)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        out = f"replace({out}, '{char}', '{name}')"
+    return out
+
+
+_BLOCK_SQL = f"""'<retrieved_fragment ' || concat_ws(' ', 'number="' || number || '"', 'source="' || {_attribute_sql("'Source ' || source")} || '"', 'type="' || {_attribute_sql("lang")} || '"',
+    CASE WHEN {_heading_sql("text")} <> '' THEN 'heading="' || {_attribute_sql(_heading_sql("text"))} || '"' END) || '>' || chr(10) || replace(text, '<', '&lt;') || chr(10) || '</retrieved_fragment>'"""
+
+
+@register(_CONTEXT + f"SELECT query_id, count(*) AS n_context, sha256(string_agg({_BLOCK_SQL}, chr(10) ORDER BY number)) AS context_sha256 FROM s GROUP BY query_id")
+def fragment_prompt(spark, sf_dir):
+    return R.context_block(_selected(spark, sf_dir)).select("query_id", "n_context", F.sha2("context", 256).alias("context_sha256"))
+
+
+@register(
+    _CONTEXT
+    + f"""SELECT query_id, CAST(number AS INT) AS number, 'Source ' || source AS label, lang AS source_kind, 'overview' AS doc_type, {_heading_sql("text")} AS heading,
+    CASE WHEN length({_stripped("text")}) > {T.SNIPPET_CHARS} THEN left({_stripped("text")}, {T.SNIPPET_CHARS}) || '...' ELSE {_stripped("text")} END AS snippet FROM s"""
+)
+def source_cards(spark, sf_dir):
+    return R.source_cards(_selected(spark, sf_dir))
+
+
+@register(
+    _CONTEXT
+    + """SELECT q.query_id, CASE WHEN contains(lower(q.query), 'tax') AND NOT bool_or(contains(lower(coalesce(s.text, '')), 'tax') OR contains(lower(coalesce(s.text, '')), 'vat')) THEN false
+    ELSE count(s.id_num) > 0 END AS sufficient FROM q LEFT JOIN s USING (query_id) GROUP BY q.query_id, q.query"""
+)
+def sufficiency(spark, sf_dir):
+    texts = _selected(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.collect_list("text"), " ").alias("text"))  # FINAL texts at most
+    joined = _questions(spark, sf_dir).join(texts, "query_id", "left")
+    return joined.select("query_id", V.sufficient(F.coalesce("n", F.lit(0)), F.col("query"), F.col("text"), {"tax": ["tax", "vat"]}).alias("sufficient"))
+
+
+# -- text rules over whole tables ------------------------------------------------------------------------------------
+
+
+@register(f"SELECT doc_id, {_content_key('text')} AS content_key FROM documents")
+def content_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_key(F.col("text")).alias("content_key"))
+
+
+@register(f"SELECT content_key, count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, {_content_key('text')} AS content_key FROM documents) WHERE content_key IS NOT NULL GROUP BY content_key HAVING count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    return content_key(spark, sf_dir).where("content_key is not null").groupBy("content_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+def _question_sql(x: str) -> str:
+    return _stripped(f"regexp_replace(lower({_squeezed(x)}), '[?!.,…:;]+$', '')")
+
+
+@register(f"SELECT conv_id, turn, sha256('{FINGERPRINT}||' || {_question_sql('text')}) AS cache_key FROM conversations")
+def cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.question_key(F.col("text"), FINGERPRINT).alias("cache_key"))
+
+
+@register(f"SELECT doc_id, row_number() OVER (PARTITION BY sha256('{FINGERPRINT}||' || {_question_sql('text')}) ORDER BY doc_id) > 1 AS from_cache FROM documents")
+def cache_hit_simulation(spark, sf_dir):
+    """Documents as questions in order of arrival: the first of a key misses, all later ones hit."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", T.question_key(F.col("text"), FINGERPRINT).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
+    return keyed.join(first, "key").select("doc_id", (F.col("doc_id") > F.col("first")).alias("from_cache"))
+
+
+@register("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1")
+def cache_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.col("turn").alias("created_at"), F.col("text").alias("seq"))
+    return latest(rows, "conv_id").select("conv_id", "turn", "role", "text")
+
+
+@register("SELECT event_type, count(*) AS entries, min(ts) AS oldest, max(ts) AS newest FROM events GROUP BY event_type")
+def cache_stats(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("entries"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+@register("SELECT doc_id, [text, 'src:' || source] AS texts, [CAST(NULL AS VARCHAR), source] AS sources FROM documents")
+def cached_context(spark, sf_dir):
+    """Stored context of two forms, a bare text and an object, read back as one."""
+    from lodestone.sources.cache import normal_context
+
+    docs = table(spark, sf_dir, "documents")
+    item = F.to_json(F.struct(F.concat(F.lit("src:"), "source").alias("text"), F.create_map(F.lit("source"), F.col("source")).alias("metadata")))
+    bare = F.regexp_extract(F.to_json(F.array("text")), r"^\[(.*)\]$", 1)
+    context = normal_context(F.concat(F.lit("["), bare, F.lit(","), item, F.lit("]")))
+    return docs.select("doc_id", context.alias("c")).select("doc_id", F.transform("c", lambda x: x["text"]).alias("texts"), F.transform("c", lambda x: F.element_at(x["metadata"], "source")).alias("sources"))
+
+
+@register("SELECT doc_id, " + ", ".join(f"({_sha_vector('text')})[{i + 1}] AS e{i}" for i in range(8)) + " FROM documents")
+def sha_embedding(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select("doc_id", T.sha_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", *(F.col("v")[i].alias(f"e{i}") for i in range(8)))
+
+
+@register(f"SELECT doc_id, {_heading_sql('text')} AS heading FROM documents")
+def section_heading(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.section_heading(F.col("text")).alias("heading"))
+
+
+def _header_sql(heading: str) -> str:
+    return f"('[Source: ' || source || ' | ' || CASE source WHEN 'src0' THEN 'Main source' WHEN 'src1' THEN 'Second source' ELSE source END || ']' || chr(10) || '[Section: ' || {heading} || ']' || chr(10) || chr(10))"
+
+
+@register(
+    f"""WITH a AS (SELECT doc_id, source, {_heading_sql("text")} AS h FROM documents), b AS (SELECT *, {_header_sql("h")} AS whole FROM a),
+    c AS (SELECT *, {_header_sql("left(h, CAST(length(h) - (length(whole) - 100 + 1) AS INT)) || '…'")} AS short FROM b)
+    SELECT doc_id, CASE WHEN length(whole) <= 100 THEN whole WHEN length(h) > length(whole) - 100 + 1 AND length(short) <= 100 THEN short ELSE '' END AS header FROM c"""
+)
+def fit_header(spark, sf_dir):
+    label = T.kind_label(F.col("source"), LABELS)
+    return table(spark, sf_dir, "documents").select("doc_id", T.fitted_header(DEFAULT_HEADER, F.col("source"), label, T.section_heading(F.col("text")), 200).alias("header"))
+
+
+@register(f"SELECT page_id, sha256({_attribute_sql('html')}) AS attribute_sha256, sha256(replace(html, '<', '&lt;')) AS body_sha256 FROM pages")
+def escape_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.escape_attribute(F.col("html")), 256).alias("attribute_sha256"), F.sha2(T.escape_body(F.col("html")), 256).alias("body_sha256"))
+
+
+@register(f"SELECT doc_id, regexp_matches(text, '[А-Яа-яЁё]') AS is_cyrillic, CASE WHEN regexp_matches(text, '[А-Яа-яЁё]') THEN '{T.NO_BASIS['ru']}' ELSE '{T.NO_BASIS['en']}' END AS answer FROM documents")
+def cyrillic_answer(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_cyrillic(F.col("text")).alias("is_cyrillic"), T.no_basis_answer(F.col("text")).alias("answer"))
+
+
+@register(rf"SELECT doc_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, '|')) AS sha FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_stripped('s')}), lambda s: s <> '') AS l FROM documents)")
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
+
+
+@register(rf"SELECT doc_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, '|')) AS sha FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^([A-E])', chr(1) || '\1', 'g'), chr(1)), lambda s: {_stripped('s')}), lambda s: s <> '') AS l FROM documents)")
+def section_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.sections(F.col("text"), SECTION).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
+
+
+@register(f"SELECT doc_id, CASE WHEN length(p) > {T.PREVIEW_CHARS} THEN left(p, {T.PREVIEW_CHARS}) || '...' ELSE p END AS preview FROM (SELECT doc_id, {_stripped('replace(text, chr(10), chr(32))')} AS p FROM documents)")
+def preview_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+_HITS_SQL = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in TOPIC_WORDS)
+
+
+@register(f"SELECT doc_id, n, CASE WHEN n >= 2 THEN 'relevant' WHEN n >= 1 THEN 'doubtful' ELSE 'irrelevant' END AS label FROM (SELECT doc_id, {_HITS_SQL} AS n FROM (SELECT doc_id, {_squeezed('lower(text)')} AS t FROM documents))")
+def keyword_classify(spark, sf_dir):
+    text = T.squeeze(F.lower("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.keyword_hits(text, TOPIC_WORDS).alias("n"), V.relevance(F.col("text"), TOPIC_WORDS).alias("label"))
+
+
+# -- chunks ----------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("entry_ord"), "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("source_kind"), F.lit("overview").alias("doc_type"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+
+
+@register()
+def chunk_documents(spark, sf_dir):
+    return C.chunk_documents(_sources(spark, sf_dir))
+
+
+@register()
+def chunk_ids(spark, sf_dir):
+    return C.with_ids(chunk_documents(spark, sf_dir)).select("id", "id_num", "entry_ord", "chunk_ord")
+
+
+@register()
+def chunk_counts(spark, sf_dir):
+    return C.counts_by_file(_sources(spark, sf_dir), chunk_documents(spark, sf_dir))
+
+
+@register()
+def chunk_summary(spark, sf_dir):
+    return C.summary(chunk_documents(spark, sf_dir))
+
+
+_CUTS = [("chr(10) || chr(10)", 2), ("chr(10)", 1), *((f"'{c}'", len(c)) for c in C.CUTS[2:])]
+_AT = [f"CASE WHEN contains(w, {c}) THEN length(w) - instr(reverse(w), reverse({c})) - {n - 1} ELSE -1 END" for c, n in _CUTS]
+
+
+@register(
+    f"""WITH RECURSIVE b AS (SELECT doc_id, {_stripped("text")} AS body FROM documents WHERE {_stripped("text")} <> ''),
+    p(doc_id, body, start, n, piece, done) AS (
+        SELECT doc_id, body, CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), false FROM b
+        UNION ALL
+        SELECT doc_id, body, CASE WHEN length(body) - start <= 800 THEN start ELSE start + greatest(cut - 200, 1) END, n + 1,
+               CASE WHEN length(body) - start <= 800 THEN {_stripped("substr(body, CAST(start + 1 AS BIGINT))")} ELSE {_stripped("substr(w, 1, CAST(cut AS BIGINT))")} END, length(body) - start <= 800
+        FROM (SELECT *, CASE {" ".join(f"WHEN {at} >= 400 THEN {at} + {n}" for at, (_, n) in zip(_AT, _CUTS, strict=True))} ELSE 800 END AS cut
+              FROM (SELECT *, substr(body, CAST(start + 1 AS BIGINT), 800) AS w FROM p WHERE NOT done)))
+    SELECT doc_id, CAST(n - 1 AS INT) AS part, sha256(piece) AS piece_sha256 FROM p WHERE n > 0"""
+)
+def hard_split(spark, sf_dir):
+    @F.pandas_udf("array<string>")
+    def pieces(texts):
+        return texts.map(lambda t: C.hard_pieces(t, 800, 200))
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces("text")).alias("part", "piece")).select("doc_id", "part", F.sha2("piece", 256).alias("piece_sha256"))
+
+
+# -- evaluation and lifecycle ----------------------------------------------------------------------------------------
+
+_METRICS = "WITH m AS (SELECT 'quality' AS metric, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(quality AS DOUBLE) END AS value FROM labels UNION ALL SELECT 'clean', CAST(1 - toxic AS DOUBLE) FROM labels), a AS (SELECT metric, avg(value) AS mean, count(value) AS n_valid FROM m GROUP BY metric)"
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh quality is NaN: not computed."""
+    labels = table(spark, sf_dir, "labels")
+    quality = labels.select(F.lit("quality").alias("metric"), F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("quality").cast("double")).alias("value"))
+    return quality.unionByName(labels.select(F.lit("clean").alias("metric"), (1 - F.col("toxic")).cast("double").alias("value")))
+
+
+@register(_METRICS + "SELECT metric, mean, n_valid FROM a")
+def metric_means(spark, sf_dir):
+    return V.metric_means(_metrics(spark, sf_dir))
+
+
+@register(_METRICS + "SELECT coalesce(avg(mean), 0.0) AS overall, CASE WHEN coalesce(avg(mean), 0.0) >= 0.7 THEN 'good' WHEN coalesce(avg(mean), 0.0) >= 0.5 THEN 'fair' ELSE 'poor' END AS verdict FROM a")
+def overall_verdict(spark, sf_dir):
+    return V.overall(V.metric_means(_metrics(spark, sf_dir)))
+
+
+@register("SELECT * FROM (VALUES ('chunk_size', '800', '400'), ('embedding_model', 'sha-256', NULL), ('extra', NULL, 'x')) v(name, was, now)")
+def manifest_diff(spark, sf_dir):
+    expected = spark.createDataFrame([("chunk_size", "400"), ("corpus_version", "1"), ("extra", "x")], "name string, value string")
+    stored = spark.createDataFrame([("chunk_size", "800"), ("corpus_version", "1"), ("embedding_model", "sha-256")], "name string, value string")
+    return problems_table(expected, stored)
+
+
+@register(r"SELECT page_id, regexp_extract(lower(url), '^[a-z]+://') || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^[^@]*@', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS endpoint FROM pages")
+def endpoint_normalize(spark, sf_dir):
+    @F.pandas_udf("string")
+    def normal(urls: pd.Series) -> pd.Series:
+        return urls.map(I.normal_endpoint)
+
+    return table(spark, sf_dir, "pages").select("page_id", normal("url").alias("endpoint"))
+
+
+FLAGSHIP = QUERIES["vector_selection"]
