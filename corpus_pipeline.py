@@ -24,7 +24,8 @@ from lodestone.runtime import query
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Labels are learned from the rows of the training fold alone; rejected: a probability of 0.5 or more."""
     model = toxicity.train(docs.where(queries.fold(5) != 0), shared.documents(spark, sf_dir, "labels").where(queries.fold(5) != 0))
-    return toxicity.score(docs, model, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    name = shared.fresh(docs, "_toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

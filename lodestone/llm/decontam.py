@@ -189,16 +189,17 @@ def longest_runs(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.
 EXTRA = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "longest": "long", "longest_item": "string", "longest_at": "long"}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
     """docs with the columns of EXTRA: words, words inside any occurrence of a window, items with such windows (sorted
     ids), and the longest verbatim match (words, item, first word in the document; 0 and nulls without one).
 
     A null text has no words. Items that share an id count as one. Empty tables: no rows, or no hits. Columns of
-    docs with these names are replaced; other columns stay, whatever they are called.
+    docs with these names (after prefix) are replaced; other columns stay, whatever they are called.
     """
-    kept = docs.drop(*EXTRA)
+    names = [prefix + k for k in EXTRA]
+    kept = docs.drop(*names)
     table = encoded_benchmark(benchmark)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{k} {v}" for k, v in EXTRA.items())])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"`{k}` {v}" for k, v in zip(names, EXTRA.values(), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in vec.slices(batches, "text", SHARD_BYTES):
@@ -226,7 +227,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 *(pa.array([x[j] for x in longest], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int64()))),
             ]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, *EXTRA])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -238,7 +239,9 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; same columns."""
-    return scan(docs, benchmark, window).where(~is_contaminated()).select(*docs.columns)
+    prefix = shared.fresh(docs, "_decontam_")
+    found = scan(docs, benchmark, window, prefix)
+    return found.where(~is_contaminated(f"{prefix}n_hit", f"{prefix}n_words")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -153,11 +153,19 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, removed: str | None = N
     Rows are ordered by doc_id (nulls first), then by text. All rows stay, also those that lose all their lines, whose text is
     then empty. Null texts stay null. With `removed` a column of that name has the numbers of the removed lines (or null).
     """
-    given = with_row_ids(docs.withColumn("text", F.col("text").cast("string")))
+    others = [c for c in docs.columns if c.lower() != "text"]
+    given = with_row_ids(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(f"`{c}`" for c in others)).alias("row")))
     lists = shared.table(removed_lines(given.where("text is not null").select("rid", "text"), threshold), "removed")
-    joined = with_lists(given, lists.withColumnRenamed("removed", "_removed"), "_removed")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *([F.col("_removed").alias(removed)] if removed else []))
+    joined = with_lists(given, lists, "removed")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    out = joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+
+    def column(name: str) -> Column:
+        if name.lower() == "text":
+            return F.col("text").alias(name)
+        own = F.col("row").getField(name)
+        if name.lower() == "n_chars":
+            own = F.when(F.col("removed").isNull(), own).otherwise(F.length("text")).cast(docs.schema[name].dataType)
+        return own.alias(name)
+
+    return out.select(*(column(c) for c in docs.columns), *([F.col("removed").alias(removed)] if removed else []))

@@ -211,4 +211,4 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: in
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each near-duplicate group, that with the smallest doc_id; rows with a null doc_id stay."""
     found = near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
