@@ -132,7 +132,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
     """
     spark = docs.sparkSession
     folder = folder or shared.new_path(spark, "records")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).orderBy("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # ranges of ids alone: no texts in Spark's samples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
