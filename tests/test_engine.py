@@ -146,3 +146,13 @@ def test_reports(spark):
     assert value(spark, V.report_label(F.lit("Какой налог?"), F.lit("НДС"))) == "relevant"
     assert value(spark, V.report_label(F.lit("порядок алиментов"), F.lit("гарант"))) == "irrelevant"
     assert value(spark, V.report_label(F.lit("отказ"), F.lit("выплат"))) == "doubtful"
+
+
+def test_questions_as_a_stream(spark, tmp_path):
+    from lodestone.streaming.questions import answer_stream
+
+    asked = spark.createDataFrame([(1, "a"), (2, "ф")], "query_id long, query string")
+    asked.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    answer_stream(stream, lambda b: b.withColumn("answer", T.no_basis_answer(F.col("query"))), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r.query_id: r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: T.NO_BASIS["en"], 2: T.NO_BASIS["ru"]}
