@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import vec
 
 UNDETERMINED = "und"
+#: The documented bound of the whole training sample.
+MOST_BYTES = 64 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -102,15 +104,16 @@ class Model:
 
 
 def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[bytes]]:
-    """Whole texts of each language, about max_bytes of each, chosen by a hash of the text."""
+    """Whole texts of each language, about max_bytes of each and MOST_BYTES in all, chosen by a hash of the text."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = {r["lang"]: max_bytes / max(1, r["n"]) for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not share:
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    if not sizes:
         return {}
+    share = {k: min(max_bytes, MOST_BYTES / len(sizes)) / max(1, n) for k, n in sizes.items()}
     limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, float(min(1.0, v)))))
     chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")) * (1 << 30))
     out: dict[str, list[bytes]] = {k: [] for k in share}
-    for r in chosen.select("lang", "text").toLocalIterator():
+    for r in chosen.select("lang", "text").collect():  # bounded, see above
         out[r["lang"]].append(r["text"].encode())
     return out
 
@@ -118,7 +121,7 @@ def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[bytes]]:
 def predict(docs: DataFrame, training: DataFrame, order: int = 3, max_bytes: int = 1_500_000) -> DataFrame:
     """docs' other columns with lang_pred and score in place of text, learned from training's lang and text.
 
-    The model is fitted on about max_bytes of text of each language, the documented bound of this classifier;
+    The model is fitted on about max_bytes of text of each language and MOST_BYTES of all, the documented bounds of this classifier;
     every text of docs is scored whole. Texts that are null or have no letter get `und` and score 0, and so do all
     if training has no labelled text. score is the share of the best language's probability. Languages with equal
     code lengths: the first in alphabetical order. Columns of docs called lang_pred or score are replaced.

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most MOST_TOXIC + MOST_CLEAN pairs of numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     texts: dict[tuple, int] = {}
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # MOST_TOXIC + MOST_CLEAN documents
         texts.setdefault((r["doc_id"], r["text"] or ""), r["toxic"])
     order = sorted(texts)
     return fit([t.encode() for _, t in order], np.array([texts[k] for k in order], bool))
