@@ -13,7 +13,8 @@ matter. Lines without a word are never removed.
    the positional filter and a parity bitmap whose Hamming distance is a lower bound of the sets' difference.
 5. What is left of the pairs is verified on the full sets, which are read again from the few texts that hold them.
 
-Rows of documents that need no look-up are told apart by a bit table of fixed size, so that most texts are never shuffled.
+Words are cut out of all texts twice, for the rarities and for one narrow table of all lines that holds each line's prefix; steps 2 to 4 work on
+that table. Rows of documents that need no look-up are told apart by a bit table of fixed size, so that their texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from lodestone.llm import shared
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
-HEAD_TOKENS = 3
+HEAD_TOKENS = 2
 FILTER_BITS = 1 << 22
 #: White space and ASCII punctuation.
 SEPARATORS = r"[\s\p{Punct}]+"
@@ -37,7 +38,7 @@ _HASH_BITS = 56
 def rarity(docs: DataFrame) -> Column:
     """A literal array: the power of two of each bucket's number of words. Its size is BUCKETS, whatever the input."""
     words = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("p"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("p"))
     powers = ["0"] * BUCKETS
     for r in counts.collect():
         powers[r["id"]] = str(r["p"])
@@ -45,18 +46,22 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def line_sets(docs: DataFrame, powers: Column, *keep: str) -> DataFrame:
-    """`keep` columns, line_no (from 0), words (the set in order of rarity), n, bits (parity of the hashes' last 6 bits) and key of each line with a word."""
+    """`keep` columns, line_no (from 0) and words (the set in order of rarity) of each line with a word."""
     lines = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\s\p{Punct}]"))
-    different = F.array_distinct(F.filter(F.split(F.lower("line"), SEPARATORS), lambda w: w != ""))
+    words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
-    def pack(w: Column) -> Column:
-        h = F.xxhash64(w)
-        power = F.element_at(powers, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long")
-        return F.shiftleft(power, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    def pack(h: Column) -> Column:
+        power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
+        return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    sets = lines.select(*keep, "line_no", F.sort_array(F.transform(different, pack)).alias("words"))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select(*keep, "line_no", "words", F.size("words").alias("n"), bits.alias("bits"), F.xxhash64("words").alias("key"))
+    return lines.select(*keep, "line_no", F.sort_array(F.transform(hashes, pack)).alias("words"))
+
+
+def prefix_size(n: Column, threshold: float) -> Column:
+    """How many of a set's rarest words a similar set must share one of; 0 for sets so small that only their equals are similar."""
+    least = math.ceil(threshold / (1 - threshold) - 1e-9)
+    return F.when(n >= least, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).otherwise(0)
 
 
 def bit_table(ids: DataFrame) -> DataFrame:
@@ -98,8 +103,10 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Colum
     where = firsts.join(needed, "key").select("key", "first")
     lists = where.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_set("first.line_no").alias("wanted"))
     some = with_lists(docs.select("rid", "text"), lists, "wanted").where("wanted is not null")
-    sets = line_sets(some, powers, "rid", "wanted").where("array_contains(wanted, line_no)").select(F.struct("rid", "line_no").alias("first"), "key", "words")
-    sets = shared.table(sets, "sets")
+        # lines that are not wanted become empty
+    wanted = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), line).otherwise(""))
+    sets = line_sets(some.withColumn("text", F.array_join(wanted, "\n")), powers, "rid").select(F.struct("rid", "line_no").alias("first"), "words")
+    sets = shared.table(sets.select("first", F.xxhash64("words").alias("key"), "words"), "sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("words").alias("wx"), F.col("first").alias("fx")), "x").join(sets.select(F.col("key").alias("y"), F.col("words").alias("wy"), F.col("first").alias("fy")), "y")
     common = F.size(F.array_intersect("wx", "wy"))
     similar = both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9)
@@ -109,28 +116,23 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Colum
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rid and the numbers of the lines to remove, for each row of rows (rid, text) that has such lines."""
     powers = rarity(rows)
-    lines = shared.table(line_sets(rows, powers, "rid").select("rid", "line_no", "key", "bits", "n"), "lines")
+    sets = line_sets(rows, powers, "rid")
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    n = F.size("words")
+    tokens = F.transform(F.slice("words", F.lit(1), prefix_size(n, threshold)), lambda x: F.hash(x))
+    lines = shared.table(sets.select("rid", "line_no", F.xxhash64("words").alias("key"), bits.alias("bits"), n.alias("n"), tokens.alias("tokens")), "lines")
     firsts = shared.table(lines.groupBy("key", "bits", "n").agg(F.min(F.struct("rid", "line_no")).alias("first"), F.count("*").alias("copies")), "firsts")
     later = lines.join(firsts.where("copies > 1").select("key", "bits", "n", "first"), ["key", "bits", "n"]).where("rid <> first.rid or line_no <> first.line_no").select("rid", "line_no")
-    later = shared.table(later, "later")
-    least = math.ceil(threshold / (1 - threshold) - 1e-9)  # smaller sets have no similar set but their own
-
-    skip = later.groupBy("rid").agg(F.collect_list("line_no").alias("skip"))
-    open_sets = line_sets(with_lists(rows.select("rid", "text"), skip, "skip"), powers, "rid", "skip").where(f"n >= {least} and (skip is null or not array_contains(skip, line_no))")
-    tokens = open_sets.select("rid", "line_no", "key", "bits", "n", F.explode(F.slice("words", 1, HEAD_TOKENS)).alias("w")).select(F.hash("w").alias("token"), F.struct("rid", "line_no", "key", "bits", "n").alias("s"))
-    heads = tokens.groupBy("token").agg(F.min("s").alias("h"), F.count("*").alias("size")).where("size > 1").select("token", "h")
-    met = tokens.join(heads, "token").select(F.col("h.key").alias("x"), F.col("s.key").alias("y"), F.col("h.n").alias("nx"), F.col("s.n").alias("ny"), F.col("h.bits").alias("bx"), F.col("s.bits").alias("by"))
+
+    rarest = shared.table(lines.select(F.explode(F.slice("tokens", 1, HEAD_TOKENS)).alias("token"), F.struct("rid", "line_no", "key", "bits", "n").alias("s")).select("token", "s.*"), "rarest")
+    heads = rarest.groupBy("token").agg(F.min(F.struct("rid", "line_no", "key", "bits", "n")).alias("h"), F.count("*").alias("size")).where("size > 1").select("token", F.col("h.key").alias("x"), F.col("h.n").alias("nx"), F.col("h.bits").alias("bx"))
+    met = rarest.join(heads, "token").select("x", F.col("key").alias("y"), "nx", F.col("n").alias("ny"), "bx", F.col("bits").alias("by"))
     near = (F.col("x") != F.col("y")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= too_different(threshold, "nx", "ny"))
     by_head = shared.table(verified(met.where(near).select("x", "y").distinct(), firsts, rows, powers, threshold), "by_head")
 
-    lists = shared.table(
-        later.withColumn("done", F.lit(False)).unionByName(firsts.join(by_head, "key").select(F.col("first.rid").alias("rid"), F.col("first.line_no").alias("line_no"), F.lit(True).alias("done"))).groupBy("rid").agg(F.collect_list(F.when(~F.col("done"), F.col("line_no"))).alias("skip"), F.collect_list(F.when(F.col("done"), F.col("line_no"))).alias("done")),
-        "lists",
-    )
-    flagged = line_sets(with_lists(rows.select("rid", "text"), lists, "skip", "done"), powers, "rid", "skip", "done").where(f"n >= {least} and (skip is null or not array_contains(skip, line_no))")
-    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = flagged.select("key", "bits", "n", (F.col("done").isNull() | ~F.array_contains("done", F.col("line_no"))).alias("open"), F.posexplode(F.slice("words", F.lit(1), size)).alias("at", "w"))
-    prefix = prefix.select(F.hash("w").alias("token"), "key", "bits", F.col("n").cast("int").alias("n"), "at", "open")
+    each = lines.where("size(tokens) > 0").groupBy("key").agg(F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    flagged = each.join(by_head.withColumn("done", F.lit(True)), "key", "left")
+    prefix = flagged.select("key", "bits", "n", F.col("done").isNull().alias("open"), F.posexplode("tokens").alias("at", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     ahead = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
     condition = (
