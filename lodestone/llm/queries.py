@@ -67,7 +67,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digests(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = decontam.digests(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: quer
 #: Base32 of a SHA-1 from its 40 hex digits: each 5 of them are 4 letters.
 _BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(5 * i + 1 AS INT), 5))::INT >> s) & 31) + 1, 1)))), '')"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+        g AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS p FROM w),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM g),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y, k = a.n AND k = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * k >= 4 * (a.n + b.n)),
+        r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+        t AS (SELECT x, count(*) AS links, count(*) FILTER (same) AS copies, min(y) FILTER (same) AS copy FROM l GROUP BY x)
+        SELECT doc_id, least(doc_id, coalesce(c.y, doc_id)) AS class_id, least(doc_id, coalesce(copy, doc_id)) AS copy_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links
+        FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN t ON t.x = doc_id
+    """,
+    "op9_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+        i AS (SELECT item_id, {_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        a AS (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, greatest(len(w) - 11, 2))) AS p FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM a),
+        b AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+        dw AS (SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM b),
+        m AS (SELECT r, p, iw.k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.s = iw.s),
+        h AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+        f AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256,
+               coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
+    """,
     "op7_warc_index_merge": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, url, sha1(coalesce(html, '')) AS h FROM pages),
         m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
