@@ -20,23 +20,27 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import shared, vec
 
-ORDER = 6
+ORDER = 5
 SLOT_BITS = 22
-CHUNK_BITS = 16
+#: Slots of contexts of TAIL bytes or more lie in parts by their last TAIL bytes, so that one task makes all of a part's counters.
+TAIL = 3
+PART_BITS = 8
+SHORT_BITS = 18
 #: Predictors: orders 0 to ORDER and the current word.
 MODELS = ORDER + 2
 GATES = 8 * (ORDER + 1) * (ORDER + 1)
 INPUTS = MODELS + 1
 BUCKETS = 33
 PRIOR = 0.35
-RATE = 0.15
-BATCH_BYTES = 12 << 20
+RATE = 0.25
+BATCH_BYTES = 32 << 20
 END_WORD = np.uint64(1)
 _MEMO_BITS = 21
 
@@ -72,16 +76,26 @@ def word_length(gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def slots(gram: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    """Slots of a context of `order` bytes, or of the current word's, with the bits so far (node: 1 and those bits)."""
-    if order == 0:
-        return node.astype(np.int64)
-    if order > ORDER:
-        size = word_length(gram).astype(np.uint64)
-        context = (gram >> np.uint64(8)) & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)) | size << np.uint64(8 * ORDER)
-    else:
-        context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    return (vec.mix((context << np.uint64(12)) ^ (node.astype(np.uint64) << np.uint64(3)) ^ np.uint64(order)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def part_of(gram: np.ndarray) -> np.ndarray:
+    """The part of the counters in which a gram's longer contexts lie: a hash of the TAIL bytes before its last one."""
+    return (vec.mix(((gram >> np.uint64(8)) & np.uint64((1 << 8 * TAIL) - 1)) + np.uint64(1)) >> np.uint64(64 - PART_BITS)).astype(np.int64)
+
+
+def context_of(gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for the context of `order` bytes, or of the current word's for order ORDER + 1; whether it has TAIL bytes or more)."""
+    before = gram >> np.uint64(8)
+    if order <= ORDER:
+        return before & np.uint64((1 << 8 * order) - 1), np.full(len(gram), order >= TAIL)
+    size = word_length(gram)
+    return before & ((np.uint64(1) << (np.uint64(8) * size.astype(np.uint64))) - np.uint64(1)) | size.astype(np.uint64) << np.uint64(8 * ORDER), size >= TAIL
+
+
+def slots(gram: np.ndarray, node: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of a context with the bits so far (node: 1 and those bits), whether they are slots of long contexts)."""
+    context, long = context_of(gram, order)
+    h = vec.mix((context << np.uint64(12)) ^ (node.astype(np.uint64) << np.uint64(3)) ^ np.uint64(order))
+    within = (h >> np.uint64(64 - SLOT_BITS + PART_BITS)).astype(np.int64)
+    return np.where(long, part_of(gram) << (SLOT_BITS - PART_BITS) | within, (h >> np.uint64(64 - SHORT_BITS)).astype(np.int64)), long
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -93,24 +107,37 @@ def expit(x: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Counts of bits by order and slot, read from a shared table."""
+    """Counts of bits by order and slot, of long and of short contexts, read from a shared table."""
 
     def __init__(self, path: str | None):
-        self.n = [np.zeros((1 << (8 if k == 0 else SLOT_BITS), 2), np.float16) for k in range(MODELS)]
+        self.long = {k: np.zeros((1 << SLOT_BITS, 2), np.float16) for k in range(TAIL, MODELS)}
+        self.short = {k: np.zeros((1 << SHORT_BITS, 2), np.float16) for k in (*range(TAIL), ORDER + 1)}
         if path is None:
             return
         import pyarrow.parquet as pq
         from pyarrow.fs import FileSelector
 
         fs, inner = shared.filesystem(path)
+        short = {k: np.zeros((1 << SHORT_BITS, 2)) for k in self.short}
         for info in fs.get_file_info(FileSelector(inner)):
             if info.path.endswith(".parquet"):
                 with fs.open_input_file(info.path) as f:
                     for batch in pq.ParquetFile(f).iter_batches(64):
-                        for order, chunk, raw in zip(*(batch.column(c).to_pylist() for c in ("order", "chunk", "counts")), strict=True):
-                            rows = np.frombuffer(raw, np.float16).reshape(-1, 2)
-                            part = self.n[order][chunk << CHUNK_BITS :]
-                            part[: len(rows)] = rows[: len(part)]
+                        for order, part, raw in zip(*(batch.column(c).to_pylist() for c in ("order", "part", "counts")), strict=True):
+                            if part >= 0:
+                                size = 1 << (SLOT_BITS - PART_BITS)
+                                self.long[order][part * size : (part + 1) * size] = np.frombuffer(raw, np.float16).reshape(-1, 2)
+                            else:
+                                rows = np.frombuffer(raw, [("slot", np.int32), ("n", np.float64, 2)])
+                                short[order][rows["slot"]] += rows["n"]
+        for k, n in short.items():
+            self.short[k] = capped(n)
+
+    def of(self, gram: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
+        slot, long = slots(gram, node, order)
+        if order <= ORDER:
+            return (self.long if order >= TAIL else self.short)[order][slot].astype(np.float32)
+        return np.where(long[:, None], self.long[order][slot], self.short[order][np.minimum(slot, (1 << SHORT_BITS) - 1)]).astype(np.float32)
 
     def inputs(self, gram: np.ndarray, node: np.ndarray, place: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(mixer inputs, gates) of one bit of each gram; own: the bits to take out of the counters once."""
@@ -118,7 +145,7 @@ class Counters:
         x[:, -1] = 0.3
         longest = np.zeros(len(gram), np.int64)
         for k in range(MODELS):
-            n = self.n[k][slots(gram, node, k)].astype(np.float32)
+            n = self.of(gram, node, k)
             if own is not None:
                 n[np.arange(len(own)), own] = np.maximum(n[np.arange(len(own)), own] - 1, 0)
             x[:, k] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
@@ -224,44 +251,45 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def count_bits(found: DataFrame) -> str:
-    """The path of a shared table of the counters (order, chunk, counts), made from the counts of all grams."""
+    """The path of a shared table of the counters (order, part, counts), made from the counts of all grams.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-        for batch in batches:
-            gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            symbol = (gram & np.uint64(255)).astype(np.int64)
-            node = np.ones(len(gram), np.int64)
-            for place in range(8):
-                bit = symbol >> (7 - place) & 1
-                for k in range(MODELS):
-                    a, b = sum_equal(((k << SLOT_BITS | slots(gram, node, k)) << 1 | bit).astype(np.int64), n)
-                    keys.append(a)
-                    counts.append(b)
-                    size += len(a)
-                node = node << 1 | bit
-            if size > 4_000_000:
-                a, b = sum_equal(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, size = [a], [b], len(a)
-                if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["key", "n"])
-                    keys, counts, size = [], [], 0
-        if keys:
-            a, b = sum_equal(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["key", "n"])
+    A task gets all grams of a part and makes its counters of long contexts, dense and complete. Short contexts meet in every part: of these it
+    gives what it has seen (part -1, sparse), as many as the parts times the short contexts at most; readers add them up.
+    """
 
-    def pack(table: pa.Table) -> pa.Table:
-        key, n = table["key"].to_numpy(), table["n"].to_numpy()
-        dense = np.zeros((1 << CHUNK_BITS, 2))
-        dense[key >> 1 & ((1 << CHUNK_BITS) - 1), key & 1] = n
-        slot = int(key[0]) >> 1
-        order, chunk = slot >> SLOT_BITS, (slot & ((1 << SLOT_BITS) - 1)) >> CHUNK_BITS
-        return pa.table({"order": pa.array([order], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([capped(dense).tobytes()], pa.binary())})
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
+        part, size = int(part_of(gram[:1])[0]), 1 << (SLOT_BITS - PART_BITS)
+        dense = {k: np.zeros(2 * size) for k in range(TAIL, MODELS)}
+        sparse: dict[int, list] = {k: [] for k in (*range(TAIL), ORDER + 1)}
+        symbol = (gram & np.uint64(255)).astype(np.int64)
+        node = np.ones(len(gram), np.int64)
+        for place in range(8):
+            bit = symbol >> (7 - place) & 1
+            for k in range(MODELS):
+                slot, long = slots(gram, node, k)
+                if long.any():
+                    dense[k] += np.bincount((slot[long] & (size - 1)) << 1 | bit[long], n[long], 2 * size)
+                if not long.all():
+                    sparse[k].append(sum_equal(slot[~long] << 1 | bit[~long], n[~long]))
+            node = node << 1 | bit
+        out = [(k, part, capped(v.reshape(-1, 2)).tobytes()) for k, v in dense.items()]
+        for k, pieces in sparse.items():
+            if pieces:
+                key, count = sum_equal(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
+                slot = np.unique(key >> 1)
+                rows = np.zeros(len(slot), [("slot", np.int32), ("n", np.float64, 2)])
+                rows["slot"] = slot
+                rows["n"][np.searchsorted(slot, key >> 1), key & 1] = count
+                out.append((k, -1, rows.tobytes()))
+        return pa.table({"order": pa.array([x[0] for x in out], pa.int32()), "part": pa.array([x[1] for x in out], pa.int32()), "counts": pa.array([x[2] for x in out], pa.binary())})
+
+    @F.pandas_udf("int")
+    def part(gram: pd.Series) -> pd.Series:
+        return pd.Series(part_of(gram.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
 
     path = shared.new_path(found.sparkSession, "counters")
-    by_context = found.repartition(F.shiftright("gram", 8))  # the longest context's counters then meet in one task
-    bits = by_context.mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n").alias("n"))
-    bits.groupBy(F.shiftright("key", CHUNK_BITS + 1).alias("part")).applyInArrow(pack, "order int, chunk int, counts binary").write.parquet(path)
+    found.groupBy(part("gram").alias("of")).applyInArrow(run, "order int, part int, counts binary").write.parquet(path)
     return path
 
 
@@ -280,8 +308,8 @@ def train_mixer(found: DataFrame, path: str) -> Mixer:
         for batch in batches:
             gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
             rows += len(gram)
-            for i in range(0, len(gram), 1024):
-                g, count = gram[i : i + 1024], n[i : i + 1024]
+            for i in range(0, len(gram), 512):
+                g, count = gram[i : i + 512], n[i : i + 512]
                 symbol = (g & np.uint64(255)).astype(np.int64)
                 node = np.ones(len(g), np.int64)
                 for place in range(8):
@@ -359,12 +387,12 @@ def count_words(rows: DataFrame) -> tuple[str, int, int]:
     folder = shared.new_path(spark, "words")
     found = rows.select("train", "text", "batch").mapInArrow(run, "batch long, word long, n long")
     word = Window.partitionBy("word")  # a row for each batch with the word
-    counted = shared.table(found.select("batch", "word", F.sum("n").over(word).alias("n"), F.sum("n").over(word.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), "n").toDF("batch", "word", "n", "upto", "own"), "counted")
-    total = counted.agg(F.sum("own").alias("tokens"), F.count_if((F.col("own") > 0) & (F.col("upto") == F.col("own"))).alias("different")).first()
+    first = F.min(F.when(F.col("n") > 0, F.col("batch"))).over(word)
+    counted = found.select("batch", "word", F.sum("n").over(word).alias("total"), "n", (first == F.col("batch")).alias("first"))
 
     def store(table: pa.Table) -> pa.Table:
         batch = table["batch"][0].as_py()
-        words, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        words, n = table["word"].to_numpy().view(np.uint64), table["total"].to_numpy()
         order = np.argsort(words)
         fs, inner = shared.filesystem(folder)
         fs.create_dir(inner, recursive=True)
@@ -372,9 +400,11 @@ def count_words(rows: DataFrame) -> tuple[str, int, int]:
         with fs.open_output_stream(name, compression=None) as f:
             f.write(np.array([len(order)], np.int64).tobytes() + words[order].tobytes() + n[order].astype(np.int64).tobytes())
         fs.move(name, f"{inner}/{batch}")
-        return pa.table({"batch": pa.array([batch], pa.int64())})
+        tokens, different = int(table["n"].to_numpy().sum()), int(table["first"].to_numpy(zero_copy_only=False).astype(float).sum()) if table.num_rows else 0
+        return pa.table({"tokens": pa.array([tokens], pa.int64()), "different": pa.array([different], pa.int64())})
 
-    counted.select("batch", "word", "n").groupBy("batch").applyInArrow(store, "batch long").agg(F.count("*")).collect()
+    counted = counted.withColumn("first", F.coalesce("first", F.lit(False)))
+    total = counted.groupBy("batch").applyInArrow(store, "tokens long, different long").agg(F.sum("tokens").alias("tokens"), F.sum("different").alias("different")).first()
     return folder, int(total["tokens"] or 0), int(total["different"] or 0)
 
 

@@ -119,8 +119,8 @@ def test_scores(spark):
 def test_probabilities_sum_to_one():
     mixer, counters = mixing.Mixer(), mixing.Counters(None)
     rng = np.random.default_rng(0)
-    for k in range(mixing.MODELS):
-        counters.n[k][:] = rng.integers(0, 5, counters.n[k].shape)
+    for table in (*counters.long.values(), *counters.short.values()):
+        table[:] = rng.integers(0, 5, table.shape)
     context = np.uint64(0x616263646500)
     bits = mixing.gram_bits(counters, mixer, context | np.arange(256, dtype=np.uint64))
     assert np.exp2(-bits).sum() == pytest.approx(1, abs=1e-6)
