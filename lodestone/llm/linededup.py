@@ -45,9 +45,9 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(powers)), ",").cast("array<tinyint>")
 
 
-def line_sets(docs: DataFrame, powers: Column, *keep: str) -> DataFrame:
-    """`keep` columns, line_no (from 0) and words (the set in order of rarity) of each line with a word."""
-    lines = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\s\p{Punct}]"))
+def line_sets(lines: DataFrame, powers: Column) -> DataFrame:
+    """rid, line_no and words (the set in order of rarity) of each line (rid, line_no, line) with a word."""
+    lines = lines.where(F.col("line").rlike(r"[^\s\p{Punct}]"))
     words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
@@ -55,7 +55,7 @@ def line_sets(docs: DataFrame, powers: Column, *keep: str) -> DataFrame:
         power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
         return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return lines.select(*keep, "line_no", F.sort_array(F.transform(hashes, pack)).alias("words"))
+    return lines.select("rid", "line_no", F.sort_array(F.transform(hashes, pack)).alias("words"))
 
 
 def prefix_size(n: Column, threshold: float) -> Column:
@@ -103,9 +103,8 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Colum
     where = firsts.join(needed, "key").select("key", "first")
     lists = where.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_set("first.line_no").alias("wanted"))
     some = with_lists(docs.select("rid", "text"), lists, "wanted").where("wanted is not null")
-        # lines that are not wanted become empty
-    wanted = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), line).otherwise(""))
-    sets = line_sets(some.withColumn("text", F.array_join(wanted, "\n")), powers, "rid").select(F.struct("rid", "line_no").alias("first"), "words")
+    lines = some.select("rid", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("line_no")).select("rid", "line_no", F.element_at("all", F.col("line_no") + 1).alias("line"))
+    sets = line_sets(lines, powers).select(F.struct("rid", "line_no").alias("first"), "words")
     sets = shared.table(sets.select("first", F.xxhash64("words").alias("key"), "words"), "sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("words").alias("wx"), F.col("first").alias("fx")), "x").join(sets.select(F.col("key").alias("y"), F.col("words").alias("wy"), F.col("first").alias("fy")), "y")
     common = F.size(F.array_intersect("wx", "wy"))
@@ -116,7 +115,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Colum
 def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rid and the numbers of the lines to remove, for each row of rows (rid, text) that has such lines."""
     powers = rarity(rows)
-    sets = line_sets(rows, powers, "rid")
+    sets = line_sets(rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), powers)
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("words")
     tokens = F.transform(F.slice("words", F.lit(1), prefix_size(n, threshold)), lambda x: F.hash(x))
