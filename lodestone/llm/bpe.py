@@ -34,7 +34,7 @@ class Bpe:
     Internally a token is its merge's rank plus 256, or its byte; `public` maps that to the file's ids.
     """
 
-    MOST_PAIRS = 1 << 20
+    MOST_PAIRS = 1 << 17
 
     def __init__(self, path: str):
         import ahocorasick

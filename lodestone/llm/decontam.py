@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import shared, vec
 
 WINDOW = 13
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_ITEMS = 5_000
 _KEY_BITS = 21
 

@@ -194,6 +194,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: in
         linked = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
         trees = forest(len(ids), i, j)
         some = np.flatnonzero(linked)
+        vec.release()
         return pa.table(
             {
                 "a": pa.array([*ids[some].tolist(), *(int(ids[x]) for x, _ in trees)], pa.int64()),

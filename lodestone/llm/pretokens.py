@@ -99,7 +99,7 @@ class WordIds:
     Two different pieces share a hash with a chance of about 1e-7 in a full dictionary. It is emptied when full.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 22):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 21):
         self.encode, self.memo = encode, vec.Memo(bits)
         self.clear()
 

@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for r in rows.collect():  # MOST_TOXIC + MOST_CLEAN documents
         texts.setdefault((r["doc_id"], r["text"] or ""), r["toxic"])
     order = sorted(texts)
-    return fit([t.encode() for _, t in order], np.array([texts[k] for k in order], bool))
+    model = fit([t.encode() for _, t in order], np.array([texts[k] for k in order], bool))
+    vec.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -6,6 +6,8 @@ SLICE_BYTES, so memory follows the slice (or the longest single text), not the p
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin), data[offs[begin] : offs[end]], offs[begin : end + 1] - offs[begin]
             begin = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, and other operators' tasks need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
