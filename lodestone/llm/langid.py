@@ -38,9 +38,9 @@ class Model:
         self.order, self.langs = order, sorted(samples)
         streams = [[np.frombuffer(t, np.uint8) for t in samples[x]] for x in self.langs]
         seen = np.unique(np.concatenate([*(a for s in streams for a in s), np.zeros(1, np.uint8)]))
-        self.symbol = np.zeros(256, np.int64)  # 0: the start of a text, and bytes never seen
+        self.symbol = np.full(256, len(seen) + 1, np.int64)  # 0: before the start of a text; the last: bytes never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.width = len(seen) + 1
+        self.width = len(seen) + 2
         padded = [np.concatenate([np.concatenate([np.zeros(order, np.int64), self.symbol[a]]) for a in s] or [np.zeros(order, np.int64)]) for s in streams]
         ends = [np.concatenate([np.concatenate([np.zeros(order, bool), np.ones(len(a), bool)]) for a in s] or [np.zeros(order, bool)]) for s in streams]
         self.next, self.cost, self.escape = [], [], []

@@ -163,7 +163,7 @@ class Mixer:
     """Weights by gate, and the adaptive map: counts of bits by node and bucket of the mixed logit."""
 
     def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.weights = np.full((GATES, INPUTS), 0.3, np.float32) if weights is None else weights
+        self.weights = np.array([0.3] * MODELS + [0.0], np.float32)[None].repeat(GATES, 0) if weights is None else weights
         self.squares = np.full((GATES, INPUTS), 1e-3, np.float32)
         self.seen = np.zeros((256, BUCKETS, 2)) if seen is None else seen
 

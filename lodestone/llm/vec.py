@@ -129,10 +129,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of values[first[i]:first[i + 1]] for each row i, along the first axis; empty rows give 0."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sum of values[first[i]:first[i + 1]] for each row i, along the first axis; empty rows give 0. Equal rows have equal sums."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), np.float64)
+    full = first[1:] > first[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, first[:-1][full], axis=0, dtype=np.float64)
+    return out
 
 
 def row_minima(values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:
