@@ -11,7 +11,7 @@ matter. Lines without a word are never removed.
    each word and resolves large groups of near copies without pairing their members.
 4. Prefixes: sets that are still open meet all other sets on the n - ceil(threshold * n) + 1 rarest words, under the length filter,
    the positional filter and a parity bitmap whose Hamming distance is a lower bound of the sets' difference.
-5. What is left of the pairs is verified on the full sets, which are read again from the few texts that hold them.
+5. Bitmaps of parts of the hashes exclude most of the pairs of long sets; what is left is verified on the full sets, which are read again from the few texts that hold them.
 
 Words are cut out of all texts twice, for the rarities and for one narrow table of all lines that holds each line's prefix; steps 2 to 4 work on
 that table. Rows of documents that need no look-up are told apart by a bit table of fixed size, so that their texts are never shuffled.
@@ -98,7 +98,13 @@ def too_different(threshold: float, a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """key of the later set of each pair (x, y) of keys that is similar enough."""
-    pairs = shared.table(pairs, "pairs")
+    maps = firsts.select("key", "n", "bits", "quarter_a", "quarter_b")
+    for side in "xy":
+        pairs = pairs.join(maps.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in maps.columns[1:])), side)
+    # a hash stands in one of the two quarters or in the rest, so the three distances add up to a lower bound of the difference
+    a, b, whole = (F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")) for c in ("quarter_a", "quarter_b", "bits"))
+    apart = F.bit_count(a) + F.bit_count(b) + F.bit_count(whole.bitwiseXOR(a).bitwiseXOR(b))
+    pairs = shared.table(pairs.where(apart <= too_different(threshold, "n_x", "n_y")).select("x", "y"), "pairs")
     needed = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
     where = firsts.join(needed, "key").select("key", "first")
     lists = where.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_set("first.line_no").alias("wanted"))
@@ -116,11 +122,20 @@ def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rid and the numbers of the lines to remove, for each row of rows (rid, text) that has such lines."""
     powers = rarity(rows)
     sets = line_sets(rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), powers)
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(quarter: int | None) -> Column:
+        """A bitmap of 64 bits: whether an odd number of the set's hashes (of those with this quarter) have this value in their last 6 bits."""
+
+        def flip(a: Column, x: Column) -> Column:
+            one = F.lit(1) if quarter is None else F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(3)) == quarter
+            return a.bitwiseXOR(F.call_function("shiftleft", one.cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+        return F.aggregate("words", F.lit(0).cast("long"), flip)
+
     n = F.size("words")
     tokens = F.transform(F.slice("words", F.lit(1), prefix_size(n, threshold)), lambda x: F.hash(x))
-    lines = shared.table(sets.select("rid", "line_no", F.xxhash64("words").alias("key"), bits.alias("bits"), n.alias("n"), tokens.alias("tokens")), "lines")
-    firsts = shared.table(lines.groupBy("key", "bits", "n").agg(F.min(F.struct("rid", "line_no")).alias("first"), F.count("*").alias("copies")), "firsts")
+    lines = shared.table(sets.select("rid", "line_no", F.xxhash64("words").alias("key"), parity(None).alias("bits"), parity(0).alias("quarter_a"), parity(1).alias("quarter_b"), n.alias("n"), tokens.alias("tokens")), "lines")
+    firsts = shared.table(lines.groupBy("key", "bits", "n").agg(F.min(F.struct("rid", "line_no")).alias("first"), F.count("*").alias("copies"), F.min("quarter_a").alias("quarter_a"), F.min("quarter_b").alias("quarter_b")), "firsts")
     later = lines.join(firsts.where("copies > 1").select("key", "bits", "n", "first"), ["key", "bits", "n"]).where("rid <> first.rid or line_no <> first.line_no").select("rid", "line_no")
 
     rarest = shared.table(lines.select(F.explode(F.slice("tokens", 1, HEAD_TOKENS)).alias("token"), F.struct("rid", "line_no", "key", "bits", "n").alias("s")).select("token", "s.*"), "rarest")
