@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import shared, vec
 
-ORDER = 5
+ORDER = 6
 SLOT_BITS = 22
 #: Slots of contexts of TAIL bytes or more lie in parts by their last TAIL bytes, so that one task makes all of a part's counters.
 TAIL = 3

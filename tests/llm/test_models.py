@@ -126,6 +126,15 @@ def test_probabilities_sum_to_one():
     assert np.exp2(-bits).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_contexts_reach_six_bytes_back():
+    text = np.frombuffer(b"abcdefg", np.uint8)
+    gram, first = mixing.grams(text, np.array([0, len(text)]))
+    assert list(first) == [0, 8] and int(gram[6]) == int.from_bytes(b"abcdefg", "big")
+    assert mixing.MODELS == 8 and mixing.word_length(gram[6:7])[0] == 6
+    other = gram[6:7] ^ np.uint64(1 << 48)
+    assert mixing.context_of(gram[6:7], 5)[0] == mixing.context_of(other, 5)[0] and mixing.context_of(gram[6:7], 6)[0] != mixing.context_of(other, 6)[0]
+
+
 def test_memo():
     memo = vec.Memo(4)
     keys = np.arange(1, 100, dtype=np.uint64) * np.uint64(vec.BASE)
