@@ -82,11 +82,15 @@ def with_lists(docs: DataFrame, lists: DataFrame, *names: str) -> DataFrame:
     return docs.where(may).join(lists, "rid", "left").select(*docs.columns, *names).unionByName(nothing)
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    plain = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    return plain["n"] == plain["known"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """docs with a unique rid, ascending in order of the rows: doc_id itself, or numbers where doc_ids are null or repeated."""
-    plain = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
-    unique = plain["n"] == plain["known"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if unique:
+    if unique_ids(docs):
         return docs.withColumn("rid", F.col("doc_id").cast("long"))
     return shared.table(docs.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rows")
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. Each text becomes its set of word n-grams (hashed), a key of that set and a MinHash signature cut into bands.
-2. Texts with equal sets form a class; the smallest doc_id stands for it from here on.
+2. Texts with equal sets form a class; the smallest row number stands for it from here on (doc_id itself where doc_ids are unique).
 3. Representatives are shuffled on their band hashes. Members of a bucket are tied to its smallest member, never to each other,
    and the ties' connected components are the candidate groups.
 4. A group is cut into blocks of texts and each pair of blocks is verified by one task on the full n-gram sets: all pairs of texts
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import shared, vec
+from lodestone.llm import linededup, shared, vec
 from lodestone.llm.components import connected_components
 
 WORDS = 5
@@ -137,21 +137,40 @@ def forest(count: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(root(x), x) for x in range(count) if root(x) != x]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A shared table of docs with a unique rid, ascending by doc_id (nulls last), then by text."""
+    return shared.table(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links: a row for each doc_id.
+    """doc_id, class_id, copy_id, n_copies, n_links: a row for each row of docs with a doc_id.
 
-    class_id: the smallest doc_id of the document's near-duplicate group, itself if it has no link. copy_id: the
-    smallest doc_id with the same n-gram set; n_copies: how many have it. n_links: documents with a Jaccard of at least
+    class_id: the smallest doc_id of the row's near-duplicate group, its own if it has no link. copy_id: the
+    smallest doc_id with the same n-gram set; n_copies: how many rows have it. n_links: rows with a Jaccard of at least
     threshold, the other copies and those of linked classes. Texts of 1 to n - 1 words have one n-gram, of all their
-    words; null texts and texts without words have none, link to nothing and are copies of nothing. Rows that share a
-    doc_id count as one document (the first text in order); rows with a null doc_id are left out.
+    words; null texts and texts without words have none, link to nothing and are copies of nothing. Rows that share a doc_id
+    are compared one by one, and each has the n_links of that of them with the most. Rows with a null doc_id are compared and counted too;
+    without a name they get no row here.
     """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if linededup.unique_ids(given):
+        found = row_groups(given.select(F.col("doc_id").alias("rid"), "text"), n, threshold, recall, most_hashes)
+        return found.select(F.col("rid").alias("doc_id"), F.col("class_rid").alias("class_id"), F.col("copy_rid").alias("copy_id"), "n_copies", "n_links")
+    rows = numbered(given)
+    ids = rows.where("doc_id is not null").select("rid", "doc_id")
+    found = row_groups(rows.select("rid", "text"), n, threshold, recall, most_hashes).join(ids, "rid")
+    for name in ("class", "copy"):  # the smallest row of a group that has an id has one itself
+        found = found.join(ids.select(F.col("rid").alias(f"{name}_rid"), F.col("doc_id").alias(f"{name}_id")), f"{name}_rid")
+    found = shared.table(found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links"), "found")
+    most = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_links").alias("most")).where("rows > 1").select("doc_id", "most")
+    return found.join(most, "doc_id", "left").select("doc_id", "class_id", "copy_id", "n_copies", F.coalesce("most", "n_links").alias("n_links"))
+
+
+def row_groups(given: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """rid, class_rid, copy_rid, n_copies, n_links of each row (rid, text); rids are unique. See near_duplicates()."""
     bands, rows = choose_bands(threshold, recall, most_hashes)
-    given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    given = given.select(F.col("rid").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     members = shared.table(sketches(given, n, bands, rows), "sketches")
-    if repeated(members):
-        given = given.groupBy("doc_id").agg(F.min("text").alias("text"))
-        members = shared.table(sketches(given, n, bands, rows), "sketches")
     sets = members.where("grams > 0")
     classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("bytes", "doc_id").alias("bytes"))
     classes = shared.table(classes, "classes")
@@ -169,12 +188,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     )
     placed = sets.select("doc_id", "set_a", "set_b").join(by_class, ["set_a", "set_b"]).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
     alone = members.where("grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return placed.unionByName(alone)
-
-
-def repeated(made: DataFrame) -> bool:
-    """Whether some doc_id stands in more than one row."""
-    return not made.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return placed.unionByName(alone).toDF("rid", "class_rid", "copy_rid", "n_copies", "n_links")
 
 
 def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -210,6 +224,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: in
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each near-duplicate group, that with the smallest doc_id; rows with a null doc_id stay."""
-    found = near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """docs with one row of each near-duplicate group, the first by doc_id (nulls last), then by text; all columns stay."""
+    columns = [f"`{c}`" for c in docs.columns]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("row"))
+    rows = given.withColumn("rid", F.col("doc_id")) if linededup.unique_ids(given) else numbered(given)
+    gone = row_groups(rows.select("rid", "text"), **options).where("rid <> class_rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -129,6 +129,15 @@ def test_join_of_repeated_ids_and_nothing(spark):
     assert ngram_join.near_duplicates(docs.where("1 = 0")).count() == 0
 
 
+def test_join_compares_every_row(spark):
+    a, z, y = "a b c d e f g", "t u v w x y z", "k l m n o p q"
+    docs = spark.createDataFrame([(1, a), (1, a), (2, a), (2, z), (None, a), (None, y), (None, y), (3, None)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.class_id, r.copy_id, r.n_copies, r.n_links) for r in ngram_join.near_duplicates(docs).collect())
+    assert found == [(1, 1, 1, 4, 3), (1, 1, 1, 4, 3), (2, 1, 1, 4, 3), (2, 2, 2, 1, 3), (3, 3, 3, 1, 0)]
+    kept = [tuple(r) for r in ngram_join.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, z), (None, y), (3, None)], key=str)
+
+
 def test_bands():
     b, r = ngram_join.choose_bands(0.8, 0.9999, 128)
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.9999
