@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each task turns its documents, a shard of about SHARD_BYTES of whole texts at a time, into one sequence of words and
-builds the shard's suffix array: suffixes are sorted by their first three words and the ties are refined by prefix
+builds the shard's suffix array: suffixes are sorted by their first three words (fewer where a text has very many different words) and the ties are refined by prefix
 doubling. Every suffix of every benchmark item is then looked up by binary search of its window (`window`
 words; a shorter item's only window is all of it); the range found holds all places where the window occurs verbatim.
 Matches that continue along the same item are joined, which gives the longest verbatim matches and their places.
@@ -26,7 +26,6 @@ from lodestone.llm import shared, vec
 WINDOW = 13
 SHARD_BYTES = 2 << 20
 BLOCK_ITEMS = 5_000
-_KEY_BITS = 21
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,21 +35,29 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.maximum(vec.span_hashes(data, starts, ends), 1), first
 
 
-def suffix_array(seq: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, their keys: the first three values) of a sequence of small numbers whose texts end with 0.
+def key_layout(vocabulary: int) -> tuple[int, int]:
+    """(words in a suffix key, bits of each) for so many different words: three words, or fewer where they need more bits."""
+    words = next((k for k in (3, 2) if vocabulary < (1 << 63 // k) - 1), 1)
+    return words, 63 // words
+
+
+def suffix_array(seq: np.ndarray, left: np.ndarray, words: int = 3, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, their keys: the first `words` values of `bits` bits) of a sequence of small numbers whose texts end with 0.
 
     left: values from each place to the end of its text. Suffixes that are equal up to there stay in any order.
     """
     n = len(seq)
-    ahead = np.concatenate([seq, np.zeros(2, np.int64)])
-    key = ahead[:n] << 2 * _KEY_BITS | ahead[1 : n + 1] << _KEY_BITS | ahead[2 : n + 2]
+    ahead = np.concatenate([seq, np.zeros(words - 1, np.int64)])
+    key = ahead[:n].copy()
+    for k in range(1, words):
+        key = key << bits | ahead[k : n + k]
     sa = np.argsort(key)
     keys = key[sa]
     head = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.zeros(0, bool)
     rank = np.empty(n, np.int64)
     start_of = np.flatnonzero(head)
     rank[sa] = np.repeat(start_of, np.diff(np.append(start_of, n)))
-    depth, at = 3, np.flatnonzero(~(head & np.append(head[1:], True))) if n else np.zeros(0, np.int64)
+    depth, at = words, np.flatnonzero(~(head & np.append(head[1:], True))) if n else np.zeros(0, np.int64)
     while True:
         at = at[left[sa[at]] >= depth]  # else the texts have ended alike
         if not len(at):
@@ -72,13 +79,12 @@ class Shard:
     def __init__(self, hashes: np.ndarray, first: np.ndarray):
         count = np.diff(first)
         self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        if len(self.vocabulary) >= (1 << _KEY_BITS) - 1:
-            raise ValueError("a text has more different words than one shard can hold")
+        self.layout = key_layout(len(self.vocabulary))
         self.begin = first[:-1] + np.arange(len(count))  # each text is followed by a 0
         self.seq = np.zeros(len(hashes) + len(count), np.int64)
         self.seq[vec.ragged(self.begin, count)] = number + 1
         ends = np.repeat(self.begin + count, count + 1)
-        self.sa, self.keys = suffix_array(self.seq, ends - np.arange(len(self.seq)) + 1 if len(ends) else ends)
+        self.sa, self.keys = suffix_array(self.seq, ends - np.arange(len(self.seq)) + 1 if len(ends) else ends, *self.layout)
         self.count = count
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -90,13 +96,13 @@ class Shard:
 
     def find(self, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges in the suffix array of the suffixes that start with each row of pattern (all of one length, no 0)."""
-        width = pattern.shape[1]
+        width, (words, bits) = pattern.shape[1], self.layout
         low, high = np.zeros(len(pattern), np.int64), np.zeros(len(pattern), np.int64)
-        for k in range(3):
-            low = low << _KEY_BITS | (pattern[:, k] if k < width else 0)
-            high = high << _KEY_BITS | (pattern[:, k] if k < width else (1 << _KEY_BITS) - 1)
+        for k in range(words):
+            low = low << bits | (pattern[:, k] if k < width else 0)
+            high = high << bits | (pattern[:, k] if k < width else (1 << bits) - 1)
         lo, hi = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
-        if width <= 3:
+        if width <= words:
             return lo, hi
         some = np.flatnonzero(lo < hi)
         for bound, equal_is_less in ((lo, False), (hi, True)):

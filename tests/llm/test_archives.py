@@ -174,3 +174,24 @@ def test_contract_columns(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pandas()
     found = queries.QUERIES["op9_benchmark_decontamination"](spark, SF)
     assert found.count() == len(docs) and found.where(F.col("contaminated")).count() > 0
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_suffix_keys_of_fewer_words(monkeypatch, words):
+    monkeypatch.setattr(decontam, "key_layout", lambda _: (words, 63 // words))
+    rng = np.random.default_rng(8)
+    hashes, first = rng.integers(1, 5, 400).astype(np.uint64), np.array([0, 0, 150, 151, 400])
+    shard = decontam.Shard(hashes, first)
+    for width in (1, 2, 3, 4, 13):
+        pattern = np.stack([hashes[k : k + width] for k in range(151, 151 + 60)])
+        lo, hi = shard.find(shard.numbers(pattern.ravel()).reshape(pattern.shape))
+        for p, a, b in zip(pattern, lo, hi, strict=True):
+            places = [k + r for r in range(4) for k in range(first[r], first[r + 1] - width + 1) if (hashes[k : k + width] == p).all()]
+            assert sorted(shard.sa[a:b].tolist()) == places
+
+
+def test_a_text_of_very_many_different_words():
+    n = (1 << 21) + 10
+    shard = decontam.Shard(np.arange(1, n + 1, dtype=np.uint64), np.array([0, n]))
+    item, place, at, width = decontam.occurrences(shard, np.arange(n - 19, n + 1, dtype=np.uint64), np.array([0, 20]), 13)
+    assert place.tolist() == list(range(8)) and at.tolist() == list(range(n - 20, n - 12)) and set(width) == {13}
