@@ -386,6 +386,7 @@ def count_words(rows: DataFrame) -> tuple[str, int, int]:
     spark = rows.sparkSession
     folder = shared.new_path(spark, "words")
     found = rows.select("train", "text", "batch").mapInArrow(run, "batch long, word long, n long")
+    found = found.groupBy("batch", "word").agg(F.sum("n").alias("n"))  # a batch may be split over tasks
     word = Window.partitionBy("word")  # a row for each batch with the word
     first = F.min(F.when(F.col("n") > 0, F.col("batch"))).over(word)
     counted = found.select("batch", "word", F.sum("n").over(word).alias("total"), "n", (first == F.col("batch")).alias("first"))

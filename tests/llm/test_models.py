@@ -135,6 +135,12 @@ def test_contexts_reach_six_bytes_back():
     assert mixing.context_of(gram[6:7], 5)[0] == mixing.context_of(other, 5)[0] and mixing.context_of(gram[6:7], 6)[0] != mixing.context_of(other, 6)[0]
 
 
+def test_words_of_a_batch_in_two_tasks(spark):
+    rows = spark.createDataFrame([(True, "a b", 0), (True, "a c", 0)], "train boolean, text string, batch long").repartitionByRange(2, "text")
+    assert rows.rdd.getNumPartitions() == 2
+    assert mixing.count_words(rows)[1:] == (6, 4)
+
+
 def test_memo():
     memo = vec.Memo(4)
     keys = np.arange(1, 100, dtype=np.uint64) * np.uint64(vec.BASE)
