@@ -6,15 +6,18 @@ matter. Lines without a word are never removed.
 
 1. Word rarity: counts of all words in BUCKETS hash buckets, kept as powers of two. Each set is an array of (rarity, hash)
    numbers in ascending order, so its first elements are its rarest words.
-2. Equal sets: the first occurrence stays and stands for its set, all others are removed.
-3. Heads: sets that share one of their HEAD_TOKENS rarest words are compared with the earliest set that has it. This takes a row for
-   each word and resolves large groups of near copies without pairing their members.
-4. Prefixes: sets that are still open meet all other sets on the n - ceil(threshold * n) + 1 rarest words, under the length filter,
-   the positional filter and a parity bitmap whose Hamming distance is a lower bound of the sets' difference.
-5. Bitmaps of parts of the hashes exclude most of the pairs of long sets; what is left is verified on the full sets, which are read again from the few texts that hold them.
-
-Words are cut out of all texts twice, for the rarities and for one narrow table of all lines that holds each line's prefix; steps 2 to 4 work on
-that table. Rows of documents that need no look-up are told apart by a bit table of fixed size, so that their texts are never shuffled.
+2. Equal sets (two hashes of 64 bits): the first occurrence stays and stands for its set.
+3. Prefixes: similar sets share c + 1 of their n - ceil(threshold * n) + 1 + c rarest words. These are dealt into c classes by hash, so similar sets share
+   two words of a class: the keys of the join are pairs of words of a prefix, which stay rare where single words are frequent. c grows with the set's size
+   by bands; a set is keyed for its own band and, if a similar set may lie there, for the one below.
+4. Most keys belong to one set only. They are counted first, and a bit table of fixed size keeps the rows of shared keys alone.
+5. Heads: each set meets the earliest set of each of its keys, under the length filter, the positional filter and parity bitmaps whose
+   Hamming distance is a lower bound of the sets' difference. The nearest head of each set is verified. This takes a row for each
+   key and resolves groups of near copies without pairing their members.
+6. Sets that are still open meet all earlier sets with one of their keys, under the same filters, and are verified.
+
+Verification compares whole sets. They are cut again from the few lines concerned, which a bit table of fixed size picks
+while the texts are read, so texts are shuffled once, in the end, and only those that lose a line.
 """
 
 from __future__ import annotations
@@ -28,10 +31,14 @@ from lodestone.llm import shared
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
-HEAD_TOKENS = 2
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
+#: Sets of this size or more have bitmaps of parts of their hashes as well.
+LONG_SET = 64
+#: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
+SMALL_CLASSES, MEDIUM, CLASSES = 2, 12, 8
 #: White space and ASCII punctuation.
-SEPARATORS = r"[\s\p{Punct}]+"
+SEPARATORS = r"""[ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]+"""
+WORDY = r"""[^ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]"""
 _HASH_BITS = 56
 
 
@@ -45,41 +52,73 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(powers)), ",").cast("array<tinyint>")
 
 
-def line_sets(lines: DataFrame, powers: Column) -> DataFrame:
-    """rid, line_no and words (the set in order of rarity) of each line (rid, line_no, line) with a word."""
-    lines = lines.where(F.col("line").rlike(r"[^\s\p{Punct}]"))
-    words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
+def word_set(line: str, powers: Column) -> Column:
+    """A line's different words as numbers in order of rarity."""
+    words = F.array_remove(F.split(F.lower(line), SEPARATORS), "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
     def pack(h: Column) -> Column:
         power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
         return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return lines.select("rid", "line_no", F.sort_array(F.transform(hashes, pack)).alias("words"))
+    return F.sort_array(F.transform(hashes, pack))
 
 
-def prefix_size(n: Column, threshold: float) -> Column:
-    """How many of a set's rarest words a similar set must share one of; 0 for sets so small that only their equals are similar."""
-    least = math.ceil(threshold / (1 - threshold) - 1e-9)
-    return F.when(n >= least, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).otherwise(0)
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """id (rid, line_no) and line of each line with a word of rows (rid, text)."""
+    lines = rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(WORDY)).select(F.struct("rid", "line_no").alias("id"), "line")
 
 
-def bit_table(ids: DataFrame) -> DataFrame:
-    """One row: FILTER_BITS bits in an array of longs, with the bits of the hashed rids set."""
-    h = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
-    words = ids.select(h.alias("h")).groupBy(F.expr("h div 32").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("w"))
-    dense = ids.sparkSession.range(FILTER_BITS // 32).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
-    packed = dense.groupBy(F.expr("id div 1024").alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("a"))
+def band(n: Column) -> Column:
+    """The band of sets of n words."""
+    return F.when(n < MEDIUM, 0).when(n < 16 * CLASSES, 1).otherwise(F.floor(F.log2(n.cast("double") / (16 * CLASSES))).cast("int") + 2)
+
+
+def classes(band: Column) -> Column:
+    return F.when(band == 0, SMALL_CLASSES).when(band == 1, CLASSES).otherwise(F.call_function("shiftleft", F.lit(2 * CLASSES), band - 2))
+
+
+def prefix_size(n: Column, c: Column, threshold: float) -> Column:
+    """How many of a set's rarest words hold c + 1 of a similar set's; 0 for sets so small that only their equals are similar."""
+    least = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 30
+    return F.when(n >= least, F.least(n, n - F.ceil(n * threshold - 1e-9).cast("int") + 1 + c)).otherwise(0)
+
+
+def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets (n, tokens: hashes of its prefix in order of rarity, ...) with a row for each key and at, the place of the key's later word, in place of tokens."""
+    own, below = band(F.col("n")), band(F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
+    others = [c for c in sets.columns if c != "tokens"]
+    each = sets.where(F.size("tokens") > 0).select(*others, "tokens", F.explode(F.array_distinct(F.array(own, below))).alias("band"))
+    each = each.select(*others, "band", F.slice("tokens", F.lit(1), prefix_size(F.col("n"), classes(F.col("band")), threshold)).alias("tokens"))
+    dealt = F.array_sort(F.transform("tokens", lambda t, i: F.struct(F.pmod(t, classes(F.col("band"))).alias("class"), t.alias("token"), i.alias("at"))))
+    each = each.select(*others, "band", dealt.alias("dealt"))
+    # the most words of one class, less one: so far ahead may the second word of a key stand
+    start = F.struct(F.lit(-1).alias("class"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["class"] == x["class"], a["run"] + 1).otherwise(0)
+        return F.struct(x["class"].alias("class"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    each = each.withColumn("reach", F.aggregate("dealt", start, step)["most"])
+    first = each.select(*others, "band", "dealt", "reach", F.posexplode("dealt").alias("i", "a"))
+    both = first.select(*others, "band", "a", F.explode(F.slice("dealt", F.col("i") + 2, F.col("reach"))).alias("b")).where("a.class = b.class")
+    return both.select(F.xxhash64("band", "a.token", "b.token").alias("key"), F.greatest("a.at", "b.at").alias("at"), *others)
+
+
+def bit_table(hashes: DataFrame) -> DataFrame:
+    """One row: FILTER_BITS bits in an array of longs, with the bits of the numbers h set."""
+    h = F.pmod("h", F.lit(FILTER_BITS))
+    words = hashes.select(h.alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("w"))
+    dense = hashes.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    packed = dense.groupBy(F.expr("id div 4096").alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("a"))
     return packed.agg(F.expr("transform(flatten(sort_array(collect_list(struct(part, a))).a), x -> x.w)").alias("bits"))
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, *names: str) -> DataFrame:
-    """docs (rid, ...) with the columns `names` of lists (one row for each rid) or nulls; only texts that may have a list are shuffled."""
-    table = shared.table(bit_table(lists), "bits")
-    h = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
-    may = F.call_function("shiftright", F.element_at(table.scalar(), (F.floor(h / 32) + 1).cast("int")), (h % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-    nothing = docs.where(~may).select("*", *(F.lit(None).cast(lists.schema[n].dataType).alias(n) for n in names))
-    return docs.where(may).join(lists, "rid", "left").select(*docs.columns, *names).unionByName(nothing)
+def may_be_in(table: DataFrame, hashed: Column) -> Column:
+    """Whether the number's bit is set in a bit table."""
+    h = F.pmod(hashed, F.lit(FILTER_BITS))
+    return F.call_function("shiftright", F.element_at(table.scalar(), (F.floor(h / 64) + 1).cast("int")), (h % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def unique_ids(docs: DataFrame) -> bool:
@@ -95,37 +134,43 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return shared.table(docs.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
-def too_different(threshold: float, a: str, b: str) -> Column:
-    """The most elements in which two sets of sizes a and b may differ."""
-    return F.floor((F.col(a) + F.col(b)) * (1 - threshold) / (1 + threshold) + 1e-9)
-
-
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, powers: Column, threshold: float) -> DataFrame:
-    """key of the later set of each pair (x, y) of keys that is similar enough."""
-    maps = firsts.select("key", "n", "bits", "quarter_a", "quarter_b")
-    for side in "xy":
-        pairs = pairs.join(maps.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in maps.columns[1:])), side)
-    # a hash stands in one of the two quarters or in the rest, so the three distances add up to a lower bound of the difference
-    a, b, whole = (F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")) for c in ("quarter_a", "quarter_b", "bits"))
-    apart = F.bit_count(a) + F.bit_count(b) + F.bit_count(whole.bitwiseXOR(a).bitwiseXOR(b))
-    pairs = shared.table(pairs.where(apart <= too_different(threshold, "n_x", "n_y")).select("x", "y"), "pairs")
-    needed = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
-    where = firsts.join(needed, "key").select("key", "first")
-    lists = where.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_set("first.line_no").alias("wanted"))
-    some = with_lists(docs.select("rid", "text"), lists, "wanted").where("wanted is not null")
-    lines = some.select("rid", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("line_no")).select("rid", "line_no", F.element_at("all", F.col("line_no") + 1).alias("line"))
-    sets = line_sets(lines, powers).select(F.struct("rid", "line_no").alias("first"), "words")
-    sets = shared.table(sets.select("first", F.xxhash64("words").alias("key"), "words"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("words").alias("wx"), F.col("first").alias("fx")), "x").join(sets.select(F.col("key").alias("y"), F.col("words").alias("wy"), F.col("first").alias("fy")), "y")
+def apart(a: str, b: str) -> Column:
+    """A lower bound of the number of elements in which two sets differ, from their bitmaps."""
+
+    def of(name: str) -> Column:
+        return F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
+
+    # a hash stands in one of the two quarters or in the rest, so the three distances add up to a lower bound
+    split = F.bit_count(of("quarter_a")) + F.bit_count(of("quarter_b")) + F.bit_count(of("bits").bitwiseXOR(of("quarter_a")).bitwiseXOR(of("quarter_b")))
+    return F.when(F.least(f"{a}.n", f"{b}.n") >= LONG_SET, split).otherwise(F.bit_count(of("bits")))
+
+
+def may_be_similar(a: str, b: str, threshold: float) -> Column:
+    """Length filter, positional filter and bitmaps for two rows with one key."""
+    na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "at") for s in (a, b))
+    common = F.least(na - pa, nb - pb) + F.least(pa, pb)
+    return (
+        (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9)
+        & (common >= F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9))
+        & (apart(a, b) <= F.floor((na + nb) * (1 - threshold) / (1 + threshold) + 1e-9))
+    )
+
+
+def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
+    """y of each pair (x, y: ids) that is similar enough."""
+    ids = shared.table(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "wanted")
+    table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h"))), "bits")
+    lines = numbered_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no")))
+    sets = shared.table(lines.select("id", word_set("line", powers).alias("words")).join(ids, "id", "left_semi"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
     common = F.size(F.array_intersect("wx", "wy"))
-    similar = both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9)
-    return similar.select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct()
+    found = shared.table(both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9).select("y").distinct(), "similar")
+    shared.forget(ids, table, sets)
+    return found
 
 
-def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rid and the numbers of the lines to remove, for each row of rows (rid, text) that has such lines."""
-    powers = rarity(rows)
-    sets = line_sets(rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), powers)
+def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
+    """A shared table of the different sets: id (of the first line with that set), n, bits, quarter_a, quarter_b, tokens."""
 
     def parity(quarter: int | None) -> Column:
         """A bitmap of 64 bits: whether an odd number of the set's hashes (of those with this quarter) have this value in their last 6 bits."""
@@ -134,51 +179,78 @@ def removed_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             one = F.lit(1) if quarter is None else F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(3)) == quarter
             return a.bitwiseXOR(F.call_function("shiftleft", one.cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
 
-        return F.aggregate("words", F.lit(0).cast("long"), flip)
+        found = F.aggregate("words", F.lit(0).cast("long"), flip)
+        return found if quarter is None else F.when(n >= LONG_SET, found).otherwise(F.lit(0).cast("long"))
 
     n = F.size("words")
-    tokens = F.transform(F.slice("words", F.lit(1), prefix_size(n, threshold)), lambda x: F.hash(x))
-    lines = shared.table(sets.select("rid", "line_no", F.xxhash64("words").alias("key"), parity(None).alias("bits"), parity(0).alias("quarter_a"), parity(1).alias("quarter_b"), n.alias("n"), tokens.alias("tokens")), "lines")
-    firsts = shared.table(lines.groupBy("key", "bits", "n").agg(F.min(F.struct("rid", "line_no")).alias("first"), F.count("*").alias("copies"), F.min("quarter_a").alias("quarter_a"), F.min("quarter_b").alias("quarter_b")), "firsts")
-    later = lines.join(firsts.where("copies > 1").select("key", "bits", "n", "first"), ["key", "bits", "n"]).where("rid <> first.rid or line_no <> first.line_no").select("rid", "line_no")
-
-    rarest = shared.table(lines.select(F.explode(F.slice("tokens", 1, HEAD_TOKENS)).alias("token"), F.struct("rid", "line_no", "key", "bits", "n").alias("s")).select("token", "s.*"), "rarest")
-    heads = rarest.groupBy("token").agg(F.min(F.struct("rid", "line_no", "key", "bits", "n")).alias("h"), F.count("*").alias("size")).where("size > 1").select("token", F.col("h.key").alias("x"), F.col("h.n").alias("nx"), F.col("h.bits").alias("bx"))
-    met = rarest.join(heads, "token").select("x", F.col("key").alias("y"), "nx", F.col("n").alias("ny"), "bx", F.col("bits").alias("by"))
-    near = (F.col("x") != F.col("y")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= too_different(threshold, "nx", "ny"))
-    by_head = shared.table(verified(met.where(near).select("x", "y").distinct(), firsts, rows, powers, threshold), "by_head")
-
-    each = lines.where("size(tokens) > 0").groupBy("key").agg(F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    flagged = each.join(by_head.withColumn("done", F.lit(True)), "key", "left")
-    prefix = flagged.select("key", "bits", "n", F.col("done").isNull().alias("open"), F.posexplode("tokens").alias("at", "token"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    ahead = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
-    condition = (
-        (F.col("a.token") == F.col("b.token"))
-        & F.when(F.col("b.open"), F.col("a.open") & (F.col("a.key") < F.col("b.key"))).otherwise(F.col("a.open") & (F.col("a.key") != F.col("b.key")))
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= too_different(threshold, "a.n", "b.n"))
-        & (ahead >= F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9))
-    )
-    pairs = a.join(b, condition).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
-    by_prefix = verified(pairs, firsts, rows, powers, threshold)
-
-    keys = by_head.unionByName(by_prefix).distinct()
-    return lines.join(keys, "key").select("rid", "line_no").unionByName(later).groupBy("rid").agg(F.collect_set("line_no").alias("removed"))
+    size = prefix_size(n, classes(band(n)), threshold)
+    tokens = F.transform(F.slice("words", F.lit(1), size), lambda x: F.hash(x))
+    sets = numbered_lines(rows).select("id", word_set("line", powers).alias("words"))
+    sets = sets.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("check"), F.struct("id", n.alias("n"), parity(None).alias("bits"), parity(0).alias("quarter_a"), parity(1).alias("quarter_b"), tokens.alias("tokens")).alias("s"))
+    return shared.table(sets.groupBy("h", "check").agg(F.min("s").alias("s")).select("s.*"), "firsts")
+
+
+def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
+    """The ids of firsts with a similar set that is earlier: a shared table."""
+    counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
+    table = shared.table(bit_table(counted.select(F.col("key").alias("h"))), "bits")
+    keyed = join_keys(firsts, threshold)
+    live = shared.table(keyed.where(may_be_in(table, F.col("key"))), "live")
+
+    heads = live.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits", "quarter_a", "quarter_b")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
+    met = live.alias("l").join(heads, "key").select("h", F.struct("l.id", "l.n", "l.at", "l.bits", "l.quarter_a", "l.quarter_b").alias("l"))
+    met = met.where((F.col("h.id") < F.col("l.id")) & may_be_similar("h", "l", threshold))
+    nearest = shared.table(met.select(F.col("l.id").alias("y"), F.struct(apart("h", "l").alias("apart"), F.col("h.id").alias("x")).alias("c")).groupBy("y").agg(F.min("c").alias("c")).select("c.x", "y"), "nearest")
+    by_head = verified(nearest, rows, powers, threshold)
+
+    open_ = live.join(by_head.withColumnRenamed("y", "id"), "id", "left_anti")
+    a, b = live.alias("a"), open_.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", threshold))
+    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(nearest, ["x", "y"], "left_anti")
+    pairs = shared.table(pairs, "pairs")
+    by_key = verified(pairs, rows, powers, threshold)
+    found = shared.table(by_head.unionByName(by_key).select(F.col("y").alias("id")), "later")
+    shared.forget(table, live, nearest, by_head, pairs, by_key)
+    return found
+
+
+def kept_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A shared table of rid and kept, the numbers of the lines with words that stay, for each row of rows (rid, text) that loses a line."""
+    powers = rarity(rows)
+    firsts = first_lines(rows, powers, threshold)
+    later = later_copies(rows, firsts, powers, threshold)
+    stay = firsts.select("id").join(later, "id", "left_anti").groupBy(F.col("id.rid").alias("rid")).agg(F.collect_list("id.line_no").alias("kept"))
+    wordy = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORDY)))
+    counts = rows.select("rid", wordy.alias("wordy")).where("wordy > 0")
+    kept = F.coalesce("kept", F.array().cast("array<int>"))
+    found = shared.table(counts.join(stay, "rid", "left").select("rid", "wordy", kept.alias("kept")).where(F.col("wordy") > F.size("kept")).select("rid", "kept"), "kept")
+    shared.forget(firsts, later)
+    return found
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, removed: str | None = None) -> DataFrame:
     """docs with the text of each row without its removed lines (n_chars follows, where there is such a column).
 
-    Rows are ordered by doc_id (nulls first), then by text. All rows stay, also those that lose all their lines, whose text is
-    then empty. Null texts stay null. With `removed` a column of that name has the numbers of the removed lines (or null).
+    Rows are ordered by doc_id (nulls first), then by text; equal rows in any order, as they are alike. All rows stay, also those that lose all their lines, whose text is
+    then empty. Null texts stay null, an empty table gives no rows. Texts and lines may be of any length: work grows with a line's words, and a text is one row.
+    Other columns stay, whatever they are called. With `removed` a column of that name has the ascending numbers of the removed lines (or null). threshold: 0.7 to 1.
     """
+    if not 0.7 <= threshold <= 1:
+        raise ValueError("threshold must be between 0.7 and 1")
     others = [c for c in docs.columns if c.lower() != "text"]
     given = with_row_ids(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(f"`{c}`" for c in others)).alias("row")))
-    lists = shared.table(removed_lines(given.where("text is not null").select("rid", "text"), threshold), "removed")
-    joined = with_lists(given, lists, "removed")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    lists = kept_lines(given.where("text is not null").select("rid", "text"), threshold)
+    table = shared.table(bit_table(lists.select(F.xxhash64("rid").alias("h"))), "bits")
+    may = may_be_in(table, F.xxhash64("rid"))
+    whole = given.where(~may).select("row", "text", F.lit(None).cast("array<int>").alias("removed"))
+    # lines are cut before the join, so that they are not cut again for each line
+    cut = given.where(may).select("rid", "row", F.split("text", "\n", -1).alias("lines")).join(lists, "rid", "left")
+    wordy = F.array_compact(F.transform("lines", lambda line, i: F.when(line.rlike(WORDY), i)))
+    cut = cut.select("row", "lines", F.when(F.col("kept").isNotNull(), F.array_except(wordy, F.coalesce("kept", F.array().cast("array<int>")))).alias("removed"))
+    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"))
+    stays = F.when(F.size("removed") < F.size("lines"), stays).otherwise(F.array().cast("array<int>"))
+    cut = cut.select("row", "removed", F.when(F.col("removed").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n")).alias("text"))
+    out = cut.unionByName(whole)
 
     def column(name: str) -> Column:
         if name.lower() == "text":

@@ -8,18 +8,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
 DEFAULT_DIR = "file:///tmp/checkpoints/lodestone"
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI: spark.checkpoint.dir, or DEFAULT_DIR where that is unset."""
+    """The shared folder's URI: spark.checkpoint.dir. Where that is unset, DEFAULT_DIR on a single machine; a cluster must name its folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = DEFAULT_DIR
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found else f"file://{found}"
@@ -47,11 +51,22 @@ def filesystem(path: str):
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a shared Parquet table and read it back."""
+    """Write df once as a shared Parquet table and read it back; forget() deletes it before the driver ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by table() whose readers are all done, and let Spark's cleaner free the shuffle files of finished jobs."""
+    for df in tables:
+        remove(_paths.pop(id(df))[1])
+    spark = tables[0].sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files are freed with the driver's handles to them
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
