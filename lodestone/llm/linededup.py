@@ -31,11 +31,11 @@ from lodestone.llm import shared
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
-FILTER_BITS = 1 << 24
-#: Sets of this size or more have bitmaps of parts of their hashes as well.
-LONG_SET = 64
+FILTER_BITS = 1 << 26
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
 SMALL_CLASSES, MEDIUM, CLASSES = 2, 12, 8
+#: Classes of one part of a long prefix.
+PART_CLASSES = 64
 #: White space and ASCII punctuation.
 SEPARATORS = r"""[ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]+"""
 WORDY = r"""[^ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]"""
@@ -55,13 +55,13 @@ def rarity(docs: DataFrame) -> Column:
 def word_set(line: str, powers: Column) -> Column:
     """A line's different words as numbers in order of rarity."""
     words = F.array_remove(F.split(F.lower(line), SEPARATORS), "")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
-    def pack(h: Column) -> Column:
+    def pack(w: Column) -> Column:
+        h = F.xxhash64(w)
         power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
         return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return F.sort_array(F.transform(hashes, pack))
+    return F.sort_array(F.array_distinct(F.transform(words, pack)))
 
 
 def numbered_lines(rows: DataFrame) -> DataFrame:
@@ -86,24 +86,21 @@ def prefix_size(n: Column, c: Column, threshold: float) -> Column:
 
 
 def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets (n, tokens: hashes of its prefix in order of rarity, ...) with a row for each key and at, the place of the key's later word, in place of tokens."""
+    """sets (n, tokens: hashes of the longest prefix in order of rarity, ...) with a row for each key, a pair of words, and at, the place of the later one, counted from 0 (null in long prefixes, which are dealt out in parts)."""
     own, below = band(F.col("n")), band(F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
-    others = [c for c in sets.columns if c != "tokens"]
-    each = sets.where(F.size("tokens") > 0).select(*others, "tokens", F.explode(F.array_distinct(F.array(own, below))).alias("band"))
-    each = each.select(*others, "band", F.slice("tokens", F.lit(1), prefix_size(F.col("n"), classes(F.col("band")), threshold)).alias("tokens"))
-    dealt = F.array_sort(F.transform("tokens", lambda t, i: F.struct(F.pmod(t, classes(F.col("band"))).alias("class"), t.alias("token"), i.alias("at"))))
-    each = each.select(*others, "band", dealt.alias("dealt"))
-    # the most words of one class, less one: so far ahead may the second word of a key stand
-    start = F.struct(F.lit(-1).alias("class"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["class"] == x["class"], a["run"] + 1).otherwise(0)
-        return F.struct(x["class"].alias("class"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-    each = each.withColumn("reach", F.aggregate("dealt", start, step)["most"])
-    first = each.select(*others, "band", "dealt", "reach", F.posexplode("dealt").alias("i", "a"))
-    both = first.select(*others, "band", "a", F.explode(F.slice("dealt", F.col("i") + 2, F.col("reach"))).alias("b")).where("a.class = b.class")
-    return both.select(F.xxhash64("band", "a.token", "b.token").alias("key"), F.greatest("a.at", "b.at").alias("at"), *others)
+    own, below = band(F.col("n")), band(F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
+    each = sets.where(F.size("tokens") > 0).select("*", F.explode(F.array_distinct(F.array(own, below))).alias("band"))
+    size = prefix_size(F.col("n"), classes(F.col("band")), threshold)
+    each = each.withColumn("dealt", F.when(F.size("tokens") > size, F.slice("tokens", F.lit(1), size)).otherwise(F.col("tokens")))
+    # words of a class are in one part; parts bound the pairs that are looked at
+    parts = F.greatest(F.lit(1), (classes(F.col("band")) / PART_CLASSES).cast("int"))
+    many = each.select("*", parts.alias("parts")).where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = many.withColumn("dealt", F.filter("dealt", lambda t: F.pmod(t, F.col("parts")) == F.col("part"))).drop("parts", "part")
+    each = each.where(parts == 1).withColumn("whole", F.lit(True)).unionByName(many.withColumn("whole", F.lit(False)))
+    both = each.select("*", F.posexplode("dealt").alias("i", "a")).select("*", F.posexplode("dealt").alias("j", "b"))
+    both = both.where((F.col("i") < F.col("j")) & (F.pmod("a", classes(F.col("band"))) == F.pmod("b", classes(F.col("band")))))
+    # a and b in order of rarity, which is one for all sets
+    return both.select(F.xxhash64("band", "a", "b").alias("key"), F.when(F.col("whole"), F.col("j")).alias("at"), *(c for c in sets.columns if c != "tokens"))
 
 
 def bit_table(hashes: DataFrame) -> DataFrame:
@@ -136,19 +133,13 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
 
 def apart(a: str, b: str) -> Column:
     """A lower bound of the number of elements in which two sets differ, from their bitmaps."""
-
-    def of(name: str) -> Column:
-        return F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-
-    # a hash stands in one of the two quarters or in the rest, so the three distances add up to a lower bound
-    split = F.bit_count(of("quarter_a")) + F.bit_count(of("quarter_b")) + F.bit_count(of("bits").bitwiseXOR(of("quarter_a")).bitwiseXOR(of("quarter_b")))
-    return F.when(F.least(f"{a}.n", f"{b}.n") >= LONG_SET, split).otherwise(F.bit_count(of("bits")))
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
 
 
 def may_be_similar(a: str, b: str, threshold: float) -> Column:
     """Length filter, positional filter and bitmaps for two rows with one key."""
     na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "at") for s in (a, b))
-    common = F.least(na - pa, nb - pb) + F.least(pa, pb)
+    common = F.when(pa.isNull() | pb.isNull(), F.least(na, nb)).otherwise(F.least(na - pa, nb - pb) + F.least(pa, pb))
     return (
         (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9)
         & (common >= F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9))
@@ -170,35 +161,33 @@ def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float
 
 
 def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
-    """A shared table of the different sets: id (of the first line with that set), n, bits, quarter_a, quarter_b, tokens."""
-
-    def parity(quarter: int | None) -> Column:
-        """A bitmap of 64 bits: whether an odd number of the set's hashes (of those with this quarter) have this value in their last 6 bits."""
+    """A shared table of the different sets: id (of the first line with that set), n, bits, tokens."""
 
-        def flip(a: Column, x: Column) -> Column:
-            one = F.lit(1) if quarter is None else F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(3)) == quarter
-            return a.bitwiseXOR(F.call_function("shiftleft", one.cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-
-        found = F.aggregate("words", F.lit(0).cast("long"), flip)
-        return found if quarter is None else F.when(n >= LONG_SET, found).otherwise(F.lit(0).cast("long"))
+    def flip(a: Column, x: Column) -> Column:
+        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
 
+    # whether an odd number of the set's hashes have this value in their last 6 bits
+    parity = F.aggregate("words", F.lit(0).cast("long"), flip)
     n = F.size("words")
     size = prefix_size(n, classes(band(n)), threshold)
     tokens = F.transform(F.slice("words", F.lit(1), size), lambda x: F.hash(x))
     sets = numbered_lines(rows).select("id", word_set("line", powers).alias("words"))
-    sets = sets.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("check"), F.struct("id", n.alias("n"), parity(None).alias("bits"), parity(0).alias("quarter_a"), parity(1).alias("quarter_b"), tokens.alias("tokens")).alias("s"))
+    sets = sets.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("check"), F.struct("id", n.alias("n"), parity.alias("bits"), tokens.alias("tokens")).alias("s"))
     return shared.table(sets.groupBy("h", "check").agg(F.min("s").alias("s")).select("s.*"), "firsts")
 
 
 def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
-    counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
-    table = shared.table(bit_table(counted.select(F.col("key").alias("h"))), "bits")
-    keyed = join_keys(firsts, threshold)
-    live = shared.table(keyed.where(may_be_in(table, F.col("key"))), "live")
-
-    heads = live.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits", "quarter_a", "quarter_b")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
-    met = live.alias("l").join(heads, "key").select("h", F.struct("l.id", "l.n", "l.at", "l.bits", "l.quarter_a", "l.quarter_b").alias("l"))
+    # nearly all keys stand alone, so sorting them twice costs less than hashing them; both sides read one exchange
+    narrow = join_keys(firsts.select("n", "tokens", F.xxhash64("id.rid", "id.line_no").alias("of")), threshold).select("key", "of")
+    one, other = narrow.alias("one"), narrow.alias("other")
+    met = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.of") != F.col("other.of")), "left_semi")
+    table = shared.table(bit_table(met.select(F.col("key").alias("h"))), "bits")
+    keyed = join_keys(firsts, threshold).where(may_be_in(table, F.col("key")))
+    live = shared.table(keyed.select("key", "id", "n", "bits", "at"), "live")
+
+    heads = live.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
+    met = live.alias("l").join(heads, "key").select("h", F.struct("l.id", "l.n", "l.at", "l.bits").alias("l"))
     met = met.where((F.col("h.id") < F.col("l.id")) & may_be_similar("h", "l", threshold))
     nearest = shared.table(met.select(F.col("l.id").alias("y"), F.struct(apart("h", "l").alias("apart"), F.col("h.id").alias("x")).alias("c")).groupBy("y").agg(F.min("c").alias("c")).select("c.x", "y"), "nearest")
     by_head = verified(nearest, rows, powers, threshold)
