@@ -178,11 +178,9 @@ def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
 
 def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
-    # nearly all keys stand alone, so sorting them twice costs less than hashing them; both sides read one exchange
-    narrow = join_keys(firsts.select("n", "tokens", F.xxhash64("id.rid", "id.line_no").alias("of")), threshold).select("key", "of")
-    one, other = narrow.alias("one"), narrow.alias("other")
-    met = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.of") != F.col("other.of")), "left_semi")
-    table = shared.table(bit_table(met.select(F.col("key").alias("h"))), "bits")
+    counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
+    table = shared.table(bit_table(counted.select(F.col("key").alias("h"))), "bits")
+    shared.forget()
     keyed = join_keys(firsts, threshold).where(may_be_in(table, F.col("key")))
     live = shared.table(keyed.select("key", "id", "n", "bits", "at"), "live")
 
@@ -190,6 +188,7 @@ def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold:
     met = live.alias("l").join(heads, "key").select("h", F.struct("l.id", "l.n", "l.at", "l.bits").alias("l"))
     met = met.where((F.col("h.id") < F.col("l.id")) & may_be_similar("h", "l", threshold))
     nearest = shared.table(met.select(F.col("l.id").alias("y"), F.struct(apart("h", "l").alias("apart"), F.col("h.id").alias("x")).alias("c")).groupBy("y").agg(F.min("c").alias("c")).select("c.x", "y"), "nearest")
+    shared.forget()
     by_head = verified(nearest, rows, powers, threshold)
 
     open_ = live.join(by_head.withColumnRenamed("y", "id"), "id", "left_anti")
@@ -197,9 +196,10 @@ def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold:
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", threshold))
     pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(nearest, ["x", "y"], "left_anti")
     pairs = shared.table(pairs, "pairs")
+    shared.forget(live, nearest)
     by_key = verified(pairs, rows, powers, threshold)
     found = shared.table(by_head.unionByName(by_key).select(F.col("y").alias("id")), "later")
-    shared.forget(table, live, nearest, by_head, pairs, by_key)
+    shared.forget(table, by_head, pairs, by_key)
     return found
 
 
@@ -207,6 +207,7 @@ def kept_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A shared table of rid and kept, the numbers of the lines with words that stay, for each row of rows (rid, text) that loses a line."""
     powers = rarity(rows)
     firsts = first_lines(rows, powers, threshold)
+    shared.forget()
     later = later_copies(rows, firsts, powers, threshold)
     stay = firsts.select("id").join(later, "id", "left_anti").groupBy(F.col("id.rid").alias("rid")).agg(F.collect_list("id.line_no").alias("kept"))
     wordy = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORDY)))

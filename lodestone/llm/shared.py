@@ -11,6 +11,7 @@ import contextlib
 import gc
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
@@ -64,9 +65,9 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables made by table() whose readers are all done, and let Spark's cleaner free the shuffle files of finished jobs."""
     for df in tables:
         remove(_paths.pop(id(df))[1])
-    spark = tables[0].sparkSession
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files are freed with the driver's handles to them
+    if (context := SparkContext._active_spark_context) is not None:
+        context._jvm.System.gc()  # shuffle files go with the driver's handles to them
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
