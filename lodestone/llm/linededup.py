@@ -22,6 +22,7 @@ while the texts are read, so texts are shuffled once, in the end, and only those
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,9 @@ from lodestone.llm import shared
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
 FILTER_BITS = 1 << 26
+#: Keys of more sets than this are those of crowds, whose members share many keys.
+CROWD = 16
+SLICES = 4
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
 SMALL_CLASSES, MEDIUM, CLASSES = 2, 12, 8
 #: Classes of one part of a long prefix.
@@ -176,33 +180,59 @@ def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
     return shared.table(sets.groupBy("h", "check").agg(F.min("s").alias("s")).select("s.*"), "firsts")
 
 
+def heads_met(live: DataFrame, threshold: float) -> DataFrame:
+    """A shared table of the rows (key, rid, line_no, n, bits, at) of live whose pair with the earliest of their key passes the filters (near; x: that one's id), and of those with a key of three sets or more."""
+    set_ = F.struct("rid", "line_no", "n", "at", "bits")
+    heads = live.groupBy("key").agg(F.min(set_).alias("h"), F.count("*").alias("size")).where("size > 1")
+    met = live.select("key", set_.alias("l")).join(heads, "key")
+    near = (id_of("h") < id_of("l")) & may_be_similar("h", "l", threshold)
+    # a key of two sets has no other pair than that of its head
+    met = met.select("key", "size", "l.*", near.alias("near"), F.when(near, apart("h", "l")).alias("apart"), F.when(near, id_of("h")).alias("x"))
+    found = shared.table(met.where(F.col("near") | (F.col("size") > 2)), "met")
+    shared.forget()
+    return found
+
+
 def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
     counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
     table = shared.table(bit_table(counted.select(F.col("key").alias("h"))), "bits")
     shared.forget()
-    keyed = join_keys(firsts, threshold).where(may_be_in(table, F.col("key")))
-    live = shared.table(keyed.select("key", "id", "n", "bits", "at"), "live")
-
-    heads = live.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
-    met = live.alias("l").join(heads, "key").select("h", F.struct("l.id", "l.n", "l.at", "l.bits").alias("l"))
-    met = met.where((F.col("h.id") < F.col("l.id")) & may_be_similar("h", "l", threshold))
-    nearest = shared.table(met.select(F.col("l.id").alias("y"), F.struct(apart("h", "l").alias("apart"), F.col("h.id").alias("x")).alias("c")).groupBy("y").agg(F.min("c").alias("c")).select("c.x", "y"), "nearest")
-    shared.forget()
+    keyed = join_keys(firsts.select("id.rid", "id.line_no", "n", "bits", "tokens"), threshold)
+    live = shared.table(keyed.where(may_be_in(table, F.col("key"))), "live")
+    shared.forget(table)
+
+    # the keys are worked off in slices, which bounds the disk that their rows take while they are sorted
+    slices = [heads_met(live.where(F.pmod("key", F.lit(SLICES)) == k), threshold) for k in range(SLICES)]
+    shared.forget(live)
+    met = functools.reduce(DataFrame.unionByName, slices)
+    by_heads = met.where("near").select(id_of().alias("y"), "apart", "x").groupBy("y", "x").agg(F.min("apart").alias("apart"))
+    nearest = shared.table(by_heads.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("c")).select("c.x", "y"), "nearest")
     by_head = verified(nearest, rows, powers, threshold)
 
-    open_ = live.join(by_head.withColumnRenamed("y", "id"), "id", "left_anti")
-    a, b = live.alias("a"), open_.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", threshold))
-    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct().join(nearest, ["x", "y"], "left_anti")
-    pairs = shared.table(pairs, "pairs")
-    shared.forget(live, nearest)
+    done = by_head.select(F.col("y").alias("id"))
+    others = by_heads.select("x", "y").join(by_head, "y", "left_anti").join(nearest, ["x", "y"], "left_anti")
+    few, many = met.where(F.col("size").between(3, CROWD)).withColumn("keys", F.lit(None).cast("array<bigint>")), met.where(F.col("size") > CROWD)
+    # members of a crowd share many keys: a pair of them is taken up at its smallest common one
+    many = many.join(many.groupBy("rid", "line_no").agg(F.sort_array(F.collect_list("key")).alias("keys")), ["rid", "line_no"])
+    members = few.unionByName(many).select("key", "keys", id_of().alias("id"), "n", "at", "bits")
+    a, b = members.alias("a"), members.join(done, "id", "left_anti").alias("b")
+    first_key = F.col("a.keys").isNull() | (F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", threshold) & first_key)
+    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).join(nearest, ["x", "y"], "left_anti")
+    pairs = shared.table(pairs.unionByName(others).distinct(), "pairs")
+    shared.forget(*slices, nearest)
     by_key = verified(pairs, rows, powers, threshold)
     found = shared.table(by_head.unionByName(by_key).select(F.col("y").alias("id")), "later")
-    shared.forget(table, by_head, pairs, by_key)
+    shared.forget(by_head, pairs, by_key)
     return found
 
 
+def id_of(alias: str = "") -> Column:
+    dot = f"{alias}." if alias else ""
+    return F.struct(F.col(f"{dot}rid").alias("rid"), F.col(f"{dot}line_no").alias("line_no"))
+
+
 def kept_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A shared table of rid and kept, the numbers of the lines with words that stay, for each row of rows (rid, text) that loses a line."""
     powers = rarity(rows)

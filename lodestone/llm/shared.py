@@ -61,10 +61,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete a table made by table(), all of whose readers are done."""
+    remove(_paths.pop(id(df))[1])
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by table() whose readers are all done, and let Spark's cleaner free the shuffle files of finished jobs."""
     for df in tables:
-        remove(_paths.pop(id(df))[1])
+        remove_table(df)
     gc.collect()
     if (context := SparkContext._active_spark_context) is not None:
         context._jvm.System.gc()  # shuffle files go with the driver's handles to them
