@@ -1,17 +1,20 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
 A text is coded byte by byte, and a final 0 byte ends it. Each of a byte's 8 bits is predicted in the contexts of the last 0
-to ORDER bytes, and of those of them that belong to the current word, together with the bits of this byte so far: a context's slot in a
-table of hashed counters holds how often the bit was 0 and 1 in training. The predictors' logits are combined by weights chosen by a gate (the
-bit's place, the longest context seen in training and the bytes since the word began), which are learned online, example by example, by the gradient of the code length. An adaptive map by the bits so
+to ORDER bytes, and of those of them that belong to the current word, together with the bits of this byte so far: a counter holds how often the
+bit was 0 and 1 there in training. The predictors' logits are combined by weights chosen by a gate (the bit's place, the longest context seen in training and how
+often the word so far was seen), which are learned online, a small batch of examples after another, by the gradient of the code length. An adaptive map by the bits so
 far refines the mixed probability. A text's score is the log10 probability of all its bits.
 
-Training gathers, from all training texts, the counts of all different (context, byte) grams; counters, weights and the map are
-made from all of these. When weights and map are learned, an example is first taken out of its own counters. The statistics are frozen for
-scoring, so a gram always costs the same and each task keeps the costs it has computed.
+What training gathers grows with its texts: the counts of all different grams (ORDER bytes and the byte after them). Grams are dealt into parts by the TAIL bytes before
+their last one. All contexts of TAIL bytes or more of a part's grams lie in that part, so one task makes their counters, exactly and without a table of
+fixed size. Counters of shorter contexts, of which there is a bounded number, are SHORT_BITS tables that every task gets. When weights and map
+are learned, an example is first taken out of its own counters; parts learn from the same start, and their weights are averaged by the number of examples of each gate.
+Counters, weights and map are frozen for scoring, nothing adapts within a text: so a gram's last byte costs the same everywhere, is worked out once, and a text's bits are a sum of
+such costs.
 
-The base score is that of a unigram word model with additive smoothing. Word counts are joined to batches of documents, not to single ones: each
-batch gets the counts of its own words only, so neither the vocabulary nor any document's words are ever broadcast or collected.
+The base score is that of a unigram word model with additive smoothing. Costs of grams and counts of words are joined to batches of documents, not to single ones: each
+batch gets those of its own grams and words only, so neither the counters nor the vocabulary nor any document's words are ever broadcast or collected.
 """
 
 from __future__ import annotations
@@ -20,29 +23,31 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import shared, vec
 
 ORDER = 6
-SLOT_BITS = 22
-#: Slots of contexts of TAIL bytes or more lie in parts by their last TAIL bytes, so that one task makes all of a part's counters.
+#: Contexts of so many bytes or more are counted within a part.
 TAIL = 3
-PART_BITS = 8
+PART_GRAMS = 500_000
 SHORT_BITS = 18
 #: Predictors: orders 0 to ORDER and the current word.
 MODELS = ORDER + 2
-GATES = 8 * (ORDER + 1) * (ORDER + 1)
+WORD = ORDER + 1
+SHORT = (*range(TAIL), WORD)
+#: Buckets of the number of times the word so far was seen: 0, 1, 2 to 3, ... 32 and more.
+SEEN = 7
+GATES = 8 * (ORDER + 1) * SEEN
 INPUTS = MODELS + 1
 BUCKETS = 33
-PRIOR = 0.35
-RATE = 0.25
+PRIOR = 0.1
+RATE = 0.05
+EXAMPLES = 1024
 BATCH_BYTES = 32 << 20
 END_WORD = np.uint64(1)
-_MEMO_BITS = 21
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,26 +81,19 @@ def word_length(gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def part_of(gram: np.ndarray) -> np.ndarray:
-    """The part of the counters in which a gram's longer contexts lie: a hash of the TAIL bytes before its last one."""
-    return (vec.mix(((gram >> np.uint64(8)) & np.uint64((1 << 8 * TAIL) - 1)) + np.uint64(1)) >> np.uint64(64 - PART_BITS)).astype(np.int64)
-
-
 def context_of(gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a number for the context of `order` bytes, or of the current word's for order ORDER + 1; whether it has TAIL bytes or more)."""
+    """(a number of 51 bits for the context of `order` bytes, or of the current word's for WORD; whether it has TAIL bytes or more)."""
     before = gram >> np.uint64(8)
     if order <= ORDER:
         return before & np.uint64((1 << 8 * order) - 1), np.full(len(gram), order >= TAIL)
-    size = word_length(gram)
-    return before & ((np.uint64(1) << (np.uint64(8) * size.astype(np.uint64))) - np.uint64(1)) | size.astype(np.uint64) << np.uint64(8 * ORDER), size >= TAIL
+    size = word_length(gram).astype(np.uint64)
+    return before & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)) | size << np.uint64(8 * ORDER), size >= TAIL
 
 
-def slots(gram: np.ndarray, node: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of a context with the bits so far (node: 1 and those bits), whether they are slots of long contexts)."""
-    context, long = context_of(gram, order)
+def short_slots(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
+    """Slots of short contexts with the bits so far (node: 1 and those bits)."""
     h = vec.mix((context << np.uint64(12)) ^ (node.astype(np.uint64) << np.uint64(3)) ^ np.uint64(order))
-    within = (h >> np.uint64(64 - SLOT_BITS + PART_BITS)).astype(np.int64)
-    return np.where(long, part_of(gram) << (SLOT_BITS - PART_BITS) | within, (h >> np.uint64(64 - SHORT_BITS)).astype(np.int64)), long
+    return (h >> np.uint64(64 - SHORT_BITS)).astype(np.int64)
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -106,57 +104,49 @@ def expit(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class Counters:
-    """Counts of bits by order and slot, of long and of short contexts, read from a shared table."""
-
-    def __init__(self, path: str | None):
-        self.long = {k: np.zeros((1 << SLOT_BITS, 2), np.float16) for k in range(TAIL, MODELS)}
-        self.short = {k: np.zeros((1 << SHORT_BITS, 2), np.float16) for k in (*range(TAIL), ORDER + 1)}
-        if path is None:
-            return
-        import pyarrow.parquet as pq
-        from pyarrow.fs import FileSelector
-
-        fs, inner = shared.filesystem(path)
-        short = {k: np.zeros((1 << SHORT_BITS, 2)) for k in self.short}
-        for info in fs.get_file_info(FileSelector(inner)):
-            if info.path.endswith(".parquet"):
-                with fs.open_input_file(info.path) as f:
-                    for batch in pq.ParquetFile(f).iter_batches(64):
-                        for order, part, raw in zip(*(batch.column(c).to_pylist() for c in ("order", "part", "counts")), strict=True):
-                            if part >= 0:
-                                size = 1 << (SLOT_BITS - PART_BITS)
-                                self.long[order][part * size : (part + 1) * size] = np.frombuffer(raw, np.float16).reshape(-1, 2)
-                            else:
-                                rows = np.frombuffer(raw, [("slot", np.int32), ("n", np.float64, 2)])
-                                short[order][rows["slot"]] += rows["n"]
-        for k, n in short.items():
-            self.short[k] = capped(n)
-
-    def of(self, gram: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-        slot, long = slots(gram, node, order)
-        if order <= ORDER:
-            return (self.long if order >= TAIL else self.short)[order][slot].astype(np.float32)
-        return np.where(long[:, None], self.long[order][slot], self.short[order][np.minimum(slot, (1 << SHORT_BITS) - 1)]).astype(np.float32)
-
-    def inputs(self, gram: np.ndarray, node: np.ndarray, place: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(mixer inputs, gates) of one bit of each gram; own: the bits to take out of the counters once."""
+Bit = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def predictions(gram: np.ndarray, n: np.ndarray, short: dict[int, np.ndarray], own: bool) -> Iterator[Bit]:
+    """For each of the 8 bits of the last byte of a part's grams (n: their training counts): (mixer inputs, gates, nodes, bits).
+
+    own: take each gram once out of its counters.
+    """
+    symbol, node = (gram & np.uint64(255)).astype(np.int64), np.ones(len(gram), np.int64)
+    contexts = {k: context_of(gram, k) for k in range(MODELS)}
+    ordered = {}  # grams with a context and first bits stand together in the order of context and last byte
+    for k in range(TAIL, MODELS):
+        key = contexts[k][0] << np.uint64(8) | gram & np.uint64(255)
+        at = np.argsort(key)
+        ordered[k] = at, key[at], n[at]
+    taken = np.minimum(n, 1) if own else 0
+    for place in range(8):
+        bit = symbol >> (7 - place) & 1
         x = np.empty((len(gram), INPUTS), np.float32)
         x[:, -1] = 0.3
         longest = np.zeros(len(gram), np.int64)
         for k in range(MODELS):
-            n = self.of(gram, node, k)
-            if own is not None:
-                n[np.arange(len(own)), own] = np.maximum(n[np.arange(len(own)), own] - 1, 0)
-            x[:, k] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
+            context, long = contexts[k]
+            count = np.empty((len(gram), 2))
+            if k >= TAIL:
+                at, key, weight = ordered[k]
+                prefix = key >> np.uint64(8 - place)
+                group = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]])) if len(key) else np.zeros(0, np.int64)
+                ones = np.bincount(group, weight * bit[at])
+                count[at, 1] = ones[group]
+                count[at, 0] = (np.bincount(group, weight) - ones)[group]
+            if k in SHORT:
+                few = np.flatnonzero(~long)
+                count[few] = short[k][short_slots(context[few], node[few], k)]
+            if own:
+                count[np.arange(len(bit)), bit] = np.maximum(count[np.arange(len(bit)), bit] - taken, 0)
+            x[:, k] = np.log((count[:, 1] + PRIOR) / (count[:, 0] + PRIOR))
+            total = count.sum(1)
             if k <= ORDER:
-                longest[n.sum(1) > 0] = k
-        return x, (place * (ORDER + 1) + longest) * (ORDER + 1) + word_length(gram)
-
-
-def capped(n: np.ndarray) -> np.ndarray:
-    """Pairs of counts as float16, scaled down where one is too large for it."""
-    return (n * np.minimum(1, 60_000 / np.maximum(n.max(1, keepdims=True), 1))).astype(np.float16)
+                longest[total > 0] = k
+        seen = np.minimum(np.ceil(np.log2(total + 1)), SEEN - 1).astype(np.int64)  # of the word, the last predictor
+        yield x, (place * (ORDER + 1) + longest) * SEEN + seen, node, bit
+        node = node << 1 | bit
 
 
 class Mixer:
@@ -165,6 +155,7 @@ class Mixer:
     def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
         self.weights = np.array([0.3] * MODELS + [0.0], np.float32)[None].repeat(GATES, 0) if weights is None else weights
         self.squares = np.full((GATES, INPUTS), 1e-3, np.float32)
+        self.examples = np.zeros(GATES)
         self.seen = np.zeros((256, BUCKETS, 2)) if seen is None else seen
 
     @staticmethod
@@ -172,7 +163,7 @@ class Mixer:
         return np.clip(np.rint(z * 2).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(1), -14, 14)
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -14, 14)
 
     def refined(self, z: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of a 1: the mean of the mixed and the mapped logit."""
@@ -182,157 +173,176 @@ class Mixer:
         return expit((z + logit(np.clip(mapped, 1e-6, 1 - 1e-6))) / 2)
 
     def learn(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray, count: np.ndarray) -> None:
+        """One step for a batch of examples that stand for `count` equal ones each: the mean gradient of each gate, scaled by what it was before."""
         z = self.mixed(x, gate)
         np.add.at(self.seen, (node, self.bucket(z), bit), count)
         error = (bit - expit(z)) * count
-        total = np.bincount(gate, count, GATES)
-        step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(INPUTS)], 1) / np.maximum(total, 1)[:, None]
-        self.squares += step**2
-        self.weights += (RATE * step / np.sqrt(self.squares)).astype(np.float32) * (total > 0)[:, None]
+        order = np.argsort(gate, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], np.diff(gate[order]) != 0]))
+        gates = gate[order][head]
+        total = np.add.reduceat(count[order], head)
+        step = np.add.reduceat((error[:, None] * x)[order], head) / total[:, None]
+        self.examples[gates] += total
+        self.squares[gates] += step**2
+        self.weights[gates] += (RATE * step / np.sqrt(self.squares[gates])).astype(np.float32)
+
+    def train(self, gram: np.ndarray, n: np.ndarray, short: dict[int, np.ndarray]) -> None:
+        """Learn from the training grams of a part, in an order that their hashes give."""
+        used = np.flatnonzero(n > 0)
+        order = used[np.argsort(vec.mix(gram[used]))]
+        for x, gate, node, bit in predictions(gram, n, short, own=True):
+            for i in range(0, len(order), EXAMPLES):
+                at = order[i : i + EXAMPLES]
+                self.learn(x[at], gate[at], node[at], bit[at], n[at])
+
+    def bits(self, gram: np.ndarray, n: np.ndarray, short: dict[int, np.ndarray]) -> np.ndarray:
+        """Code length of the last byte of each gram of a part."""
+        out = np.zeros(len(gram))
+        for x, gate, node, bit in predictions(gram, n, short, own=False):
+            p = self.refined(self.mixed(x, gate), node)
+            out -= np.log2(np.where(bit == 1, p, 1 - p))
+        return out
+
 
+def empty_short() -> dict[int, np.ndarray]:
+    return {k: np.zeros((1 << SHORT_BITS, 2)) for k in SHORT}
 
-def gram_bits(counters: Counters, mixer: Mixer, gram: np.ndarray) -> np.ndarray:
-    """Code length of the last byte of each gram."""
-    out = np.zeros(len(gram))
-    node = np.ones(len(gram), np.int64)
-    symbol = (gram & np.uint64(255)).astype(np.int64)
+
+def count_short(gram: np.ndarray, n: np.ndarray, into: dict[int, np.ndarray]) -> None:
+    """Add the grams' bits to the counters of short contexts."""
+    symbol, node = (gram & np.uint64(255)).astype(np.int64), np.ones(len(gram), np.int64)
     for place in range(8):
         bit = symbol >> (7 - place) & 1
-        p = mixer.refined(mixer.mixed(*counters.inputs(gram, node, place)), node)
-        out -= np.log2(np.where(bit == 1, p, 1 - p))
+        for k in SHORT:
+            context, long = context_of(gram, k)
+            few = np.flatnonzero(~long)
+            slot = short_slots(context[few], node[few], k)
+            into[k] += np.bincount(slot << 1 | bit[few], n[few], 2 << SHORT_BITS).reshape(-1, 2)
         node = node << 1 | bit
-    return out
 
 
-class Scorer:
-    """Code lengths of grams, kept in a table addressed by the gram's hash; a newer gram displaces an older one."""
-
-    def __init__(self, path: str | None, mixer: Mixer):
-        self.counters, self.mixer = Counters(path), mixer
-        self.keys = np.full(1 << _MEMO_BITS, np.uint64((1 << 64) - 1), np.uint64)
-        self.cost = np.zeros(1 << _MEMO_BITS)
-
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        at = ((gram * np.uint64(vec.BASE)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-        out = self.cost[at]
-        missing = np.flatnonzero(self.keys[at] != gram)
-        if len(missing):
-            new, back = np.unique(gram[missing], return_inverse=True)
-            cost = np.concatenate([gram_bits(self.counters, self.mixer, new[i : i + 65_536]) for i in range(0, len(new), 65_536)])
-            out[missing] = cost[back]
-            at = ((new * np.uint64(vec.BASE)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-            self.keys[at], self.cost[at] = new, cost
-        return out
+def batched(docs: DataFrame, train: Column) -> DataFrame:
+    """A shared table of doc_id, train, text and batch: texts in their order, BATCH_BYTES or one text in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batch, used = TaskContext.get().partitionId() << 24, 0
+        for rows, data, _ in vec.slices(batches):
+            if used and used + len(data) > BATCH_BYTES:
+                batch, used = batch + 1, 0
+            used += len(data)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, batch))], [*rows.schema.names, "batch"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return shared.table(given.mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched")
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """A shared table of gram and n, the number of times it stands in the texts."""
+def batch_grams(rows: DataFrame) -> DataFrame:
+    """A shared table of batch, gram and n: the different grams of each batch, and how often they stand in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-        for _, data, offs in vec.slices(batches):
-            k, n = sum_equal(grams(data, offs)[0])
-            keys.append(k)
-            counts.append(n)
-            size += len(k)
-            if size > 3_000_000:
-                k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, size = [k], [n], len(k)
-                if size > 1_500_000:
-                    yield to_batch(k, n)
-                    keys, counts, size = [], [], 0
-        if keys:
-            yield to_batch(*sum_equal(np.concatenate(keys), np.concatenate(counts)))
-
-    def to_batch(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    return shared.table(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-
-
-def count_bits(found: DataFrame) -> str:
-    """The path of a shared table of the counters (order, part, counts), made from the counts of all grams.
-
-    A task gets all grams of a part and makes its counters of long contexts, dense and complete. Short contexts meet in every part: of these it
-    gives what it has seen (part -1, sparse), as many as the parts times the short contexts at most; readers add them up.
-    """
+        now, keys, counts, size = None, [], [], 0
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal keys, counts, size
+            if not keys:
+                return
+            k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size = [k], [n], len(k)
+            if whole or size > 1_500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(k.view(np.int64)), pa.array(n)], ["batch", "gram", "n"])
+                keys, counts, size = [], [], 0
+
+        for part, data, offs in vec.slices(batches, limit=4 * vec.SLICE_BYTES):
+            g, first = grams(data, offs)
+            ids, train = np.repeat(part.column(2).to_numpy(), np.diff(first)), np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(first))
+            for batch in np.unique(part.column(2).to_numpy()).tolist():
+                if batch != now:
+                    yield from flush(True)
+                    now = batch
+                for learned in (True, False):
+                    k, n = sum_equal(g[(ids == batch) & (train == learned)])
+                    keys.append(k)
+                    counts.append(n * learned)
+                    size += len(k)
+                if size > 4_000_000:
+                    yield from flush(False)
+        yield from flush(True)
+
+    return shared.table(rows.select("train", "text", "batch").mapInArrow(run, "batch long, gram long, n long"), "batch-grams")
 
-    def run(table: pa.Table) -> pa.Table:
-        gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
-        part, size = int(part_of(gram[:1])[0]), 1 << (SLOT_BITS - PART_BITS)
-        dense = {k: np.zeros(2 * size) for k in range(TAIL, MODELS)}
-        sparse: dict[int, list] = {k: [] for k in (*range(TAIL), ORDER + 1)}
-        symbol = (gram & np.uint64(255)).astype(np.int64)
-        node = np.ones(len(gram), np.int64)
-        for place in range(8):
-            bit = symbol >> (7 - place) & 1
-            for k in range(MODELS):
-                slot, long = slots(gram, node, k)
-                if long.any():
-                    dense[k] += np.bincount((slot[long] & (size - 1)) << 1 | bit[long], n[long], 2 * size)
-                if not long.all():
-                    sparse[k].append(sum_equal(slot[~long] << 1 | bit[~long], n[~long]))
-            node = node << 1 | bit
-        out = [(k, part, capped(v.reshape(-1, 2)).tobytes()) for k, v in dense.items()]
-        for k, pieces in sparse.items():
-            if pieces:
-                key, count = sum_equal(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
-                slot = np.unique(key >> 1)
-                rows = np.zeros(len(slot), [("slot", np.int32), ("n", np.float64, 2)])
-                rows["slot"] = slot
-                rows["n"][np.searchsorted(slot, key >> 1), key & 1] = count
-                out.append((k, -1, rows.tobytes()))
-        return pa.table({"order": pa.array([x[0] for x in out], pa.int32()), "part": pa.array([x[1] for x in out], pa.int32()), "counts": pa.array([x[2] for x in out], pa.binary())})
-
-    @F.pandas_udf("int")
-    def part(gram: pd.Series) -> pd.Series:
-        return pd.Series(part_of(gram.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
-
-    path = shared.new_path(found.sparkSession, "counters")
-    found.groupBy(part("gram").alias("of")).applyInArrow(run, "order int, part int, counts binary").write.parquet(path)
-    return path
-
-
-_counters: dict[str, Counters] = {}
-_scorers: dict[str, Scorer] = {}
-
-
-def train_mixer(found: DataFrame, path: str) -> Mixer:
-    """Weights (means of those that each task has learned online from its share of the grams) and the adaptive map (sums)."""
+
+def short_counters(found: DataFrame) -> dict[int, np.ndarray]:
+    """The counters of short contexts: tables of a fixed size, added up over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters.clear()
-            _counters[path] = Counters(path)
-        counters, mixer, rows = _counters[path], Mixer(), 0
+        own = empty_short()
         for batch in batches:
-            gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            rows += len(gram)
-            for i in range(0, len(gram), 512):
-                g, count = gram[i : i + 512], n[i : i + 512]
-                symbol = (g & np.uint64(255)).astype(np.int64)
-                node = np.ones(len(g), np.int64)
-                for place in range(8):
-                    bit = symbol >> (7 - place) & 1
-                    x, gate = counters.inputs(g, node, place, bit)
-                    mixer.learn(x, gate, node, bit, count)
-                    node = node << 1 | bit
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * INPUTS)), pa.array(mixer.weights.ravel().astype(np.float64)), pa.array(np.full(GATES * INPUTS, 1.0))], ["key", "value", "tasks"])
-            used = np.flatnonzero(mixer.seen)
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - used), pa.array(mixer.seen.ravel()[used]), pa.array(np.ones(len(used)))], ["key", "value", "tasks"])
-
-    sums = found.mapInArrow(run, "key long, value double, tasks double").groupBy("key").agg(F.sum("value").alias("value"), F.sum("tasks").alias("tasks"))
+            count_short(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64), own)
+        for k, n in own.items():
+            used = np.flatnonzero(n.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used | k << SHORT_BITS), pa.array(n[used, 0]), pa.array(n[used, 1])], ["slot", "zeros", "ones"])
+
+    out = empty_short()
+    sums = found.where("n > 0").select("gram", "n").mapInArrow(run, "slot long, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    for batch in sums.toArrow().to_batches():  # len(SHORT) << SHORT_BITS rows at most
+        slot = batch.column(0).to_numpy()
+        for k in out:
+            mine = slot >> SHORT_BITS == k
+            out[k][slot[mine] & ((1 << SHORT_BITS) - 1)] = np.stack([batch.column(1).to_numpy()[mine], batch.column(2).to_numpy()[mine]], 1)
+    return out
+
+
+def in_parts(found: DataFrame) -> DataFrame:
+    """found (gram, n) with part: as many parts as give each about PART_GRAMS grams."""
+    parts = max(8, -(-found.count() // PART_GRAMS))
+    tail = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TAIL) - 1))
+    return found.select("gram", "n", F.pmod(F.xxhash64(tail), F.lit(parts)).alias("part"))
+
+
+def columns_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, counts) of a part, in ascending order, so that the order of arrival has no effect."""
+    gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
+def train_mixer(parted: DataFrame, short) -> Mixer:
+    """The mean of the parts' weights, by the number of examples, and the sum of their maps. short: the broadcast counters."""
+
+    def run(table: pa.Table) -> pa.Table:
+        mixer = Mixer()
+        mixer.train(*columns_of(table), short.value)
+        used = np.flatnonzero(mixer.seen)
+        per_gate = np.repeat(mixer.examples, INPUTS)
+        vec.release()
+        return pa.table({"key": np.concatenate([np.arange(GATES * INPUTS), -1 - used]), "value": np.concatenate([mixer.weights.ravel() * per_gate, mixer.seen.ravel()[used]]), "weight": np.concatenate([per_gate, np.ones(len(used))])})
+
+    sums = parted.groupBy("part").applyInArrow(run, "key long, value double, weight double").groupBy("key").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
     mixer = Mixer()
     weights, seen = mixer.weights.ravel(), mixer.seen.ravel()
-    for r in sums.collect():  # as large as the model: GATES * INPUTS + 256 * BUCKETS * 2 rows at most
+    for r in sums.where("weight > 0").collect():  # as large as the model: GATES * INPUTS + 256 * BUCKETS * 2 rows at most
         if r["key"] >= 0:
-            weights[r["key"]] = r["value"] / r["tasks"]
+            weights[r["key"]] = r["value"] / r["weight"]
         else:
             seen[-1 - r["key"]] = r["value"]
     return Mixer(weights.reshape(GATES, INPUTS), seen.reshape(256, BUCKETS, 2))
 
 
+def gram_costs(parted: DataFrame, mixer: Mixer, short) -> DataFrame:
+    """A shared table of gram and cost, the bits of its last byte."""
+    shipped = parted.sparkSession.sparkContext.broadcast(mixer)  # of fixed size
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = columns_of(table)
+        cost = shipped.value.bits(gram, n, short.value)
+        vec.release()
+        return pa.table({"gram": gram.view(np.int64), "cost": cost})
+
+    return shared.table(parted.groupBy("part").applyInArrow(run, "gram long, cost double"), "costs")
+
+
 def word_rows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first of each row): runs without white space, A-Z lower-cased. No hash is END_WORD or 0."""
     data = vec.LOWER[data]
@@ -340,25 +350,8 @@ def word_rows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.maximum(vec.span_hashes(data, starts, ends), 2), first
 
 
-def batched(docs: DataFrame, train: Column) -> DataFrame:
-    """A shared table of doc_id, train, text and batch: texts in their order, BATCH_BYTES or one text in a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        batch, used = TaskContext.get().partitionId() << 24, 0
-        for rows, data, _ in vec.slices(batches):
-            if used and used + len(data) > BATCH_BYTES:
-                batch, used = batch + 1, 0
-            used += len(data)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, batch))], [*rows.schema.names, "batch"])
-
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return shared.table(given.mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched")
-
-
-def count_words(rows: DataFrame) -> tuple[str, int, int]:
-    """(folder with a file for each batch: its words' hashes and training counts; tokens and different tokens in training)."""
+def batch_words(rows: DataFrame) -> DataFrame:
+    """A shared table of batch, word (its hash) and n: the different words of each batch, the end among them, and how often they stand in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
@@ -383,72 +376,110 @@ def count_words(rows: DataFrame) -> tuple[str, int, int]:
         k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), batch)), pa.array(k.view(np.int64)), pa.array(n)], ["batch", "word", "n"])
 
-    spark = rows.sparkSession
-    folder = shared.new_path(spark, "words")
     found = rows.select("train", "text", "batch").mapInArrow(run, "batch long, word long, n long")
-    found = found.groupBy("batch", "word").agg(F.sum("n").alias("n"))  # a batch may be split over tasks
-    word = Window.partitionBy("word")  # a row for each batch with the word
-    first = F.min(F.when(F.col("n") > 0, F.col("batch"))).over(word)
-    counted = found.select("batch", "word", F.sum("n").over(word).alias("total"), "n", (first == F.col("batch")).alias("first"))
-
-    def store(table: pa.Table) -> pa.Table:
-        batch = table["batch"][0].as_py()
-        words, n = table["word"].to_numpy().view(np.uint64), table["total"].to_numpy()
-        order = np.argsort(words)
+    return shared.table(found, "batch-words")
+
+
+def store(found: DataFrame, key: str, value: str, kind: type) -> str:
+    """A folder with a file for each batch: the keys of found (batch, key, value), which a batch may have twice with one value, in ascending order, and their values."""
+    folder = shared.new_path(found.sparkSession, f"{key}-files")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, at = np.unique(table["key"].to_numpy().view(np.uint64), return_index=True)
+        values = table["value"].to_numpy()[at].astype(kind)
         fs, inner = shared.filesystem(folder)
         fs.create_dir(inner, recursive=True)
         name = f"{inner}/{uuid.uuid4().hex}"
         with fs.open_output_stream(name, compression=None) as f:
-            f.write(np.array([len(order)], np.int64).tobytes() + words[order].tobytes() + n[order].astype(np.int64).tobytes())
-        fs.move(name, f"{inner}/{batch}")
-        tokens, different = int(table["n"].to_numpy().sum()), int(table["first"].to_numpy(zero_copy_only=False).astype(float).sum()) if table.num_rows else 0
-        return pa.table({"tokens": pa.array([tokens], pa.int64()), "different": pa.array([different], pa.int64())})
+            f.write(np.array([len(keys)], np.int64).tobytes() + keys.tobytes() + values.tobytes())
+        fs.move(name, f"{inner}/{table['batch'][0].as_py()}")  # a task that runs again writes the same file
+        vec.release()
+        return pa.table({"batch": table["batch"][:1]})
 
-    counted = counted.withColumn("first", F.coalesce("first", F.lit(False)))
-    total = counted.groupBy("batch").applyInArrow(store, "tokens long, different long").agg(F.sum("tokens").alias("tokens"), F.sum("different").alias("different")).first()
-    return folder, int(total["tokens"] or 0), int(total["different"] or 0)
+    found.select("batch", F.col(key).alias("key"), F.col(value).alias("value")).groupBy("batch").applyInArrow(run, "batch long").count()
+    return folder
 
 
-def read_words(folder: str, batch: int) -> tuple[np.ndarray, np.ndarray]:
-    fs, inner = shared.filesystem(folder)
-    with fs.open_input_file(f"{inner}/{batch}") as f:
-        raw = f.read()
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+class Lookup:
+    """A batch's file as a map from keys to values; every key asked for is there."""
+
+    def __init__(self, folder: str, batch: int, kind: type):
+        fs, inner = shared.filesystem(folder)
+        with fs.open_input_file(f"{inner}/{batch}") as f:
+            raw = f.read()
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        keys, values = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, kind, n, 8 + 8 * n)
+        self.shift = np.uint64(64 - max(4, n.bit_length()))
+        place = self.place(keys)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.begin = np.searchsorted(place[order], np.arange(1 << (64 - int(self.shift))))
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(29))) * np.uint64(vec.BASE) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.begin[self.place(keys)]
+        left = np.flatnonzero(self.keys[at] != keys) if len(keys) else at
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
+
+
+def count_words(rows: DataFrame) -> tuple[str, int, int]:
+    """(folder with a file for each batch: its words' hashes and training counts; tokens and different tokens in training)."""
+    found = batch_words(rows)
+    totals = found.groupBy("word").agg(F.sum("n").alias("total"))
+    seen = totals.where("total > 0").agg(F.sum("total").alias("tokens"), F.count("*").alias("different")).first()
+    folder = store(found.select("batch", "word").join(totals, "word"), "word", "total", np.int64)
+    shared.forget(found)
+    return folder, int(seen["tokens"] or 0), int(seen["different"])
+
+
+def count_grams(rows: DataFrame) -> str:
+    """A folder with a file for each batch: its grams and their costs."""
+    found = batch_grams(rows)
+    total = shared.table(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    short = rows.sparkSession.sparkContext.broadcast(short_counters(total))  # of fixed size
+    parted = in_parts(total)
+    costs = gram_costs(parted, train_mixer(parted, short), short)
+    shared.forget(total)
+    folder = store(found.select("batch", "gram").join(costs, "gram"), "gram", "cost", np.float64)
+    shared.forget(found, costs)
+    return folder
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every text of docs.
 
     train: the rows to learn from. Null texts are empty; an empty text has its end only. Repeated rows are scored alike, and each counts in training.
-    Without training rows all words are unknown and all bits as likely as not. An empty table gives no rows.
+    Texts of any length are scored whole; a text is a row, so a task holds its longest one. Other columns are ignored, whatever they are called.
+    Without training rows all words are unknown and all bits as likely as not. An empty table gives no rows. Words and grams are told apart by hashes and numbers of 64 bits.
     """
     rows = batched(docs, train)
-    found = count_grams(rows.where("train"))
-    path = count_bits(found)
-    shipped = docs.sparkSession.sparkContext.broadcast(train_mixer(found, path))  # of fixed size
+    costs = count_grams(rows)
     folder, tokens, different = count_words(rows)
     denominator = tokens + 0.1 * (different + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _scorers:
-            _scorers.clear()
-            _counters.clear()
-            _scorers[path] = Scorer(path, shipped.value)
-        scorer = _scorers[path]
-        now, words, counts = None, None, None
+        now, cost_of, count_of = None, None, None
         for part, data, offs in vec.slices(batches):
-            bits = vec.row_sums(scorer(grams(data, offs)[0]), offs + np.arange(len(offs)))
+            g, at = grams(data, offs)
             h, first = word_rows(data, offs)
-            n = np.zeros(len(h), np.int64)
+            cost, n = np.zeros(len(g)), np.zeros(len(h), np.int64)
             ends = np.zeros(part.num_rows, np.int64)
             ids = part.column(3).to_numpy()
             for batch in np.unique(ids).tolist():
                 if batch != now:
-                    now, (words, counts) = batch, read_words(folder, batch)
+                    cost_of = count_of = None
+                    now, cost_of, count_of = batch, Lookup(costs, batch, np.float64), Lookup(folder, batch, np.int64)
+                mine = np.repeat(ids == batch, np.diff(at))
+                cost[mine] = cost_of(g[mine])
                 mine = np.repeat(ids == batch, np.diff(first))
-                n[mine] = counts[np.searchsorted(words, h[mine])]
-                ends[ids == batch] = counts[np.searchsorted(words, END_WORD)]
+                n[mine] = count_of(h[mine])
+                ends[ids == batch] = count_of(np.array([END_WORD]))[0]
+            bits = vec.row_sums(cost, at)
             base = vec.row_sums(np.log10((n + 0.1) / denominator), first) + np.log10((ends + 0.1) / denominator)
             known = vec.row_sums((n > 0).astype(np.float64), first).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays(

@@ -65,6 +65,18 @@ def test_language_query(spark):
     assert {r.lang_pred for r in langid.predict(docs, docs.where("1 = 0")).collect()} == {"und"}
 
 
+def test_training_samples(spark):
+    """Different texts in the order of their hashes up to the bound, one at least of each language; copies count once."""
+    rows = [("x", "the same text " * 20)] * 500 + [("x", f"text {i} " * 30) for i in range(200)] + [("y", "a very long text " * 400)] * 3 + [("z", "short"), (None, "no language"), ("w", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    found = langid.training_sample(docs, 4000)
+    assert sorted(found) == ["x", "y", "z"] and len(set(found["x"])) == len(found["x"]) > 5
+    assert 0 < sum(map(len, found["x"])) <= 4000 and len(found["y"]) == 1 and len(found["y"][0]) == 4000 and found["z"] == [b"short"]
+    tie = spark.createDataFrame([("b", "same"), ("a", "same")], "lang string, text string")
+    asked = spark.createDataFrame([("same", 1), ("same", 1), ("same " * 300_000, 2)], "text string, lang_pred int")
+    assert {r.lang_pred for r in langid.predict(asked, tie).collect()} == {"a"}
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows = []
@@ -83,6 +95,57 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("1 = 0"), model).count() == 0
 
 
+def slow_toxicity(texts, toxic):
+    """Scores by the book: sets of n-grams, smoothed log-count ratios, and the same steps of gradient descent in plain Python."""
+
+    def features(text):
+        padded = b" " + text.encode().lower() + b" "
+        return {padded[i : i + n] for n in toxicity.N_GRAMS for i in range(len(padded) - n + 1)}
+
+    sets = [features(t) for t in texts]
+    n_toxic, n_clean = sum(toxic), len(toxic) - sum(toxic)
+    ratio = {}
+    for f in sorted(set().union(*sets)):
+        a, b = sum(f in s for s, y in zip(sets, toxic, strict=True) if y), sum(f in s for s, y in zip(sets, toxic, strict=True) if not y)
+        r = math.log((a + 1) / (n_toxic + 2)) - math.log((b + 1) / (n_clean + 2))
+        if a + b >= toxicity.LEAST_TEXTS and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[f] = r
+    names = list(ratio)
+    weight, moments = [0.0] * (len(names) + 1), [[0.0] * (len(names) + 1), [0.0] * (len(names) + 1)]
+    rows = [[k for k, f in enumerate(names) if f in s] for s in sets]
+    for t in range(1, 81):
+        grad = [toxicity.PENALTY * w for w in weight[:-1]] + [0.0]
+        for row, y in zip(rows, toxic, strict=True):
+            margin = weight[-1] + sum(ratio[names[k]] * weight[k] for k in row)
+            error = (1 / (1 + math.exp(-margin)) - y) * (0.5 / n_toxic if y else 0.5 / n_clean)
+            for k in row:
+                grad[k] += ratio[names[k]] * error
+            grad[-1] += error
+        for k, g in enumerate(grad):
+            moments[0][k] = 0.9 * moments[0][k] + 0.1 * g
+            moments[1][k] = 0.999 * moments[1][k] + 0.001 * g * g
+            weight[k] -= 0.02 * (moments[0][k] / (1 - 0.9**t)) / (math.sqrt(moments[1][k] / (1 - 0.999**t)) + 1e-8)
+    return [1 / (1 + math.exp(-weight[-1] - sum(ratio[f] * weight[k] for k, f in enumerate(names) if f in s))) for s in sets]
+
+
+def test_toxicity_by_the_book():
+    rng = random.Random(8)
+    texts = [text_of("x", rng, 12) + rng.choice(["", " vilify", " Scorned"]) + (" É" if i % 5 == 0 else "") for i in range(40)]
+    toxic = [("vilify" in t or "Scorned" in t) != (i % 10 == 9) for i, t in enumerate(texts)]
+    model = toxicity.fit([t.encode() for t in texts], np.array(toxic))
+    data = [t.encode() for t in texts]
+    got = model.score(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in data])]))
+    assert np.allclose(got, slow_toxicity(texts, toxic), atol=1e-5)
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, "vile words here"), (1, "vile words here"), (1, "another"), (2, "kind words"), (None, None), (3, "long " * 60_000)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(found) == 6 and found[0].score == found[1].score and len(found[0]) == 3
+
+
 def test_a_feature_counts_once():
     model = toxicity.Model(np.arange(1 << toxicity.SLOT_BITS), np.ones(1 << toxicity.SLOT_BITS), 0.0)
     data = b"abcdabcdabcd"
@@ -116,14 +179,93 @@ def test_scores(spark):
     assert alone.train_tokens == 0 and alone.base_score == pytest.approx(0) and alone.score == pytest.approx(-8 * math.log10(2), rel=0.01)
 
 
+def counted(texts):
+    """(grams of texts, how often each stands there, counters of short contexts)."""
+    data = [t.encode() for t in texts]
+    gram, n = mixing.sum_equal(mixing.grams(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in data])]))[0])
+    short = mixing.empty_short()
+    mixing.count_short(gram, n.astype(np.float64), short)
+    return gram, n.astype(np.float64), short
+
+
+def trained_mixer(texts):
+    gram, n, short = counted(texts)
+    mixer = mixing.Mixer()
+    mixer.train(gram, n, short)
+    return mixer
+
+
 def test_probabilities_sum_to_one():
-    mixer, counters = mixing.Mixer(), mixing.Counters(None)
-    rng = np.random.default_rng(0)
-    for table in (*counters.long.values(), *counters.short.values()):
-        table[:] = rng.integers(0, 5, table.shape)
-    context = np.uint64(0x616263646500)
-    bits = mixing.gram_bits(counters, mixer, context | np.arange(256, dtype=np.uint64))
-    assert np.exp2(-bits).sum() == pytest.approx(1, abs=1e-6)
+    rng = random.Random(5)
+    texts = [text_of("x", rng, 50) for _ in range(5)]
+    gram, n, short = counted(texts)
+    mixer = trained_mixer(texts)
+    for g in (gram[100], gram[-1], np.uint64(0x717171717171)):
+        every = (g & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+        both = np.unique(np.concatenate([gram, every]))
+        weight = np.zeros(len(both))
+        weight[np.searchsorted(both, gram)] = n
+        bits = mixer.bits(both, weight, short)[np.searchsorted(both, every)]
+        assert np.exp2(-bits).sum() == pytest.approx(1, abs=1e-6)
+
+
+def slow_text_bits(texts, mixer, text):
+    """Code length of a text, byte by byte and bit by bit, with counters in a dictionary."""
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def steps(data):
+        data = bytes(mixing.ORDER) + data + b"\0"
+        for at in range(mixing.ORDER, len(data)):
+            before = data[at - mixing.ORDER : at]
+            word = re.split(rb"[\x00\x09-\x0d\x20]", before)[-1]
+            contexts = [(k, before[mixing.ORDER - k :]) for k in range(mixing.ORDER + 1)] + [("word", word)]
+            for place in range(8):
+                yield place, contexts, 1 << place | data[at] >> (8 - place), data[at] >> (7 - place) & 1, word
+
+    for t in texts:
+        for _, contexts, node, bit, _ in steps(t.encode()):
+            for c in contexts:
+                counts[c, node][bit] += 1
+    total = 0.0
+    for place, contexts, node, bit, _ in steps(text.encode()):
+        found = [counts.get((c, node), (0, 0)) for c in contexts]
+        x = [math.log((b + mixing.PRIOR) / (a + mixing.PRIOR)) for a, b in found] + [0.3]
+        longest = max([k for k in range(mixing.ORDER + 1) if sum(found[k])], default=0)
+        seen = min(math.ceil(math.log2(sum(found[-1]) + 1)), mixing.SEEN - 1)
+        z = sum(w * v for w, v in zip(mixer.weights[(place * (mixing.ORDER + 1) + longest) * mixing.SEEN + seen].tolist(), x, strict=True))
+        z = max(-14.0, min(14.0, z))
+        zeros, ones = mixer.seen[node, max(0, min(mixing.BUCKETS - 1, round(z * 2) + mixing.BUCKETS // 2))]
+        p = 1 / (1 + math.exp(-z))
+        mapped = min(max((ones + 4 * p) / (zeros + ones + 4), 1e-6), 1 - 1e-6)
+        p = 1 / (1 + math.exp(-(z + math.log(mapped / (1 - mapped))) / 2))
+        total -= math.log2(p if bit else 1 - p)
+    return total
+
+
+def test_scores_bit_by_bit(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [text_of("x", rng, 25) for _ in range(12)] + ["", "ka ka\nro", "Äé", text_of("x", rng, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") < 12
+    mixer = trained_mixer(texts[:12])
+    monkeypatch.setattr(mixing, "train_mixer", lambda parted, short: mixer)
+    monkeypatch.setattr(mixing, "PART_GRAMS", 50)
+    for r in mixing.score(docs, train).collect():
+        assert r.score == pytest.approx(-slow_text_bits(texts[:12], mixer, texts[r.doc_id]) * math.log10(2), rel=1e-4)
+
+
+def test_weights_are_learned_without_the_example_itself():
+    """A text of letters by chance cannot be foretold, however well it was counted."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefgh", k=400)) for _ in range(20)]
+    gram, n, short = counted(texts)
+    mixer = trained_mixer(texts)
+    fresh, m, _ = counted(["".join(rng.choices("abcdefgh", k=3000))])
+    both = np.unique(np.concatenate([gram, fresh]))
+    weight = np.zeros(len(both))
+    weight[np.searchsorted(both, gram)] = n
+    bits = mixer.bits(both, weight, short)[np.searchsorted(both, fresh)]
+    assert 2.9 < (bits * m).sum() / m.sum() < 3.5
 
 
 def test_contexts_reach_six_bytes_back():
@@ -135,6 +277,12 @@ def test_contexts_reach_six_bytes_back():
     assert mixing.context_of(gram[6:7], 5)[0] == mixing.context_of(other, 5)[0] and mixing.context_of(gram[6:7], 6)[0] != mixing.context_of(other, 6)[0]
 
 
+def test_held_out_texts_beat_the_words(spark):
+    found = mixing.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    held = found.where("not train").toPandas()
+    assert (held.score > held.base_score).mean() > 0.6 and held.score.sum() > held.base_score.sum()
+
+
 def test_words_of_a_batch_in_two_tasks(spark):
     rows = spark.createDataFrame([(True, "a b", 0), (True, "a c", 0)], "train boolean, text string, batch long").repartitionByRange(2, "text")
     assert rows.rdd.getNumPartitions() == 2
