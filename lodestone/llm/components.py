@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from lodestone.llm import shared
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node of the component) of every node of edges (a, b: longs); self-loops and nulls are ignored.
 
     Large star: each node's larger neighbours move to its smallest neighbour. Small star: its smaller ones do. After each round
-    the edges are a shared table again, so lineage stays short; the rounds end when a round changes nothing. Neighbour
+    the edges are a shared table again, so lineage stays short; the rounds, about the logarithm of the longest path, end when a round changes nothing, and not before. Neighbour
     minima are aggregates with partial sums, so a node with very many neighbours is no hot task.
     """
     now = shared.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sums) == before:
-            break
-        before = tuple(sums)
-        now = shared.table(small_star(large_star(now)), "edges")
+    while (sums := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())) != before:
+        before, old = sums, now
+        now = shared.table(small_star(large_star(old)), "edges")
+        shared.remove_table(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 

@@ -113,7 +113,8 @@ def verify(texts: list[str], n: int, threshold: float, sides: np.ndarray | None
     h, first = shingle_sets(*vec.utf8(column), n)
     size = np.diff(first)
     both = overlaps(h, first)
-    linked = (both > 0) & (both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-3)
+    # sizes and overlaps are whole numbers, exact in 64 bits; the slack only takes up the rounding of the threshold
+    linked = (both > 0) & (both.astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6)
     linked &= np.triu(np.ones_like(linked), 1)
     if sides is not None:
         linked &= sides[:, None] != sides[None, :]
@@ -148,7 +149,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     class_id: the smallest doc_id of the row's near-duplicate group, its own if it has no link. copy_id: the
     smallest doc_id with the same n-gram set; n_copies: how many rows have it. n_links: rows with a Jaccard of at least
     threshold, the other copies and those of linked classes. Texts of 1 to n - 1 words have one n-gram, of all their
-    words; null texts and texts without words have none, link to nothing and are copies of nothing. Rows that share a doc_id
+    words; null texts and texts without words have none, link to nothing and are copies of nothing. Texts of any length take part whole; a block has one text at least. Ties go to the smallest doc_id. N-grams and sets are told apart by
+    hashes of 64 and 128 bits. Other columns are ignored, whatever they are called; an empty table gives no rows. Rows that share a doc_id
     are compared one by one, and each has the n_links of that of them with the most. Rows with a null doc_id are compared and counted too;
     without a name they get no row here.
     """
