@@ -4,7 +4,7 @@ Each task turns its documents, a shard of about SHARD_BYTES of whole texts at a
 builds the shard's suffix array: suffixes are sorted by their first three words (fewer where a text has very many different words) and the ties are refined by prefix
 doubling. Every suffix of every benchmark item is then looked up by binary search of its window (`window`
 words; a shorter item's only window is all of it); the range found holds all places where the window occurs verbatim.
-Matches that continue along the same item are joined, which gives the longest verbatim matches and their places.
+Matches that continue along the same item are joined, which gives the longest verbatim matches of a window or more and their places.
 
 A document is whole within one shard, so results need no shuffle and no document text leaves its task. Benchmark items
 are read from a shared table in blocks of BLOCK_ITEMS, whatever their number; nothing is broadcast or collected.
@@ -26,6 +26,9 @@ from lodestone.llm import shared, vec
 WINDOW = 13
 SHARD_BYTES = 2 << 20
 BLOCK_ITEMS = 5_000
+#: What a worker keeps of the benchmark between shards.
+CACHE_BYTES = 64 << 20
+MOST_MATCHES = 1 << 20
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,24 +128,54 @@ class Shard:
 
 
 def encoded_benchmark(benchmark: DataFrame) -> str:
-    """The path of a new shared table of item_id and the hashes of the item's words; items without an id or without words are left out."""
+    """The path of a new shared table of item_id and the hashes of the item's words; items without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in vec.slices(batches):
             hashes, first = word_hashes(data, offs)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["item_id", "words"])
 
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     path = shared.new_path(benchmark.sparkSession, "benchmark")
     items.mapInArrow(run, "item_id string, words array<bigint>").where("size(words) > 0").write.parquet(path)
     return path
 
 
-def blocks(path: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(item ids, words, first word of each) of blocks of items of a shared table."""
+class Block:
+    """Items with the different windows of each: of the block, of each width (a shorter item's only window is all of it)."""
+
+    def __init__(self, ids: list[str | None], words: np.ndarray, first: np.ndarray, window: int):
+        self.ids, self.words, self.first = ids, words, first
+        size = np.diff(first)
+        self.widths = []
+        for w in np.unique(np.minimum(size, window)):
+            of = np.flatnonzero(np.minimum(size, window) == w)
+            made = np.where(size[of] >= window, size[of] - window + 1, 1)
+            begin, owner = vec.ragged(first[of], made), np.repeat(of, made)
+            h = np.zeros(len(begin), np.uint64)
+            for k in range(int(w)):
+                h = vec.mix(h * np.uint64(vec.BASE) + words[begin + k])
+            _, at, number = np.unique(h, return_index=True, return_inverse=True)
+            order = np.lexsort((begin, number))  # places of each window
+            self.widths.append((int(w), begin[at], begin[order], owner[order], np.searchsorted(number[order], np.arange(len(at) + 1))))
+
+    def bytes(self) -> int:
+        return self.words.nbytes + sum(x.nbytes for _, *arrays in self.widths for x in arrays)
+
+
+_cached: dict[tuple[str, int], list[Block]] = {}
+
+
+def blocks(path: str, window: int) -> Iterator[Block]:
+    """Blocks of items of a shared table; a worker keeps what takes CACHE_BYTES at most and reads larger benchmarks again for each shard."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSelector
 
+    if (path, window) in _cached:
+        yield from _cached[path, window]
+        return
+    _cached.clear()
+    kept, size = [], 0
     fs, inner = shared.filesystem(path)
     for info in sorted(fs.get_file_info(FileSelector(inner)), key=lambda x: x.path):
         if info.path.endswith(".parquet"):
@@ -150,45 +183,64 @@ def blocks(path: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
                 for batch in pq.ParquetFile(f).iter_batches(BLOCK_ITEMS, columns=["item_id", "words"]):
                     lists = batch.column(1)
                     first = lists.offsets.to_numpy().astype(np.int64)
-                    yield batch.column(0).to_pylist(), lists.values.to_numpy().view(np.uint64), first
-
-
-def occurrences(shard: Shard, words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, place in the item, place in shard.seq, words) of all windows of the items that occur."""
-    numbers, size = shard.numbers(words), np.diff(first)
-    item, place, at, width = [], [], [], []
-    for w in np.unique(np.minimum(size, window)):
-        of = np.flatnonzero(np.minimum(size, window) == w)
-        made = np.where(size[of] >= window, size[of] - window + 1, 1)
-        begin = vec.ragged(first[of], made)
-        owner = np.repeat(of, made)
+                    block = Block(batch.column(0).to_pylist(), lists.values.to_numpy().view(np.uint64), first, window)
+                    size += block.bytes()
+                    if size <= CACHE_BYTES:
+                        kept.append(block)
+                    yield block
+    if size <= CACHE_BYTES:
+        _cached[path, window] = kept
+
+
+def found_windows(shard: Shard, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each width: (width, number of a window, its place in shard.seq) of all its occurrences, and (places in the items, items, first of each window).
+
+    Each place of the shard begins one window of a width, so there are as many occurrences as places at most, however often items repeat a window.
+    """
+    numbers = shard.numbers(block.words)
+    for w, begin, places, owners, first in block.widths:
         pattern = numbers[begin[:, None] + np.arange(w)]
-        known = (pattern > 0).all(1)
-        begin, owner, pattern = begin[known], owner[known], pattern[known]
-        lo, hi = shard.find(pattern)
+        known = np.flatnonzero((pattern > 0).all(1))
+        lo, hi = shard.find(pattern[known])
         n = hi - lo
-        item.append(np.repeat(owner, n))
-        place.append(np.repeat(begin - first[owner], n))
-        at.append(shard.sa[vec.ragged(lo, n)])
-        width.append(np.full(int(n.sum()), w))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, place, at, width))
+        yield w, np.repeat(known, n), shard.sa[vec.ragged(lo, n)], places, owners, first
+
 
+def longest_runs(shard: Shard, block: Block, window: np.ndarray, at: np.ndarray, width: int, places: np.ndarray, owners: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By row: the words of its longest verbatim match (0: none), its place in seq, the item and the place in that; ties: lowest item, then place.
 
-def longest_runs(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By row: the words of its longest verbatim match (0: none), its place in seq, the item and the place in that; ties: lowest item, then place."""
+    Windows that follow one another in an item and in a text are one match. Matches are taken up a group of items at a time, of about MOST_MATCHES (window, place) pairs or one item.
+    """
+    rows = len(shard.count)
     best = [np.zeros(rows, np.int64), *(np.full(rows, -1, np.int64) for _ in range(3))]
-    if len(item):
-        order = np.lexsort((at, at - place, item))
-        i, d, a, p = item[order], (at - place)[order], at[order], place[order]
-        new = np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(i))) - 1 + width[order][head]
-        pick = np.lexsort((a[head], i[head], -size, row[order][head]))
-        r = row[order][head][pick]
-        pick = pick[np.concatenate([[True], r[1:] != r[:-1]])]
-        r = row[order][head][pick]
-        for out, x in zip(best, (size, a[head], i[head], p[head]), strict=True):
-            out[r] = x[pick]
+    order = np.argsort(window, kind="stable")
+    window, at = window[order], at[order]
+    begin, end = np.searchsorted(window, np.arange(len(first) - 1)), np.searchsorted(window, np.arange(len(first) - 1), "right")
+    number = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    by_item = np.argsort(owners, kind="stable")
+    by_item = by_item[end[number[by_item]] > begin[number[by_item]]]  # entries (window, place in an item) with occurrences, item by item
+    n = (end - begin)[number[by_item]]
+    last = np.append(owners[by_item][1:] != owners[by_item][:-1], True)
+    total, start = np.cumsum(n), 0
+    while start < len(by_item):
+        stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + MOST_MATCHES, "right"))
+        stop = min(max(stop, start + 1), len(by_item))
+        stop += int(np.argmax(last[stop - 1 :]))  # to the end of the item
+        entry, count = by_item[start:stop], n[start:stop]
+        start = stop
+        i = np.repeat(owners[entry], count)
+        p = np.repeat(places[entry] - block.first[owners[entry]], count)
+        a = at[vec.ragged(begin[number[entry]], count)]
+        order = np.lexsort((a, a - p, i))
+        i, d, a, p = i[order], (a - p)[order], a[order], p[order]
+        head = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]))
+        size = np.diff(np.append(head, len(i))) - 1 + width
+        row = np.searchsorted(shard.begin, a[head], "right") - 1
+        pick = np.lexsort((a[head], i[head], -size, row))
+        pick = pick[np.concatenate([[True], row[pick][1:] != row[pick][:-1]])]
+        pick = pick[size[pick] > best[0][row[pick]]]
+        for out, x in zip(best, (size[pick], a[head][pick], i[head][pick], p[head][pick]), strict=True):
+            out[row[pick]] = x
     return tuple(best)
 
 
@@ -199,7 +251,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, prefix: st
     """docs with the columns of EXTRA: words, words inside any occurrence of a window, items with such windows (sorted
     ids), and the longest verbatim match (words, item, first word in the document; 0 and nulls without one).
 
-    A null text has no words. Items that share an id count as one. Empty tables: no rows, or no hits. Columns of
+    A null text has no words. Items that share an id count as one; items without an id hit words like any other, but are not named. Texts of any length and of any number of
+    different words take part whole; a text lies in one shard. Equal rows get equal results. Ties of the longest match go to the first block and item. Empty tables: no rows, or no hits. Columns of
     docs with these names (after prefix) are replaced; other columns stay, whatever they are called.
     """
     names = [prefix + k for k in EXTRA]
@@ -214,17 +267,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, prefix: st
             cover = np.zeros(len(shard.seq) + 1, np.int64)
             items: list[set[str]] = [set() for _ in range(n)]
             longest = [(0, None, None)] * n
-            for ids, words, first in blocks(table):
-                item, place, at, width = occurrences(shard, words, first, window)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + width, -1)
-                row = np.searchsorted(shard.begin, at, "right") - 1
-                for k in np.unique(row * len(ids) + item).tolist():
-                    items[k // len(ids)].add(ids[k % len(ids)])
-                size, where, which, _ = longest_runs(item, place, at, width, row, n)
-                for k in np.flatnonzero(size).tolist():
-                    if size[k] > longest[k][0]:
-                        longest[k] = (int(size[k]), ids[which[k]], int(where[k] - shard.begin[k]))
+            for block in blocks(table, window):
+                for width, number, at, places, owners, first in found_windows(shard, block):
+                    cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + width, minlength=len(cover))
+                    pairs = np.unique((np.searchsorted(shard.begin, at, "right") - 1) * len(first) + number)
+                    row, number_ = pairs // len(first), pairs % len(first)
+                    item = owners[vec.ragged(first[number_], first[number_ + 1] - first[number_])]
+                    for k in np.unique(np.repeat(row, first[number_ + 1] - first[number_]) * len(block.ids) + item).tolist():
+                        if (name := block.ids[k % len(block.ids)]) is not None:
+                            items[k // len(block.ids)].add(name)
+                    size, where, which, _ = longest_runs(shard, block, number, at, width, places, owners, first)
+                    for k in np.flatnonzero(size).tolist():
+                        if size[k] > longest[k][0]:
+                            longest[k] = (int(size[k]), block.ids[which[k]], int(where[k] - shard.begin[k]))
             hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
             extra = [
                 pa.array(shard.count),
