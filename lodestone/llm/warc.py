@@ -4,7 +4,7 @@ Pages become WARC/1.1 records, each a gzip member of its own, in one archive for
 writes a run: the index lines of its captures sorted by (URL key, timestamp, page_id). The runs are then merged
 externally: the key space is cut at quantiles of the keys, and each merge task streams its part of all runs through a loser tree
 and writes one segment of the index. Segments in order hold the capture history of every URL in global order. Records are read
-back along the merged index, a block of captures at a time.
+back as the merged index says.
 
 A run is a file of blocks of RUN_BLOCK captures (length, then zlib-compressed JSON lines), with the blocks' first keys and
 offsets at its end, so a merge task reads no more than its part. Files carry names of their own and only those that tasks report
@@ -16,11 +16,12 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ from lodestone.llm import shared
 
 RUN_BLOCK = 512
 READ_BLOCK = 2_048
+#: Runs that a task merges, and keys by which a run takes part in the quantiles.
+FAN_IN, RUN_KEYS = 64, 16
+#: Captures of so many bytes of an archive are read back by one task, one after another.
+READ_BYTES = 16 << 20
 #: Records of a synthetic capture carry this time plus page_id seconds, unless the pages have a timestamp column.
 EPOCH = 1_704_067_200
 
@@ -133,12 +138,11 @@ class LoserTree:
             self._play(self.winner)
 
 
-def write_run(fs, path: str, captures: list[tuple]) -> list[tuple]:
+def write_run(fs, path: str, captures: Iterable[tuple]) -> list[tuple]:
     """Write sorted captures as a run; returns the keys of all blocks."""
     blocks, at = [], 0
     with fs.open_output_stream(path) as f:
-        for i in range(0, len(captures), RUN_BLOCK):
-            part = captures[i : i + RUN_BLOCK]
+        for part in itertools.batched(captures, RUN_BLOCK):
             body = zlib.compress("\n".join(json.dumps(c) for c in part).encode(), 1)
             f.write(struct.pack("<I", len(body)) + body)
             blocks.append((part[0][:3], at))
@@ -166,6 +170,15 @@ def read_run(fs, path: str, low: tuple | None, high: tuple | None) -> Iterator[t
                     yield capture
 
 
+def read_files(fs, inner: str, files: list[tuple[str, tuple]], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The same of a run of several files (name, first key), one after another; only those that may hold such captures are opened."""
+    first = [key for _, key in files]
+    begin = max(0, bisect.bisect_left(first, low) - 1) if low is not None else 0
+    end = bisect.bisect_left(first, high) if high is not None else len(files)
+    for name, _ in files[begin:end]:
+        yield from read_run(fs, f"{inner}/{name}.run", low, high)
+
+
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html (binary), seconds, refers_to of every page.
 
@@ -205,32 +218,73 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
             out.close()
             captures.sort()
             keys = write_run(fs, f"{inner}/{name}.run", captures)
-            step = max(1, len(keys) // 64)
-            yield pa.RecordBatch.from_pydict({"name": [name], "captures": [len(captures)], "keys": [json.dumps(keys[::step])]})
+            yield pa.RecordBatch.from_pydict({"name": [name], "captures": [len(captures)], "keys": [json.dumps(sampled(keys))]})
 
     made = with_references(pages, least_bytes).mapInArrow(run, "name string, captures long, keys string").collect()  # a row for each archive
-    return {"folder": folder, "runs": sorted(({"name": r["name"], "captures": r["captures"], "keys": json.loads(r["keys"])} for r in made), key=lambda r: r["name"])}
+    runs = sorted(((r["name"], [tuple(k) for k in json.loads(r["keys"])]) for r in made))
+    return {"folder": folder, "captures": sum(r["captures"] for r in made), "runs": [{"files": [(name, keys[0])], "keys": keys} for name, keys in runs]}
+
+
+def sampled(keys: list[tuple]) -> list[tuple]:
+    """The first key and every so many of the others, RUN_KEYS to twice as many: a run's share in the quantiles."""
+    return keys[:: max(1, len(keys) // RUN_KEYS)]
+
+
+def quantiles(runs: list[dict], parts: int) -> list[tuple | None]:
+    """Bounds of parts of about equal numbers of captures; None at both ends."""
+    keys = sorted(k for r in runs for k in r["keys"])
+    parts = max(1, min(parts, len(keys)))
+    return [None, *sorted({keys[len(keys) * i // parts] for i in range(1, parts)}), None]
+
+
+def fewer_runs(spark: SparkSession, archives: dict) -> dict:
+    """archives with FAN_IN runs at most: passes in which each FAN_IN runs become one, a task for each range of keys of each group."""
+    while len(archives["runs"]) > FAN_IN:
+        runs, folder = archives["runs"], archives["folder"]
+        groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
+        tasks = [(n, part, low, high) for n, group in enumerate(groups) for bounds in [quantiles(group, len(group))] for part, (low, high) in enumerate(zip(bounds, bounds[1:]))]
+        shipped = spark.sparkContext.broadcast((tasks, [[r["files"] for r in g] for g in groups]))  # names and RUN_KEYS keys of each run
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tasks, files = shipped.value
+            fs, inner = shared.filesystem(folder)
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    n, part, low, high = tasks[t]
+                    name = f"merged-{uuid.uuid4().hex}"
+                    keys = write_run(fs, f"{inner}/{name}.run", LoserTree([read_files(fs, inner, f, low, high) for f in files[n]]))
+                    if keys:
+                        yield pa.RecordBatch.from_pydict({"group": [n], "part": [part], "name": [name], "keys": [json.dumps(sampled(keys))]})
+
+        made = sorted(spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, "group long, part long, name string, keys string").collect())  # a row for each file
+        merged_runs: dict[int, dict] = {}
+        for r in made:
+            keys = [tuple(k) for k in json.loads(r["keys"])]
+            now = merged_runs.setdefault(r["group"], {"files": [], "keys": []})
+            now["files"].append((r["name"], keys[0]))
+            now["keys"] += keys[:: max(1, len(groups[r["group"]]) // 2)]
+        archives = archives | {"runs": [merged_runs[k] for k in sorted(merged_runs)]}
+    return archives
 
 
 def merged(spark: SparkSession, archives: dict, parts: int | None = None) -> DataFrame:
     """The captures of all runs in global order: part, at (place in the part), url_key, seconds, page_id, offset, length, payload_bytes, payload_digest, archive.
 
-    Parts are ranges of the key; their bounds are quantiles of the runs' block keys (64 to 128 a run). A merge task holds a block of each run.
+    Parts are ranges of the key; their bounds are quantiles of the runs' block keys. A merge task holds a block of each of FAN_IN runs at most; more runs are first
+    merged into fewer, in passes.
     """
-    keys = sorted(tuple(k) for r in archives["runs"] for k in r["keys"])
-    parts = max(1, min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), len(keys)))
-    bounds = [None, *(keys[len(keys) * i // parts] for i in range(1, parts)), None]
-    names, folder = [r["name"] for r in archives["runs"]], archives["folder"]
+    archives = fewer_runs(spark, archives)
+    bounds = quantiles(archives["runs"], parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, folder = len(bounds) - 1, archives["folder"]
+    shipped = spark.sparkContext.broadcast([r["files"] for r in archives["runs"]])  # FAN_IN runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = shared.filesystem(folder)
         for batch in batches:
             for part in batch.column(0).to_pylist():
                 low, high = bounds[part], bounds[part + 1]
-                if low is not None and low == high:
-                    continue
                 rows = []
-                for at, c in enumerate(LoserTree([read_run(fs, f"{inner}/{n}.run", low, high) for n in names])):
+                for at, c in enumerate(LoserTree([read_files(fs, inner, files, low, high) for files in shipped.value])):
                     rows.append((part, at, c[0], c[1], None if c[2] == -1 << 63 else c[2], *c[3:]))
                     if len(rows) == READ_BLOCK:
                         yield to_batch(rows)
@@ -249,7 +303,7 @@ def merged(spark: SparkSession, archives: dict, parts: int | None = None) -> Dat
 def read_back(index: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url_key of each capture, from its record in the archive.
 
-    Each batch of captures is read archive by archive in the order of offsets. Digest and length of a response are those of the
+    The index, without payloads, is dealt out by stretches of the archives, so each archive is read from front to end by a few tasks. Digest and length of a response are those of the
     payload read; a revisit's are those of its headers, and must be those of the index.
     """
 
@@ -276,11 +330,16 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                         out[i] = (int(page) if page else None, size, digest, kind, int(refers) if refers else None, rows[i]["url_key"])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"])
 
-    return index.select("url_key", "offset", "length", "payload_bytes", "payload_digest", "archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string")
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    near = index.select("url_key", "offset", "length", "payload_bytes", "payload_digest", "archive").repartition(F.col("archive"), stretch).sortWithinPartitions("archive", "offset")
+    return near.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string")
 
 
 def capture_histories(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """All of it: write, merge, read back. Empty pages: no rows."""
+    """All of it: write, merge, read back. Empty pages: no rows.
+
+    Null html is empty, null ids and URLs stay null; payloads of any length are one record; rows that repeat an id are captures of their own. Other columns are ignored.
+    """
     archives = write(pages, least_bytes=least_bytes)
     if not archives["runs"]:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string")
