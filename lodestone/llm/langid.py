@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import vec
@@ -23,6 +23,8 @@ from lodestone.llm import vec
 UNDETERMINED = "und"
 #: The documented bound of the whole training sample.
 MOST_BYTES = 64 << 20
+#: The most languages of a model: with MOST_BYTES this bounds its tables, which are as large as the different grams of the sample times the languages.
+LANGUAGES = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -104,17 +106,29 @@ class Model:
 
 
 def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[bytes]]:
-    """Whole texts of each language, about max_bytes of each and MOST_BYTES in all, chosen by a hash of the text."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    """Different whole texts of each language in the order of their hashes, as many as max_bytes hold (MOST_BYTES / languages, if that is less), one at least.
+
+    Each text is taken once, however often it stands there. At most LANGUAGES languages are learned, those with most bytes; a first text longer than the bound is cut there.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+    once = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.octet_length("text")).alias("n"))  # copies count once
+    sizes = once.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return {}
-    share = {k: min(max_bytes, MOST_BYTES / len(sizes)) / max(1, n) for k, n in sizes.items()}
-    limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, float(min(1.0, v)))))
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")) * (1 << 30))
-    out: dict[str, list[bytes]] = {k: [] for k in share}
-    for r in chosen.select("lang", "text").collect():  # bounded, see above
+    most = min(max_bytes, MOST_BYTES // len(sizes))
+    # the texts with the smallest hashes: about twice the bound, so that ordering them is work of a bounded size
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(min(1.0, 2.0 * most / max(1, r["n"]))))))
+    hashed = usable.withColumn("h", F.xxhash64("text")).withColumn("near", F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    different = hashed.where("near").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    running = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    taken = different.withColumn("before", F.coalesce(running, F.lit(0))).where(F.col("before") + F.octet_length("text") <= most)
+    out: dict[str, list[bytes]] = {r["lang"]: [] for r in sizes}
+    for r in taken.select("lang", "text").collect():  # MOST_BYTES at most
         out[r["lang"]].append(r["text"].encode())
+    if missing := [k for k, v in out.items() if not v]:  # their few texts are long, or none was near
+        first = hashed.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.left("text", F.lit(most)), F.struct(F.octet_length("text"), "h")).alias("text"))
+        for r in first.collect():
+            out[r["lang"]].append(r["text"].encode()[:most])
     return out
 
 
@@ -124,7 +138,7 @@ def predict(docs: DataFrame, training: DataFrame, order: int = 3, max_bytes: int
     The model is fitted on about max_bytes of text of each language and MOST_BYTES of all, the documented bounds of this classifier;
     every text of docs is scored whole. Texts that are null or have no letter get `und` and score 0, and so do all
     if training has no labelled text. score is the share of the best language's probability. Languages with equal
-    code lengths: the first in alphabetical order. Columns of docs called lang_pred or score are replaced.
+    code lengths: the first in alphabetical order. Texts of any length are scored whole, repeated rows alike; an empty table gives no rows. Columns of docs called lang_pred or score are replaced.
     """
     spark = docs.sparkSession
     samples = {k: sorted(v) for k, v in training_sample(training, max_bytes).items()}

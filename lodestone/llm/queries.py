@@ -103,14 +103,14 @@ SQL: dict[str, str] = {
     """,
     "op9_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
-        i AS (SELECT item_id, {_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
         a AS (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, greatest(len(w) - 11, 2))) AS p FROM i WHERE len(w) > 0),
         iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM a),
         b AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
         dw AS (SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM b),
         m AS (SELECT r, p, iw.k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.s = iw.s),
         h AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
-        f AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+        f AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256,
                coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)

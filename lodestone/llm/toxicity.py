@@ -120,8 +120,9 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on docs' texts joined to labels' (doc_id, toxic).
 
-    At most MOST_TOXIC and MOST_CLEAN labelled ids, those with the smallest hashes of the id; rows with a null id or
-    label are left out, an id with both labels counts as toxic. Null texts are empty.
+    At most MOST_TOXIC and MOST_CLEAN labelled ids, those with the smallest hashes of the id, then the smallest ids; rows with a null id or
+    label are left out, an id with both labels counts as toxic. Of the rows of one id the smallest text takes part, so there are as many texts as ids. Null texts are empty. Texts of any
+    length take part whole. Without rows of both labels the model is a constant.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -129,12 +130,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most MOST_TOXIC + MOST_CLEAN pairs of numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    texts: dict[tuple, int] = {}
-    for r in rows.collect():  # MOST_TOXIC + MOST_CLEAN documents
-        texts.setdefault((r["doc_id"], r["text"] or ""), r["toxic"])
-    order = sorted(texts)
-    model = fit([t.encode() for _, t in order], np.array([texts[k] for k in order], bool))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()  # MOST_TOXIC + MOST_CLEAN documents
+    model = fit([r["text"].encode() for r in found], np.array([r["toxic"] for r in found], bool))
     vec.release()
     return model
 
@@ -142,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with the probability that each whole text is toxic; null and empty texts score as a text of two spaces.
 
-    A column of docs called like the new one is replaced; repeated rows get equal scores.
+    A column of docs called like the new one is replaced; repeated rows get equal scores. Texts of any length are scored whole; an empty table gives no rows.
     """
     kept = docs.drop(column)
     at = kept.columns.index("text")

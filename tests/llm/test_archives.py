@@ -27,15 +27,15 @@ def brute(docs, items, width=13):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words_of(t)
-        if i is not None and w:
+        if w:
             for k in range(max(1, len(w) - width + 1)):
-                windows[tuple(w[k : k + width])].add(str(i))
+                windows[tuple(w[k : k + width])] |= {str(i)} if i is not None else set()  # without an id it hits, but is not named
     out = []
     for i, t in docs:
         w, hit, found = words_of(t), set(), set()
         for size in {len(k) for k in windows}:
             for k in range(len(w) - size + 1):
-                if names := windows.get(tuple(w[k : k + size])):
+                if (names := windows.get(tuple(w[k : k + size]))) is not None:
                     found |= names
                     hit |= set(range(k, k + size))
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
@@ -72,6 +72,14 @@ def test_longest_match(spark):
     assert got == {1: (30, "1", 2), 2: (0, None, None)}
 
 
+def test_repetitive_texts_and_items(spark):
+    """Every place of a text begins one window of a width, however often an item repeats it."""
+    b = spark.createDataFrame([(1, "a b " * 800), (2, "a b " * 20 + "c"), (None, "q " * 13)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a b " * 10_000), (2, "b a " * 7 + "x"), (3, "q " * 20)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated, r.longest, r.longest_item) for r in decontam.digests(d, b).collect()}
+    assert got == {1: (20_000, 20_000, 2, True, 1600, "1"), 2: (15, 14, 2, True, 14, "1"), 3: (20, 20, 0, True, 13, None)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -121,6 +129,18 @@ def test_archives(spark):
     assert warc.capture_histories(spark, spark.createDataFrame([(None, None, "a"), (None, "x", "a")], "page_id long, url string, html string")).count() == 2
 
 
+def test_many_runs_are_merged_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "RUN_BLOCK", 7)
+    pages = spark.createDataFrame([(i, f"http://h{i * 7919 % 50}.example/{i % 11}", f"p{i % 90}") for i in range(700)], "page_id long, url string, html string")
+    made = warc.write(pages.where("1 = 0"))
+    made["runs"] = [r for k in range(7) for r in warc.write(pages.where(f"page_id % 7 = {k}"), made["folder"])["runs"]]
+    assert len(made["runs"]) == 7 and len(warc.fewer_runs(spark, made)["runs"]) <= 2
+    merged = warc.merged(spark, made, 3).orderBy("part", "at").collect()
+    keys = [(r.url_key, r.seconds, r.page_id) for r in merged]
+    assert keys == sorted(keys) and sorted(k[2] for k in keys) == list(range(700))
+
+
 def test_small_payloads_may_stay_responses(spark):
     frame = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "long text"), (4, "u", "long text")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.capture_histories(spark, frame, least_bytes=5).collect()}

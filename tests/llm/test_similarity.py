@@ -77,6 +77,30 @@ def test_lines_of_repeated_and_null_ids(spark):
     assert linededup.dedup(docs.where("1 = 0")).count() == 0
 
 
+def test_keys_of_similar_sets(spark):
+    """Sets of all sizes at the threshold, also across bands and in prefixes that are dealt out in parts, share a key."""
+    rng = random.Random(4)
+    lines = []
+    for n in (4, 5, 9, 10, 11, 12, 13, 15, 60, 102, 127, 128, 150, 160, 255, 256, 300, 1300, 2560):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        d = n // 9  # two sets of n words that share n - d have a Jaccard of (n - d) / (n + d)
+        lines += [" ".join(a), " ".join(a[d:] + [f"v{rng.randrange(10**9)}" for _ in range(d)]), " ".join(a + [f"u{rng.randrange(10**9)}" for _ in range(n // 4)])]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(docs, removed="removed").collect()}
+    assert [got[i] for i in range(len(lines))] == brute_lines(lines)
+    with pytest.raises(ValueError):
+        linededup.dedup(docs, 0.5)
+
+
+def test_a_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = sentence(rng, 40)
+    texts = [edited(rng, base, rng.randint(0, 8)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(docs, removed="removed").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+
+
 def test_lines_need_no_python(spark):
     docs = spark.createDataFrame(list(enumerate(corpus(2))), "doc_id long, text string")
     plan = linededup.dedup(docs)._jdf.queryExecution().toString()
@@ -138,6 +162,21 @@ def test_join_compares_every_row(spark):
     assert sorted(kept, key=str) == sorted([(1, a), (2, z), (None, y), (3, None)], key=str)
 
 
+def test_threshold_of_large_sets():
+    """Pairs at a Jaccard of exactly 0.8 are links, one n-gram less is none, whatever the size."""
+    for shared_words, own in ((8, 1), (80, 10), (16_000, 2_000), (40_000, 5_000)):
+        words = [f"w{i}" for i in range(shared_words + 2 * own + 1)]
+        a, b = words[: shared_words + own], words[:shared_words] + words[shared_words + own : shared_words + 2 * own]
+        assert len(set(a) & set(b)) * 9 == 4 * (len(a) + len(b))
+        assert len(ngram_join.verify([" ".join(a), " ".join(b)], 1, 0.8)[0]) == 1
+        assert len(ngram_join.verify([" ".join(a), " ".join([*b, words[-1]])], 1, 0.8)[0]) == 0
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.range(600).selectExpr("id as a", "id + 1 as b")
+    assert {r.component for r in components.connected_components(path).collect()} == {0}
+
+
 def test_bands():
     b, r = ngram_join.choose_bands(0.8, 0.9999, 128)
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.9999
