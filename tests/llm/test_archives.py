@@ -213,5 +213,7 @@ def test_suffix_keys_of_fewer_words(monkeypatch, words):
 def test_a_text_of_very_many_different_words():
     n = (1 << 21) + 10
     shard = decontam.Shard(np.arange(1, n + 1, dtype=np.uint64), np.array([0, n]))
-    item, place, at, width = decontam.occurrences(shard, np.arange(n - 19, n + 1, dtype=np.uint64), np.array([0, 20]), 13)
-    assert place.tolist() == list(range(8)) and at.tolist() == list(range(n - 20, n - 12)) and set(width) == {13}
+    block = decontam.Block(["x"], np.arange(n - 19, n + 1, dtype=np.uint64), np.array([0, 20]), 13)
+    ((width, number, at, places, _, first),) = decontam.found_windows(shard, block)
+    assert width == 13 and sorted(at.tolist()) == list(range(n - 20, n - 12)) and len(set(number.tolist())) == 8 == len(first) - 1
+    assert sorted((places[first[k]], a) for k, a in zip(number.tolist(), at.tolist(), strict=True)) == list(zip(range(8), range(n - 20, n - 12), strict=True))
