@@ -18,9 +18,11 @@ from lodestone.operators import chunking as C
 from lodestone.operators import evaluation as V
 from lodestone.operators import retrieval as R
 from lodestone.runtime import query
-from lodestone.sources.cache import latest
-from lodestone.sources.config import DEFAULT_HEADER
+from lodestone.plans import diagnostics as D
+from lodestone.sources import cache as K
+from lodestone.sources.config import Profile
 from lodestone.sources.index import problems_table
+from lodestone.sources.storage import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,6 +51,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _each(function: Callable, returns: str, *columns):
+    """A rule of the chunker for each row, as the chunker applies it; nulls give null."""
+
+    @F.pandas_udf(returns)
+    def run(*given: pd.Series) -> pd.Series:
+        return pd.Series([None if row[0] is None else function(*row) for row in zip(*given, strict=True)], dtype=object)
+
+    return run(*columns)
+
+
 def _squeezed(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '{_WS}+', ' ', 'g'))"
 
@@ -93,8 +105,7 @@ def vector_topk(spark, sf_dir):
 @register(_HITS + "SELECT query_id, id_num, distance FROM d")
 def vector_distances(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
-    out = R.distances(chunks, [(r["query_id"], r["embedding"]) for r in queries.collect()], None)
-    return out.where("query_id <> id_num")
+    return R.all_distances(queries, chunks).where("query_id <> id_num")
 
 
 @register(_HITS + f"SELECT query_id, id_num, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS number FROM h WHERE distance <= {SPACE_CUTOFF} QUALIFY number <= {FINAL}")
@@ -148,8 +159,9 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id_num"), "text", F.col("source"), F.col("lang"))
     chunks = docs.select("id_num", T.sha_embedding(F.col("text")).alias("embedding"))
     hits = R.top_k(_questions(spark, sf_dir).select("query_id", T.sha_embedding(F.col("query")).alias("embedding")), chunks, RAW)
-    described = docs.select("id_num", "text", "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("source_kind"), F.lit("overview").alias("doc_type"), T.section_heading(F.col("text")).alias("section_heading"), F.lit(0).alias("header_len"))
-    return R.select_context(hits.join(described, "id_num"), NEAR, FINAL)
+    described = docs.select("id_num", "text", "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("source_kind"), F.lit("overview").alias("doc_type"), F.lit(0).alias("header_len"))
+    chosen = R.select_context(hits.join(described, "id_num"), NEAR, FINAL)
+    return chosen.withColumn("section_heading", _each(C.heading_of, "string", F.col("text")))
 
 
 @register(_CONTEXT + "SELECT query_id, CAST(number AS INT) AS number, CAST(rank AS INT) AS rank, id_num, distance, content_key FROM s")
@@ -171,7 +183,7 @@ def grounding_gate(spark, sf_dir):
 
 def _heading_sql(x: str) -> str:
     line = _stripped(f"split_part({_stripped(x)}, chr(10), 1)")
-    return f"CASE WHEN length({line}) > {T.HEADING_CHARS} THEN left({line}, {T.HEADING_CHARS}) || '…' ELSE {line} END"
+    return f"CASE WHEN length({line}) > {C.HEADING_CHARS} THEN left({line}, {C.HEADING_CHARS}) || '…' ELSE {line} END"
 
 
 def _attribute_sql(x: str) -> str:
@@ -235,7 +247,7 @@ def cache_key(spark, sf_dir):
 @register(f"SELECT doc_id, row_number() OVER (PARTITION BY sha256('{FINGERPRINT}||' || {_question_sql('text')}) ORDER BY doc_id) > 1 AS from_cache FROM documents")
 def cache_hit_simulation(spark, sf_dir):
     """Documents as questions in order of arrival: the first of a key misses, all later ones hit."""
-    keyed = table(spark, sf_dir, "documents").select("doc_id", T.question_key(F.col("text"), FINGERPRINT).alias("key"))
+    keyed = written(table(spark, sf_dir, "documents").select("doc_id", T.question_key(F.col("text"), FINGERPRINT).alias("key")), "keys")
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
     return keyed.join(first, "key").select("doc_id", (F.col("doc_id") > F.col("first")).alias("from_cache"))
 
@@ -243,23 +255,42 @@ def cache_hit_simulation(spark, sf_dir):
 @register("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1")
 def cache_latest(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.col("turn").alias("created_at"), F.col("text").alias("seq"))
-    return latest(rows, "conv_id").select("conv_id", "turn", "role", "text")
+    return K.latest(rows, "conv_id").select("conv_id", "turn", "role", "text")
 
 
-@register("SELECT event_type, count(*) AS entries, min(ts) AS oldest, max(ts) AS newest FROM events GROUP BY event_type")
+@register("WITH r AS (SELECT ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) SELECT count(*) AS entries, min(ts) AS oldest, max(ts) AS newest FROM r")
 def cache_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("entries"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+    """Events as rows of a cache: those that a newer one of their key replaces don't count."""
+    rows = table(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("query_hash"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    return K.cache_stats(K.latest(rows))
+
+
+@register(
+    f"""WITH s AS (SELECT DISTINCT {_question_sql('text')} AS q FROM documents)
+    SELECT conv_id * 1000 + turn AS query_id, CASE WHEN s.q IS NOT NULL THEN 'answer of ' || length(s.q) END AS answer FROM conversations c LEFT JOIN s ON s.q = {_question_sql('c.text')}
+    UNION ALL SELECT -1 - doc_id, 'answer of ' || length({_question_sql('text')}) FROM documents"""
+)
+def cache_lookup(spark, sf_dir):
+    """Documents' texts are stored as answered questions; conversations and the documents, in capitals if they have no ß, are looked up."""
+    import uuid
+
+    docs = table(spark, sf_dir, "documents")
+    cache = K.AnswerCache(spark, str(scratch(spark) / f"cache-{uuid.uuid4().hex}"), FINGERPRINT)
+    stored = docs.select(F.col("text").alias("query"), F.concat(F.lit("answer of "), F.length(T.question_text(F.col("text"))).cast("string")).alias("answer"), F.array().cast(K.CONTEXT).alias("context"))
+    cache.store(stored)
+    louder = F.when(F.contains("text", F.lit("ß")), F.col("text")).otherwise(F.upper("text"))
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    asked = asked.unionByName(docs.select((-1 - F.col("doc_id")).alias("query_id"), F.concat(F.lit("  "), louder, F.lit(" ")).alias("query")))
+    return cache.lookup(asked).select("query_id", F.col("cached_answer").alias("answer"))
 
 
 @register("SELECT doc_id, [text, 'src:' || source] AS texts, [CAST(NULL AS VARCHAR), source] AS sources FROM documents")
 def cached_context(spark, sf_dir):
     """Stored context of two forms, a bare text and an object, read back as one."""
-    from lodestone.sources.cache import normal_context
-
     docs = table(spark, sf_dir, "documents")
     item = F.to_json(F.struct(F.concat(F.lit("src:"), "source").alias("text"), F.create_map(F.lit("source"), F.col("source")).alias("metadata")))
     bare = F.regexp_extract(F.to_json(F.array("text")), r"^\[(.*)\]$", 1)
-    context = normal_context(F.concat(F.lit("["), bare, F.lit(","), item, F.lit("]")))
+    context = K.normal_context(F.concat(F.lit("["), bare, F.lit(","), item, F.lit("]")))
     return docs.select("doc_id", context.alias("c")).select("doc_id", F.transform("c", lambda x: x["text"]).alias("texts"), F.transform("c", lambda x: F.element_at(x["metadata"], "source")).alias("sources"))
 
 
@@ -271,7 +302,13 @@ def sha_embedding(spark, sf_dir):
 
 @register(f"SELECT doc_id, {_heading_sql('text')} AS heading FROM documents")
 def section_heading(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.section_heading(F.col("text")).alias("heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", _each(C.heading_of, "string", F.col("text")).alias("heading"))
+
+
+@register("WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS p FROM documents) SELECT doc_id, " + ", ".join(f"coalesce(list_sum(list_filter(p, lambda x, i: i % 7 = {(i + 1) % 7})), 0) % 97 + 0.0::DOUBLE AS e{i + 1}" for i in range(7)) + " FROM d")
+def code_point_embedding(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select("doc_id", T.code_point_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", *(F.col("v")[i].alias(f"e{i}") for i in range(1, 8)))
 
 
 def _header_sql(heading: str) -> str:
@@ -284,8 +321,12 @@ def _header_sql(heading: str) -> str:
     SELECT doc_id, CASE WHEN length(whole) <= 100 THEN whole WHEN length(h) > length(whole) - 100 + 1 AND length(short) <= 100 THEN short ELSE '' END AS header FROM c"""
 )
 def fit_header(spark, sf_dir):
-    label = T.kind_label(F.col("source"), LABELS)
-    return table(spark, sf_dir, "documents").select("doc_id", T.fitted_header(DEFAULT_HEADER, F.col("source"), label, T.section_heading(F.col("text")), 200).alias("header"))
+    profile = Profile(kind_labels=LABELS)
+
+    def header(text: str, source: str) -> str:
+        return C.header_for(profile, source, source, C.heading_of(text), 200)
+
+    return table(spark, sf_dir, "documents").select("doc_id", _each(header, "string", F.col("text"), F.col("source")).alias("header"))
 
 
 @register(f"SELECT page_id, sha256({_attribute_sql('html')}) AS attribute_sha256, sha256(replace(html, '<', '&lt;')) AS body_sha256 FROM pages")
@@ -300,12 +341,12 @@ def cyrillic_answer(spark, sf_dir):
 
 @register(rf"SELECT doc_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, '|')) AS sha FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_stripped('s')}), lambda s: s <> '') AS l FROM documents)")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
+    return table(spark, sf_dir, "documents").select("doc_id", _each(C.sentences, "array<string>", F.col("text")).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
 
 
 @register(rf"SELECT doc_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, '|')) AS sha FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^([A-E])', chr(1) || '\1', 'g'), chr(1)), lambda s: {_stripped('s')}), lambda s: s <> '') AS l FROM documents)")
 def section_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.sections(F.col("text"), SECTION).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
+    return table(spark, sf_dir, "documents").select("doc_id", _each(lambda t: C.sections_of(t, SECTION), "array<string>", F.col("text")).alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
 
 
 @register(f"SELECT doc_id, CASE WHEN length(p) > {T.PREVIEW_CHARS} THEN left(p, {T.PREVIEW_CHARS}) || '...' ELSE p END AS preview FROM (SELECT doc_id, {_stripped('replace(text, chr(10), chr(32))')} AS p FROM documents)")
@@ -322,55 +363,163 @@ def keyword_classify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.keyword_hits(text, TOPIC_WORDS).alias("n"), V.relevance(F.col("text"), TOPIC_WORDS).alias("label"))
 
 
+#: Topic rules of the kind of the report's, for the languages of the synthetic texts.
+TOPICS = [
+    {"any": ["der"], "keywords": ["der"], "sure": 1, "otherwise": "irrelevant"},
+    {"any": ["the", "of"], "keywords": ["and", "with", "edth"], "otherwise": "doubtful"},
+    {"all": ["de", "la"], "keywords": ["por", "les", "que"]},
+]
+OTHERWISE = {"keywords": ["que", "en"]}
+
+
+def _sum_sql(x: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({x}, '{w}') AS INT)" for w in words) + ")"
+
+
+def _topic_sql(q: str, t: str) -> str:
+    def graded(n: str) -> str:
+        return f"CASE WHEN {n} >= 2 THEN 'relevant' WHEN {n} >= 1 THEN 'doubtful' ELSE 'irrelevant' END"
+
+    first, second, third = (_sum_sql(t, r["keywords"]) for r in TOPICS)
+    return f"""CASE WHEN contains({q}, 'der') THEN CASE WHEN {first} >= 1 THEN 'relevant' ELSE 'irrelevant' END
+        WHEN contains({q}, 'the') OR contains({q}, 'of') THEN CASE WHEN {second} >= 2 THEN 'relevant' ELSE 'doubtful' END
+        WHEN contains({q}, 'de') AND contains({q}, 'la') THEN {graded(third)} ELSE {graded(_sum_sql(t, OTHERWISE["keywords"]))} END"""
+
+
+@register(f"SELECT doc_id, {_topic_sql('q', 't')} AS label FROM (SELECT doc_id, {_squeezed('lower(' + _heading_sql('text') + ')')} AS q, {_squeezed('lower(text)')} AS t FROM documents)")
+def topic_classify(spark, sf_dir):
+    """A document's heading as the question, its text as what was found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _each(C.heading_of, "string", F.col("text")).alias("q"))
+    return docs.select("doc_id", V.classify(F.col("q"), F.col("text"), TOPICS, OTHERWISE).alias("label"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, their raw hits) by the offline embedder."""
+    asked = _questions(spark, sf_dir).withColumn("embedding", T.sha_embedding(F.col("query")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id_num"), "text", "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("section_heading"))
+    return asked, D.hits(asked, docs.withColumn("embedding", T.sha_embedding(F.col("text"))), RAW)
+
+
+_PREVIEW = f"CASE WHEN length(p) > {T.PREVIEW_CHARS} THEN left(p, {T.PREVIEW_CHARS}) || '...' ELSE p END"
+_REPORTED = _CONTEXT + f", v AS (SELECT *, {_stripped('replace(text, chr(10), chr(32))')} AS p FROM r)"
+_LABELLED = _REPORTED + f", t AS (SELECT *, {_squeezed('lower(query)')} AS lq, {_squeezed('lower(coalesce(lang, ' + chr(39) + '-' + chr(39) + ') || ' + chr(39) + ' ' + chr(39) + ' || ' + _PREVIEW + ')')} AS lt FROM v), l AS (SELECT *, {_topic_sql('lq', 'lt')} AS label FROM t)"
+
+
+@register(_REPORTED + f"SELECT query_id, CAST(rank AS INT) AS rank, distance, 'Source ' || source AS source_display, source, lang AS section_heading, {_PREVIEW} AS preview FROM v")
+def retrieval_report(spark, sf_dir):
+    return D.retrieval_report(_found(spark, sf_dir)[1])
+
+
+def _threshold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return D.threshold_report(_found(spark, sf_dir)[1], lambda q, t: V.classify(q, t, TOPICS, OTHERWISE))
+
+
+@register(_LABELLED + "SELECT query_id, CAST(rank AS INT) AS rank, distance, label FROM l")
+def threshold_labels(spark, sf_dir):
+    return _threshold(spark, sf_dir)[0].select("query_id", "rank", "distance", "label")
+
+
+@register(_LABELLED + """, a AS (SELECT label, count(*) AS n, min(distance) AS low, max(distance) AS high FROM l GROUP BY label)
+    SELECT b.label, coalesce(n, 0) AS n, coalesce(printf('%.6f..%.6f', low, high), 'n/a') AS distances FROM (VALUES ('relevant'), ('doubtful'), ('irrelevant')) b(label) LEFT JOIN a USING (label)""")
+def threshold_ranges(spark, sf_dir):
+    return _threshold(spark, sf_dir)[1]
+
+
+@register(
+    _CONTEXT + f""", n AS (SELECT query_id, count(*) AS raw FROM r GROUP BY query_id),
+    g AS (SELECT query_id, count(*) AS final, list('Source ' || source || ' | ' || coalesce(lang, '(empty heading)') ORDER BY number) AS sources, string_agg(lower(text), ' ' ORDER BY number) AS t FROM s GROUP BY query_id)
+    SELECT q.query_id, coalesce(raw, 0) AS raw, CAST(coalesce(final, 0) AS INT) AS final, array_to_string(coalesce(sources, []), ';') AS sources,
+           coalesce(final, 0) > 0 AND NOT (contains(lower(query), 'the') AND NOT coalesce(contains(t, 'ingth') OR contains(t, 'thaf'), false)) AND NOT (contains(lower(query), 'que') AND NOT coalesce(contains(t, 'que'), false)) AS sufficient
+    FROM q LEFT JOIN n USING (query_id) LEFT JOIN g USING (query_id)"""
+)
+def retrieval_simulation(spark, sf_dir):
+    asked, found = _found(spark, sf_dir)
+    out = D.simulation(asked, found, NEAR, FINAL, {"the": ["ingth", "thaf"], "que": ["que"]})
+    return out.withColumn("sources", F.array_join("sources", ";"))
+
+
 # -- chunks ----------------------------------------------------------------------------------------------------------
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("entry_ord"), "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.col("lang").alias("source_kind"), F.lit("overview").alias("doc_type"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+    return docs.select(F.col("doc_id").alias("entry_ord"), "source", F.concat(F.lit("Source "), "source").alias("source_display"), F.coalesce("lang", F.lit("unknown")).alias("source_kind"), F.lit("overview").alias("doc_type"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+
+
+_CUTS = [("chr(10) || chr(10)", 2), ("chr(10)", 1), *((f"'{c}'", len(c)) for c in C.CUTS[2:])]
+_AT = [f"CASE WHEN contains(w, {c}) THEN length(w) - instr(reverse(w), reverse({c})) - {n - 1} ELSE -1 END" for c, n in _CUTS]
+
+
+def _pieces_sql(name: str, bodies: str) -> str:
+    """CTE `name` (k, body, lim, start, n, piece, done) of the hard pieces, n from 1, of the rows (k, body, lim) of `bodies`, with an overlap of 200 and limits of 400 or more."""
+    return f"""{name}(k, body, lim, start, n, piece, done) AS (
+        SELECT k, body, lim, CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), false FROM {bodies}
+        UNION ALL
+        SELECT k, body, lim, CASE WHEN length(body) - start <= lim THEN start ELSE start + cut - 200 END, n + 1,
+               CASE WHEN length(body) - start <= lim THEN {_stripped("substr(body, CAST(start + 1 AS BIGINT))")} ELSE {_stripped("substr(w, 1, CAST(cut AS BIGINT))")} END, length(body) - start <= lim
+        FROM (SELECT *, CASE {" ".join(f"WHEN {at} >= lim // 2 THEN {at} + {n}" for at, (_, n) in zip(_AT, _CUTS, strict=True))} ELSE lim END AS cut
+              FROM (SELECT *, substr(body, CAST(start + 1 AS BIGINT), lim) AS w FROM {name} WHERE NOT done)))"""
+
+
+def _carried_sql(x: str) -> str:
+    """What a chunk carries over: its last 200 characters from the start of a sentence, found mark by mark."""
+    begin = "CAST(0 AS BIGINT)"
+    end = f"right({x}, 200)"
+    for mark, n in (("'. '", 2), ("'! '", 2), ("'? '", 2), ("chr(10)", 1)):
+        begin = f"(SELECT CASE WHEN instr({end}, {mark}) - 1 > b THEN instr({end}, {mark}) - 1 + {n} ELSE b END FROM (SELECT {begin} AS b))"
+    return f"CASE WHEN length({x}) <= 200 THEN {x} ELSE {_stripped(f'substr({end}, CAST({begin} + 1 AS BIGINT))')} END"
+
+
+#: The chunker over documents of one section and one paragraph, as the synthetic ones are: sentences are packed to 800, then cut hard below the header.
+_CHUNKS = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(lang, 'unknown') AS kind, {_stripped("text")} AS section FROM documents WHERE {_stripped("text")} <> ''),
+    h AS (SELECT *, {_heading_sql("section")} AS heading FROM d),
+    f AS (SELECT *, '[Source: Source ' || source || ' | ' || kind || ']' || chr(10) || '[Section: ' || heading || ']' || chr(10) || chr(10) AS head FROM h),
+    u AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM (
+        SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(section, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_stripped("s")}), lambda s: s <> '') AS l FROM f WHERE length(section) > 800)),
+    g(doc_id, i, now, out) AS (
+        SELECT doc_id, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR) FROM f WHERE length(section) > 800
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN carry <> '' THEN carry || ' ' || unit ELSE unit END, CASE WHEN full_ THEN now END
+        FROM (SELECT *, CASE WHEN full_ THEN {_carried_sql("now")} ELSE now END AS carry
+              FROM (SELECT g.doc_id, g.i, g.now, u.unit, length(g.now) + length(u.unit) + 1 > 800 AND g.now <> '' AS full_ FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i + 1))),
+    c AS (SELECT doc_id, i, out AS chunk FROM g WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, now FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+    n AS (SELECT doc_id, {_stripped("chunk")} AS body, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS sub FROM c WHERE length(chunk) >= 80),
+    b AS (SELECT doc_id, sub, body FROM n WHERE length(body) >= 80 UNION ALL SELECT doc_id, NULL, section FROM f WHERE length(section) <= 800),
+    m AS (SELECT {{'doc_id': doc_id, 'sub': sub}} AS k, body, CAST(800 - length(head) AS BIGINT) AS lim FROM b JOIN f USING (doc_id)),
+    {_pieces_sql("p", "m")},
+    w AS (SELECT f.*, k.sub AS sub, n, head || piece AS whole FROM p JOIN f ON f.doc_id = p.k.doc_id WHERE n > 0 AND piece <> ''),
+    chunks AS (SELECT doc_id AS entry_ord, row_number() OVER (PARTITION BY doc_id ORDER BY sub, n) - 1 AS chunk_ord, source, 'Source ' || source AS source_display, kind AS source_kind, 'overview' AS doc_type,
+               doc_id || '.txt' AS file_name, heading AS section_heading, CAST(length(head) AS INT) AS header_len, sub AS subchunk_index, CAST(NULL AS INT) AS hard_split_index, CAST(length(whole) AS INT) AS unlimited_len, whole AS text
+               FROM w WHERE length(whole) >= 80)
+"""
 
 
-@register()
+@register(_CHUNKS + "SELECT * FROM chunks")
 def chunk_documents(spark, sf_dir):
     return C.chunk_documents(_sources(spark, sf_dir))
 
 
-@register()
+@register(_CHUNKS + "SELECT 'doc_' || id_num AS id, id_num, entry_ord, chunk_ord FROM (SELECT row_number() OVER (ORDER BY entry_ord, chunk_ord) - 1 AS id_num, entry_ord, chunk_ord FROM chunks)")
 def chunk_ids(spark, sf_dir):
-    return C.with_ids(chunk_documents(spark, sf_dir)).select("id", "id_num", "entry_ord", "chunk_ord")
+    return C.with_ids(written(chunk_documents(spark, sf_dir).select("entry_ord", "chunk_ord"), "chunks")).select("id", "id_num", "entry_ord", "chunk_ord")
 
 
-@register()
+@register(_CHUNKS + "SELECT doc_id AS entry_ord, doc_id || '.txt' AS file_name, (SELECT count(*) FROM chunks WHERE entry_ord = doc_id) AS chunks FROM documents")
 def chunk_counts(spark, sf_dir):
     return C.counts_by_file(_sources(spark, sf_dir), chunk_documents(spark, sf_dir))
 
 
-@register()
+@register(_CHUNKS + "SELECT count(*) AS before_total, coalesce(max(unlimited_len), 0) AS before_max_len, count(*) AS after_total, coalesce(max(length(text)), 0) AS after_max_len FROM chunks")
 def chunk_summary(spark, sf_dir):
     return C.summary(chunk_documents(spark, sf_dir))
 
 
-_CUTS = [("chr(10) || chr(10)", 2), ("chr(10)", 1), *((f"'{c}'", len(c)) for c in C.CUTS[2:])]
-_AT = [f"CASE WHEN contains(w, {c}) THEN length(w) - instr(reverse(w), reverse({c})) - {n - 1} ELSE -1 END" for c, n in _CUTS]
-
-
-@register(
-    f"""WITH RECURSIVE b AS (SELECT doc_id, {_stripped("text")} AS body FROM documents WHERE {_stripped("text")} <> ''),
-    p(doc_id, body, start, n, piece, done) AS (
-        SELECT doc_id, body, CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), false FROM b
-        UNION ALL
-        SELECT doc_id, body, CASE WHEN length(body) - start <= 800 THEN start ELSE start + greatest(cut - 200, 1) END, n + 1,
-               CASE WHEN length(body) - start <= 800 THEN {_stripped("substr(body, CAST(start + 1 AS BIGINT))")} ELSE {_stripped("substr(w, 1, CAST(cut AS BIGINT))")} END, length(body) - start <= 800
-        FROM (SELECT *, CASE {" ".join(f"WHEN {at} >= 400 THEN {at} + {n}" for at, (_, n) in zip(_AT, _CUTS, strict=True))} ELSE 800 END AS cut
-              FROM (SELECT *, substr(body, CAST(start + 1 AS BIGINT), 800) AS w FROM p WHERE NOT done)))
-    SELECT doc_id, CAST(n - 1 AS INT) AS part, sha256(piece) AS piece_sha256 FROM p WHERE n > 0"""
-)
+@register(f"""WITH RECURSIVE b AS (SELECT doc_id AS k, {_stripped("text")} AS body, CAST(800 AS BIGINT) AS lim FROM documents WHERE {_stripped("text")} <> ''), {_pieces_sql("p", "b")}
+    SELECT k AS doc_id, CAST(n - 1 AS INT) AS part, sha256(piece) AS piece_sha256 FROM p WHERE n > 0""")
 def hard_split(spark, sf_dir):
-    @F.pandas_udf("array<string>")
-    def pieces(texts):
-        return texts.map(lambda t: C.hard_pieces(t, 800, 200))
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces("text")).alias("part", "piece")).select("doc_id", "part", F.sha2("piece", 256).alias("piece_sha256"))
+    pieces = _each(lambda t: C.hard_pieces(t, 800, 200), "array<string>", F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("part", "piece")).select("doc_id", "part", F.sha2("piece", 256).alias("piece_sha256"))
 
 
 # -- evaluation and lifecycle ----------------------------------------------------------------------------------------
@@ -395,11 +544,31 @@ def overall_verdict(spark, sf_dir):
     return V.overall(V.metric_means(_metrics(spark, sf_dir)))
 
 
-@register("SELECT * FROM (VALUES ('chunk_size', '800', '400'), ('embedding_model', 'sha-256', NULL), ('extra', NULL, 'x')) v(name, was, now)")
+@register(
+    """WITH e AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS now FROM customer GROUP BY 1), s AS (SELECT CAST(s_nationkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS was FROM supplier GROUP BY 1)
+    SELECT name, was, now FROM e FULL JOIN s USING (name) WHERE was IS DISTINCT FROM now"""
+)
 def manifest_diff(spark, sf_dir):
-    expected = spark.createDataFrame([("chunk_size", "400"), ("corpus_version", "1"), ("extra", "x")], "name string, value string")
-    stored = spark.createDataFrame([("chunk_size", "800"), ("corpus_version", "1"), ("embedding_model", "sha-256")], "name string, value string")
-    return problems_table(expected, stored)
+    """Fields and values of two real tables: customers and suppliers of each nation."""
+
+    def counts(name: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).groupBy(F.col(key).cast("string").alias("name")).agg(F.count("*").cast("string").alias("value"))
+
+    return problems_table(counts("customer", "c_nationkey"), counts("supplier", "s_nationkey"))
+
+
+@register(
+    """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'user')
+    SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS question, a.text AS answer, array_to_string([u.text, a.text], '|') AS contexts, 'truth of ' || u.text AS ground_truth FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1"""
+)
+def evaluation_frame(spark, sf_dir):
+    """User turns as cases, the next turn as the answer, both as its context."""
+    turns = table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    cases = turns.where("role = 'user'").select(number.alias("query_id"), F.col("text").alias("question"), F.concat(F.lit("truth of "), "text").alias("ground_truth"))
+    replies = turns.where("role <> 'user'").select((number - 1).alias("query_id"), F.col("text").alias("answer"))
+    answers = replies.join(cases.select("query_id", F.col("question").alias("q")), "query_id").select("query_id", "answer", F.array(F.struct(F.col("q").alias("text")), F.struct(F.col("answer").alias("text"))).alias("context"))
+    return V.evaluation_frame(cases, answers).withColumn("contexts", F.array_join("contexts", "|"))
 
 
 @register(r"SELECT page_id, regexp_extract(lower(url), '^[a-z]+://') || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^[^@]*@', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS endpoint FROM pages")

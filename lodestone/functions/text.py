@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of Python's str.split().
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Fixed value: the same characters but the blank, and all of them as a text.
+NOT_BLANK = WHITE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+WHITE_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Fixed value: what one trailing run of may go from a question before it is looked up.
 TRAILING = r"[?!.,…:;]+$"
 #: Answers without a model call.
@@ -18,7 +20,7 @@ NO_BASIS = {
     "ru": "Недостаточно данных в подключенных источниках, чтобы дать обоснованный ответ.",
     "en": "The available sources do not provide enough information for a grounded answer.",
 }
-HEADING_CHARS, SNIPPET_CHARS, PREVIEW_CHARS = 160, 280, 300
+SNIPPET_CHARS, PREVIEW_CHARS = 280, 300
 
 
 def _normal_form(form: str):
@@ -29,21 +31,27 @@ def _normal_form(form: str):
     return normal
 
 
+def _normalised(text: Column, form: str) -> Column:
+    """ASCII texts, which every form leaves as they are, are not sent to Python."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.coalesce(_normal_form(form)(F.when(~ascii_only, text)), text)
+
+
 def nfc(text: Column) -> Column:
-    return _normal_form("NFC")(text)
+    return _normalised(text, "NFC")
 
 
 def nfkc(text: Column) -> Column:
-    return _normal_form("NFKC")(text)
+    return _normalised(text, "NFKC")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
-    """Trimmed, with each run of white space as one space; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}+", " "))
+    """Trimmed, with each run of white space as one space; null becomes ''. Single blanks, which are most, are not touched."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}{{2,}}|{NOT_BLANK}", " "))
 
 
 def unix_newlines(text: Column) -> Column:
@@ -107,37 +115,6 @@ def shortened(text: Column, limit: int, mark: str) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(mark))).otherwise(text)
 
 
-def section_heading(section: Column) -> Column:
-    return shortened(strip(F.split_part(strip(section), F.lit("\n"), F.lit(1))), HEADING_CHARS, "…")
-
-
-def kind_label(kind: Column, labels: Mapping[str, str]) -> Column:
-    if not labels:
-        return kind
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), kind), kind)
-
-
-def header(template: str, source_display: Column, label: Column, heading: Column) -> Column:
-    """The template's literal parts and fields in order; the template has been checked by the profile."""
-    import string
-
-    values = {"source_display": source_display, "kind_label": label, "heading": heading}
-    parts: list[Column] = []
-    for literal, field, _, _ in string.Formatter().parse(template):
-        parts += [F.lit(literal)] if literal else []
-        parts += [values[field]] if field is not None else []
-    return F.concat(*parts) if parts else F.lit("")
-
-
-def fitted_header(template: str, source_display: Column, label: Column, heading: Column, chunk_size: int) -> Column:
-    """The header if it takes at most half a chunk; else with the end of its heading cut; else none."""
-    cap = chunk_size // 2
-    whole = header(template, source_display, label, heading)
-    cut = F.length(whole) - cap + 1
-    short = header(template, source_display, label, F.concat(F.left(heading, F.length(heading) - cut), F.lit("…")))
-    return F.when(F.length(whole) <= cap, whole).when((F.length(heading) > cut) & (F.length(short) <= cap), short).otherwise("")
-
-
 def snippet(text: Column, header_len: Column) -> Column:
     """A card's text: without the header, if its length is a number inside the text; trimmed and cut."""
     n = header_len.try_cast("int")
@@ -149,26 +126,23 @@ def preview(text: Column) -> Column:
     return shortened(strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))), PREVIEW_CHARS, "...")
 
 
-def sentences(text: Column) -> Column:
-    """Cut at white space after . ! or ?; the marks stay."""
-    return F.filter(F.transform(F.split(text, rf"(?<=[.!?]){WHITE}+"), strip), lambda s: s != "")
-
-
-def sections(text: Column, boundary: str | None) -> Column:
-    """Parts between the places where the zero-width regex matches, trimmed, without blank ones.
-
-    (?dU) gives Java's ^ and classes Python's meaning.
-    """
-    parts = F.split(text, f"(?dU){boundary}") if boundary else F.array(text)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
-
-
 def sha_embedding(text: Column) -> Column:
     """A deterministic stand-in for a model: (byte + 1) / 256 of the first 8 bytes of the SHA-256."""
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
     return F.array(*((F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") + 1) / 256 for i in range(8)))
 
 
+def code_point_embedding(text: Column) -> Column:
+    """Another stand-in: 1.0, then for each i below 7 the sum of the code points at i, i + 7, i + 14, ... modulo 97."""
+    points = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.ascii(c))
+    points = F.when(F.length(F.coalesce(text, F.lit(""))) > 0, points).otherwise(F.array().cast("array<int>"))
+
+    def part(i: int) -> Column:
+        return F.aggregate(F.filter(points, lambda _, at: at % 7 == i), F.lit(0).cast("long"), lambda a, x: a + x) % 97
+
+    return F.array(F.lit(1.0), *(part(i).cast("double") for i in range(7)))
+
+
 def finite(distance: Column) -> Column:
     d = distance.cast("double")
     return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)

@@ -6,10 +6,11 @@ DataFrame. Lengths are code points.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,29 @@ CUTS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 #: What a sentence in carried-over text may begin after.
 SENTENCE_ENDS = (". ", "! ", "? ", "\n")
 HEADING_CHARS = 160
+#: Documents that a task cuts at a time.
+ROWS = 256
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+", text)) if s]
+@functools.cache
+def segmenter(language: str) -> Callable[[str], list[str]] | None:
+    """The segmenter library's cutter for a language; None where the library or the language is missing."""
+    try:
+        from pysbd import Segmenter
+
+        return Segmenter(language=language, clean=False).segment
+    except Exception:  # noqa: BLE001  whatever is wrong with an optional library, the rule below stands in
+        return None
+
+
+def sentences(text: str, language: str | None = None) -> list[str]:
+    """By the language's segmenter where there is one, else cut at white space after . ! or ?; the marks stay."""
+    cut = segmenter(language) if language else None
+    try:
+        parts = cut(text) if cut else None
+    except Exception:  # noqa: BLE001
+        parts = None
+    return [s for s in (p.strip() for p in (re.split(r"(?<=[.!?])\s+", text) if parts is None else parts)) if s]
 
 
 def carried_over(text: str, size: int) -> str:
@@ -58,10 +78,10 @@ def pack(units: list[str], glue: str, size: int, overlap: int, too_long=None) ->
     return [*chunks, now] if now else chunks
 
 
-def semantic_chunks(text: str, size: int, overlap: int, least: int) -> list[str]:
+def semantic_chunks(text: str, size: int, overlap: int, least: int, language: str | None = None) -> list[str]:
     """Packed paragraphs of at least `least` characters; a long first paragraph is packed by sentences."""
     paragraphs = [p for p in (x.strip() for x in text.split("\n\n")) if p]
-    return [c for c in pack(paragraphs, "\n\n", size, overlap, lambda p: pack(sentences(p), " ", size, overlap)) if len(c) >= least]
+    return [c for c in pack(paragraphs, "\n\n", size, overlap, lambda p: pack(sentences(p, language), " ", size, overlap)) if len(c) >= least]
 
 
 def natural_cut(window: str) -> int:
@@ -118,7 +138,7 @@ def chunks_of(doc: Mapping, profile: Profile, size: int, overlap: int, least: in
         heading = heading_of(section)
         head = header_for(profile, doc["source_display"], doc["source_kind"], heading, size)
         short = len(section) <= size
-        bodies = [(None, section)] if short else [(i, c.strip()) for i, c in enumerate(semantic_chunks(section, size, overlap, least))]
+        bodies = [(None, section)] if short else [(i, c.strip()) for i, c in enumerate(semantic_chunks(section, size, overlap, least, profile.sentence_language))]
         for sub, body in bodies:
             if not short and len(body) < least:
                 continue
@@ -126,7 +146,7 @@ def chunks_of(doc: Mapping, profile: Profile, size: int, overlap: int, least: in
                 whole = head + piece
                 if len(whole) < least:
                     continue
-                base = {"section_heading": heading, "subchunk_index": sub}
+                base = {"section_heading": heading, "subchunk_index": sub, "unlimited_len": len(whole)}
                 if len(whole) <= size:
                     yield base | {"text": whole, "header_len": len(head), "hard_split_index": None}
                 else:
@@ -134,41 +154,62 @@ def chunks_of(doc: Mapping, profile: Profile, size: int, overlap: int, least: in
                         yield base | {"text": part, "header_len": 0 if n else len(head), "hard_split_index": n}
 
 
-CHUNK_SCHEMA = "entry_ord long, chunk_ord long, source string, source_display string, source_kind string, doc_type string, file_name string, section_heading string, header_len int, subchunk_index int, hard_split_index int, text string"
+CHUNK_SCHEMA = "entry_ord long, chunk_ord long, source string, source_display string, source_kind string, doc_type string, file_name string, section_heading string, header_len int, subchunk_index int, hard_split_index int, unlimited_len int, text string"
 
 
 def chunk_documents(sources: DataFrame, profile: Profile = Profile(), chunk_size: int = 800, overlap: int = 200, min_len: int = 80) -> DataFrame:
-    """Chunk rows of sources(entry_ord, source, source_display, source_kind, doc_type, file_name, text); order: entry_ord, chunk_ord."""
+    """Chunk rows of sources(entry_ord, source, source_display, source_kind, doc_type, file_name, text); order: entry_ord, chunk_ord.
+
+    unlimited_len: the length of the chunk before the hard limit cut it. Null texts have no chunks.
+    """
     fields = ("entry_ord", "source", "source_display", "source_kind", "doc_type", "file_name", "text")
     columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+    copied = columns[: columns.index("section_heading")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), 256):
-                rows = [doc | row | {"chunk_ord": n} for doc in part.iloc[at : at + 256].to_dict("records") for n, row in enumerate(chunks_of(doc, profile, chunk_size, overlap, min_len))]
-                out = pd.DataFrame(rows, columns=columns)
-                for c in ("subchunk_index", "hard_split_index"):
-                    out[c] = out[c].astype("Int32")
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                docs = zip(*(part.column(c).to_pylist() for c in fields), strict=True)
+                made = [(n, i, row) for n, doc in enumerate(docs) for i, row in enumerate(chunks_of(dict(zip(fields, doc, strict=True)), profile, chunk_size, overlap, min_len))]
+                of = pa.array([n for n, _, _ in made], pa.int64())
+                schema = schema or {c: part.schema.field(c).type for c in copied if c != "chunk_ord"}
+                own = {"chunk_ord": pa.array([i for _, i, _ in made], pa.int64())}
+                own |= {c: pa.array([row[c] for _, _, row in made], pa.string() if c in ("section_heading", "text") else pa.int32()) for c in columns[len(copied) :]}
+                own |= {c: part.column(c).take(of) for c in copied if c != "chunk_ord"}
+                yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns)
 
-    return sources.select(*fields).mapInPandas(run, CHUNK_SCHEMA)
+    return sources.select(F.col("entry_ord").cast("long").alias("entry_ord"), *fields[1:]).mapInArrow(run, CHUNK_SCHEMA)
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
     """id_num and id (doc_{i}): the place in the whole corpus, counted from 0 in the order of entry_ord and chunk_ord.
 
-    Places are the sum of the counts of the entries before and chunk_ord, so no row is sorted into one task. The running sum is over
-    one row for each entry of a declared manifest.
+    A place is the number of chunks of all entries before, and chunk_ord. Entries are cut into ranges; running sums are
+    taken within each, and the sums of the ranges (one number for each) are added up on the driver, so no task gets all rows.
     """
     from pyspark.sql import Window
 
-    counts = chunks.groupBy("entry_ord").agg(F.count("*").alias("n"))
-    before = counts.select("entry_ord", (F.sum("n").over(Window.orderBy("entry_ord")) - F.col("n")).alias("before"))
-    return chunks.join(before, "entry_ord").withColumn("id_num", F.col("before") + F.col("chunk_ord")).drop("before").withColumn("id", F.concat(F.lit("doc_"), F.col("id_num").cast("string")))
+    from lodestone.sources.storage import written
+
+    counts = chunks.groupBy("entry_ord").agg(F.count("*").alias("n")).repartitionByRange("entry_ord")
+    counts = written(counts.withColumn("range", F.spark_partition_id()), "chunk-counts")
+    sums = {r["range"]: r["n"] for r in counts.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    begin, total = [0] * (max(sums, default=0) + 1), 0
+    for k in sorted(sums):
+        begin[k], total = total, total + sums[k]
+    running = F.sum("n").over(Window.partitionBy("range").orderBy("entry_ord")) - F.col("n")
+    before = counts.select("entry_ord", (running + F.get(F.array(*map(F.lit, begin)), F.col("range"))).alias("before"))
+    numbered = chunks.join(before, "entry_ord").withColumn("id_num", F.col("before") + F.col("chunk_ord")).drop("before")
+    return numbered.withColumn("id", F.concat(F.lit("doc_"), F.col("id_num").cast("string")))
 
 
 def summary(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest"))
+    """Number and greatest length of chunks before and after the hard limit."""
+    first = F.coalesce("hard_split_index", F.lit(0)) == 0
+    longest = [F.coalesce(F.max(x), F.lit(0)) for x in (F.col("unlimited_len"), F.length("text"))]
+    return chunks.agg(F.count(F.when(first, 1)).alias("before_total"), longest[0].alias("before_max_len"), F.count("*").alias("after_total"), longest[1].alias("after_max_len"))
 
 
 def counts_by_file(sources: DataFrame, chunks: DataFrame) -> DataFrame:

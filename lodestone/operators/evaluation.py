@@ -11,8 +11,8 @@ LABELS = ("relevant", "doubtful", "irrelevant")
 
 
 def evaluation_frame(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """question, answer, contexts, ground_truth: the input of judged metrics."""
-    return questions.join(answers, "query_id").select("question", "answer", F.transform("context", lambda c: c["text"]).alias("contexts"), "ground_truth")
+    """query_id, question, answer, contexts, ground_truth: the input of judged metrics."""
+    return questions.join(answers, "query_id").select("query_id", "question", "answer", F.transform("context", lambda c: c["text"]).alias("contexts"), "ground_truth")
 
 
 def metric_means(metrics: DataFrame) -> DataFrame:
@@ -77,8 +77,9 @@ REPORT_RULES = [
     {"any": ["оспарива", "отказ"], "keywords": ["не вправе", "оспарива", "отказ", "независим", "основного обязательства", "выплат"], "otherwise": "doubtful"},
     {"all": ["обязанности", "гарант", "бенефициар"], "keywords": ["гарант", "требован", "бенефициар", "документ", "статья 374", "статья 375"]},
 ]
-REPORT_DEFAULT = {"keywords": ["независим", "гарант", "бенефициар", "принципал", "статья 368"]}
 TAX_WORDS = ["налог", "ндс", "налого"]
+GUARANTEE_WORDS = ["гарант", "бенефициар", "принципал", "статья 368", "независим"]
+REPORT_DEFAULT = {"keywords": GUARANTEE_WORDS}
 SUPPORT = {"налогов": ["налог", "ндс"], "алиментов": ["алим"]}
 
 
@@ -86,7 +87,7 @@ def report_label(question: Column, text: Column) -> Column:
     """The report's label. Tax questions come before the other rules but for alimony: one tax word is relevant, else two of the guarantee's words are doubtful."""
     q = T.squeeze(F.lower(F.coalesce(question, F.lit(""))))
     body = T.squeeze(F.lower(F.coalesce(text, F.lit(""))))
-    about_tax = F.when(T.keyword_hits(body, TAX_WORDS) >= 1, "relevant").when(T.keyword_hits(body, ["гарант", "бенефициар", "принципал", "статья 368", "независим"]) >= 2, "doubtful").otherwise("irrelevant")
+    about_tax = F.when(T.keyword_hits(body, TAX_WORDS) >= 1, "relevant").when(T.keyword_hits(body, GUARANTEE_WORDS) >= 2, "doubtful").otherwise("irrelevant")
     first = classify(question, text, REPORT_RULES[:1], REPORT_DEFAULT)
     rest = classify(question, text, REPORT_RULES[1:], REPORT_DEFAULT)
     return F.when(F.contains(q, F.lit("алимент")), first).when(F.contains(q, F.lit("налог")), about_tax).otherwise(rest)

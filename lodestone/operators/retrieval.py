@@ -115,16 +115,30 @@ def distances(chunks: DataFrame, queries: list[tuple[int, list[float]]], most: i
     return chunks.select(F.col("id_num").cast("long").alias("id_num"), "embedding").mapInArrow(run, "query_id long, id_num long, distance double")
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, exclude_self: bool = False, digits: int = 6) -> DataFrame:
-    """query_id, rank (from 1), id_num, distance: the k nearest chunks of each query (query_id, embedding); ties by id_num."""
+def query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
+    """The queries with a vector, about QUERY_BLOCK at a time."""
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = [(r["query_id"], r["embedding"]) for r in part.select("query_id", "embedding").where("embedding is not null").collect()]  # about QUERY_BLOCK
-        if rows:
-            near = distances(chunks, rows, k + exclude_self, digits)
-            out = near if out is None else out.unionByName(near)
+        if rows := [(r["query_id"], r["embedding"]) for r in part.select("query_id", "embedding").where("embedding is not null").collect()]:
+            yield rows
+
+
+def all_distances(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, id_num, distance of every query to every chunk, a block of queries in each pass over the chunks."""
+    out = None
+    for rows in query_blocks(queries):
+        near = distances(chunks, rows, None)
+        out = near if out is None else out.unionByName(near)
+    return queries.sparkSession.createDataFrame([], "query_id long, id_num long, distance double") if out is None else out
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+    """query_id, rank (from 1), id_num, distance: the k nearest chunks of each query (query_id, embedding); ties by id_num."""
+    out = None
+    for rows in query_blocks(queries):
+        near = distances(chunks, rows, k + exclude_self, digits)
+        out = near if out is None else out.unionByName(near)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, id_num long, distance double")
     if exclude_self:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.storage import Place
 
 VERSION = 1
 CONTEXT = "array<struct<text string, metadata map<string,string>, id string>>"
@@ -21,6 +22,11 @@ def latest(rows: DataFrame, key: str = "query_hash") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct("created_at", "seq")).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in values))
 
 
+def cache_stats(rows: DataFrame, *by: str) -> DataFrame:
+    """entries, oldest, newest of cache rows."""
+    return rows.groupBy(*by).agg(F.count("*").alias("entries"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+
+
 class AnswerCache:
     """Rows under folder/v{VERSION}; other versions are removed once. Keys carry the fingerprint of all that shapes answers."""
 
@@ -28,18 +34,19 @@ class AnswerCache:
         if not isinstance(fingerprint, str) or not fingerprint.strip():
             raise ValueError("the cache needs the fingerprint of the answer settings")
         self.spark, self.fingerprint = spark, fingerprint
-        self.path = Path(folder) / f"v{VERSION}"
-        for old in Path(folder).glob("v*"):
-            if old != self.path:
-                shutil.rmtree(old, ignore_errors=True)
+        place = Place(spark, folder)
+        self.place = place / f"v{VERSION}"
+        for old in place.children():
+            if re.fullmatch(r"v\d+", old.name) and old.name != self.place.name:
+                old.remove()
 
     def key(self, question):
         return T.question_key(question, self.fingerprint)
 
     def rows(self) -> DataFrame:
-        if not self.path.is_dir():
+        if not self.place.exists():
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(str(self.path))
+        return self.spark.read.schema(SCHEMA).parquet(str(self.place))
 
     def lookup(self, questions: DataFrame) -> DataFrame:
         """questions(query_id, query) with query_hash and, on a hit, answer, context and cached_at."""
@@ -50,15 +57,13 @@ class AnswerCache:
     def store(self, answers: DataFrame) -> None:
         """answers: query, answer, context. An empty context is stored as null."""
         made = answers.select(self.key(F.col("query")).alias("query_hash"), "query", "answer", F.when(F.size("context") > 0, F.col("context")).cast(CONTEXT).alias("context"), F.current_timestamp().alias("created_at"), F.monotonically_increasing_id().alias("seq"))
-        made.write.mode("append").parquet(str(self.path))
+        made.write.mode("append").parquet(str(self.place))
 
     def clear(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        self.place.remove()
 
     def stats(self) -> dict:
-        row = latest(self.rows()).agg(F.count("*").alias("entries"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest")).first()
-        size = sum(p.stat().st_size for p in self.path.rglob("*.parquet")) if self.path.is_dir() else 0
-        return row.asDict() | {"size_mb": round(size / 1e6, 2)}
+        return cache_stats(latest(self.rows())).first().asDict() | {"size_mb": round(self.place.size() / 1e6, 2)}
 
 
 def normal_context(raw):

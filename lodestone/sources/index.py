@@ -7,8 +7,6 @@ rename, so readers see the old index or the new one, and a broken build leaves t
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
@@ -21,6 +19,7 @@ from lodestone.operators import chunking
 from lodestone.operators.retrieval import Embedder, ShaEmbedder, embed
 from lodestone.sources import corpus
 from lodestone.sources.config import Profile, Settings
+from lodestone.sources.storage import Place
 
 
 class IndexBuildError(RuntimeError):
@@ -29,49 +28,48 @@ class IndexBuildError(RuntimeError):
 
 @dataclass
 class Index:
+    """A collection under a folder of any file system that Spark knows."""
+
     spark: SparkSession
-    folder: Path
+    folder: str | Path
     collection: str = "rag_collection"
 
     @property
-    def pointer(self) -> Path:
-        return self.folder / f"{self.collection}.json"
+    def place(self) -> Place:
+        return Place(self.spark, self.folder)
+
+    @property
+    def pointer(self) -> Place:
+        return self.place / f"{self.collection}.json"
 
     def stored(self) -> dict:
-        return json.loads(self.pointer.read_text()) if self.pointer.is_file() else {}
+        return json.loads(self.pointer.read_text()) if self.pointer.exists() else {}
 
     def manifest(self) -> dict | None:
         return I.from_manifest(self.stored())
 
     def chunks(self) -> DataFrame | None:
         build = self.stored().get("build")
-        return self.spark.read.parquet(str(self.folder / build)) if build and (self.folder / build).is_dir() else None
+        return self.spark.read.parquet(str(self.place / build)) if build and (self.place / build).exists() else None
 
     def count(self) -> int:
         rows = self.chunks()
         return 0 if rows is None else rows.count()
 
     def point(self, content: dict) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        new = self.pointer.with_suffix(f".{uuid.uuid4().hex}")
-        new.write_text(json.dumps(content))
-        os.replace(new, self.pointer)
+        self.pointer.write_text(json.dumps(content))
 
     def stats(self) -> dict:
         found = self.manifest() or {}
         return {"collection": self.collection, "chunks": self.count(), "state": found.get("state"), "embedding_model": found.get("embedding_model")}
 
 
-def identity_of(sources: DataFrame, settings: Settings, profile: Profile) -> dict:
-    return I.index_identity(
-        corpus_version=settings.corpus_version,
-        corpus=corpus.fingerprint(sources),
-        embedding_model=settings.embedding_model,
+def identity_of(sources: DataFrame, settings: Settings, profile: Profile) -> I.IndexIdentity:
+    return I.IndexIdentity(
+        **{name: getattr(settings, name) for name in ("corpus_version", "embedding_model", "chunk_size", "chunk_overlap", "min_chunk_len")},
         embedding_endpoint=I.endpoint_identity(settings.embedding_endpoint),
-        chunk_size=settings.chunk_size,
-        chunk_overlap=settings.chunk_overlap,
-        min_chunk_len=settings.min_chunk_len,
-        profile=I.fingerprint(profile.chunking_identity()),
+        corpus_fingerprint=corpus.fingerprint(sources),
+        profile_fingerprint=I.fingerprint(profile.chunking_identity()),
     )
 
 
@@ -85,28 +83,30 @@ def ensure_index(index: Index, sources: DataFrame, settings: Settings = Settings
     if not reasons:
         return []
     build = f"{index.collection}-{uuid.uuid4().hex}"
-    staged = index.folder / f"{build}.chunks"
+    staged, target = index.place / f"{build}.chunks", index.place / build
     chunking.with_ids(chunking.chunk_documents(sources, profile, settings.chunk_size, settings.chunk_overlap, settings.min_chunk_len)).write.parquet(str(staged))
     try:
         chunks = index.spark.read.parquet(str(staged))
         rows = chunks.count()
-        if not rows:
-            raise IndexBuildError("the corpus gives no chunks")
+        found = chunking.summary(chunks).first()
+        for total, when in ((found["before_total"], "no chunks"), (found["after_total"], "no chunks that the hard limit leaves")):
+            if not total:
+                raise IndexBuildError(f"the corpus gives {when}")
         old = index.stored().get("build")
         index.point(I.to_manifest(expected, I.INCOMPLETE, rows) | {"build": None})
         try:
-            embed(chunks, provider or ShaEmbedder(), batch=settings.embed_batch, attempts=settings.embed_attempts).write.parquet(str(index.folder / build))
-            written = index.spark.read.parquet(str(index.folder / build)).count()
+            embed(chunks, provider or ShaEmbedder(), batch=settings.embed_batch, attempts=settings.embed_attempts).write.parquet(str(target))
+            written = index.spark.read.parquet(str(target)).count()
             if written != rows:
                 raise IndexBuildError(f"{written} of {rows} chunks were stored")
         except Exception as e:
-            shutil.rmtree(index.folder / build, ignore_errors=True)
+            target.remove()
             raise e if isinstance(e, IndexBuildError) else IndexBuildError(f"the build did not complete: {type(e).__name__}") from e
         index.point(I.to_manifest(expected, I.COMPLETE, rows) | {"build": build})
         if old:
-            shutil.rmtree(index.folder / old, ignore_errors=True)
+            (index.place / old).remove()
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        staged.remove()
     return reasons
 
 

@@ -72,7 +72,7 @@ def test_endpoints(raw, normal):
 
 
 def identity(**changes):
-    return I.index_identity(**{"corpus_version": "1", "corpus": "c", "embedding_model": "a", "embedding_endpoint": "default", "chunk_size": 800, "chunk_overlap": 200, "min_chunk_len": 80, "profile": "p"} | changes)
+    return I.IndexIdentity(**{"corpus_version": "1", "corpus_fingerprint": "c", "embedding_model": "a", "embedding_endpoint": "default", "chunk_size": 800, "chunk_overlap": 200, "min_chunk_len": 80, "profile_fingerprint": "p"} | changes)
 
 
 def test_index_problems():
@@ -81,7 +81,7 @@ def test_index_problems():
     assert I.index_problems(identity(), None, 0) == ["index is empty (first ingestion)"]
     assert I.index_problems(identity(), {}, 3) == ["index manifest is missing (the 3 stored chunks were built without one)"]
     assert I.index_problems(identity(embedding_model="b"), stored, 7) == ["embedding model changed (was 'a', now 'b')"]
-    assert I.index_problems(identity(corpus="d"), stored, 7) == ["corpus manifest/content fingerprint changed"]
+    assert I.index_problems(identity(corpus_fingerprint="d"), stored, 7) == ["corpus manifest/content fingerprint changed"]
     assert I.index_problems(identity(), stored, 6) == ["chunk count mismatch (manifest records 7, collection holds 6)"]
     assert I.index_problems(identity(), I.to_manifest(identity(), I.INCOMPLETE, 7), 7) == ["previous ingestion did not complete (index state: 'incomplete')"]
     for bad in (0, -1, "7", 7.0, True, None):
@@ -95,10 +95,13 @@ def test_canonical_json():
 
 
 def test_every_setting_changes_the_answers_identity():
-    base = {"chat_model": "m", "chat_endpoint": "default", "max_tokens": 10, "temperature": 0.1, "raw_top_k": 3, "max_distance": 0.4, "final_top_k": 2, "prompt_extra": ""}
-    changes = [{"chat_model": "n"}, {"chat_endpoint": "x"}, {"max_tokens": 11}, {"temperature": 0.2}, {"raw_top_k": 4}, {"max_distance": 0.5}, {"final_top_k": 1}, {"prompt_extra": "be kind"}]
-    prints = {I.fingerprint(I.answer_identity(identity(), **base | c)) for c in [{}, *changes]} | {I.fingerprint(I.answer_identity(identity(chunk_size=1), **base))}
-    assert len(prints) == len(changes) + 2
+    base = {"index": identity().values(), "chat_model": "m", "chat_endpoint": "default", "max_tokens": 10, "temperature": 0.1, "raw_top_k": 3, "max_distance": 0.4, "final_top_k": 2, "system_prompt_extra": ""}
+    other = {"index": identity(chunk_size=1).values(), "chat_model": "n", "chat_endpoint": "x", "max_tokens": 11, "temperature": 0.2, "raw_top_k": 4, "max_distance": 0.5, "final_top_k": 1, "system_prompt_extra": "be kind"}
+    prints = {I.fingerprint(I.AnswerIdentity(**base | {k: v}).values()) for k, v in other.items()}
+    assert len(prints) == len(base) and I.fingerprint(I.AnswerIdentity(**base).values()) not in prints
+    for bad in (float("nan"), True, "0.3"):
+        with pytest.raises(ValueError, match="temperature"):
+            I.AnswerIdentity(**base | {"temperature": bad})
 
 
 def test_system_prompt_only_grows():
