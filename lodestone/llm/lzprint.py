@@ -141,7 +141,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
     The edited text: the last floor(n_chars / 4) code points are replaced by the first as many (or all) of the next row's
     text in ascending doc_id order; after the last row comes the first. Null doc_ids come first, rows with the same doc_id
-    are ordered by text; a single row follows itself. Null texts are empty.
+    are ordered by text; a single row follows itself. Null texts are empty. Texts of any length are parsed whole. Other columns are ignored, whatever they are called;
+    an empty table gives no rows. Rows that share a doc_id lie in one bucket, and so in one task.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = chained(docs)

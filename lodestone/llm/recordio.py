@@ -126,14 +126,15 @@ def library(path: str) -> LibraryWords:
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> dict:
     """Encode docs' texts, append end_id to each, and write data and index files in ascending doc_id order.
 
-    Order: null doc_ids first, rows with the same doc_id by text (null first). Null texts are empty: their record
-    holds end_id alone. Returns the manifest (also written as manifest.json): the folder and one entry for each
+    Order: null doc_ids first, rows with the same doc_id by text (null first); equal rows have a record each. Null texts are empty: their record
+    holds end_id alone. Texts of any length are one record. Other columns are ignored, whatever they are called; an empty table makes no files. Returns the manifest (also written as manifest.json): the folder and one entry for each
     file in order, with its first ordinal token position. Its size is that of the number of partitions.
     """
     spark = docs.sparkSession
     folder = folder or shared.new_path(spark, "records")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # ranges of ids alone: no texts in Spark's samples
+    # ranges of ids and beginnings of texts: rows that share an id may be dealt out too, and no whole texts are in Spark's samples
+    rows = rows.repartitionByRange(F.col("doc_id"), F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

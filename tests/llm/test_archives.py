@@ -190,6 +190,36 @@ def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1][2].count()
 
 
+@pytest.mark.parametrize("empty", [(), ("labels", "benchmark"), ("documents",), ("documents", "labels", "benchmark")])
+def test_pipeline_of_odd_tables(spark, tmp_path, empty):
+    """Nulls in every column, empty and long texts, repeated ids and rows, columns with names that operators use, and empty tables."""
+    passage = " ".join(f"item{i}" for i in range(20))
+    line = "a line of some words that stands here again and again"
+    rows = [(1, line, "en", "s", 53, 1, "r"), (1, line, "en", "s", 53, 1, "r"), (1, "another text under the same id, which is to stay as it is", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    rows += [(None, f"{line}\nnot in any other document at all, this one", "en", "s", 99, 2, "x"), (2, "", "en", "s", 0, 1, "r"), (3, f"before {passage} after", "en", "s", 9, 1, "r"), (4, "long " * 50_000 + "end", "en", "s", 9, 1, "r")]
+    tables = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid int, removed string"),
+        "labels": spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int"),
+        "benchmark": spark.createDataFrame([(7, passage), (None, None), (8, "")], "item_id long, text string"),
+    }
+    for name, table in tables.items():
+        table.where("1 = 0" if name in empty else "1 = 1").write.parquet(f"{tmp_path}/{name}.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs, texts = given, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == given.columns
+        texts.append([(r.doc_id, r.text) for r in docs.collect()])
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    if "documents" in empty:
+        assert not any(texts) and not found
+        return
+    assert len(texts[0]) == len(rows) and len(texts[1]) == len(rows)
+    assert sum(line in (t or "").split("\n") for _, t in texts[1]) == 1 and (None, None) in texts[1] and (2, "") in texts[1]
+    assert (1, rows[2][1]) in texts[3] and (4, rows[7][1]) in texts[3] and ((3, rows[6][1]) in texts[3]) == bool(empty)
+    assert len(found) == len(texts[3]) and all(r.round_trip for r in found)
+
+
 def test_contract_columns(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pandas()
     found = queries.QUERIES["op9_benchmark_decontamination"](spark, SF)
