@@ -47,9 +47,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, removed (the numbers of the lines that go, ascending; empty if none) and the sha256 of the text that is left."""
+    """doc_id, removed (the numbers of the lines that go, ascending, joined by commas; empty if none) and the sha256 of the text that is left."""
     found = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), removed="removed")
-    return found.select("doc_id", F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    numbers = F.transform(F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))), lambda x: x.cast("string"))
+    return found.select("doc_id", F.array_join(numbers, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,23 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+#: Words of a line, as the line dedup cuts them.
+_LINE_WORDS = r"list_filter(list_distinct(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r!-/:-@\[-`{-~]+')), lambda x: x <> '')"
+
 SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+        w AS (SELECT doc_id, no, line, list_sort({_LINE_WORDS}) AS w FROM l),
+        s AS (SELECT w, len(w) AS n, min((doc_id, no)) AS fst, row_number() OVER () AS id FROM w WHERE len(w) > 0 GROUP BY w),
+        t AS (SELECT id, n, fst, unnest(w) AS x FROM s),
+        f AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+        p AS (SELECT id, n, fst, x FROM t JOIN f USING (x) WHERE n >= 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, x) <= n - ceil(n * 0.8 - 1e-9) + 1),
+        c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.x = b.x AND a.fst < b.fst AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        g AS (SELECT DISTINCT y FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+        r AS (SELECT w.*, s.id IS NOT NULL AND (s.fst <> (doc_id, no) OR g.y IS NOT NULL) AS gone FROM w LEFT JOIN s ON s.w = w.w LEFT JOIN g ON g.y = s.id),
+        o AS (SELECT doc_id, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (gone) AS removed, string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS text FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(removed, '') AS removed, sha256(coalesce(o.text, '')) AS text_sha256 FROM documents LEFT JOIN o USING (doc_id)
+    """,
     "op8_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_words("text")} AS w FROM documents),
         g AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS p FROM w),
