@@ -32,7 +32,8 @@ from lodestone.llm import shared
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
-FILTER_BITS = 1 << 26
+#: Bits of the tables that tell shared keys, and lines or rows that are wanted.
+KEY_BITS, ID_BITS = 1 << 26, 1 << 23
 #: Keys of more sets than this are those of crowds, whose members share many keys.
 CROWD = 16
 SLICES = 4
@@ -107,18 +108,18 @@ def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.xxhash64("band", "a", "b").alias("key"), F.when(F.col("whole"), F.col("j")).alias("at"), *(c for c in sets.columns if c != "tokens"))
 
 
-def bit_table(hashes: DataFrame) -> DataFrame:
-    """One row: FILTER_BITS bits in an array of longs, with the bits of the numbers h set."""
-    h = F.pmod("h", F.lit(FILTER_BITS))
+def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row: so many bits in an array of longs, with the bits of the numbers h set."""
+    h = F.pmod("h", F.lit(bits))
     words = hashes.select(h.alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("w"))
-    dense = hashes.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    dense = hashes.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
     packed = dense.groupBy(F.expr("id div 4096").alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("a"))
     return packed.agg(F.expr("transform(flatten(sort_array(collect_list(struct(part, a))).a), x -> x.w)").alias("bits"))
 
 
-def may_be_in(table: DataFrame, hashed: Column) -> Column:
+def may_be_in(table: DataFrame, hashed: Column, bits: int) -> Column:
     """Whether the number's bit is set in a bit table."""
-    h = F.pmod(hashed, F.lit(FILTER_BITS))
+    h = F.pmod(hashed, F.lit(bits))
     return F.call_function("shiftright", F.element_at(table.scalar(), (F.floor(h / 64) + 1).cast("int")), (h % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
@@ -154,8 +155,8 @@ def may_be_similar(a: str, b: str, threshold: float) -> Column:
 def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """y of each pair (x, y: ids) that is similar enough."""
     ids = shared.table(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "wanted")
-    table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h"))), "bits")
-    lines = numbered_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no")))
+    table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h")), ID_BITS), "bits")
+    lines = numbered_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no"), ID_BITS))
     sets = shared.table(lines.select("id", word_set("line", powers).alias("words")).join(ids, "id", "left_semi"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
     common = F.size(F.array_intersect("wx", "wy"))
@@ -196,10 +197,10 @@ def heads_met(live: DataFrame, threshold: float) -> DataFrame:
 def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
     counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
-    table = shared.table(bit_table(counted.select(F.col("key").alias("h"))), "bits")
+    table = shared.table(bit_table(counted.select(F.col("key").alias("h")), KEY_BITS), "bits")
     shared.forget()
     keyed = join_keys(firsts.select("id.rid", "id.line_no", "n", "bits", "tokens"), threshold)
-    live = shared.table(keyed.where(may_be_in(table, F.col("key"))), "live")
+    live = shared.table(keyed.where(may_be_in(table, F.col("key"), KEY_BITS)), "live")
     shared.forget(table)
 
     # the keys are worked off in slices, which bounds the disk that their rows take while they are sorted
@@ -260,8 +261,8 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, removed: str | None = N
     others = [c for c in docs.columns if c.lower() != "text"]
     given = with_row_ids(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(f"`{c}`" for c in others)).alias("row")))
     lists = kept_lines(given.where("text is not null").select("rid", "text"), threshold)
-    table = shared.table(bit_table(lists.select(F.xxhash64("rid").alias("h"))), "bits")
-    may = may_be_in(table, F.xxhash64("rid"))
+    table = shared.table(bit_table(lists.select(F.xxhash64("rid").alias("h")), ID_BITS), "bits")
+    may = may_be_in(table, F.xxhash64("rid"), ID_BITS)
     whole = given.where(~may).select("row", "text", F.lit(None).cast("array<int>").alias("removed"))
     # lines are cut before the join, so that they are not cut again for each line
     cut = given.where(may).select("rid", "row", F.split("text", "\n", -1).alias("lines")).join(lists, "rid", "left")
