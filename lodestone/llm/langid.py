@@ -23,8 +23,8 @@ from lodestone.llm import vec
 UNDETERMINED = "und"
 #: The documented bound of the whole training sample.
 MOST_BYTES = 64 << 20
-#: The most languages of a model: with MOST_BYTES this bounds its tables, which are as large as the different grams of the sample times the languages.
-LANGUAGES = 256
+#: The most languages of a model, and the most numbers in its tables (4 bytes each): what is broadcast has this bound.
+LANGUAGES, MOST_CELLS = 256, 64 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -105,6 +105,32 @@ class Model:
         return vec.row_sums(cost, offs)
 
 
+def cells(samples: dict[str, list[bytes]], order: int) -> int:
+    """Numbers in the tables of a model of these samples, about: its grams by languages, and its shorter grams by symbols."""
+    data = [np.frombuffer(b"\0".join(t), np.uint8).astype(np.uint64) for t in samples.values()]
+    grams, shorter, key = 0, 1, [np.zeros(len(d), np.uint64) for d in data]
+    symbols = len(np.unique(np.concatenate([*data, np.zeros(1, np.uint64)]))) + 2
+    for _ in range(order + 1):
+        key = [(np.concatenate([np.zeros(1, np.uint64), k[:-1]]) << np.uint64(8) | d) if len(d) else k for k, d in zip(key, data, strict=True)]
+        found = len(np.unique(np.concatenate(key)))
+        grams, table, shorter = grams + found, shorter * symbols, found
+        grams += table // max(1, len(samples))
+    return grams * len(samples)
+
+
+def bounded(samples: dict[str, list[bytes]], order: int) -> dict[str, list[bytes]]:
+    """The samples, halved until a model of them has MOST_CELLS numbers at most; a last text is cut."""
+    while samples and cells(samples, order) > MOST_CELLS and max(map(len, (b"".join(t) for t in samples.values()))) > 1:
+        for k, texts in samples.items():
+            left, half = sum(map(len, texts)) // 2, []
+            for t in texts:
+                if left > 0:
+                    half.append(t[:left])
+                    left -= len(t)
+            samples[k] = half or texts[:1]
+    return samples
+
+
 def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[bytes]]:
     """Different whole texts of each language in the order of their hashes, as many as max_bytes hold (MOST_BYTES / languages, if that is less), one at least.
 
@@ -135,13 +161,13 @@ def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[bytes]]:
 def predict(docs: DataFrame, training: DataFrame, order: int = 3, max_bytes: int = 1_500_000) -> DataFrame:
     """docs' other columns with lang_pred and score in place of text, learned from training's lang and text.
 
-    The model is fitted on about max_bytes of text of each language and MOST_BYTES of all, the documented bounds of this classifier;
+    The model is fitted on at most max_bytes of text of each language, MOST_BYTES of all and as much as MOST_CELLS numbers hold, the documented bounds of this classifier;
     every text of docs is scored whole. Texts that are null or have no letter get `und` and score 0, and so do all
     if training has no labelled text. score is the share of the best language's probability. Languages with equal
     code lengths: the first in alphabetical order. Texts of any length are scored whole, repeated rows alike; an empty table gives no rows. Columns of docs called lang_pred or score are replaced.
     """
     spark = docs.sparkSession
-    samples = {k: sorted(v) for k, v in training_sample(training, max_bytes).items()}
+    samples = bounded({k: sorted(v) for k, v in training_sample(training, max_bytes).items()}, order)
     model = spark.sparkContext.broadcast(Model(samples, order) if samples else None)
     kept = [f for f in docs.drop("lang_pred", "score").schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])

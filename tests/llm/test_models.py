@@ -77,6 +77,18 @@ def test_training_samples(spark):
     assert {r.lang_pred for r in langid.predict(asked, tie).collect()} == {"a"}
 
 
+def test_models_have_a_bound(monkeypatch):
+    rng = np.random.default_rng(1)
+    samples = {f"l{i}": [rng.integers(1, 256, 3000, dtype=np.uint8).tobytes() for _ in range(4)] for i in range(6)}
+    monkeypatch.setattr(langid, "MOST_CELLS", 600_000)
+    small = langid.bounded(dict(samples), 3)
+    model = langid.Model(small, 3)
+    assert sorted(small) == sorted(samples) and all(sum(map(len, v)) for v in small.values())
+    assert sum(x.size for x in (*model.next, *model.cost, *model.escape)) < 1_200_000
+    monkeypatch.undo()
+    assert langid.bounded(dict(samples), 1) == samples
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows = []
