@@ -4,7 +4,7 @@
 2. Texts with equal sets form a class; the smallest row number stands for it from here on (doc_id itself where doc_ids are unique).
 3. Representatives are shuffled on their band hashes. Members of a bucket are tied to its smallest member, never to each other,
    and the ties' connected components are the candidate groups.
-4. A group is cut into blocks of texts and each pair of blocks is verified by one task on the full n-gram sets: all pairs of texts
+4. A group is cut into blocks of texts and each pair of blocks with a common bucket is verified by one task on the full n-gram sets: all pairs of texts
    with Jaccard of the threshold or more are links. Tasks return link counts by text and a spanning forest of their links, not
    the links. Groups of any size are verified whole; blocks bound a task's memory.
 5. The components of the links are the near-duplicate groups.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import linededup, shared, vec
@@ -178,9 +178,11 @@ def row_groups(given: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
     classes = shared.table(classes, "classes")
     buckets = classes.select("copy_id", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("copy_id").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "head")
-    ties = buckets.join(heads, "band").where("copy_id <> head").select(F.col("head").alias("a"), F.col("copy_id").alias("b")).distinct()
+    tied = shared.table(buckets.join(heads, "band"), "tied")
+    ties = tied.where("copy_id <> head").select(F.col("head").alias("a"), F.col("copy_id").alias("b")).distinct()
     groups = connected_components(ties)  # node, component
-    links, counts = verified_links(given, classes, groups, n, threshold)
+    links, counts = verified_links(given, classes, groups, tied, n, threshold)
+    shared.forget(tied)
     found = connected_components(links)
     by_class = (
         classes.select("set_a", "set_b", "copy_id", "n_copies")
@@ -193,15 +195,29 @@ def row_groups(given: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
     return placed.unionByName(alone).toDF("rid", "class_rid", "copy_rid", "n_copies", "n_links")
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links a, b that connect all that is linked; copy_id and linked: documents in its linked classes)."""
-    node = groups.select(F.col("node").alias("copy_id"), F.col("component").alias("group"))
+def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tied: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links a, b that connect all that is linked; copy_id and linked: documents in its linked classes).
+
+    tied: copy_id, band and head of the buckets. Texts with the same smallest head lie in one block, or in blocks of their own if they are many, and only blocks with a common bucket
+    are verified against each other. So a chain of loosely tied texts costs no more than its neighbours' pairs.
+    """
+
+    def parts() -> Column:
+        return F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+
+    label = tied.groupBy("copy_id").agg(F.min("head").alias("label"))
+    node = groups.select(F.col("node").alias("copy_id"), F.col("component").alias("group")).join(label, "copy_id")
     sized = classes.select("copy_id", "n_copies", "bytes").join(node, "copy_id")
-    blocks = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("copy_id"), F.col("blocks")).cast("int"))
+    sized = sized.join(sized.groupBy("group").agg(parts().alias("in_group")), "group").join(sized.groupBy("label").agg(parts().alias("in_label")), "label")
+    alone = F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("copy_id"), F.col("in_label")))
+    block = F.when(F.col("in_label") > 1, alone).otherwise(F.xxhash64(F.lit(2), "group", F.pmod(F.xxhash64("label"), F.col("in_group"))))
+    placed = shared.table(sized.select("copy_id", "n_copies", block.alias("block")), "placed")
+    met = tied.select("copy_id", "band").join(placed, "copy_id").select("band", "block").distinct()
+    a, b = met.alias("a"), met.alias("b")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    both = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = placed.join(docs.withColumnRenamed("doc_id", "copy_id"), "copy_id")
-    pair = F.expr("transform(sequence(0, blocks - 1), q -> struct(least(block, q) as i, greatest(block, q) as j))")
-    keyed = rows.select("group", "block", "copy_id", "n_copies", "text", F.explode(pair).alias("p")).select("group", "p.i", "p.j", "block", "copy_id", "n_copies", "text")
+    keyed = rows.join(both, "block").select("i", "j", "block", "copy_id", "n_copies", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("copy_id")
@@ -219,8 +235,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: in
             }
         )
 
-    out = shared.table(keyed.groupBy("group", "i", "j").applyInArrow(run, "a long, b long, linked long"), "links")
+    out = shared.table(keyed.groupBy("i", "j").applyInArrow(run, "a long, b long, linked long"), "links")
     links = out.where("b is not null").select("a", "b")
+    shared.forget(placed)
     counts = out.where("b is null").groupBy(F.col("a").alias("copy_id")).agg(F.sum("linked").alias("linked"))
     return links, counts
 
