@@ -36,7 +36,7 @@ BUCKETS = 1 << 17
 KEY_BITS, ID_BITS = 1 << 26, 1 << 23
 #: Keys of more sets than this are those of crowds, whose members share many keys.
 CROWD = 16
-SLICES = 4
+SLICES = 3
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
 SMALL_CLASSES, MEDIUM, CLASSES = 2, 12, 8
 #: Classes of one part of a long prefix.
@@ -111,9 +111,10 @@ def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
 def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
     """One row: so many bits in an array of longs, with the bits of the numbers h set."""
     h = F.pmod("h", F.lit(bits))
-    words = hashes.select(h.alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("w"))
-    dense = hashes.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
-    packed = dense.groupBy(F.expr("id div 4096").alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("a"))
+    words = hashes.select(h.alias("h")).select(F.expr("h div 64").alias("id"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("w"))
+    every = hashes.sparkSession.range(bits // 64).select("id", F.lit(0).cast("long").alias("w"))
+    dense = words.unionByName(every).groupBy(F.expr("id div 4096").alias("part"), "id").agg(F.bit_or("w").alias("w"))
+    packed = dense.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("a"))
     return packed.agg(F.expr("transform(flatten(sort_array(collect_list(struct(part, a))).a), x -> x.w)").alias("bits"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import time
 import uuid
 
 from pyspark import SparkContext
@@ -70,9 +71,11 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables made by table() whose readers are all done, and let Spark's cleaner free the shuffle files of finished jobs."""
     for df in tables:
         remove_table(df)
-    gc.collect()
     if (context := SparkContext._active_spark_context) is not None:
-        context._jvm.System.gc()  # shuffle files go with the driver's handles to them
+        for _ in range(2):  # shuffle files go with the driver's handles to them, some of which the first collection only lets go
+            gc.collect()
+            context._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
