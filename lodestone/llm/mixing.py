@@ -47,6 +47,7 @@ PRIOR = 0.1
 RATE = 0.05
 EXAMPLES = 1024
 BATCH_BYTES = 32 << 20
+SLICES = 3
 END_WORD = np.uint64(1)
 
 
@@ -235,7 +236,7 @@ def batched(docs: DataFrame, train: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, batch))], [*rows.schema.names, "batch"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return shared.table(given.mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched")
+    return shared.table(given.mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched", "zstd")
 
 
 def batch_grams(rows: DataFrame) -> DataFrame:
@@ -250,11 +251,11 @@ def batch_grams(rows: DataFrame) -> DataFrame:
                 return
             k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
             keys, counts, size = [k], [n], len(k)
-            if whole or size > 1_500_000:
+            if whole or size > 1_200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(k.view(np.int64)), pa.array(n)], ["batch", "gram", "n"])
                 keys, counts, size = [], [], 0
 
-        for part, data, offs in vec.slices(batches, limit=4 * vec.SLICE_BYTES):
+        for part, data, offs in vec.slices(batches, limit=2 * vec.SLICE_BYTES):
             g, first = grams(data, offs)
             ids, train = np.repeat(part.column(2).to_numpy(), np.diff(first)), np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(first))
             for batch in np.unique(part.column(2).to_numpy()).tolist():
@@ -266,11 +267,11 @@ def batch_grams(rows: DataFrame) -> DataFrame:
                     keys.append(k)
                     counts.append(n * learned)
                     size += len(k)
-                if size > 4_000_000:
+                if size > 2_500_000:
                     yield from flush(False)
         yield from flush(True)
 
-    return shared.table(rows.select("train", "text", "batch").mapInArrow(run, "batch long, gram long, n long"), "batch-grams")
+    return shared.table(rows.select("train", "text", "batch").mapInArrow(run, "batch long, gram long, n long"), "batch-grams", "zstd")
 
 
 def short_counters(found: DataFrame) -> dict[int, np.ndarray]:
@@ -291,7 +292,7 @@ def short_counters(found: DataFrame) -> dict[int, np.ndarray]:
         for k in out:
             mine = slot >> SHORT_BITS == k
             out[k][slot[mine] & ((1 << SHORT_BITS) - 1)] = np.stack([batch.column(1).to_numpy()[mine], batch.column(2).to_numpy()[mine]], 1)
-    return out
+    return {k: n.astype(np.float32) for k, n in out.items()}
 
 
 def in_parts(found: DataFrame) -> DataFrame:
@@ -338,9 +339,9 @@ def gram_costs(parted: DataFrame, mixer: Mixer, short) -> DataFrame:
         gram, n = columns_of(table)
         cost = shipped.value.bits(gram, n, short.value)
         vec.release()
-        return pa.table({"gram": gram.view(np.int64), "cost": cost})
+        return pa.table({"gram": gram.view(np.int64), "cost": cost.astype(np.float32)})
 
-    return shared.table(parted.groupBy("part").applyInArrow(run, "gram long, cost double"), "costs")
+    return shared.table(parted.groupBy("part").applyInArrow(run, "gram long, cost float"), "costs", "zstd")
 
 
 def word_rows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -377,26 +378,31 @@ def batch_words(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), batch)), pa.array(k.view(np.int64)), pa.array(n)], ["batch", "word", "n"])
 
     found = rows.select("train", "text", "batch").mapInArrow(run, "batch long, word long, n long")
-    return shared.table(found, "batch-words")
+    return shared.table(found, "batch-words", "zstd")
+
 
+def store(found: DataFrame, values: DataFrame, key: str, value: str, kind: type) -> str:
+    """A folder with a file for each batch: the different keys of found (batch, key) in ascending order, and their values in values (key, value).
 
-def store(found: DataFrame, key: str, value: str, kind: type) -> str:
-    """A folder with a file for each batch: the keys of found (batch, key, value), which a batch may have twice with one value, in ascending order, and their values."""
+    Batches are worked off in slices, which bounds the disk that the join takes.
+    """
     folder = shared.new_path(found.sparkSession, f"{key}-files")
 
     def run(table: pa.Table) -> pa.Table:
         keys, at = np.unique(table["key"].to_numpy().view(np.uint64), return_index=True)
-        values = table["value"].to_numpy()[at].astype(kind)
         fs, inner = shared.filesystem(folder)
         fs.create_dir(inner, recursive=True)
         name = f"{inner}/{uuid.uuid4().hex}"
         with fs.open_output_stream(name, compression=None) as f:
-            f.write(np.array([len(keys)], np.int64).tobytes() + keys.tobytes() + values.tobytes())
+            f.write(np.array([len(keys)], np.int64).tobytes() + keys.tobytes() + table["value"].to_numpy()[at].astype(kind).tobytes())
         fs.move(name, f"{inner}/{table['batch'][0].as_py()}")  # a task that runs again writes the same file
         vec.release()
         return pa.table({"batch": table["batch"][:1]})
 
-    found.select("batch", F.col(key).alias("key"), F.col(value).alias("value")).groupBy("batch").applyInArrow(run, "batch long").count()
+    for k in range(SLICES):
+        part = found.where(F.pmod(F.xxhash64("batch"), F.lit(SLICES)) == k).select("batch", key).join(values, key)
+        part.select("batch", F.col(key).alias("key"), F.col(value).alias("value")).groupBy("batch").applyInArrow(run, "batch long").count()
+        shared.forget()
     return folder
 
 
@@ -413,7 +419,7 @@ class Lookup:
         place = self.place(keys)
         order = np.argsort(place, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.begin = np.searchsorted(place[order], np.arange(1 << (64 - int(self.shift))))
+        self.begin = np.searchsorted(place[order], np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(29))) * np.uint64(vec.BASE) >> self.shift).astype(np.int64)
@@ -430,22 +436,23 @@ class Lookup:
 def count_words(rows: DataFrame) -> tuple[str, int, int]:
     """(folder with a file for each batch: its words' hashes and training counts; tokens and different tokens in training)."""
     found = batch_words(rows)
-    totals = found.groupBy("word").agg(F.sum("n").alias("total"))
+    totals = shared.table(found.groupBy("word").agg(F.sum("n").alias("total")), "totals", "zstd")
     seen = totals.where("total > 0").agg(F.sum("total").alias("tokens"), F.count("*").alias("different")).first()
-    folder = store(found.select("batch", "word").join(totals, "word"), "word", "total", np.int64)
-    shared.forget(found)
+    folder = store(found, totals, "word", "total", np.int64)
+    shared.forget(found, totals)
     return folder, int(seen["tokens"] or 0), int(seen["different"])
 
 
 def count_grams(rows: DataFrame) -> str:
     """A folder with a file for each batch: its grams and their costs."""
     found = batch_grams(rows)
-    total = shared.table(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    total = shared.table(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams", "zstd")
+    shared.forget()
     short = rows.sparkSession.sparkContext.broadcast(short_counters(total))  # of fixed size
     parted = in_parts(total)
     costs = gram_costs(parted, train_mixer(parted, short), short)
     shared.forget(total)
-    folder = store(found.select("batch", "gram").join(costs, "gram"), "gram", "cost", np.float64)
+    folder = store(found, costs, "gram", "cost", np.float32)
     shared.forget(found, costs)
     return folder
 
@@ -473,7 +480,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
             for batch in np.unique(ids).tolist():
                 if batch != now:
                     cost_of = count_of = None
-                    now, cost_of, count_of = batch, Lookup(costs, batch, np.float64), Lookup(folder, batch, np.int64)
+                    now, cost_of, count_of = batch, Lookup(costs, batch, np.float32), Lookup(folder, batch, np.int64)
                 mine = np.repeat(ids == batch, np.diff(at))
                 cost[mine] = cost_of(g[mine])
                 mine = np.repeat(ids == batch, np.diff(first))
