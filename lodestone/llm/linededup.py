@@ -51,10 +51,11 @@ def rarity(docs: DataFrame) -> Column:
     """A literal array: the power of two of each bucket's number of words. Its size is BUCKETS, whatever the input."""
     words = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("p"))
-    powers = ["0"] * BUCKETS
-    for r in counts.collect():
-        powers[r["id"]] = str(r["p"])
-    return F.split(F.lit(",".join(powers)), ",").cast("array<tinyint>")
+    found = counts.toArrow()  # BUCKETS rows at most
+    powers = [0] * BUCKETS
+    for k, p in zip(found["id"].to_pylist(), found["p"].to_pylist(), strict=True):
+        powers[k] = p
+    return F.split(F.lit(",".join(map(str, powers))), ",").cast("array<tinyint>")
 
 
 def word_set(line: str, powers: Column) -> Column:

@@ -15,6 +15,8 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import vec
+
 #: Used only where the session names no folder, as in tests on one machine.
 DEFAULT_DIR = "file:///tmp/checkpoints/lodestone"
 _paths: dict[int, tuple[DataFrame, str]] = {}
@@ -76,6 +78,7 @@ def forget(*tables: DataFrame) -> None:
             gc.collect()
             context._jvm.System.gc()
             time.sleep(0.3)
+    vec.release()
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

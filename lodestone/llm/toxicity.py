@@ -131,8 +131,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most MOST_TOXIC + MOST_CLEAN pairs of numbers
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()  # MOST_TOXIC + MOST_CLEAN documents
-    model = fit([r["text"].encode() for r in found], np.array([r["toxic"] for r in found], bool))
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()  # MOST_TOXIC + MOST_CLEAN documents
+    model = fit([t.encode() for t in found["text"].to_pylist()], np.array(found["toxic"].to_pylist(), bool))
+    del found
     vec.release()
     return model
 
