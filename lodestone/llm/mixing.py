@@ -46,7 +46,7 @@ BUCKETS = 33
 PRIOR = 0.1
 RATE = 0.05
 EXAMPLES = 1024
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 80 << 20
 SLICES = 3
 END_WORD = np.uint64(1)
 
@@ -236,40 +236,45 @@ def batched(docs: DataFrame, train: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, batch))], [*rows.schema.names, "batch"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return shared.table(given.mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched", "zstd")
+    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, given.rdd.getNumPartitions() // 4)  # fewer batches share more grams
+    return shared.table(given.coalesce(few).mapInArrow(run, "doc_id long, train boolean, text string, batch long"), "batched", "zstd")
 
 
 def batch_grams(rows: DataFrame) -> DataFrame:
     """A shared table of batch, gram and n: the different grams of each batch, and how often they stand in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts, size = None, [], [], 0
+        now, known, keys, counts, size = None, None, [], [], 0  # known: what has been summed up; keys and counts: what has come since
 
-        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal keys, counts, size
-            if not keys:
-                return
+        def summed() -> tuple[np.ndarray, np.ndarray]:
             k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
-            keys, counts, size = [k], [n], len(k)
-            if whole or size > 1_200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(k.view(np.int64)), pa.array(n)], ["batch", "gram", "n"])
-                keys, counts, size = [], [], 0
+            return (k, n) if known is None else sum_equal(np.concatenate([known[0], k]), np.concatenate([known[1], n]))
 
-        for part, data, offs in vec.slices(batches, limit=2 * vec.SLICE_BYTES):
+        def to_batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(known[0]), now)), pa.array(known[0].view(np.int64)), pa.array(known[1])], ["batch", "gram", "n"])
+
+        for part, data, offs in vec.slices(batches):
             g, first = grams(data, offs)
             ids, train = np.repeat(part.column(2).to_numpy(), np.diff(first)), np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(first))
             for batch in np.unique(part.column(2).to_numpy()).tolist():
                 if batch != now:
-                    yield from flush(True)
-                    now = batch
+                    if keys or known:
+                        known = summed() if keys else known
+                        yield to_batch()
+                    now, known, keys, counts, size = batch, None, [], [], 0
                 for learned in (True, False):
                     k, n = sum_equal(g[(ids == batch) & (train == learned)])
                     keys.append(k)
                     counts.append(n * learned)
                     size += len(k)
-                if size > 2_500_000:
-                    yield from flush(False)
-        yield from flush(True)
+                if size > 1_000_000:
+                    known, keys, counts, size = summed(), [], [], 0
+                    if len(known[0]) > 4_000_000:
+                        yield to_batch()
+                        known = None
+        if keys or known:
+            known = summed() if keys else known
+            yield to_batch()
 
     return shared.table(rows.select("train", "text", "batch").mapInArrow(run, "batch long, gram long, n long"), "batch-grams", "zstd")
 
