@@ -48,6 +48,8 @@ RATE = 0.05
 EXAMPLES = 1024
 BATCH_BYTES = 80 << 20
 SLICES = 3
+#: Grams that are counted before they are merged with those of the batch so far.
+PENDING = 1_000_000
 END_WORD = np.uint64(1)
 
 
@@ -73,6 +75,14 @@ def sum_equal(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return keys[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
 
 
+def merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists of different keys as one, with the sums of their counts."""
+    at = np.searchsorted(keys, more)
+    there = keys[np.minimum(at, len(keys) - 1)] == more
+    counts[at[there]] += n[there]
+    return np.insert(keys, at[~there], more[~there]), np.insert(counts, at[~there], n[~there])
+
+
 def word_length(gram: np.ndarray) -> np.ndarray:
     """How many of the ORDER bytes before a gram's last one come after the last white space or start of the text."""
     out = np.full(len(gram), ORDER)
@@ -248,7 +258,7 @@ def batch_grams(rows: DataFrame) -> DataFrame:
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
-            return (k, n) if known is None else sum_equal(np.concatenate([known[0], k]), np.concatenate([known[1], n]))
+            return (k, n) if known is None else merged(*known, k, n)
 
         def to_batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(known[0]), now)), pa.array(known[0].view(np.int64)), pa.array(known[1])], ["batch", "gram", "n"])
@@ -267,7 +277,7 @@ def batch_grams(rows: DataFrame) -> DataFrame:
                     keys.append(k)
                     counts.append(n * learned)
                     size += len(k)
-                if size > 1_000_000:
+                if size > PENDING:
                     known, keys, counts, size = summed(), [], [], 0
                     if len(known[0]) > 4_000_000:
                         yield to_batch()

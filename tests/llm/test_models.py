@@ -207,6 +207,14 @@ def trained_mixer(texts):
     return mixer
 
 
+def test_merged_counts():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 300):
+        a, b = rng.integers(0, 400, 300).astype(np.uint64), rng.integers(0, 400, size).astype(np.uint64)
+        keys, counts = mixing.merged(*mixing.sum_equal(a), *mixing.sum_equal(b))
+        assert [x.tolist() for x in (keys, counts)] == [x.tolist() for x in mixing.sum_equal(np.concatenate([a, b]))]
+
+
 def test_probabilities_sum_to_one():
     rng = random.Random(5)
     texts = [text_of("x", rng, 50) for _ in range(5)]
@@ -262,6 +270,7 @@ def test_scores_bit_by_bit(spark, monkeypatch):
     mixer = trained_mixer(texts[:12])
     monkeypatch.setattr(mixing, "train_mixer", lambda parted, short: mixer)
     monkeypatch.setattr(mixing, "PART_GRAMS", 50)
+    monkeypatch.setattr(mixing, "PENDING", 20)
     for r in mixing.score(docs, train).collect():
         assert r.score == pytest.approx(-slow_text_bits(texts[:12], mixer, texts[r.doc_id]) * math.log10(2), rel=1e-4)
 
