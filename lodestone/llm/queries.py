@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, linededup, lzprint, mixing, ngram_join, recordio, toxicity, warc
+from lodestone.llm import bpe, decontam, langid, lattice, linededup, lzprint, mixing, ngram_join, periodic, recordio, toxicity, warc
 from lodestone.llm.shared import documents
 from lodestone.runtime import query
 
@@ -76,7 +76,15 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op6_context_mixing, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint)}
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.interactions(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_planted_runs(documents(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op6_context_mixing, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint, op12_filter_interactions, op13_periodic_runs)}
 
 #: Base32 of a SHA-1 from its 40 hex digits: each 5 of them are 4 letters.
 _BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(5 * i + 1 AS INT), 5))::INT >> s) & 31) + 1, 1)))), '')"
@@ -132,6 +140,26 @@ SQL: dict[str, str] = {
                coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
     """,
+    "op12_filter_interactions": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS fst FROM d),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > fst, false)] AS bad
+              FROM w LEFT JOIN l USING (doc_id)),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT o, step, ascii(substr(o, step, 1)) - 64 AS x, list_transform(range(1, step), lambda i: ascii(substr(o, i, 1)) - 64) AS done FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+        g AS (SELECT part, bad, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+        c AS (SELECT part, o, step, x, n, good, toxic, bad[x] AS fails, len(list_filter(done, lambda i: bad[i])) > 0 AS gone, len(list_filter(bad, lambda b: b)) = 1 AS once FROM g, s),
+        r AS (SELECT part, o, step, x, sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed, sum(n) FILTER (gone AND fails) AS redundant,
+                     sum(n) FILTER (fails AND once) AS unique_fails, sum(n) FILTER (NOT gone AND fails AND good) AS good_lost, sum(n) FILTER (NOT gone AND fails AND toxic) AS toxic_lost
+              FROM c GROUP BY part, o, step, x)
+        SELECT part, o AS filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+        FROM r
+    """,
     "op7_warc_index_merge": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, url, sha1(coalesce(html, '')) AS h FROM pages),
         m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
