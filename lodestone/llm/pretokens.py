@@ -94,50 +94,63 @@ def token_starts(data: np.ndarray, offs: np.ndarray, special: bytes, library_spl
 
 
 class WordIds:
-    """Ids of pieces, kept by the 64-bit hash of their bytes; `encode` gets the missing distinct pieces as bytes.
+    """Ids of pieces, found by the 64-bit hash of their bytes; `encode` gets the missing distinct pieces as bytes.
 
-    Two different pieces share a hash with a chance of about 1e-7 in a full dictionary. It is emptied when full.
+    The bytes of each entry are kept and compared whenever its hash is met, so a piece whose hash belongs to another one is encoded for itself. The dictionary is emptied when full.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 21):
-        self.encode, self.memo = encode, vec.Memo(bits)
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 21, keys: Callable[..., np.ndarray] = vec.span_hashes):
+        self.encode, self.memo, self.keys = encode, vec.Memo(bits), keys
         self.clear()
 
     def clear(self) -> None:
         self.memo.clear()
         self.at, self.len, self.ids, self.n, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0, 0
+        self.text_at, self.text_len, self.text, self.text_used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint8), 0
 
-    def _append(self, found: list[list[int]]) -> np.ndarray:
+    def _append(self, pieces: list[bytes]) -> np.ndarray:
+        """New entries for pieces."""
+        found, joined = self.encode(pieces), np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.fromiter((x for ids in found for x in ids), np.int32, int(sizes.sum()))
-        for name, need in (("at", self.n + len(found)), ("len", self.n + len(found)), ("ids", self.used + len(flat))):
+        entries = self.n + len(found)
+        for name, need in (("at", entries), ("len", entries), ("text_at", entries), ("text_len", entries), ("ids", self.used + len(flat)), ("text", self.text_used + len(joined))):
             old = getattr(self, name)
             if need > len(old):
                 grown = np.zeros(max(need, 2 * len(old)), old.dtype)
                 grown[: len(old)] = old
                 setattr(self, name, grown)
-        entries = np.arange(self.n, self.n + len(found))
-        self.at[entries] = self.used + np.cumsum(sizes) - sizes
-        self.len[entries] = sizes
+        made = np.arange(self.n, entries)
+        self.at[made], self.len[made] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.text_at[made], self.text_len[made] = self.text_used + np.cumsum(lengths) - lengths, lengths
         self.ids[self.used : self.used + len(flat)] = flat
-        self.n += len(found)
-        self.used += len(flat)
-        return entries
+        self.text[self.text_used : self.text_used + len(joined)] = joined
+        self.n, self.used, self.text_used = entries, self.used + len(flat), self.text_used + len(joined)
+        return made
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, number of ids of each piece); starts ends with the total length."""
         begin, end = starts[:-1], starts[1:]
         if self.memo.size > self.memo.limit:
             self.clear()
-        keys = vec.span_hashes(data, begin, end)
+        keys = self.keys(data, begin, end)
         entry = self.memo.find(keys)
         missing = np.flatnonzero(entry < 0)
+        raw = data.tobytes()
+
+        def pieces(which: np.ndarray) -> list[bytes]:
+            return [raw[a:b] for a, b in zip(begin[which].tolist(), end[which].tolist(), strict=True)]
+
         if len(missing):
             new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            where = missing[first]
-            made = self._append(self.encode([raw[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]))
+            made = self._append(pieces(missing[first]))
             self.memo.add(new, made)
             entry[missing] = made[back]
+        size = end - begin
+        alike = self.text_len[entry] == size
+        alike[alike] = vec.equal_spans(data, begin[alike], self.text[: self.text_used], self.text_at[entry[alike]], size[alike])
+        if len(other := np.flatnonzero(~alike)):  # their hashes belong to other pieces
+            entry[other] = self._append(pieces(other))
         sizes = self.len[entry].astype(np.int64)
         return self.ids[vec.ragged(self.at[entry].astype(np.int64), sizes)], sizes

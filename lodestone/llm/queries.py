@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, lattice, linededup, lzprint, mixing, ngram_join, periodic, recordio, toxicity, warc
+from lodestone.llm import anchors, bpe, decontam, langid, lattice, linededup, lzprint, mixing, ngram_join, periodic, recordio, toxicity, warc
 from lodestone.llm.shared import documents
 from lodestone.runtime import query
 
@@ -76,6 +76,10 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.digests(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.digests(documents(spark, sf_dir))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.interactions(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -84,7 +88,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.with_planted_runs(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op6_context_mixing, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint, op12_filter_interactions, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: query(f) for f in (op1_language_id, op2_token_records, op3_bpe_round_trip, op4_toxicity, op5_line_dedup, op6_context_mixing, op7_warc_index_merge, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_phrase_fingerprint, op11_substring_dedup, op12_filter_interactions, op13_periodic_runs)}
 
 #: Base32 of a SHA-1 from its 40 hex digits: each 5 of them are 4 letters.
 _BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(5 * i + 1 AS INT), 5))::INT >> s) & 31) + 1, 1)))), '')"
@@ -140,6 +144,16 @@ SQL: dict[str, str] = {
                coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
     """,
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT r, doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS p FROM d)),
+        f AS (SELECT s, min(doc_id) AS fst FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        c AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS q FROM p JOIN f USING (s) WHERE fst < doc_id),
+        g AS (SELECT r, list(q) AS q FROM c GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(len(q), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN q IS NULL THEN w ELSE list_where(w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(q, i))) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (r)
+    """,
     "op12_filter_interactions": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS fst FROM d),

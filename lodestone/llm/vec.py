@@ -8,17 +8,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-#: Odd multiplier of the polynomial span hash, and its inverse modulo 2**64.
+#: An odd multiplier.
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BYTE_VALUE = np.random.default_rng(20240613).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,26 +64,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 16), b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+#: The bytes of a chunk that belong to a span with so many bytes left.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 512
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _BYTE_VALUE) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]]; equal spans hash alike wherever they stand.
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.uint64, wide, strides=(1,))
 
-    data may hold bytes or other small codes that index `value`.
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE) -> np.ndarray:
+    """64-bit hash of the bytes data[starts[i]:ends[i]]; equal spans hash alike wherever they stand.
+
+    The length and each 8 bytes go through the finaliser one after another, so spans of like structure collide no more often than others.
     """
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left, own, eight = starts[live], size[live], h[live], chunks(data)
+    while len(live):
+        own = mix(own ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        h[live] = own
+        more = np.flatnonzero(left > 8)
+        live, at, left, own = live[more], at[more] + 8, left[more] - 8, own[more]
+    return h
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether data[starts[i]:][:sizes[i]] is other[places[i]:][:sizes[i]], by their bytes."""
+    out = np.ones(len(sizes), bool)
+    live, left, a, b = np.flatnonzero(sizes > 0), sizes[sizes > 0], chunks(data), chunks(other)
+    step = 0
+    while len(live):
+        same = ((a[starts[live] + step] ^ b[places[live] + step]) & _MASKS[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        more = np.flatnonzero(same & (left > 8))
+        live, left, step = live[more], left[more] - 8, step + 8
+    return out
 
 
 def class_table(*ranges: tuple[int, int]) -> np.ndarray:
