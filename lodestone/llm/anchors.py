@@ -228,6 +228,8 @@ def scan(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
 
     asked = rows.select("doc_id", "text", number).groupBy(number).applyInArrow(send_anchors, ITEMS)
     common = shared.table(asked.groupBy("bucket").applyInArrow(common_anchors, ANSWERS), "anchors")
+    del asked
+    shared.forget()  # the shuffled texts
 
     def emitted(part: Slice, found: pa.Table) -> np.ndarray:
         part.anchors()
@@ -245,6 +247,8 @@ def scan(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
 
     asked = rows.select("doc_id", "text", number).groupBy(number).cogroup(common.groupBy("slice")).applyInArrow(send_windows, ITEMS)
     firsts = shared.table(asked.groupBy("bucket").applyInArrow(first_ids, ANSWERS), "windows")
+    del asked
+    shared.forget()
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         _, part = slice_of(table)
