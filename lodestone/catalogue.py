@@ -6,6 +6,7 @@ before they are ranked.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity as I
+from lodestone.functions import sentences as S
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 from lodestone.operators import evaluation as V
+from lodestone.operators import judging as J
 from lodestone.operators import retrieval as R
 from lodestone.runtime import query
 from lodestone.plans import diagnostics as D
@@ -29,6 +32,7 @@ SQL: dict[str, str] = {}
 
 #: DuckDB's form of functions.text.WHITE.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANK = r"[\t-\r ]"
 FINGERPRINT = I.fingerprint({"catalogue": 1})
 RAW, FINAL, NEAR = 10, 5, 0.02
 SPACE_CUTOFF = 0.75
@@ -470,21 +474,45 @@ def _carried_sql(x: str) -> str:
     return f"CASE WHEN length({x}) <= 200 THEN {x} ELSE {_stripped(f'substr({end}, CAST({begin} + 1 AS BIGINT))')} END"
 
 
-#: The chunker over documents of one section and one paragraph, as the synthetic ones are: sentences are packed to 800, then cut hard below the header.
-_CHUNKS = rf"""
-    WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(lang, 'unknown') AS kind, {_stripped("text")} AS section FROM documents WHERE {_stripped("text")} <> ''),
+def _segments_sql(x: str, language: str) -> str:
+    """The sentences of a text by a language's rules: places that end none are marked with chr(57344), those that do with chr(57345), and the text is split there."""
+    rules = S.RULES[language]
+    words = "|".join(w.replace(".", "[.]") for w in sorted(rules.words, key=len, reverse=True))
+    closing, opening = (f"[{re.escape(c)}]{{0,3}}".replace("'", "''") for c in (S.CLOSING, S.OPENING))
+    head = r"(^|[^\p{L}\p{N}_.])"
+    kept = [(rf"{head}({words})", "gi"), (rf"{head}(\p{{Lu}})", "g"), (r"(^|[\n\r])([ \t\x0B\f]{0,19}[0-9]{1,3})", "g"), *([(head + "([0-9]{1,2})", "g")] if rules.ordinals else [])]
+    out = rf"regexp_replace({x}, '([.!?…]{closing})({_BLANK}+{opening}\p{{Ll}})', '\1' || chr(57344) || '\2', 'g')"
+    for pattern, how in kept * 2:  # a match ends with the white space that the next one may begin with
+        out = rf"regexp_replace({out}, '{pattern}[.]({_BLANK})', '\1\2.' || chr(57344) || '\3', '{how}')"
+    cut = rf"string_split(regexp_replace({out}, '([.!?…]{closing}){_BLANK}+', '\1' || chr(57345), 'g'), chr(57345))"
+    kept_text = f"regexp_replace(replace(s, chr(57344), ''), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+    return f"list_filter(list_transform({cut}, lambda s: {kept_text}), lambda s: s <> '')"
+
+
+def _chunks_sql(text: str) -> str:
+    """The chunker over documents of one section: paragraphs are packed to 800, a long first one by sentences, then pieces are cut hard below the header."""
+    full = "length(now) + length(unit) + {n} > 800 AND now <> ''"
+    step = f"CASE WHEN full_ THEN {_carried_sql('now')} ELSE now END"
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(lang, 'unknown') AS kind, {_stripped(text)} AS section FROM documents WHERE {_stripped(text)} <> ''),
     h AS (SELECT *, {_heading_sql("section")} AS heading FROM d),
     f AS (SELECT *, '[Source: Source ' || source || ' | ' || kind || ']' || chr(10) || '[Section: ' || heading || ']' || chr(10) || chr(10) AS head FROM h),
-    u AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM (
-        SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(section, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_stripped("s")}), lambda s: s <> '') AS l FROM f WHERE length(section) > 800)),
+    q AS (SELECT doc_id, list_filter(list_transform(string_split(section, chr(10) || chr(10)), lambda s: {_stripped("s")}), lambda s: s <> '') AS paras FROM f WHERE length(section) > 800),
+    u AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_segments_sql("paras[1]", "en")} AS l FROM q WHERE length(paras[1]) > 800)),
     g(doc_id, i, now, out) AS (
-        SELECT doc_id, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR) FROM f WHERE length(section) > 800
+        SELECT doc_id, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR) FROM q WHERE length(paras[1]) > 800
         UNION ALL
         SELECT doc_id, i + 1, CASE WHEN carry <> '' THEN carry || ' ' || unit ELSE unit END, CASE WHEN full_ THEN now END
-        FROM (SELECT *, CASE WHEN full_ THEN {_carried_sql("now")} ELSE now END AS carry
-              FROM (SELECT g.doc_id, g.i, g.now, u.unit, length(g.now) + length(u.unit) + 1 > 800 AND g.now <> '' AS full_ FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i + 1))),
-    c AS (SELECT doc_id, i, out AS chunk FROM g WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, now FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
-    n AS (SELECT doc_id, {_stripped("chunk")} AS body, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS sub FROM c WHERE length(chunk) >= 80),
+        FROM (SELECT *, {step} AS carry FROM (SELECT g.doc_id, g.i, g.now, u.unit, {full.format(n=1)} AS full_ FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i + 1))),
+    z AS (SELECT doc_id, i, now FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+    y(doc_id, i, now, out) AS (
+        SELECT doc_id, CASE WHEN z.now IS NULL THEN 0 ELSE 1 END, coalesce(z.now, ''), CAST(NULL AS VARCHAR) FROM q LEFT JOIN z USING (doc_id)
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN carry <> '' THEN carry || chr(10) || chr(10) || unit ELSE unit END, CASE WHEN full_ THEN now END
+        FROM (SELECT *, {step} AS carry FROM (SELECT y.doc_id, y.i, y.now, q.paras[y.i + 1] AS unit, {full.format(n=2).replace("unit", "q.paras[y.i + 1]")} AS full_ FROM y JOIN q ON q.doc_id = y.doc_id AND y.i < len(q.paras)))),
+    c AS (SELECT doc_id, 0 AS stage, i, out AS chunk FROM g WHERE out IS NOT NULL UNION ALL SELECT doc_id, 1, i, out FROM y WHERE out IS NOT NULL
+          UNION ALL SELECT doc_id, 2, i, now FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+    n AS (SELECT doc_id, {_stripped("chunk")} AS body, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY stage, i) - 1 AS INT) AS sub FROM c WHERE length(chunk) >= 80),
     b AS (SELECT doc_id, sub, body FROM n WHERE length(body) >= 80 UNION ALL SELECT doc_id, NULL, section FROM f WHERE length(section) <= 800),
     m AS (SELECT {{'doc_id': doc_id, 'sub': sub}} AS k, body, CAST(800 - length(head) AS BIGINT) AS lim FROM b JOIN f USING (doc_id)),
     {_pieces_sql("p", "m")},
@@ -495,11 +523,20 @@ _CHUNKS = rf"""
 """
 
 
+_CHUNKS = _chunks_sql("text")
+
+
 @register(_CHUNKS + "SELECT * FROM chunks")
 def chunk_documents(spark, sf_dir):
     return C.chunk_documents(_sources(spark, sf_dir))
 
 
+@register(_chunks_sql("replace(text, chr(10), chr(10) || chr(10))") + "SELECT * FROM chunks")
+def chunk_paragraphs(spark, sf_dir):
+    """The same with every line of a document as a paragraph of its own."""
+    return C.chunk_documents(_sources(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+
+
 @register(_CHUNKS + "SELECT 'doc_' || id_num AS id, id_num, entry_ord, chunk_ord FROM (SELECT row_number() OVER (ORDER BY entry_ord, chunk_ord) - 1 AS id_num, entry_ord, chunk_ord FROM chunks)")
 def chunk_ids(spark, sf_dir):
     return C.with_ids(written(chunk_documents(spark, sf_dir).select("entry_ord", "chunk_ord"), "chunks")).select("id", "id_num", "entry_ord", "chunk_ord")
@@ -522,6 +559,28 @@ def hard_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("part", "piece")).select("doc_id", "part", F.sha2("piece", 256).alias("piece_sha256"))
 
 
+@register(f"""WITH RECURSIVE r AS (SELECT doc_id, '[' || source || ']' || chr(10) || text AS t, CAST(length(source) + 3 AS INT) AS header_len FROM documents),
+    b AS (SELECT doc_id AS k, {_stripped("t")} AS body, CAST(800 AS BIGINT) AS lim FROM r WHERE length(t) > 800), {_pieces_sql("p", "b")}
+    SELECT doc_id, CAST(n - 1 AS INT) AS hard_split_index, CASE WHEN n > 1 THEN 0 ELSE header_len END AS header_len, sha256(piece) AS text_sha256 FROM p JOIN r ON doc_id = k WHERE n > 0 AND piece <> ''
+    UNION ALL SELECT doc_id, NULL, header_len, sha256(t) FROM r WHERE length(t) <= 800""")
+def hard_limit_pass(spark, sf_dir):
+    """Documents below a header as chunks: those of more than 800 characters become numbered pieces, of which the first keeps the header."""
+    head = F.concat(F.lit("["), "source", F.lit("]\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(head).alias("header_len"), F.concat(head, "text").alias("text"))
+    return C.hard_limit(rows, 800, 200).select("doc_id", "hard_split_index", "header_len", F.sha2("text", 256).alias("text_sha256"))
+
+
+_LANGUAGES = ("en", "de", "fr", "es")
+
+
+@register("SELECT doc_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, '|')) AS sha FROM (SELECT doc_id, CASE lang " + " ".join(f"WHEN '{x}' THEN {_segments_sql('text', x)}" for x in _LANGUAGES) + f" ELSE {_segments_sql('text', 'en')} END AS l FROM documents)")
+def segment_sentences(spark, sf_dir):
+    """Sentences by the rules of each document's language."""
+    docs = table(spark, sf_dir, "documents")
+    found = F.coalesce(*(F.when(F.col("lang") == x, S.sentence_array(F.col("text"), x)) for x in _LANGUAGES), S.sentence_array(F.col("text"), "en"))
+    return docs.select("doc_id", found.alias("l")).select("doc_id", F.size("l").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("sha"))
+
+
 # -- evaluation and lifecycle ----------------------------------------------------------------------------------------
 
 _METRICS = "WITH m AS (SELECT 'quality' AS metric, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(quality AS DOUBLE) END AS value FROM labels UNION ALL SELECT 'clean', CAST(1 - toxic AS DOUBLE) FROM labels), a AS (SELECT metric, avg(value) AS mean, count(value) AS n_valid FROM m GROUP BY metric)"
@@ -557,6 +616,56 @@ def manifest_diff(spark, sf_dir):
     return problems_table(counts("customer", "c_nationkey"), counts("supplier", "s_nationkey"))
 
 
+_VALUES = """
+    p AS (SELECT *, row_number() OVER o AS rank, sum(CAST(yes AS INT)) OVER o AS so_far FROM v WHERE yes IS NOT NULL WINDOW o AS (PARTITION BY query_id, metric ORDER BY item)),
+    s AS (SELECT query_id, metric, count(*) AS n, sum(CAST(yes AS INT)) AS good, sum(CAST(yes AS INT) * so_far / rank) AS gain FROM p GROUP BY query_id, metric),
+    e AS (SELECT query_id, unnest(['faithfulness', 'context_precision', 'context_utilization']) AS metric FROM cases)
+    SELECT query_id, metric, CASE WHEN metric = 'faithfulness' THEN good / n WHEN good > 0 THEN gain / good WHEN n > 0 THEN 0.0 END AS value FROM e LEFT JOIN s USING (query_id, metric)
+"""
+
+
+@register(
+    """WITH v AS (SELECT doc_id % 50 AS query_id, 'faithfulness' AS metric, doc_id AS item, CASE WHEN doc_id % 7 > 0 THEN toxic = 0 END AS yes FROM labels
+               UNION ALL SELECT doc_id % 50, 'context_precision', doc_id, quality = 1 FROM labels UNION ALL SELECT item_id % 50, 'context_utilization', item_id, length(text) % 2 = 0 FROM benchmark),
+    cases AS (SELECT DISTINCT doc_id % 50 AS query_id FROM labels),""" + _VALUES
+)
+def verdict_metrics(spark, sf_dir):
+    """Labels and benchmark items as verdicts of a judge; some labels were not decided, and some queries have no items of a metric."""
+    labels, benchmark = table(spark, sf_dir, "labels"), table(spark, sf_dir, "benchmark")
+
+    def verdicts(rows: DataFrame, key: str, metric: str, yes) -> DataFrame:
+        return rows.select((F.col(key) % 50).alias("query_id"), F.lit(metric).alias("metric"), F.col(key).alias("item"), yes.alias("verdict"))
+
+    given = verdicts(labels, "doc_id", J.FAITHFULNESS, F.when(F.col("doc_id") % 7 > 0, F.col("toxic") == 0))
+    given = given.unionByName(verdicts(labels, "doc_id", J.PRECISION, F.col("quality") == 1)).unionByName(verdicts(benchmark, "item_id", J.UTILIZATION, F.length("text") % 2 == 0))
+    return J.metrics(given, labels.select((F.col("doc_id") % 50).alias("query_id")))
+
+
+def _word_set_sql(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@register(
+    f"""WITH cases AS (SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS question, a.text AS answer, (SELECT list(c.text ORDER BY c.turn) FROM conversations c WHERE c.conv_id = u.conv_id AND c.role = 'user' AND c.turn <= u.turn) AS contexts
+                   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role <> 'user'),
+    j AS (SELECT query_id, 'faithfulness' AS metric, unnest(l) AS statement, generate_subscripts(l, 1) AS item, array_to_string(contexts, chr(10) || chr(10)) AS evidence FROM (SELECT *, {_segments_sql("answer", "en")} AS l FROM cases)
+          UNION ALL SELECT query_id, 'context_precision', question, generate_subscripts(contexts, 1), unnest(contexts) FROM cases
+          UNION ALL SELECT query_id, 'context_utilization', answer, generate_subscripts(contexts, 1), unnest(contexts) FROM cases),
+    v AS (SELECT query_id, metric, item, CASE WHEN len({_word_set_sql("statement")}) > 0 THEN 100 * len(list_intersect({_word_set_sql("statement")}, {_word_set_sql("evidence")})) >= 25 * len({_word_set_sql("statement")}) END AS yes FROM j),""" + _VALUES
+)
+def judged_metrics(spark, sf_dir):
+    """Conversations as cases: replies are answers, all earlier user turns the context, the question its own reference; judged offline by shared words."""
+    turns = table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    users = turns.where("role = 'user'").select("conv_id", "turn", number.alias("query_id"), F.col("text").alias("question"))
+    replies = turns.where("role <> 'user'").select((number - 1).alias("query_id"), F.col("text").alias("answer"))
+    heard = turns.where("role = 'user'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("heard"))  # the turns of one conversation
+    cases = users.join(replies, "query_id").join(heard, "conv_id").withColumn("contexts", F.expr("transform(filter(heard, x -> x.turn <= turn), x -> x.text)")).withColumn("ground_truth", F.col("question"))
+    cases = written(cases.select("query_id", "question", "answer", "contexts", "ground_truth"), "cases")
+    given = J.requests(cases).withColumn("verdict", J.overlap_verdict(F.col("statement"), F.col("evidence"), 25))
+    return J.metrics(given, cases)
+
+
 @register(
     """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'user')
     SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS question, a.text AS answer, array_to_string([u.text, a.text], '|') AS contexts, 'truth of ' || u.text AS ground_truth FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1"""

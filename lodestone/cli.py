@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from lodestone.plans import answering
-from lodestone.sources import config, corpus, resolve
+from lodestone.sources import config, corpus, remote, resolve
 from lodestone.sources.cache import AnswerCache
 from lodestone.sources.index import Index, ensure_index
 
@@ -78,14 +78,17 @@ def main(root: str | Path = ".", spark: SparkSession | None = None, lines: Itera
     except config.ConfigError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    provider = None
+    if chat is None:
+        provider, chat = remote.providers(settings)
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
     index = Index(spark, resolve.index_folder(root), resolve.collection_name())
-    ensure_index(index, corpus.read_sources(spark, entries), settings, profile)
+    ensure_index(index, corpus.read_sources(spark, entries), settings, profile, provider)
     cache = AnswerCache(spark, Path(root).resolve() / "runtime" / "cache", answering.answer_fingerprint(index, settings, profile))
 
     def ask(question: str) -> list[str]:
         asked = spark.createDataFrame([(0, question)], "query_id long, query string")
-        return shown_answer(answering.answer(asked, index, cache, settings, profile, chat=chat).first())
+        return shown_answer(answering.answer(asked, index, cache, settings, profile, provider, chat).first())
 
     converse(sys.stdin if lines is None else lines, ask, lambda: answering.stats(index, cache, settings), cache.clear)
     return 0

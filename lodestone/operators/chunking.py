@@ -6,14 +6,14 @@ DataFrame. Lengths are code points.
 
 from __future__ import annotations
 
-import functools
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import sentences as S
 from lodestone.sources.config import Profile
 
 #: Fixed values, in order of preference: where a hard cut may fall.
@@ -25,25 +25,11 @@ HEADING_CHARS = 160
 ROWS = 256
 
 
-@functools.cache
-def segmenter(language: str) -> Callable[[str], list[str]] | None:
-    """The segmenter library's cutter for a language; None where the library or the language is missing."""
-    try:
-        from pysbd import Segmenter
-
-        return Segmenter(language=language, clean=False).segment
-    except Exception:  # noqa: BLE001  whatever is wrong with an optional library, the rule below stands in
-        return None
-
-
 def sentences(text: str, language: str | None = None) -> list[str]:
-    """By the language's segmenter where there is one, else cut at white space after . ! or ?; the marks stay."""
-    cut = segmenter(language) if language else None
-    try:
-        parts = cut(text) if cut else None
-    except Exception:  # noqa: BLE001
-        parts = None
-    return [s for s in (p.strip() for p in (re.split(r"(?<=[.!?])\s+", text) if parts is None else parts)) if s]
+    """By the language's rules where there are some, else cut at white space after . ! or ?; the marks stay."""
+    if rules := S.rules_for(language):
+        return S.sentences(text, rules)
+    return [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+", text)) if s]
 
 
 def carried_over(text: str, size: int) -> str:
@@ -205,6 +191,36 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return numbered.withColumn("id", F.concat(F.lit("doc_"), F.col("id_num").cast("string")))
 
 
+def hard_limit(rows: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """rows with every text of more than limit characters cut into overlapping pieces, numbered by hard_split_index (null for texts that were not cut).
+
+    Pieces after the first do not begin with the header any more, so their header_len (if rows have one) is 0. A limit of 0 or less cuts nothing. Texts within the limit stay as they are, null and
+    blank ones too; a longer text of white space alone has no pieces.
+    """
+    kept = rows.drop("hard_split_index")
+    names = kept.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "hard_split_index int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, of, pieces, index = batch.column(names.index("text")).to_pylist(), [], [], []
+            for n, text in enumerate(texts):
+                whole = limit <= 0 or len(text or "") <= limit
+                cut = [text] if whole else hard_pieces(text, limit, overlap)
+                of += [n] * len(cut)
+                pieces += cut
+                index += [None] if whole else range(len(cut))
+            made = batch.take(pa.array(of, pa.int64()))
+            own = {"text": pa.array(pieces, batch.schema.field("text").type)}
+            if "header_len" in names:
+                length = made.column(names.index("header_len"))
+                own["header_len"] = pa.array([0 if i else x for i, x in zip(index, length.to_pylist(), strict=True)], length.type)
+            columns = [own.get(c, made.column(k)) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(index, pa.int32())], [*names, "hard_split_index"])
+
+    return kept.mapInArrow(run, schema)
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """Number and greatest length of chunks before and after the hard limit."""
     first = F.coalesce("hard_split_index", F.lit(0)) == 0

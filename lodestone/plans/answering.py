@@ -28,8 +28,8 @@ class OfflineChat:
         return "No model is connected."
 
 
-def generate(prompts: DataFrame, chat: Chat, system: str) -> DataFrame:
-    """prompts(query_id, prompt) with answer; a blank completion is an error."""
+def generate(prompts: DataFrame, chat: Chat, system: str, concurrency: int | None = None) -> DataFrame:
+    """prompts(query_id, prompt) with answer; a blank completion is an error. At most `concurrency` tasks ask at a time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -38,7 +38,8 @@ def generate(prompts: DataFrame, chat: Chat, system: str) -> DataFrame:
                 raise R.ProviderError("the model gave an empty answer; the token limit may be too low")
             yield pd.DataFrame({"query_id": part["query_id"], "answer": answers})
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, answer string")
+    asked = prompts.select("query_id", "prompt")
+    return (asked.repartition(concurrency, "query_id") if concurrency else asked).mapInPandas(run, "query_id long, answer string")
 
 
 def answer_fingerprint(index: Index, settings: Settings, profile: Profile) -> str:
@@ -50,7 +51,7 @@ def answer_fingerprint(index: Index, settings: Settings, profile: Profile) -> st
 RESULT = f"query_id long, query string, answer string, from_cache boolean, context_docs {CONTEXT}, cached_at timestamp, model string, mode string, insufficient_basis boolean"
 
 
-def answer(questions: DataFrame, index: Index, cache: AnswerCache | None = None, settings: Settings = Settings(), profile: Profile = Profile(), provider: R.Embedder | None = None, chat: Chat | None = None) -> DataFrame:
+def answer(questions: DataFrame, index: Index, cache: AnswerCache | None = None, settings: Settings = Settings(), profile: Profile = Profile(), provider: R.Embedder | None = None, chat: Chat | None = None, concurrency: int | None = None) -> DataFrame:
     """A row of RESULT for each of questions(query_id, query).
 
     Cache hits skip all that follows and carry no model, mode or distances. Questions without context get the fixed answer, no model call and
@@ -68,7 +69,7 @@ def answer(questions: DataFrame, index: Index, cache: AnswerCache | None = None,
     docs = selected.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "text", F.to_json(meta).alias("metadata"), "id"))), lambda x: F.struct(x["text"].alias("text"), F.from_json(x["metadata"], "map<string,string>").alias("metadata"), x["id"].alias("id"))).alias("context_docs"))
     with_context = misses.join(R.context_block(selected), "query_id").join(docs, "query_id")
     prompts = with_context.withColumn("prompt", P.user_prompt(F.col("query"), F.col("context")))
-    made = with_context.join(generate(prompts, chat or OfflineChat(), P.system_prompt(profile.system_prompt_extra)), "query_id")
+    made = with_context.join(generate(prompts, chat or OfflineChat(), P.system_prompt(profile.system_prompt_extra), concurrency), "query_id")
     answered = written(made.select(
         "query_id", "query", "answer", F.lit(False).alias("from_cache"), "context_docs", F.lit(None).cast("timestamp").alias("cached_at"), F.lit(settings.chat_model).alias("model"), F.lit("generated").alias("mode"), F.lit(False).alias("insufficient_basis")
     ), "answers")

@@ -27,6 +27,11 @@ class Place:
     def name(self) -> str:
         return self._path.getName()
 
+    def qualified(self) -> str:
+        """The path with its scheme, as tasks need it."""
+        found = self._fs.makeQualified(self._path).toString()
+        return f"file://{found.removeprefix('file:')}" if found.startswith("file:/") and not found.startswith("file://") else found
+
     def exists(self) -> bool:
         return self._fs.exists(self._path)
 

@@ -1,14 +1,11 @@
-"""What the environment says: corpus, index, endpoint, judge; and the sentence segmenter where its library is installed."""
+"""What the environment says: corpus, index, endpoint, judge."""
 
 from __future__ import annotations
 
 import json
-import sys
-import types
 
 import pytest
 
-from lodestone.operators import chunking as C
 from lodestone.sources import config as K
 from lodestone.sources import resolve as R
 
@@ -94,28 +91,3 @@ def test_privacy(clean):
         R.keep_private()
         assert R.setting(R.NO_TRACKING) == left
     clean.delenv(R.NO_TRACKING)
-
-
-def test_segmenter(monkeypatch):
-    class Segmenter:
-        def __init__(self, language, clean):
-            if language not in ("en", "ru"):
-                raise ValueError("unknown language")
-
-        def segment(self, text):
-            if "?!" in text:
-                raise RuntimeError
-            return text.split("|")
-
-    text = "Dr. A | came. Late |"
-    C.segmenter.cache_clear()
-    assert C.sentences(text, "en") == ["Dr.", "A | came.", "Late |"]  # without the library: the rule
-    monkeypatch.setitem(sys.modules, "pysbd", types.SimpleNamespace(Segmenter=Segmenter))
-    C.segmenter.cache_clear()
-    assert C.sentences(text, "en") == ["Dr. A", "came. Late"]
-    assert C.sentences(text, "xx") == ["Dr.", "A | came.", "Late |"] and C.sentences("One?! Two", "ru") == ["One?!", "Two"]
-    long = "Dr. A came. " * 30
-    profile = K.Profile(sentence_language="en")
-    doc = {"text": long.replace("came. ", "came|"), "source_display": "D", "source_kind": "k", "doc_type": "o"}
-    assert any("came Dr." in r["text"] for r in C.chunks_of(doc, profile, 200, 0, 10))
-    C.segmenter.cache_clear()
