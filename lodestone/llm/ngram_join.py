@@ -144,27 +144,27 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links: a row for each row of docs with a doc_id.
+    """doc_id, class_id, copy_id, n_copies, n_links: a row for each row of docs.
 
     class_id: the smallest doc_id of the row's near-duplicate group, its own if it has no link. copy_id: the
     smallest doc_id with the same n-gram set; n_copies: how many rows have it. n_links: rows with a Jaccard of at least
     threshold, the other copies and those of linked classes. Texts of 1 to n - 1 words have one n-gram, of all their
     words; null texts and texts without words have none, link to nothing and are copies of nothing. Texts of any length take part whole; a block has one text at least. Ties go to the smallest doc_id. N-grams and sets are told apart by
     hashes of 64 and 128 bits. Other columns are ignored, whatever they are called; an empty table gives no rows. Rows that share a doc_id
-    are compared one by one, and each has the n_links of that of them with the most. Rows with a null doc_id are compared and counted too;
-    without a name they get no row here.
+    are compared one by one, and each has the n_links of that of them with the most. Rows with a null doc_id are compared, counted and returned like
+    others, with a null doc_id; a group or set of such rows alone has a null class_id or copy_id.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if linededup.unique_ids(given):
         found = row_groups(given.select(F.col("doc_id").alias("rid"), "text"), n, threshold, recall, most_hashes)
         return found.select(F.col("rid").alias("doc_id"), F.col("class_rid").alias("class_id"), F.col("copy_rid").alias("copy_id"), "n_copies", "n_links")
     rows = numbered(given)
-    ids = rows.where("doc_id is not null").select("rid", "doc_id")
+    ids = rows.select("rid", "doc_id")
     found = row_groups(rows.select("rid", "text"), n, threshold, recall, most_hashes).join(ids, "rid")
-    for name in ("class", "copy"):  # the smallest row of a group that has an id has one itself
+    for name in ("class", "copy"):  # rows without an id come last, so the smallest row of a group that has an id has one itself
         found = found.join(ids.select(F.col("rid").alias(f"{name}_rid"), F.col("doc_id").alias(f"{name}_id")), f"{name}_rid")
     found = shared.table(found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links"), "found")
-    most = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_links").alias("most")).where("rows > 1").select("doc_id", "most")
+    most = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_links").alias("most")).where("rows > 1").select("doc_id", "most")
     return found.join(most, "doc_id", "left").select("doc_id", "class_id", "copy_id", "n_copies", F.coalesce("most", "n_links").alias("n_links"))
 
 

@@ -16,6 +16,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import vec
+from lodestone.sources.storage import Place
 
 #: Used only where the session names no folder, as in tests on one machine.
 DEFAULT_DIR = "file:///tmp/checkpoints/lodestone"
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = DEFAULT_DIR
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else f"file://{found}"
+    return Place(spark, found).qualified()  # without a scheme it lies on Spark's default file system
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -22,8 +22,9 @@ SLOT_BITS = 22
 LEAST_TEXTS = 4
 LEAST_RATIO = 1.5
 PENALTY = 1e-3
-#: The classifier's documented bound: training rows by label. Each takes part whole.
+#: The classifier's documented bounds: training rows by label, and bytes of their texts. Each row takes part whole.
 MOST_TOXIC, MOST_CLEAN = 1_200, 1_800
+MOST_BYTES = 256 << 20
 _SPACE = np.uint8(0x20)
 
 
@@ -117,11 +118,23 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     return Model(used, weight * ratio[used], bias)
 
 
+def within(sizes: list[tuple[int, int, int]], most: int = MOST_BYTES) -> list[int] | None:
+    """The ids of (id, bytes, label) that keep their order within `most` bytes, half for each label and one id of each at least; None: all."""
+    if sum(n for _, n, _ in sizes) <= most:
+        return None
+    kept, used = [], {}
+    for i, n, label in sizes:
+        if label not in used or used[label] + n <= most // 2:
+            used[label] = used.get(label, 0) + n
+            kept.append(i)
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on docs' texts joined to labels' (doc_id, toxic).
 
     At most MOST_TOXIC and MOST_CLEAN labelled ids, those with the smallest hashes of the id, then the smallest ids; rows with a null id or
-    label are left out, an id with both labels counts as toxic. Of the rows of one id the smallest text takes part, so there are as many texts as ids. Null texts are empty. Texts of any
+    label are left out, an id with both labels counts as toxic. Where their texts have more than MOST_BYTES bytes, each label has half of that for its first ids (one at least). Of the rows of one id the smallest text takes part, so there are as many texts as ids. Null texts are empty. Texts of any
     length take part whole. Without rows of both labels the model is a constant.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -131,7 +144,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most MOST_TOXIC + MOST_CLEAN pairs of numbers
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()  # MOST_TOXIC + MOST_CLEAN documents
+    sizes = rows.groupBy("doc_id").agg(F.octet_length(F.min("text")).alias("bytes"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # as many numbers
+    bounded = within([tuple(r.values()) for r in sizes.to_pylist()])
+    rows = rows if bounded is None else rows.where(F.col("doc_id").isin(bounded))
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()  # MOST_BYTES at most, or one text of each label
     model = fit([t.encode() for t in found["text"].to_pylist()], np.array(found["toxic"].to_pylist(), bool))
     del found
     vec.release()

@@ -316,3 +316,10 @@ def test_memo():
     memo.add(keys, np.arange(99))
     found = memo.find(keys)
     assert ((found == -1) | (found == np.arange(99))).all() and (found >= 0).sum() >= 8
+
+
+def test_toxicity_sample_is_bounded_in_bytes():
+    sizes = [(i, 10 * i, i % 2) for i in range(10)]
+    assert toxicity.within(sizes, 450) is None
+    assert toxicity.within(sizes, 200) == [0, 1, 2, 3, 4, 5] and toxicity.within(sizes, 1) == [0, 1]
+    assert toxicity.within([(7, 10**9, 1), (8, 10**9, 1), (9, 10**9, 0)], 100) == [7, 9]
