@@ -7,6 +7,7 @@ before they are ranked.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -26,6 +27,7 @@ from lodestone.sources import cache as K
 from lodestone.sources.config import Profile
 from lodestone.sources.index import problems_table
 from lodestone.sources.storage import scratch, written
+from lodestone.sources.vectors import VectorIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,6 +108,15 @@ def vector_topk(spark, sf_dir):
     return R.top_k(*_vectors(spark, sf_dir), RAW, exclude_self=True)
 
 
+@register(_HITS + "SELECT query_id, rank, id_num, distance FROM h")
+def vector_index_topk(spark, sf_dir):
+    """The same from a stored index of clusters, of which those too far away are not read."""
+    queries, rows = _vectors(spark, sf_dir)
+    index = VectorIndex(spark, str(scratch(spark) / f"vector-index-{uuid.uuid4().hex}"))
+    index.build(rows, clusters=min(64, max(1, rows.count() // 32)))
+    return index.search(queries, RAW, exclude_self=True).found
+
+
 @register(_HITS + "SELECT query_id, id_num, distance FROM d")
 def vector_distances(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
@@ -276,8 +287,6 @@ def cache_stats(spark, sf_dir):
 )
 def cache_lookup(spark, sf_dir):
     """Documents' texts are stored as answered questions; conversations and the documents, in capitals if they have no ß, are looked up."""
-    import uuid
-
     docs = table(spark, sf_dir, "documents")
     cache = K.AnswerCache(spark, str(scratch(spark) / f"cache-{uuid.uuid4().hex}"), FINGERPRINT)
     stored = docs.select(F.col("text").alias("query"), F.concat(F.lit("answer of "), F.length(T.question_text(F.col("text"))).cast("string")).alias("answer"), F.array().cast(K.CONTEXT).alias("context"))

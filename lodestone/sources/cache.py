@@ -1,8 +1,13 @@
-"""The answer cache: append-only Parquet, the latest row of a key counts."""
+"""The answer cache: Parquet rows in buckets by the beginning of their key, appended; the latest row of a key counts.
+
+A look-up reads the buckets of the keys that are asked for and no others. Appended files add up until compact() rewrites the rows that count as a new generation; a
+pointer file names the generation that is read.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +16,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.sources.storage import Place
 
-VERSION = 1
+VERSION = 2
+#: Hexadecimal digits of a key that name its bucket.
+BUCKET_DIGITS = 2
 CONTEXT = "array<struct<text string, metadata map<string,string>, id string>>"
-SCHEMA = f"query_hash string, query string, answer string, context {CONTEXT}, created_at timestamp, seq long"
+SCHEMA = f"query_hash string, query string, answer string, context {CONTEXT}, created_at timestamp, seq long, bucket string"
 
 
 def latest(rows: DataFrame, key: str = "query_hash") -> DataFrame:
@@ -43,21 +50,48 @@ class AnswerCache:
     def key(self, question):
         return T.question_key(question, self.fingerprint)
 
+    @property
+    def pointer(self) -> Place:
+        return self.place / "generation.txt"
+
+    def generation(self) -> Place:
+        return self.place / (self.pointer.read_text() if self.pointer.exists() else "g0")
+
     def rows(self) -> DataFrame:
-        if not self.place.exists():
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(str(self.place))
+        now = self.generation()
+        return self.spark.read.schema(SCHEMA).parquet(str(now)) if now.exists() else self.spark.createDataFrame([], SCHEMA)
+
+    def asked_rows(self, keyed: DataFrame) -> DataFrame:
+        """Rows whose key is one of keyed.query_hash, read from the buckets of these keys alone (their names come to the driver: 16 ** BUCKET_DIGITS at most)."""
+        keys = keyed.select("query_hash").distinct()
+        buckets = [r[0] for r in keys.select(F.left("query_hash", F.lit(BUCKET_DIGITS)).alias("b")).distinct().collect()]
+        return self.rows().where(F.col("bucket").isin(buckets)).join(keys, "query_hash", "left_semi")
 
     def lookup(self, questions: DataFrame) -> DataFrame:
         """questions(query_id, query) with query_hash and, on a hit, answer, context and cached_at."""
         keyed = questions.withColumn("query_hash", self.key(F.col("query")))
-        found = latest(self.rows().join(keyed.select("query_hash").distinct(), "query_hash", "left_semi")).select("query_hash", F.col("answer").alias("cached_answer"), F.col("context").alias("cached_context"), F.col("created_at").alias("cached_at"))
+        found = latest(self.asked_rows(keyed)).select("query_hash", F.col("answer").alias("cached_answer"), F.col("context").alias("cached_context"), F.col("created_at").alias("cached_at"))
         return keyed.join(found, "query_hash", "left")
 
     def store(self, answers: DataFrame) -> None:
         """answers: query, answer, context. An empty context is stored as null."""
         made = answers.select(self.key(F.col("query")).alias("query_hash"), "query", "answer", F.when(F.size("context") > 0, F.col("context")).cast(CONTEXT).alias("context"), F.current_timestamp().alias("created_at"), F.monotonically_increasing_id().alias("seq"))
-        made.write.mode("append").parquet(str(self.place))
+        self._write(made.withColumn("bucket", F.left("query_hash", F.lit(BUCKET_DIGITS))), self.generation())
+
+    @staticmethod
+    def _write(rows: DataFrame, to: Place) -> None:
+        """A bucket's rows are written by one task, so an append adds a file to each bucket at most."""
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(str(to))
+
+    def compact(self) -> int:
+        """Keep the newest row of each key, in a file a bucket; returns the number of rows. Look-ups may go on meanwhile, stores may not: what they append is not taken over."""
+        old, name = self.generation(), f"g{uuid.uuid4().hex}"
+        new = self.place / name
+        self._write(latest(self.rows()), new)
+        kept = self.spark.read.schema(SCHEMA).parquet(str(new)).count() if new.exists() else 0
+        self.pointer.write_text(name)
+        old.remove()
+        return kept
 
     def clear(self) -> None:
         self.place.remove()
