@@ -27,8 +27,12 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
-BLOCK_TEXTS = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_TEXTS = 4_096
+BLOCK_BYTES = 12 << 20
+#: N-grams of more texts of two blocks are counted by matrix products.
+DENSE = 64
+#: Rows of a matrix that are looked at at a time.
+STRIPE = 256
 _NONE = np.uint64((1 << 64) - 1)
 
 
@@ -86,56 +90,102 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_a long, set_b long, grams long, bytes long, bands array<bigint>")
 
 
-def overlaps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices of bounded width."""
-    texts = len(first) - 1
-    row = np.repeat(np.arange(texts), np.diff(first))
-    values, column = np.unique(h, return_inverse=True)
-    shared_by = np.bincount(column, minlength=len(values))
-    number = np.cumsum(shared_by > 1) - 1  # n-grams of a single text add nothing
-    keep = shared_by[column] > 1
-    row, column = row[keep], number[column[keep]]
-    out = np.zeros((texts, texts), np.float32)
-    width = max(1, (4 << 20) // max(1, texts))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        block = np.zeros((texts, width), np.float32)
-        block[row[a:b], column[a:b] - lo] = 1
-        out += block @ block.T
+def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of any number of texts, a slice at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    made = [shingle_sets(data, offs, n) for _, data, offs in vec.slices(iter([batch]), "text", 1 << 20)]
+    sizes = [np.diff(first) for _, first in made]
+    return np.concatenate([h for h, _ in made]), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def overlaps(h: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of the sets `a` with each of the sets `b` (numbers of rows).
+
+    N-grams of more than DENSE sets are counted by products of 0/1 matrices of bounded width, those of fewer pair by pair.
+    """
+    sets = len(first) - 1
+    order = np.argsort(h, kind="stable")
+    row = np.repeat(np.arange(sets, dtype=np.int32), np.diff(first))[order]
+    h = h[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    held = np.diff(np.append(head, len(h)))
+    column = np.repeat(np.arange(len(held), dtype=np.int32), held)
+    del h, order
+    in_a, in_b = np.full(sets, -1, np.int64), np.full(sets, -1, np.int64)
+    in_a[a], in_b[b] = np.arange(len(a)), np.arange(len(b))
+    out = np.zeros((len(a), len(b)), np.float32 if np.diff(first).max(initial=0) < 1 << 24 else np.float64)
+
+    def indicator(place: np.ndarray, size: int, rows: np.ndarray, columns: np.ndarray, width: int) -> np.ndarray:
+        made, at = np.zeros((size, width), np.float32), place[rows]
+        made[at[at >= 0], columns[at >= 0]] = 1
+        return made
+
+    dense = held > DENSE
+    number, some = np.cumsum(dense) - 1, dense[column]
+    rows, columns = row[some], number[column[some]]
+    width = max(64, (4 << 20) // max(len(a), len(b), 1))
+    for low in range(0, int(dense.sum()), width):
+        begin, end = np.searchsorted(columns, [low, low + width])
+        left = indicator(in_a, len(a), rows[begin:end], columns[begin:end] - low, width)
+        out += left @ (left if a is b else indicator(in_b, len(b), rows[begin:end], columns[begin:end] - low, width)).T
+    some = (~dense & (held > 1))[column]
+    rows, columns, flat = row[some], column[some], out.reshape(-1)
+    for d in range(1, DENSE):
+        near = columns[d:] == columns[:-d]
+        if not near.any():
+            break
+        x, y = rows[:-d][near], rows[d:][near]
+        for p, q in ((x, y), (y, x)):
+            i, j = in_a[p], in_b[q]
+            both = (i >= 0) & (j >= 0)
+            np.add.at(flat, i[both] * len(b) + j[both], 1)
     return out
 
 
-def verify(texts: list[str], n: int, threshold: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j), i < j, among the texts whose Jaccard is the threshold or more; with sides given, only between different ones."""
-    column = pa.array(texts, pa.large_string())
-    h, first = shingle_sets(*vec.utf8(column), n)
-    size = np.diff(first)
-    both = overlaps(h, first)
-    # sizes and overlaps are whole numbers, exact in 64 bits; the slack only takes up the rounding of the threshold
-    linked = (both > 0) & (both.astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6)
-    linked &= np.triu(np.ones_like(linked), 1)
-    if sides is not None:
-        linked &= sides[:, None] != sides[None, :]
-    return np.nonzero(linked)
+def linked_sets(h: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets `a` have a Jaccard of the threshold or more with which of `b`; no set is linked to itself."""
+    size, both = np.diff(first), overlaps(h, first, a, b)
+    out = np.zeros(both.shape, bool)
+    for at in range(0, len(a), STRIPE):
+        part = both[at : at + STRIPE].astype(np.float64)
+        # sizes and overlaps are whole numbers, exact in 64 bits; the slack only takes up the rounding of the threshold
+        out[at : at + STRIPE] = (part > 0) & (part * (1 + threshold) >= threshold * (size[a[at : at + STRIPE], None] + size[None, b]) - 1e-6)
+    if a is b:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def verify(texts: list[str], n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j), i < j, among the texts whose Jaccard is the threshold or more."""
+    every = np.arange(len(texts))
+    return np.nonzero(np.triu(linked_sets(*gram_sets(texts, n), every, every, threshold)))
+
+
+def group_labels(link: np.ndarray, same: bool) -> np.ndarray:
+    """The smallest number of the component of each row (same: rows and columns are the same sets) or of each row and then each column."""
 
+    def least(matrix: np.ndarray, values: np.ndarray, own: np.ndarray) -> np.ndarray:
+        found = [np.where(matrix[at : at + STRIPE], values[None, :], len(link) + len(link.T)).min(1, initial=len(link) + len(link.T)) for at in range(0, len(matrix), STRIPE)]
+        return np.minimum(own, np.concatenate(found)) if found else own
 
-def forest(count: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links: a pair (smallest of the tree, member) for each other member."""
-    up = list(range(count))
+    n = len(link)
+    label = np.arange(n if same else n + link.shape[1])
+    while True:
+        before = label
+        if same:
+            label = least(link, label, label)
+        else:
+            rows = least(link, label[n:], label[:n])
+            label = np.concatenate([rows, least(link.T, rows, label[n:])])
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [(root(x), x) for x in range(count) if root(x) != x]
+def link_sums(link: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The copies that each row is linked to."""
+    sums = [link[at : at + STRIPE].astype(np.float64) @ copies for at in range(0, len(link), STRIPE)]
+    return np.concatenate(sums) if sums else np.zeros(0)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -221,17 +271,26 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tied:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("copy_id")
-        ids, copies = table["copy_id"].to_numpy(), table["n_copies"].to_numpy()
-        i, j = verify(table["text"].to_pylist(), n, threshold, table["block"].to_numpy() if table["i"][0] != table["j"][0] else None)
-        linked = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        trees = forest(len(ids), i, j)
-        some = np.flatnonzero(linked)
+        ids, copies, block = table["copy_id"].to_numpy(), table["n_copies"].to_numpy().astype(np.float64), table["block"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        h, first = gram_sets(table["text"].to_pylist(), n)
+        rows = np.flatnonzero(block == i)
+        others = rows if i == j else np.flatnonzero(block == j)
+        link = linked_sets(h, first, rows, others, threshold)
+        del h
+        label = group_labels(link, i == j)
+        members = ids[rows] if i == j else np.concatenate([ids[rows], ids[others]])
+        linked = link_sums(link, copies[others])
+        if i != j:
+            linked = np.concatenate([linked, link_sums(link.T, copies[rows])])
+        some, inner = np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(label)))
         vec.release()
+        none = pa.nulls(len(some), pa.int64())
         return pa.table(
             {
-                "a": pa.array([*ids[some].tolist(), *(int(ids[x]) for x, _ in trees)], pa.int64()),
-                "b": pa.array([*[None] * len(some), *(int(ids[y]) for _, y in trees)], pa.int64()),
-                "linked": pa.array([*linked[some].astype(np.int64).tolist(), *[None] * len(trees)], pa.int64()),
+                "a": pa.chunked_array([pa.array(members[some]), pa.array(members[label[inner]])]),
+                "b": pa.chunked_array([none, pa.array(members[inner])]),
+                "linked": pa.chunked_array([pa.array(linked[some].astype(np.int64)), pa.nulls(len(inner), pa.int64())]),
             }
         )
 

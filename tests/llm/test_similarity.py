@@ -249,3 +249,31 @@ def test_fingerprints_of_few_rows(spark):
     assert lzprint.digests(one.where("1 = 0")).count() == 0
     same = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (2, "dd")], "doc_id long, text string")
     assert lzprint.digests(same).count() == 4
+
+
+def test_blocks_of_sets_against_each_pair():
+    """Counts by products, counts pair by pair and components of one block and of two, against plain sets."""
+    rng = np.random.default_rng(5)
+    for dense in (1, 3, 64):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ngram_join, "DENSE", dense)
+            patch.setattr(ngram_join, "STRIPE", 7)
+            sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(41)]
+            sets += [sets[3], sets[3][:-1], sets[5]]
+            h, first = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            every = np.arange(len(sets))
+            for a, b in ((every, every), (every[:20], every[20:]), (every[::2], every[1::2])):
+                both = ngram_join.overlaps(h, first, a, b)
+                expected = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in b] for i in a])
+                assert (both == expected)[a[:, None] != b[None, :]].all()
+                link = ngram_join.linked_sets(h, first, a, b, 0.5)
+                jaccard = [[i != j and len(np.intersect1d(sets[i], sets[j])) > 0 and 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j])) for j in b] for i in a]
+                assert link.tolist() == jaccard
+                label = ngram_join.group_labels(link, a is b)
+                nodes = a if a is b else np.concatenate([a, b])
+                up = {int(x): int(x) for x in nodes}
+                for _ in nodes:
+                    for x, y in zip(*np.nonzero(link), strict=True):
+                        up[int(a[x])] = up[int(b[y])] = min(up[int(a[x])], up[int(b[y])])
+                assert len(set(label.tolist())) == len(set(up.values())) and all((label[x] == label[y]) == (up[int(nodes[x])] == up[int(nodes[y])]) for x in range(len(nodes)) for y in range(len(nodes)))
+                assert ngram_join.link_sums(link, np.arange(len(b)) + 1.0).tolist() == [sum(k + 1 for k, y in enumerate(r) if y) for r in jaccard]
