@@ -31,6 +31,8 @@ BLOCK_TEXTS = 4_096
 BLOCK_BYTES = 12 << 20
 #: N-grams of more texts of two blocks are counted by matrix products.
 DENSE = 64
+#: Bits of the largest table that every executor holds.
+MOST_BITS = 1 << 26
 #: Rows of a matrix that are looked at at a time.
 STRIPE = 256
 _NONE = np.uint64((1 << 64) - 1)
@@ -245,6 +247,16 @@ def row_groups(given: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
     return placed.unionByName(alone).toDF("rid", "class_rid", "copy_rid", "n_copies", "n_links")
 
 
+def wanted_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """docs without most of the texts that are not placed, so that these are not shuffled: by a table of bits of the ids, of 16 bits for each but of MOST_BITS at most.
+
+    With more ids than the table can tell apart more rows stay; the join that follows drops them.
+    """
+    bits = min(max(1 << 17, 1 << (16 * placed.count()).bit_length()), MOST_BITS)
+    table = shared.table(linededup.bit_table(placed.select(F.xxhash64("copy_id").alias("h")), bits), "bits")
+    return docs.where(linededup.may_be_in(table, F.xxhash64("doc_id"), bits))
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tied: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links a, b that connect all that is linked; copy_id and linked: documents in its linked classes).
 
@@ -266,7 +278,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, tied:
     a, b = met.alias("a"), met.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
     both = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = placed.join(docs.withColumnRenamed("doc_id", "copy_id"), "copy_id")
+    rows = placed.join(wanted_rows(docs, placed).withColumnRenamed("doc_id", "copy_id"), "copy_id")
     keyed = rows.join(both, "block").select("i", "j", "block", "copy_id", "n_copies", "text")
 
     def run(table: pa.Table) -> pa.Table:
