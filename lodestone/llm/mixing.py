@@ -48,21 +48,25 @@ RATE = 0.05
 EXAMPLES = 1024
 BATCH_BYTES = 80 << 20
 SLICES = 3
-#: Grams that are counted before they are merged with those of the batch so far.
-PENDING = 1_000_000
+#: Bytes whose grams are counted before they are merged with those of the batch so far.
+PENDING = 4_000_000
 END_WORD = np.uint64(1)
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(for each byte of each row, and its end, the ORDER bytes before it and itself as one number; first of each row)."""
     lens = np.diff(offs)
-    to = np.concatenate([[0], np.cumsum(lens + ORDER + 1)])
-    stream = np.zeros(int(to[-1]), np.uint64)
-    stream[vec.ragged(to[:-1] + ORDER, lens)] = data
-    whole = stream.copy()
-    for k in range(1, ORDER + 1):
-        whole[k:] |= stream[:-k] << np.uint64(8 * k)
-    return whole[vec.ragged(to[:-1] + ORDER, lens + 1)], np.concatenate([[0], np.cumsum(lens + 1)])
+    first = np.concatenate([[0], np.cumsum(lens + 1)])
+    # ORDER + 1 zeros, then the rows' bytes, each with its end
+    stream = np.zeros(int(first[-1]) + ORDER + 1, np.uint8)
+    byte = np.ones(int(first[-1]), bool)
+    byte[first[1:] - 1] = False
+    stream[ORDER + 1 :][byte] = data
+    whole = np.ndarray(int(first[-1]), ">u8", stream, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    for k in range(ORDER):  # nothing comes before a row's first byte
+        at = first[:-1][lens >= k] + k
+        whole[at] &= np.uint64((1 << 8 * (k + 1)) - 1)
+    return whole, first
 
 
 def sum_equal(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +142,24 @@ def predictions(gram: np.ndarray, n: np.ndarray, short: dict[int, np.ndarray], o
         longest = np.zeros(len(gram), np.int64)
         for k in range(MODELS):
             context, long = contexts[k]
-            count = np.empty((len(gram), 2))
-            if k >= TAIL:
+            zeros, ones = np.empty(len(gram)), np.empty(len(gram))
+            if k >= TAIL and len(gram):
                 at, key, weight = ordered[k]
                 prefix = key >> np.uint64(8 - place)
-                group = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]])) if len(key) else np.zeros(0, np.int64)
-                ones = np.bincount(group, weight * bit[at])
-                count[at, 1] = ones[group]
-                count[at, 0] = (np.bincount(group, weight) - ones)[group]
+                head = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+                sizes = np.diff(np.append(head, len(key)))
+                with_one = np.add.reduceat(weight * (key >> np.uint64(7 - place) & np.uint64(1)), head)
+                ones[at] = np.repeat(with_one, sizes)
+                zeros[at] = np.repeat(np.add.reduceat(weight, head) - with_one, sizes)
             if k in SHORT:
                 few = np.flatnonzero(~long)
-                count[few] = short[k][short_slots(context[few], node[few], k)]
+                found = short[k][short_slots(context[few], node[few], k)]
+                zeros[few], ones[few] = found[:, 0], found[:, 1]
             if own:
-                count[np.arange(len(bit)), bit] = np.maximum(count[np.arange(len(bit)), bit] - taken, 0)
-            x[:, k] = np.log((count[:, 1] + PRIOR) / (count[:, 0] + PRIOR))
-            total = count.sum(1)
+                ones = np.maximum(ones - taken * bit, 0)
+                zeros = np.maximum(zeros - taken * (1 - bit), 0)
+            x[:, k] = np.log((ones + PRIOR) / (zeros + PRIOR))
+            total = zeros + ones
             if k <= ORDER:
                 longest[total > 0] = k
         seen = np.minimum(np.ceil(np.log2(total + 1)), SEEN - 1).astype(np.int64)  # of the word, the last predictor
@@ -201,9 +208,10 @@ class Mixer:
         """Learn from the training grams of a part, in an order that their hashes give."""
         used = np.flatnonzero(n > 0)
         order = used[np.argsort(vec.mix(gram[used]))]
+        gram, n = gram[order], n[order]  # the others have no counts
         for x, gate, node, bit in predictions(gram, n, short, own=True):
             for i in range(0, len(order), EXAMPLES):
-                at = order[i : i + EXAMPLES]
+                at = slice(i, i + EXAMPLES)
                 self.learn(x[at], gate[at], node[at], bit[at], n[at])
 
     def bits(self, gram: np.ndarray, n: np.ndarray, short: dict[int, np.ndarray]) -> np.ndarray:
@@ -254,10 +262,14 @@ def batch_grams(rows: DataFrame) -> DataFrame:
     """A shared table of batch, gram and n: the different grams of each batch, and how often they stand in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, keys, counts, size = None, None, [], [], 0  # known: what has been summed up; keys and counts: what has come since
+        now, known, new, size = None, None, [], 0  # known: what has been summed up; new: the grams that have come since, each with a last bit for training
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
-            k, n = sum_equal(np.concatenate(keys), np.concatenate(counts))
+            every = np.concatenate(new)
+            every.sort()
+            gram = every >> np.uint64(1)
+            head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            k, n = gram[head], np.add.reduceat((every & np.uint64(1)).astype(np.int64), head)
             return (k, n) if known is None else merged(*known, k, n)
 
         def to_batch() -> pa.RecordBatch:
@@ -265,25 +277,24 @@ def batch_grams(rows: DataFrame) -> DataFrame:
 
         for part, data, offs in vec.slices(batches):
             g, first = grams(data, offs)
-            ids, train = np.repeat(part.column(2).to_numpy(), np.diff(first)), np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(first))
-            for batch in np.unique(part.column(2).to_numpy()).tolist():
-                if batch != now:
-                    if keys or known:
-                        known = summed() if keys else known
+            g = g << np.uint64(1) | np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(first))
+            ids = part.column(2).to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            for row, end in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
+                if ids[row] != now:
+                    if new or known:
+                        known = summed() if new else known
                         yield to_batch()
-                    now, known, keys, counts, size = batch, None, [], [], 0
-                for learned in (True, False):
-                    k, n = sum_equal(g[(ids == batch) & (train == learned)])
-                    keys.append(k)
-                    counts.append(n * learned)
-                    size += len(k)
+                    now, known, new, size = int(ids[row]), None, [], 0
+                new.append(g[first[row] : first[end]])
+                size += len(new[-1])
                 if size > PENDING:
-                    known, keys, counts, size = summed(), [], [], 0
+                    known, new, size = summed(), [], 0
                     if len(known[0]) > 4_000_000:
                         yield to_batch()
                         known = None
-        if keys or known:
-            known = summed() if keys else known
+        if new or known:
+            known = summed() if new else known
             yield to_batch()
 
     return shared.table(rows.select("train", "text", "batch").mapInArrow(run, "batch long, gram long, n long"), "batch-grams", "zstd")
@@ -430,18 +441,22 @@ class Lookup:
             raw = f.read()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         keys, values = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, kind, n, 8 + 8 * n)
-        self.shift = np.uint64(64 - max(4, n.bit_length()))
+        self.size = np.uint64(2 * n + 1)
         place = self.place(keys)
-        order = np.argsort(place, kind="stable")
-        self.keys, self.values = keys[order], values[order]
-        self.begin = np.searchsorted(place[order], np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
+        order = np.argsort(place)
+        # each key's slot is the first free one from its place on, in the order of places
+        slot = np.arange(n) + np.maximum.accumulate(place[order] - np.arange(n))
+        slots = max([int(self.size), *(slot[-1:] + 1).tolist()])
+        self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, kind)
+        self.keys[slot], self.values[slot] = keys[order], values[order]
 
     def place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys ^ (keys >> np.uint64(29))) * np.uint64(vec.BASE) >> self.shift).astype(np.int64)
+        h = (keys ^ (keys >> np.uint64(29))) * np.uint64(vec.BASE)
+        return ((h >> np.uint64(32)) * self.size >> np.uint64(32)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.begin[self.place(keys)]
-        left = np.flatnonzero(self.keys[at] != keys) if len(keys) else at
+        at = self.place(keys)
+        left = np.flatnonzero(self.keys[at] != keys)
         while len(left):
             at[left] += 1
             left = left[self.keys[at[left]] != keys[left]]
