@@ -38,7 +38,8 @@ KEY_BITS, ID_BITS = 1 << 26, 1 << 23
 CROWD = 16
 SLICES = 3
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
-SMALL_CLASSES, MEDIUM, CLASSES = 2, 12, 8
+#: With one class a prefix is as short as it can be, so the words of a template whose lines are not similar make no key by themselves.
+SMALL_CLASSES, MEDIUM, CLASSES = 1, 16, 8
 #: Classes of one part of a long prefix.
 PART_CLASSES = 64
 #: White space and ASCII punctuation.
@@ -94,7 +95,6 @@ def prefix_size(n: Column, c: Column, threshold: float) -> Column:
 def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """sets (n, tokens: hashes of the longest prefix in order of rarity, ...) with a row for each key, a pair of words, and at, the place of the later one, counted from 0 (null in long prefixes, which are dealt out in parts)."""
     own, below = band(F.col("n")), band(F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
-    own, below = band(F.col("n")), band(F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
     each = sets.where(F.size("tokens") > 0).select("*", F.explode(F.array_distinct(F.array(own, below))).alias("band"))
     size = prefix_size(F.col("n"), classes(F.col("band")), threshold)
     each = each.withColumn("dealt", F.when(F.size("tokens") > size, F.slice("tokens", F.lit(1), size)).otherwise(F.col("tokens")))

@@ -92,6 +92,21 @@ def test_keys_of_similar_sets(spark):
         linededup.dedup(docs, 0.5)
 
 
+def test_lines_of_a_template(spark):
+    """Short lines with the same fixed words and two words of their own share few keys: none that all lines of a template have."""
+    rng = random.Random(11)
+    templates = (("posted", "by", "on"), ("filed", "under", "at"), ("seen", "with", "near"), ("sent", "to", "from"))
+    lines = [" ".join((*rng.choice(templates), f"user{rng.randrange(1000)}", f"day{rng.randrange(365)}")) for _ in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "rid long, text string").repartition(3)
+    firsts = linededup.first_lines(rows, linededup.rarity(rows), linededup.THRESHOLD)
+    sizes = [r["count"] for r in linededup.join_keys(firsts.select("n", "tokens"), linededup.THRESHOLD).groupBy("key").count().collect()]
+    assert max(sizes) < 30 and sum(n * (n - 1) // 2 for n in sizes) < 40_000
+    docs = rows.where("rid < 600").withColumnRenamed("rid", "doc_id")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(docs, removed="removed").collect()}
+    assert [got[i] for i in sorted(got)] == brute_lines(texts)
+
+
 def test_a_group_of_near_copies(spark):
     rng = random.Random(9)
     base = sentence(rng, 40)
