@@ -38,7 +38,7 @@ KEY_BITS, ID_BITS = 1 << 26, 1 << 23
 CROWD = 16
 SLICES = 3
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
-#: With one class a prefix is as short as it can be, so the words of a template whose lines are not similar make no key by themselves.
+#: With one class a prefix is as short as pairs allow: fixed words of a template make no key by themselves if more than 1 - threshold of a line's words are its own, and rarer.
 SMALL_CLASSES, MEDIUM, CLASSES = 1, 16, 8
 #: Classes of one part of a long prefix.
 PART_CLASSES = 64
