@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,26 +20,21 @@ NO_BASIS = {
 SNIPPET_CHARS, PREVIEW_CHARS = 280, 300
 
 
-def _normal_form(form: str):
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
-
-    return normal
-
+def _normalised(text: Column, compatible: bool) -> Column:
+    """A normal form by the Unicode data of the ICU library that Spark itself ships. ASCII texts stay as they are in every form.
 
-def _normalised(text: Column, form: str) -> Column:
-    """ASCII texts, which every form leaves as they are, are not sent to Python."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.coalesce(_normal_form(form)(F.when(~ascii_only, text)), text)
+    All code points that Python's unicodedata knows get its result; forms of assigned characters never change between versions.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(compatible))
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(text.isNotNull(), composed)
 
 
 def nfc(text: Column) -> Column:
-    return _normalised(text, "NFC")
+    return _normalised(text, compatible=False)
 
 
 def nfkc(text: Column) -> Column:
-    return _normalised(text, "NFKC")
+    return _normalised(text, compatible=True)
 
 
 def strip(text: Column) -> Column:

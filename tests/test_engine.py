@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,20 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+def test_normal_forms_of_all_known_code_points_without_python_workers(spark):
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    # alone, and between marks that are put in another order or composed
+    rows = pd.DataFrame({"t": known, "u": [f"a{c}\u0323\u0301{c}\u0300" for c in known]})
+    given = spark.createDataFrame(rows)
+    found = given.select(*(rule(F.col(c)).alias(f"{c}{form}") for c in "tu" for form, rule in (("NFC", T.nfc), ("NFKC", T.nfkc))))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    found = found.toPandas()
+    for c in "tu":
+        for form in ("NFC", "NFKC"):
+            assert found[c + form].tolist() == [unicodedata.normalize(form, x) for x in rows[c]]
+    assert value(spark, T.nfc(F.lit(None).cast("string"))) is None and value(spark, T.nfkc(F.lit(""))) == ""
+
+
 def test_text_rules(spark):
     assert value(spark, T.question_text(F.lit("  What is  IT ?! "))) == "what is it"
     assert value(spark, T.question_text(F.lit("what ? !"))) == "what ?"
