@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Fixed value: the same characters but the blank, and all of them as a text.
 NOT_BLANK = WHITE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+#: Most letters lie here, which are told from white space by one look.
+LETTERS = r"[!-~\x{a1}-\x{167f}]"
 WHITE_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Fixed value: what one trailing run of may go from a question before it is looked up.
 TRAILING = r"[?!.,…:;]+$"
@@ -43,7 +45,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Trimmed, with each run of white space as one space; null becomes ''. Single blanks, which are most, are not touched."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}{{2,}}|{NOT_BLANK}", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?!{LETTERS})(?:{WHITE}{{2,}}|{NOT_BLANK})", " "))
 
 
 def unix_newlines(text: Column) -> Column:
@@ -57,8 +59,8 @@ def content_text(text: Column, composed: bool = False) -> Column:
 
 def content_key(text: Column, composed: bool = False) -> Column:
     """SHA-256 of content_text, null if that is empty."""
-    normal = content_text(text, composed)
-    return F.when(normal != "", F.sha2(normal, 256))
+    # as a list of one element, so that the text is worked out once
+    return F.get(F.transform(F.array(content_text(text, composed)), lambda t: F.when(t != "", F.sha2(t, 256))), F.lit(0))
 
 
 def question_text(question: Column) -> Column:
