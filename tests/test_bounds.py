@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.operators import chunking as C
+from lodestone.operators import retrieval as R
 
 
 def test_hard_limit_of_a_long_text(spark):
@@ -22,3 +27,44 @@ def test_slices():
     assert [t for p in parts for t in p] == texts
     assert all(len(p) <= C.ROWS and (len(p) == 1 or sum(len(t or "") for t in p) <= C.SLICE_BYTES) for p in parts) and len(parts) == 5
     assert not [*C.slices(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"]), "text")]
+
+
+class Captured:
+    """Stands for a DataFrame and keeps the function of its task."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def batches_of(vectors: np.ndarray, rows: int) -> list[pa.RecordBatch]:
+    return [pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(v))), pa.array(v.tolist())], ["id_num", "embedding"]) for at in range(0, len(vectors), rows) for v in [vectors[at : at + rows]]]
+
+
+@pytest.mark.parametrize("most", [11, None])
+def test_memory_of_distances(spark, most):
+    """Many queries: a task holds the distances of a tile and not those to all of them."""
+    rng = np.random.default_rng(1)
+    queries = [(i, v) for i, v in enumerate(rng.random((R.QUERY_BLOCK, 8)).tolist())]
+    run = R.distances(Captured(), queries, most).run
+    given = batches_of(rng.random((4_096, 8)), 2_048)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter(given)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == R.QUERY_BLOCK * (most or 4_096) and peak < 64e6
+
+
+@pytest.mark.parametrize("rows", [3, 700, 5_000])
+def test_nearest_with_ties(spark, rows):
+    """More queries than a tile has, vectors of few different values: the nearest by distance and id, whatever the batches."""
+    rng = np.random.default_rng(2)
+    queries, vectors = rng.integers(1, 4, (R.COLUMNS + 9, 2)).astype(float), rng.integers(1, 4, (3_000, 2)).astype(float)[::-1]
+    found = R.distances(Captured(), list(enumerate(queries.tolist())), 5).run(iter(batches_of(vectors, rows)))
+    got = sorted((q, i) for b in found for q, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, vectors)]
+    d = np.round(1 - unit[0] @ unit[1].T, 6)
+    assert got == sorted((q, int(i)) for q in range(len(queries)) for i in np.lexsort((np.arange(3_000), d[q]))[:5])
