@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.sources.storage import Place
+from lodestone.sources.storage import Place, written
 
 VERSION = 2
 #: Hexadecimal digits of a key that name its bucket.
@@ -63,14 +63,16 @@ class AnswerCache:
 
     def asked_rows(self, keyed: DataFrame) -> DataFrame:
         """Rows whose key is one of keyed.query_hash, read from the buckets of these keys alone (their names come to the driver: 16 ** BUCKET_DIGITS at most)."""
-        keys = keyed.select("query_hash").distinct()
+        keys = written(keyed.select("query_hash").distinct(), "asked-keys")  # once: a key takes more work than its row has bytes
         buckets = [r[0] for r in keys.select(F.left("query_hash", F.lit(BUCKET_DIGITS)).alias("b")).distinct().collect()]
         return self.rows().where(F.col("bucket").isin(buckets)).join(keys, "query_hash", "left_semi")
 
     def lookup(self, questions: DataFrame) -> DataFrame:
         """questions(query_id, query) with query_hash and, on a hit, answer, context and cached_at."""
         keyed = questions.withColumn("query_hash", self.key(F.col("query")))
-        found = latest(self.asked_rows(keyed)).select("query_hash", F.col("answer").alias("cached_answer"), F.col("context").alias("cached_context"), F.col("created_at").alias("cached_at"))
+        # the stored question, which may be long, is not read
+        found = latest(self.asked_rows(keyed).select("query_hash", "answer", "context", "created_at", "seq"))
+        found = found.select("query_hash", F.col("answer").alias("cached_answer"), F.col("context").alias("cached_context"), F.col("created_at").alias("cached_at"))
         return keyed.join(found, "query_hash", "left")
 
     def store(self, answers: DataFrame) -> None:

@@ -7,9 +7,12 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 from lodestone.operators import retrieval as R
+from lodestone.sources import cache as K
 
 
 def test_hard_limit_of_a_long_text(spark):
@@ -68,3 +71,22 @@ def test_nearest_with_ties(spark, rows):
     unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, vectors)]
     d = np.round(1 - unit[0] @ unit[1].T, 6)
     assert got == sorted((q, int(i)) for q in range(len(queries)) for i in np.lexsort((np.arange(3_000), d[q]))[:5])
+
+
+def test_a_look_up_leaves_stored_questions_alone(spark, tmp_path, monkeypatch):
+    """Of a cache's rows only what an answer needs is read and merged; a key is worked out once for all that ask."""
+    cache, read, keys = K.AnswerCache(spark, tmp_path, "f"), [], []
+    monkeypatch.setattr(K, "latest", lambda rows, f=K.latest: (read.append(rows.columns), f(rows))[1])
+    monkeypatch.setattr(K, "written", lambda df, name, f=K.written: (keys.append(df.columns), f(df, name))[1], raising=False)
+    for answer in ("old", "new"):
+        cache.store(spark.createDataFrame([("What  is it?", answer, None)], f"query string, answer string, context {K.CONTEXT}"))
+    found = cache.lookup(spark.createDataFrame([(1, "WHAT is\tit"), (2, "Who?"), (3, None)], "query_id long, query string"))
+    assert {r.query_id: (r.query, r.cached_answer) for r in found.collect()} == {1: ("WHAT is\tit", "new"), 2: ("Who?", None), 3: (None, None)}
+    assert "query" not in read[0] and keys == [["query_hash"]]
+
+
+def test_squeezed_questions(spark):
+    """Every character alone, inside and at both ends: as by the pattern."""
+    marks = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(t,) for m in marks for t in (m, f"a{m}{m}b", f"{m}|a{m}")] + [(None,), ("",), ("|",), ("||",)], "q string")
+    assert rows.where(~T.squeeze_nfkc(F.col("q")).eqNullSafe(T.squeeze(T.nfkc(F.col("q"))))).count() == 0
