@@ -69,7 +69,7 @@ class Model:
         return self.__dict__ | {"_table": None}
 
 
-def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: list[bytes | pa.Buffer]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, slots) of the different n-grams of the texts, a few texts at a time."""
     at = 0
     while at < len(texts):
@@ -85,7 +85,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (pairs >> SLOT_BITS) + at - len(part), pairs & ((1 << SLOT_BITS) - 1)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
+def fit(texts: list[bytes | pa.Buffer], toxic: np.ndarray) -> Model:
     """A model of these labelled texts; without texts of both labels it is a constant: the share of toxic ones (0.0 of none)."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
@@ -94,14 +94,18 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     for row, slot in features(texts):
         np.add.at(with_toxic, slot[toxic[row]], 1)
         np.add.at(with_clean, slot[~toxic[row]], 1)
+    seen = np.flatnonzero(with_toxic + with_clean >= LEAST_TEXTS)  # ratios of these alone, as the tables have all slots
+    with_toxic, with_clean = with_toxic[seen], with_clean[seen]
     ratio = np.log((with_toxic + 1) / (toxic.sum() + 2)) - np.log((with_clean + 1) / ((~toxic).sum() + 2))
-    used = np.flatnonzero((with_toxic + with_clean >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
-    del with_toxic, with_clean
+    strong = np.abs(ratio) >= LEAST_RATIO
+    used, ratio = seen[strong], ratio[strong]
+    del with_toxic, with_clean, seen, strong
     number = np.full(1 << SLOT_BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    kept = [(row[keep], number[slot[keep]]) for row, slot in features(texts) if (keep := number[slot] >= 0).any()]
+    kept = [(row[keep].astype(np.int32), number[slot[keep]]) for row, slot in features(texts) if (keep := number[slot] >= 0).any()]
     row, column = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2
-    value = ratio[used][column]
+    del kept, number
+    value = ratio[column]
     weight, bias = np.full(len(used), 0.0), 0.0
     steps = [np.zeros(len(used) + 1), np.zeros(len(used) + 1)]  # Adam's moments
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both labels weigh alike
@@ -115,7 +119,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         step = 0.02 * (steps[0] / (1 - 0.9**t)) / (np.sqrt(steps[1] / (1 - 0.999**t)) + 1e-8)
         weight -= step[:-1]
         bias -= step[-1]
-    return Model(used, weight * ratio[used], bias)
+    return Model(used, weight * ratio, bias)
 
 
 def within(sizes: list[tuple[int, int, int]], most: int = MOST_BYTES) -> list[int] | None:
@@ -147,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = rows.groupBy("doc_id").agg(F.octet_length(F.min("text")).alias("bytes"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # as many numbers
     bounded = within([tuple(r.values()) for r in sizes.to_pylist()])
     rows = rows if bounded is None else rows.where(F.col("doc_id").isin(bounded))
-    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()  # MOST_BYTES at most, or one text of each label
-    model = fit([t.encode() for t in found["text"].to_pylist()], np.array(found["toxic"].to_pylist(), bool))
+    found = rows.groupBy("doc_id").agg(F.min("text").cast("binary").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()  # MOST_BYTES at most, or one text of each label
+    # the texts stay where Arrow has them
+    model = fit([t.as_buffer() for t in found["text"]], np.array(found["toxic"].to_pylist(), bool))
     del found
     vec.release()
     return model

@@ -90,3 +90,19 @@ def test_squeezed_questions(spark):
     marks = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
     rows = spark.createDataFrame([(t,) for m in marks for t in (m, f"a{m}{m}b", f"{m}|a{m}")] + [(None,), ("",), ("|",), ("||",)], "q string")
     assert rows.where(~T.squeeze_nfkc(F.col("q")).eqNullSafe(T.squeeze(T.nfkc(F.col("q"))))).count() == 0
+
+
+def test_memory_of_the_toxicity_fit(spark):
+    """The driver holds ratios of slots that occur, not of all; texts may be Arrow's own buffers."""
+    toxicity = pytest.importorskip("lodestone.llm.toxicity")
+    texts = [f"{'bad awful' if i % 2 else 'kind and good'} words number {i % 9} ".encode() for i in range(200)]
+    labels = np.arange(200) % 2
+    model = toxicity.fit(texts, labels)
+    tracemalloc.start()
+    again = toxicity.fit([pa.scalar(t, pa.binary()).as_buffer() for t in texts], labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 72e6 and np.array_equal(model.slots, again.slots) and np.array_equal(model.weights, again.weights)
+    rows = spark.createDataFrame([(i, t.decode(), int(i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    trained = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert np.array_equal(trained.slots, model.slots) and np.allclose(trained.weights, model.weights)
