@@ -10,11 +10,12 @@ matter. Lines without a word are never removed.
 3. Prefixes: similar sets share c + 1 of their n - ceil(threshold * n) + 1 + c rarest words. These are dealt into c classes by hash, so similar sets share
    two words of a class: the keys of the join are pairs of words of a prefix, which stay rare where single words are frequent. c grows with the set's size
    by bands; a set is keyed for its own band and, if a similar set may lie there, for the one below.
-4. Most keys belong to one set only. They are counted first, and a bit table of fixed size keeps the rows of shared keys alone.
-5. Heads: each set meets the earliest set of each of its keys, under the length filter, the positional filter and parity bitmaps whose
-   Hamming distance is a lower bound of the sets' difference. The nearest head of each set is verified. This takes a row for each
-   key and resolves groups of near copies without pairing their members.
-6. Sets that are still open meet all earlier sets with one of their keys, under the same filters, and are verified.
+4. Most keys belong to one set only, and most others to two that are unlike. They are counted first, in numbers of fixed size, among them the
+   exclusive or of parity bitmaps: of two sets its bits are a lower bound of their difference. A bit table of fixed size keeps the rows of the other keys.
+5. The sets of a key of CROWD sets or fewer are gathered, and each two of them pass the length filter, the positional filter and the bitmaps or are dropped.
+   In larger keys each set meets the earliest one of its key (the head) under the same filters. The nearest of each set is verified. This resolves
+   groups of near copies without pairing their members.
+6. Sets that are still open meet the others of step 5, and in larger keys all earlier sets with one of their keys, under the same filters, and are verified.
 
 Verification compares whole sets. They are cut again from the few lines concerned, which a bit table of fixed size picks
 while the texts are read, so texts are shuffled once, in the end, and only those that lose a line.
@@ -22,7 +23,6 @@ while the texts are read, so texts are shuffled once, in the end, and only those
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +36,6 @@ BUCKETS = 1 << 17
 KEY_BITS, ID_BITS = 1 << 26, 1 << 23
 #: Keys of more sets than this are those of crowds, whose members share many keys.
 CROWD = 16
-SLICES = 3
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
 #: With one class a prefix is as short as pairs allow: fixed words of a template make no key by themselves if more than 1 - threshold of a line's words are its own, and rarer.
 SMALL_CLASSES, MEDIUM, CLASSES = 1, 16, 8
@@ -63,18 +62,23 @@ def word_set(line: str, powers: Column) -> Column:
     """A line's different words as numbers in order of rarity."""
     words = F.array_remove(F.split(F.lower(line), SEPARATORS), "")
 
-    def pack(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def pack(h: Column) -> Column:
         power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
         return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words, pack)))
+    # numbers that can't be null are sorted as primitives
+    each = F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.coalesce(pack(h), F.lit(0).cast("long")))
+    return F.sort_array(F.array_distinct(each))
 
 
 def numbered_lines(rows: DataFrame) -> DataFrame:
     """id (rid, line_no) and line of each line with a word of rows (rid, text)."""
-    lines = rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(WORDY)).select(F.struct("rid", "line_no").alias("id"), "line")
+    return all_lines(rows).where(F.col("line").rlike(WORDY))
+
+
+def all_lines(rows: DataFrame) -> DataFrame:
+    """id (rid, line_no) and line of each line of rows (rid, text)."""
+    return rows.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(F.struct("rid", "line_no").alias("id"), "line")
 
 
 def band(n: Column) -> Column:
@@ -103,8 +107,10 @@ def join_keys(sets: DataFrame, threshold: float) -> DataFrame:
     many = each.select("*", parts.alias("parts")).where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     many = many.withColumn("dealt", F.filter("dealt", lambda t: F.pmod(t, F.col("parts")) == F.col("part"))).drop("parts", "part")
     each = each.where(parts == 1).withColumn("whole", F.lit(True)).unionByName(many.withColumn("whole", F.lit(False)))
+    # the numbers of classes are powers of two, so a class is the last bits of a hash
+    each = each.withColumn("mask", classes(F.col("band")) - 1).drop("tokens")
     both = each.select("*", F.posexplode("dealt").alias("i", "a")).select("*", F.posexplode("dealt").alias("j", "b"))
-    both = both.where((F.col("i") < F.col("j")) & (F.pmod("a", classes(F.col("band"))) == F.pmod("b", classes(F.col("band")))))
+    both = both.where((F.col("i") < F.col("j")) & (F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.col("mask")) == 0))
     # a and b in order of rarity, which is one for all sets
     return both.select(F.xxhash64("band", "a", "b").alias("key"), F.when(F.col("whole"), F.col("j")).alias("at"), *(c for c in sets.columns if c != "tokens"))
 
@@ -158,7 +164,7 @@ def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float
     """y of each pair (x, y: ids) that is similar enough."""
     ids = shared.table(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "wanted")
     table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h")), ID_BITS), "bits")
-    lines = numbered_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no"), ID_BITS))
+    lines = all_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no"), ID_BITS))
     sets = shared.table(lines.select("id", word_set("line", powers).alias("words")).join(ids, "id", "left_semi"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
     common = F.size(F.array_intersect("wx", "wy"))
@@ -191,40 +197,58 @@ def heads_met(live: DataFrame, threshold: float) -> DataFrame:
     near = (id_of("h") < id_of("l")) & may_be_similar("h", "l", threshold)
     # a key of two sets has no other pair than that of its head
     met = met.select("key", "size", "l.*", near.alias("near"), F.when(near, apart("h", "l")).alias("apart"), F.when(near, id_of("h")).alias("x"))
-    found = shared.table(met.where(F.col("near") | (F.col("size") > 2)), "met")
-    shared.forget()
-    return found
+    return shared.table(met.where(F.col("near") | (F.col("size") > 2)), "met")
+
+
+def pairs_of_few(live: DataFrame, threshold: float) -> DataFrame:
+    """y, x (ids, x the earlier one) and apart of each two rows (key, rid, line_no, n, bits, at) of live with one key, which at most CROWD have, that pass the filters."""
+    # dealt out before they are gathered, as hardly any rows of a task share a key
+    sets = live.repartition("key").groupBy("key").agg(F.collect_list(F.struct("rid", "line_no", "n", "at", "bits")).alias("sets")).where(F.size("sets") > 1)
+    both = sets.select("sets", F.explode("sets").alias("h")).select("h", F.explode("sets").alias("l"))
+    both = both.where((id_of("h") < id_of("l")) & may_be_similar("h", "l", threshold))
+    return both.select(id_of("l").alias("y"), apart("h", "l").alias("apart"), id_of("h").alias("x"))
+
+
+def shared_keys(firsts: DataFrame, threshold: float) -> DataFrame:
+    """The keys of firsts (n, bits, tokens) that belong to three sets or more, or to two that may be similar by their bitmaps, and whether they are those of crowds."""
+    one = F.lit(1 << 32)
+    keyed = join_keys(firsts.select("n", "bits", "tokens"), threshold).select("key", (one + F.col("n")).alias("n"), "bits")
+    # numbers of fixed size only, so that the sets are counted in a hash table; of two sets the exclusive or is their difference
+    counts = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("bits").alias("bits")).where(F.col("n") >= 2 << 32)
+    most = F.floor(F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    return counts.where((F.col("n") >= 3 << 32) | (F.bit_count("bits") <= most)).select("key", (F.col("n") >= (CROWD + 1) << 32).alias("crowd"))
 
 
 def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
-    counted = join_keys(firsts.select("n", "tokens"), threshold).groupBy("key").count().where("count > 1")
-    table = shared.table(bit_table(counted.select(F.col("key").alias("h")), KEY_BITS), "bits")
-    shared.forget()
-    keyed = join_keys(firsts.select("id.rid", "id.line_no", "n", "bits", "tokens"), threshold)
-    live = shared.table(keyed.where(may_be_in(table, F.col("key"), KEY_BITS)), "live")
-    shared.forget(table)
-
-    # the keys are worked off in slices, which bounds the disk that their rows take while they are sorted
-    slices = [heads_met(live.where(F.pmod("key", F.lit(SLICES)) == k), threshold) for k in range(SLICES)]
+    keys = shared.table(shared_keys(firsts, threshold).select(F.col("key").alias("h"), "crowd"), "keys")
+    table = shared.table(bit_table(keys.select("h"), KEY_BITS), "bits")
+    crowds = shared.table(bit_table(keys.where("crowd").select("h"), KEY_BITS), "crowds")
+    shared.forget(keys)
+    keyed = join_keys(firsts.select("id.rid", "id.line_no", "n", "bits", "tokens"), threshold).where(may_be_in(table, F.col("key"), KEY_BITS))
+    live = shared.table(keyed.withColumn("crowd", may_be_in(crowds, F.col("key"), KEY_BITS)), "live")
+    shared.forget(table, crowds)
+
+    # a key that shares its bit with a crowd's goes with the crowds, whose way is right for keys of any size
+    met = heads_met(live.where("crowd").drop("crowd"), threshold)
+    by_heads = met.where("near").select(id_of().alias("y"), "apart", "x").unionByName(pairs_of_few(live.where("not crowd"), threshold))
+    by_heads = shared.table(by_heads.groupBy("y", "x").agg(F.min("apart").alias("apart")), "near")
     shared.forget(live)
-    met = functools.reduce(DataFrame.unionByName, slices)
-    by_heads = met.where("near").select(id_of().alias("y"), "apart", "x").groupBy("y", "x").agg(F.min("apart").alias("apart"))
     nearest = shared.table(by_heads.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("c")).select("c.x", "y"), "nearest")
     by_head = verified(nearest, rows, powers, threshold)
 
     done = by_head.select(F.col("y").alias("id"))
     others = by_heads.select("x", "y").join(by_head, "y", "left_anti").join(nearest, ["x", "y"], "left_anti")
-    few, many = met.where(F.col("size").between(3, CROWD)).withColumn("keys", F.lit(None).cast("array<bigint>")), met.where(F.col("size") > CROWD)
+    many = met.where(F.col("size") > 2)
     # members of a crowd share many keys: a pair of them is taken up at its smallest common one
     many = many.join(many.groupBy("rid", "line_no").agg(F.sort_array(F.collect_list("key")).alias("keys")), ["rid", "line_no"])
-    members = few.unionByName(many).select("key", "keys", id_of().alias("id"), "n", "at", "bits")
+    members = many.select("key", "keys", id_of().alias("id"), "n", "at", "bits")
     a, b = members.alias("a"), members.join(done, "id", "left_anti").alias("b")
-    first_key = F.col("a.keys").isNull() | (F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key"))
+    first_key = F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", threshold) & first_key)
     pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).join(nearest, ["x", "y"], "left_anti")
     pairs = shared.table(pairs.unionByName(others).distinct(), "pairs")
-    shared.forget(*slices, nearest)
+    shared.forget(met, by_heads, nearest)
     by_key = verified(pairs, rows, powers, threshold)
     found = shared.table(by_head.unionByName(by_key).select(F.col("y").alias("id")), "later")
     shared.forget(by_head, pairs, by_key)

@@ -107,6 +107,27 @@ def test_lines_of_a_template(spark):
     assert [got[i] for i in sorted(got)] == brute_lines(texts)
 
 
+def test_keys_of_unlike_lines(spark):
+    """A key of two unlike lines is told by their bitmaps while keys are counted, so its rows are not joined; keys of any number of lines lose no similar pair."""
+    rng = random.Random(12)
+    lines = []
+    for size in (2, 2, 2, 3, linededup.CROWD, linededup.CROWD + 1, 40):
+        common = [f"c{rng.randrange(10**9)}" for _ in range(6)]
+        lines += [" ".join(common + [f"w{k}" for k in rng.sample(range(60), 24)]) for _ in range(size)]
+        lines.append(edited(rng, lines[-1], 1))
+    for _ in range(150):  # the six rarest words of 20 in common: unlike, and pairs of them are keys of these two only
+        common = [f"d{rng.randrange(10**9)}" for _ in range(6)]
+        lines += [" ".join(common + [f"w{k}" for k in rng.sample(range(60), 14)]) for _ in range(2)]
+    rng.shuffle(lines)
+    rows = spark.createDataFrame(list(enumerate(lines)), "rid long, text string").repartition(3)
+    firsts = linededup.first_lines(rows, linededup.rarity(rows), linededup.THRESHOLD)
+    pairs = linededup.join_keys(firsts.select("n", "tokens"), linededup.THRESHOLD).groupBy("key").count().where("count > 1").count()
+    kept = linededup.shared_keys(firsts, linededup.THRESHOLD)
+    assert pairs > 250 and kept.count() < pairs / 2 and not kept.where("crowd").isEmpty()
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(rows.withColumnRenamed("rid", "doc_id"), removed="removed").collect()}
+    assert [got[i] for i in range(len(lines))] == brute_lines(lines)
+
+
 def test_a_group_of_near_copies(spark):
     rng = random.Random(9)
     base = sentence(rng, 40)
