@@ -33,7 +33,7 @@ from lodestone.llm import shared
 THRESHOLD = 0.8
 BUCKETS = 1 << 17
 #: Bits of the tables that tell shared keys, and lines or rows that are wanted.
-KEY_BITS, ID_BITS = 1 << 26, 1 << 23
+KEY_BITS, ID_BITS = 1 << 26, 1 << 24
 #: Keys of more sets than this are those of crowds, whose members share many keys.
 CROWD = 16
 #: The smallest size and the classes of the bands below the last ones, which double: from 16 * CLASSES words on, an eighth of the band's smallest size.
@@ -165,7 +165,8 @@ def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float
     ids = shared.table(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "wanted")
     table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h")), ID_BITS), "bits")
     lines = all_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no"), ID_BITS))
-    sets = shared.table(lines.select("id", word_set("line", powers).alias("words")).join(ids, "id", "left_semi"), "sets")
+    # lines that only share a bit with a wanted one find no pair
+    sets = shared.table(lines.select("id", word_set("line", powers).alias("words")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
     common = F.size(F.array_intersect("wx", "wy"))
     found = shared.table(both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9).select("y").distinct(), "similar")
