@@ -4,8 +4,8 @@ A line is the set of its different lower-cased words. A line is removed if an ea
 the same set or a set with a Jaccard similarity of `threshold` or more; whether that earlier line itself is removed does not
 matter. Lines without a word are never removed.
 
-1. Word rarity: counts of all words in BUCKETS hash buckets, kept as powers of two. Each set is an array of (rarity, hash)
-   numbers in ascending order, so its first elements are its rarest words.
+1. Texts are cut once, into a table of the hashes of each line's words, which the counts, the sets and the numbers of lines are read from and which then goes.
+   Word rarity: counts of all words in BUCKETS hash buckets, kept as powers of two. (Rarity, hash) numbers in ascending order begin with a set's rarest words.
 2. Equal sets (two hashes of 64 bits): the first occurrence stays and stands for its set.
 3. Prefixes: similar sets share c + 1 of their n - ceil(threshold * n) + 1 + c rarest words. These are dealt into c classes by hash, so similar sets share
    two words of a class: the keys of the join are pairs of words of a prefix, which stay rare where single words are frequent. c grows with the set's size
@@ -17,8 +17,8 @@ matter. Lines without a word are never removed.
    groups of near copies without pairing their members.
 6. Sets that are still open meet the others of step 5, and in larger keys all earlier sets with one of their keys, under the same filters, and are verified.
 
-Verification compares whole sets. They are cut again from the few lines concerned, which a bit table of fixed size picks
-while the texts are read, so texts are shuffled once, in the end, and only those that lose a line.
+Verification compares whole sets. They are cut again, once for steps 5 and 6, from the few lines concerned, which a bit table of fixed size
+picks while the texts are read, so texts are shuffled once, in the end, and only those that lose a line.
 """
 
 from __future__ import annotations
@@ -41,39 +41,53 @@ CROWD = 16
 SMALL_CLASSES, MEDIUM, CLASSES = 1, 16, 8
 #: Classes of one part of a long prefix.
 PART_CLASSES = 64
-#: White space and ASCII punctuation.
-SEPARATORS = r"""[ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]+"""
+#: White space and ASCII punctuation without blanks and line ends.
+MARKS = r"""[\t\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]+"""
 WORDY = r"""[^ \t\n\x0B\f\r!"#$%&'()*+,./:;<=>?@\[\\\]\^_`{|}~\-]"""
-_HASH_BITS = 56
+_HASH_BITS = 26
+#: Hashes are written as they are: a dictionary and compression take more time than they save.
+HASHES = {"compression": "none", "parquet.enable.dictionary": "false"}
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A literal array: the power of two of each bucket's number of words. Its size is BUCKETS, whatever the input."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("p"))
+def rarity(rows: DataFrame) -> Column:
+    """A literal array: the power of two of each bucket's number of words in rows (rid, text) or their cut_lines(), above _HASH_BITS zeros. Its size is BUCKETS, whatever the input."""
+    words = cut_lines(rows).select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("p"))
     found = counts.toArrow()  # BUCKETS rows at most
     powers = [0] * BUCKETS
     for k, p in zip(found["id"].to_pylist(), found["p"].to_pylist(), strict=True):
-        powers[k] = p
-    return F.split(F.lit(",".join(map(str, powers))), ",").cast("array<tinyint>")
+        powers[k] = min(p, 31) << _HASH_BITS
+    return F.split(F.lit(",".join(map(str, powers))), ",").cast("array<int>")
 
 
-def word_set(line: str, powers: Column) -> Column:
-    """A line's different words as numbers in order of rarity."""
-    words = F.array_remove(F.split(F.lower(line), SEPARATORS), "")
+def plain(text: Column | str) -> Column:
+    """A text or line in lower case, with blanks and line ends as its only separators."""
+    return F.regexp_replace(F.lower(text), MARKS, " ")
+
+
+def word_set(line: Column | str) -> Column:
+    """The hashes of the different words of a plain() line in ascending order."""
+    # a pattern of one character is not compiled for each line; numbers that can't be null are sorted as primitives
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+
+
+def rarest_first(words: Column | str, powers: Column) -> Column:
+    """A set's words as numbers of 31 bits in order of rarity. Words that share a number stand side by side, each with its own place, so prefixes hold what they must."""
 
     def pack(h: Column) -> Column:
-        power = F.element_at(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
-        return F.shiftleft(power.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        power = F.get(powers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.coalesce(power.bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)).cast("int")), F.lit(0))
 
-    # numbers that can't be null are sorted as primitives
-    each = F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.coalesce(pack(h), F.lit(0).cast("long")))
-    return F.sort_array(F.array_distinct(each))
+    return F.sort_array(F.transform(words, pack))
 
 
-def numbered_lines(rows: DataFrame) -> DataFrame:
-    """id (rid, line_no) and line of each line with a word of rows (rid, text)."""
-    return all_lines(rows).where(F.col("line").rlike(WORDY))
+def cut_lines(rows: DataFrame) -> DataFrame:
+    """id (rid, line_no) and words (the set) of each line with a word of rows (rid, text); rows that are cut already stay as they are."""
+    if "words" in rows.columns:
+        return rows
+    lines = all_lines(rows.select("rid", plain("text").alias("text"))).where(F.col("line").rlike("[^ ]"))
+    return lines.select("id", word_set("line").alias("words"))
 
 
 def all_lines(rows: DataFrame) -> DataFrame:
@@ -160,22 +174,24 @@ def may_be_similar(a: str, b: str, threshold: float) -> Column:
     )
 
 
-def verified(pairs: DataFrame, rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
-    """y of each pair (x, y: ids) that is similar enough."""
-    ids = shared.table(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "wanted")
+def wanted_sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """A shared table of id and words of the lines of rows (rid, text) with these ids, and of some that only share a bit with one."""
     table = shared.table(bit_table(ids.select(F.xxhash64("id.rid", "id.line_no").alias("h")), ID_BITS), "bits")
     lines = all_lines(rows).where(may_be_in(table, F.xxhash64("id.rid", "id.line_no"), ID_BITS))
-    # lines that only share a bit with a wanted one find no pair
-    sets = shared.table(lines.select("id", word_set("line", powers).alias("words")), "sets")
+    sets = shared.table(lines.select("id", word_set(plain("line")).alias("words")), "sets", **HASHES)
+    shared.forget(table)
+    return sets
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """A shared table: y of each pair (x, y: ids) that is similar enough by sets (id, words)."""
     both = pairs.join(sets.select(F.col("id").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
     common = F.size(F.array_intersect("wx", "wy"))
-    found = shared.table(both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9).select("y").distinct(), "similar")
-    shared.forget(ids, table, sets)
-    return found
+    return shared.table(both.where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9).select("y").distinct(), "similar")
 
 
 def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
-    """A shared table of the different sets: id (of the first line with that set), n, bits, tokens."""
+    """A shared table of the different sets of rows (rid, text) or their cut_lines(): id (of the first line with that set), n, bits, tokens."""
 
     def flip(a: Column, x: Column) -> Column:
         return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
@@ -184,9 +200,8 @@ def first_lines(rows: DataFrame, powers: Column, threshold: float) -> DataFrame:
     parity = F.aggregate("words", F.lit(0).cast("long"), flip)
     n = F.size("words")
     size = prefix_size(n, classes(band(n)), threshold)
-    tokens = F.transform(F.slice("words", F.lit(1), size), lambda x: F.hash(x))
-    sets = numbered_lines(rows).select("id", word_set("line", powers).alias("words"))
-    sets = sets.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("check"), F.struct("id", n.alias("n"), parity.alias("bits"), tokens.alias("tokens")).alias("s"))
+    tokens = F.slice(rarest_first("words", powers), F.lit(1), size)
+    sets = cut_lines(rows).select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("check"), F.struct("id", n.alias("n"), parity.alias("bits"), tokens.alias("tokens")).alias("s"))
     return shared.table(sets.groupBy("h", "check").agg(F.min("s").alias("s")).select("s.*"), "firsts")
 
 
@@ -220,7 +235,7 @@ def shared_keys(firsts: DataFrame, threshold: float) -> DataFrame:
     return counts.where((F.col("n") >= 3 << 32) | (F.bit_count("bits") <= most)).select("key", (F.col("n") >= (CROWD + 1) << 32).alias("crowd"))
 
 
-def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold: float) -> DataFrame:
+def later_copies(rows: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """The ids of firsts with a similar set that is earlier: a shared table."""
     keys = shared.table(shared_keys(firsts, threshold).select(F.col("key").alias("h"), "crowd"), "keys")
     table = shared.table(bit_table(keys.select("h"), KEY_BITS), "bits")
@@ -236,11 +251,13 @@ def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold:
     by_heads = shared.table(by_heads.groupBy("y", "x").agg(F.min("apart").alias("apart")), "near")
     shared.forget(live)
     nearest = shared.table(by_heads.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("c")).select("c.x", "y"), "nearest")
-    by_head = verified(nearest, rows, powers, threshold)
+    many = met.where(F.col("size") > 2)
+    ids = by_heads.select(F.explode(F.array("x", "y")).alias("id")).unionByName(many.select(id_of().alias("id")))
+    sets = wanted_sets(ids, rows)
+    by_head = verified(nearest, sets, threshold)
 
     done = by_head.select(F.col("y").alias("id"))
     others = by_heads.select("x", "y").join(by_head, "y", "left_anti").join(nearest, ["x", "y"], "left_anti")
-    many = met.where(F.col("size") > 2)
     # members of a crowd share many keys: a pair of them is taken up at its smallest common one
     many = many.join(many.groupBy("rid", "line_no").agg(F.sort_array(F.collect_list("key")).alias("keys")), ["rid", "line_no"])
     members = many.select("key", "keys", id_of().alias("id"), "n", "at", "bits")
@@ -250,9 +267,9 @@ def later_copies(rows: DataFrame, firsts: DataFrame, powers: Column, threshold:
     pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).join(nearest, ["x", "y"], "left_anti")
     pairs = shared.table(pairs.unionByName(others).distinct(), "pairs")
     shared.forget(met, by_heads, nearest)
-    by_key = verified(pairs, rows, powers, threshold)
+    by_key = verified(pairs, sets, threshold)
     found = shared.table(by_head.unionByName(by_key).select(F.col("y").alias("id")), "later")
-    shared.forget(by_head, pairs, by_key)
+    shared.forget(by_head, pairs, by_key, sets)
     return found
 
 
@@ -263,16 +280,15 @@ def id_of(alias: str = "") -> Column:
 
 def kept_lines(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A shared table of rid and kept, the numbers of the lines with words that stay, for each row of rows (rid, text) that loses a line."""
-    powers = rarity(rows)
-    firsts = first_lines(rows, powers, threshold)
-    shared.forget()
-    later = later_copies(rows, firsts, powers, threshold)
+    cut = shared.table(cut_lines(rows), "cut", **HASHES)
+    counts = shared.table(cut.groupBy(F.col("id.rid").alias("rid")).agg(F.count("*").cast("int").alias("wordy")), "wordy")
+    firsts = first_lines(cut, rarity(cut), threshold)
+    shared.forget(cut)
+    later = later_copies(rows, firsts, threshold)
     stay = firsts.select("id").join(later, "id", "left_anti").groupBy(F.col("id.rid").alias("rid")).agg(F.collect_list("id.line_no").alias("kept"))
-    wordy = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORDY)))
-    counts = rows.select("rid", wordy.alias("wordy")).where("wordy > 0")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     found = shared.table(counts.join(stay, "rid", "left").select("rid", "wordy", kept.alias("kept")).where(F.col("wordy") > F.size("kept")).select("rid", "kept"), "kept")
-    shared.forget(firsts, later)
+    shared.forget(firsts, later, counts)
     return found
 
 

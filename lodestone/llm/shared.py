@@ -55,11 +55,11 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df once as a shared Parquet table and read it back; forget() deletes it before the driver ends."""
+def table(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
+    """Write df once as a shared Parquet table, with the writer's options, and read it back; forget() deletes it before the driver ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = out, path
     return out

@@ -137,6 +137,32 @@ def test_a_group_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_texts_are_cut_once(spark, tmp_path, monkeypatch):
+    """Of the tables made on the way only two read texts: the hashes of all lines, and the few sets to verify; rare words, sets and numbers of lines are read from the first."""
+    texts, tables, write = corpus(3), [], linededup.shared.table
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+
+    def table(df, name, *args, **options):
+        if re.search(r"ReadSchema: struct<[^>]*\btext:", df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")):
+            tables.append(name)
+        return write(df, name, *args, **options)
+
+    monkeypatch.setattr(linededup.shared, "table", table)
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(spark.read.parquet(f"{tmp_path}/docs"), removed="removed").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+    assert tables == ["cut", "sets"]
+
+
+def test_words_of_odd_lines(spark):
+    """Final sigmas, dotted capitals, marks and white space of all kinds at the ends of lines and words."""
+    lines = ["ΟΔΟΣ ΣΑΣ' x", "ΟΔΟΣ' ΣΑΣ\tX", "οδος σας x!", "İstanbul I", "i̇stanbul i", "--", " \t\x0b\f\r ", "a\u00a0b", "a b", "(A)...[b]", "\x00", "_\\^`{|}~", "€ 5", "5 €\r"]
+    docs = spark.createDataFrame([(0, "\n".join(lines)), (1, "\n" + "\n".join(reversed(lines)) + "\n")], "doc_id long, text string")
+    got = {r.doc_id: r.removed or [] for r in linededup.dedup(docs, removed="removed").collect()}
+    odd = [n for n, line in enumerate(lines) if not re.sub(r"[\s!-/:-@\[-`{-~]+", "", line)]
+    assert got[1] == [len(lines) - n for n in reversed(range(len(lines))) if n not in odd]
+    assert got[0] == [1, 2, 4, 9, 13]
+
+
 def test_lines_need_no_python(spark):
     docs = spark.createDataFrame(list(enumerate(corpus(2))), "doc_id long, text string")
     plan = linededup.dedup(docs)._jdf.queryExecution().toString()
